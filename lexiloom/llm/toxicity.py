@@ -47,7 +47,7 @@ class SeverityModel:
         return over.sum(1), p.argmax(1)
 
 
-def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, dims: int, l2: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, dims: int, l2: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising cuts by accelerated full-batch descent on the sum of the thresholds' log losses.
 
     Each threshold sees the same score, and every grade counts alike in the mean.
@@ -84,8 +84,8 @@ def fit_severity(labelled: DataFrame, id_col: str, text_col: str, grade_col: str
     a first fit with one threshold scores over their median become grade 2.
 
     Sample: of each grade the ``per_grade`` ids that hash lowest. Vocabulary: the
-    features with the largest difference of document shares between grade 0 and
-    the rest, on a log scale; at most ``vocabulary``.
+    features that most exceed, in standard deviations, the number of graded
+    documents above 0 that chance would give them; at most ``vocabulary``.
     """
     rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(grade_col).cast("int").alias("grade")).where("id is not null and text is not null and grade is not null")
     top = rows.groupBy("grade").agg(F.count("*").alias("n")).orderBy("grade").limit(16).collect()
@@ -106,9 +106,9 @@ def fit_severity(labelled: DataFrame, id_col: str, text_col: str, grade_col: str
     sample = rows.where(F.col("id").isin(sorted(ids))).mapInArrow(run, "id long, grade int, grams array<string>").persist()
     many = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
     clean, bad = max(1, many.get(0, 0)), max(1, sum(n for g, n in many.items() if g))
-    per = sample.select("grade", F.explode("grams").alias("g")).groupBy("g").agg(F.sum((F.col("grade") > 0).cast("long")).alias("b"), F.sum((F.col("grade") == 0).cast("long")).alias("c")).where("b + c >= 5")
-    gap = F.abs(F.log((F.col("b") + 0.5) / bad) - F.log((F.col("c") + 0.5) / clean)) * F.sqrt(F.col("b") / bad + F.col("c") / clean)
-    names = {r["g"]: i for i, r in enumerate(per.orderBy(gap.desc(), "g").limit(vocabulary).collect())}
+    per = sample.select("grade", F.explode("grams").alias("g")).groupBy("g").agg(F.sum((F.col("grade") > 0).cast("long")).alias("b"), F.sum((F.col("grade") == 0).cast("long")).alias("c")).where("b + c >= 3")
+    due = (F.col("b") + F.col("c")) * bad / (bad + clean)
+    names = {r["g"]: i for i, r in enumerate(per.orderBy(((F.col("b") - due) / F.sqrt(due + 1)).desc(), "g").limit(vocabulary).collect())}
     held = sample.sparkSession.sparkContext.broadcast(names)  # at most ``vocabulary`` words
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
