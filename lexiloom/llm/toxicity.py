@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Bounds of the training sample and of the model.
 SAMPLE_PER_CLASS = 4000
-VOCABULARY = 2048
+VOCABULARY = 1024
 WORD = re.compile(r"[^\W\d_]+")
 
 
