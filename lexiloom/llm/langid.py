@@ -33,6 +33,7 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 BLOCK = 4_000_000
+MOST_LANGS = 1000
 
 
 def family_of(lang: str) -> str:
@@ -118,9 +119,20 @@ class LanguageModel:
 
 
 def sample_ids(train: DataFrame, per_lang: int) -> list[int]:
-    """Ids of at most ``per_lang`` documents of each language, lowest hash first; reads no text."""
-    low = Window.partitionBy("lang").orderBy("h", "id")
-    ranked = train.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("r", F.row_number().over(low))
+    """Ids of at most ``per_lang`` documents of each language, lowest hash first; reads no text.
+
+    A cut of the hash by the language's number of documents leaves about half
+    as many again as are wanted, whatever the input, and only those are ranked.
+    """
+    counts = train.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    if not counts:
+        return []
+    cut = {r["lang"]: min((1 << 63) - 1, int(min(1.0, (1.5 * per_lang + 64) / r["count"]) * (1 << 64)) - (1 << 63)) for r in counts}
+    cuts = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair])
+    some = train.select("id", "lang", F.xxhash64("id").alias("h")).where(F.col("h") <= cuts[F.col("lang")])
+    ranked = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
     return [r[0] for r in ranked.where(F.col("r") <= per_lang).select("id").distinct().collect()]
 
 
