@@ -20,13 +20,18 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose encodings a worker holds; beyond it the table starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
+#: Token pairs whose stability a worker holds.
+CACHED_PAIRS = 200_000
+#: Characters of the texts that share a trie and are Python strings at once.
+GROUP = 3_000_000
 END = "</w>"
 #: The pre-tokenizer's pattern, over lower-cased text, for text in ASCII and for any other.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
@@ -102,7 +107,7 @@ class WordBpe:
                 until_a, a = la, self.halves[a][1]
             else:
                 until_b, b = lb, self.halves[b][0]
-        if len(self.stable) > 2_000_000:
+        if len(self.stable) > CACHED_PAIRS:
             self.stable.clear()
         self.stable[left, right] = ok
         return ok
@@ -164,7 +169,7 @@ class WordBpe:
         at = 0
         while at < len(texts):  # groups of texts of some million characters share a trie
             split, size = [], 0
-            while at < len(texts) and (not split or size < 8_000_000):
+            while at < len(texts) and (not split or size < GROUP):
                 split.append(self.pieces(texts[at]))
                 size += len(texts[at])
                 at += 1
@@ -197,7 +202,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _chunks(batch: pa.RecordBatch, col: int, chars: int = 16_000_000) -> Iterator[tuple[int, list[str]]]:
+def _chunks(batch: pa.RecordBatch, col: int, chars: int = GROUP) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of slices of a batch, so that few long texts are Python strings at once."""
     texts, first, size = [], 0, 0
     for i, t in enumerate(batch.column(col)):
@@ -232,7 +237,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out["n_tokens"].append(sum([x[0] for x in found]))
                     ids = " ".join([x[1] for x in found])
                     if "ids" in out:
-                        out["ids"].append(list(map(int, ids.split())))
+                        out["ids"].append(np.fromstring(ids, dtype=np.int32, sep=" "))
                     if "ids_sha256" in out:
                         out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                     if "decoded" in out or "decoded_sha256" in out:
