@@ -13,32 +13,30 @@ from lexiloom.llm.shelf import Shelf
 LEAST_SCORE = 0.3
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among the ids; the ids are few bytes a row, the texts stay in place if they fit."""
-    return docs.join(kept.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognisable language."""
     model = langid.fit_languages(docs.where(~held_out(F.col("doc_id"))))
-    found = langid.predict_languages(docs, model)
-    return _only(docs, found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)))
+    return langid.keep_recognised(docs, model, LEAST_SCORE)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the quality rules don't keep."""
-    return _only(docs, quality.quality_verdicts(docs).where("kept"))
+    return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest id."""
-    return _only(docs, simhash.simhash_groups(docs).where("id = component_id"))
+    """One document of each SimHash group stays, the one with the smallest id.
+
+    The ids are the small side of a hash join, so the texts aren't sorted.
+    """
+    kept = simhash.simhash_groups(docs).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     copies = mixing.mix_sources(docs).where("copies > 0").select(F.col("id").alias("doc_id"), "copies")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    return docs.join(copies.hint("shuffle_hash"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .narrow import keep_rows
+
 DIMS = 1 << 12
 #: Families of languages by ISO 639-1 code; a language not listed is a family of its own.
 FAMILIES = {
@@ -153,6 +155,16 @@ def fit_languages(train: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return LanguageModel.fit(x, got["lang"].to_pylist())
 
 
+def judge(texts: list[str | None], model: LanguageModel | None) -> tuple[list[str], list[float]]:
+    """Language and score per text; ``und`` and 0 without a letter or a model."""
+    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if model and (has := [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]):
+        best, p = model.predict(features([texts[i] for i in has]))
+        for i, b, s in zip(has, best, p, strict=True):
+            lang[i], score[i] = model.langs[b], float(s)
+    return lang, score
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) per row of ``docs``.
 
@@ -160,19 +172,18 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, id_col: str
     Unicode), or where there is no model. Texts of any length are used whole;
     repeated rows and null ids come back as they are; extra columns are ignored.
     """
-    session = docs.sparkSession.sparkContext
-    held = session.broadcast(model)  # its size is the number of languages, families and pairs times DIMS
+    held = docs.sparkSession.sparkContext.broadcast(model)  # its size is the number of languages, families and pairs times DIMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                texts = [t.as_py() or "" for t in batch.column(1).slice(at, 512)]
-                lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                if m and (has := [i for i, t in enumerate(texts) if any(map(str.isalpha, t))]):
-                    best, p = m.predict(features([texts[i] for i in has]))
-                    for i, b, s in zip(has, best, p, strict=True):
-                        lang[i], score[i] = m.langs[b], float(s)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
+            for at in range(0, batch.num_rows, 256):
+                lang, score = judge(batch.column(1).slice(at, 256).to_pylist(), held.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, lang_pred string, score double")
+
+
+def keep_recognised(docs: DataFrame, model: LanguageModel | None, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with a language of at least the score. Nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text_col, lambda texts: [lang != UNKNOWN and s >= least_score for lang, s in zip(*judge(texts, held.value), strict=True)])

@@ -9,7 +9,7 @@ packed exactly; longer windows use 64-bit polynomial hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .narrow import keep_rows
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -111,6 +113,17 @@ def shouted(text: str) -> float:
     return float((a != x).sum()) / max(1, int((x != b).sum()))
 
 
+def judge(texts: Iterable[str | None], limits: Limits) -> list[np.ndarray]:
+    """Columns of figures of one text or more; the last two are base_failed and kept."""
+    lengths = tuple(sorted(limits.gram_chars))
+    n, chars, symbols, dup, repeat, shares, line, shout = (np.array(x) for x in zip(*[measure(t, lengths) for t in texts], strict=True))
+    base = (n < limits.min_words) | (100 * repeat > limits.repeat_percent * n)
+    fine = (line <= limits.line_chars) & (symbols <= limits.symbols_per_word * n) & (shout <= limits.shouted)
+    for i, k in enumerate(lengths):
+        fine &= shares[:, i] <= limits.gram_chars[k]
+    return [n, chars, symbols, dup, repeat, *[np.ascontiguousarray(shares[:, i]) for i in range(len(lengths))], line, shout, base, ~base & fine]
+
+
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None) -> DataFrame:
     """(id, measures, base_failed, kept) per row of ``docs``.
 
@@ -128,16 +141,15 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [measure(t.as_py(), lengths) for t in batch.column(1)]
-            if not got:
-                continue
-            n, chars, symbols, dup, repeat, shares, line, shout = (np.array(x) for x in zip(*got, strict=True))
-            base = (n < limits.min_words) | (100 * repeat > limits.repeat_percent * n)
-            fine = (line <= limits.line_chars) & (symbols <= limits.symbols_per_word * n) & (shout <= limits.shouted)
-            for i, k in enumerate(lengths):
-                fine &= shares[:, i] <= limits.gram_chars[k]
-            cols = [batch.column(0), *[pa.array(x) for x in (n, chars, symbols, dup, repeat, *[np.ascontiguousarray(shares[:, i]) for i in range(len(lengths))], line, shout, base, ~base & fine)]]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            if batch.num_rows:
+                figures = judge((t.as_py() for t in batch.column(1)), limits)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, figures)], names=names)
 
     schema = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + "".join(f"gram{n}_share double, " for n in lengths) + "line_share double, shout_share double, base_failed boolean, kept boolean"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", limits: Limits | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text the rules keep. Nothing is shuffled."""
+    limits = limits or Limits()
+    return keep_rows(docs, text_col, lambda texts: judge(texts, limits)[-1].tolist())
