@@ -29,21 +29,22 @@ def _star(pairs: DataFrame, small: bool) -> DataFrame:
     return moved.where("u != v").distinct()
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, shelf: Shelf) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, shelf: Shelf, rows: int | None = None) -> DataFrame:
     """(node, component) for every node that has an edge; component: its smallest node.
 
     Works on any orderable type. Null ends and self-loops are ignored, repeated
     edges count once, an empty table gives an empty result. Nodes without an
-    edge are their own component and aren't listed.
+    edge are their own component and aren't listed. ``rows``: a bound of the
+    number of edges, if known.
     """
-    now = shelf.keep(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a != b").select("u", "v").distinct())
+    now = shelf.keep(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a != b").select("u", "v").distinct(), rows)
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head()
         if not mark[0] or tuple(mark) == seen:
             break
         seen = tuple(mark)
-        after = shelf.keep(_star(_star(now, small=False), small=True))
+        after = shelf.keep(_star(_star(now, small=False), small=True), 2 * mark[0])
         shelf.drop(now)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

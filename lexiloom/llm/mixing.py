@@ -59,7 +59,7 @@ def targets(sizes: DataFrame, shelf: Shelf, weights: tuple[float, ...] = (3, 1,
     return cut.withColumn("final", final).select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final.level") * F.col("w"))).alias("target"))
 
 
-def _newton(hist: DataFrame, goals: DataFrame, shelf: Shelf, most: float) -> DataFrame:
+def _newton(hist: DataFrame, goals: DataFrame, shelf: Shelf, most: float, few: int) -> DataFrame:
     """(source, lam, scale): lam in units of 1 / scale, the source's mean size.
 
     Safeguarded Newton: a step that leaves the bracket is a bisection. Targets
@@ -72,7 +72,7 @@ def _newton(hist: DataFrame, goals: DataFrame, shelf: Shelf, most: float) -> Dat
         key.alias("k"), none.alias("k0"), "target", (F.col("source_size") / F.col("docs")).alias("scale"),
         F.lit(-1024.0).alias("lo"), F.lit(1024.0).alias("hi"), F.lit(0.0).alias("lam"), (F.col("target") >= most * F.col("source_size")).alias("full"), F.lit(False).alias("done"),
     )
-    state = shelf.keep(state.withColumn("done", F.col("full") | (F.col("scale") == 0)))
+    state = shelf.keep(state.withColumn("done", F.col("full") | (F.col("scale") == 0)), few)
     h = hist.select(key.alias("hk"), none.alias("h0"), "size", "n")
     for _ in range(STEPS):
         if not state.where("not done").head(1):
@@ -96,7 +96,7 @@ def _newton(hist: DataFrame, goals: DataFrame, shelf: Shelf, most: float) -> Dat
             .withColumn("next", F.when(F.col("ok"), F.col("lam")).when(far, (F.col("nlo") + F.col("nhi")) / 2).otherwise(step))
             .select("k", "k0", "target", "scale", F.when(F.col("ok"), F.col("lo")).otherwise(F.col("nlo")).alias("lo"), F.when(F.col("ok"), F.col("hi")).otherwise(F.col("nhi")).alias("hi"), F.col("next").alias("lam"), "full", F.col("ok").alias("done"))
         )
-        after = shelf.keep(after)
+        after = shelf.keep(after, few)
         shelf.drop(state)
         state = after
     return state.select("k", "k0", "target", "scale", F.when(~F.col("full"), F.col("lam")).alias("lam"))
@@ -123,12 +123,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     shelf = Shelf(docs.sparkSession)
     rows = shelf.keep(sized(docs, id_col, text_col, source_col))
-    hist = shelf.keep(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
+    hist = shelf.keep(rows.groupBy("source", "size").agg(F.count("*").alias("n")), rows.count())
+    few = hist.select("source").distinct().count()
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
-    goals = shelf.keep(targets(totals.drop("docs"), shelf, weights, share, most))
-    lams = shelf.keep(_newton(hist, goals, shelf, float(most)))
+    goals = shelf.keep(targets(totals.drop("docs"), shelf, weights, share, most), few)
+    lams = shelf.keep(_newton(hist, goals, shelf, float(most), few), few)
     docs_of = totals.select(F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("k0"), "source_size", "docs")
-    info = shelf.keep(lams.join(docs_of, ["k", "k0"]))
+    info = shelf.keep(lams.join(docs_of, ["k", "k0"]), few)
     keyed = rows.select("id", "source", "size", F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("k0"))
     x = F.when(F.col("scale") > 0, F.col("lam") * F.col("size") / F.col("scale")).otherwise(F.lit(0.0))
     rate = F.when(F.col("lam").isNull(), F.lit(float(most))).otherwise(most / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x)))))

@@ -19,6 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Narrow rows that one task writes in well under a second.
+ROWS_PER_FILE = 200_000
+
+
 class Shelf:
     """Writes tables to the shared folder and deletes the superseded ones.
 
@@ -31,8 +35,11 @@ class Shelf:
         self.root = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
         self.made = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``rows``: about how many there are, if known; few rows then make few files, whatever the shuffle."""
         self.made += 1
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
         path = f"{self.root}/t{self.made}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

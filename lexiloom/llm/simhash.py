@@ -201,10 +201,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     shelf = Shelf(docs.sparkSession)
     marked = shelf.keep(fingerprints(docs, id_col, text_col, shingle))
-    points = shelf.keep(marked.groupBy("fp").agg(F.min("id").alias("rep")))
-    parts = connected_components(near_edges(points, shelf, within, groups, limit), "a", "b", shelf)
+    n = marked.count()
+    points = shelf.keep(marked.groupBy("fp").agg(F.min("id").alias("rep")), n)
+    edges = near_edges(points, shelf, within, groups, limit)
+    parts = connected_components(edges, "a", "b", shelf, edges.count())
     named = points.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    named = shelf.keep(named)
+    named = shelf.keep(named, n)
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     lookup = named.join(names, "component").select("fp", "component_id")
     return marked.join(lookup, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
