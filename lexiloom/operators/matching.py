@@ -12,9 +12,12 @@ from .vocabulary import by_token
 
 
 def term_tokens(terms: DataFrame) -> DataFrame:
-    """``terms(concept, term)`` with tokens; terms of over 32 tokens match nothing."""
-    split = lexical.tokenize_distinct(terms.select(F.col("term").alias("name")).distinct())
-    return terms.join(split, F.col("term") == F.col("name")).drop("name").where(F.size("tokens") <= LIMITS["compound_tokens"])
+    """``terms(concept, term, status)`` with tokens; terms of over 32 tokens match nothing.
+
+    A glossary has at most ten thousand concepts, so its terms are split here.
+    """
+    rows = [(*r, split) for r in terms.collect() if len(split := lexical.split_tokens(r["term"])) <= LIMITS["compound_tokens"]]
+    return terms.sparkSession.createDataFrame(rows, "concept string, term string, status string, tokens array<string>")
 
 
 def single_occurrences(terms: DataFrame, tok_occ: DataFrame) -> DataFrame:

@@ -1,0 +1,115 @@
+"""The evidence of a repository: all tables of one scan, and the document made of their tops."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.fixed import LIMITS
+from ..operators import imports, naming, terminology, topk, vocabulary
+from ..sources import repository
+from ..sources.shared import cut
+from . import checks, glossaries
+
+
+@dataclass
+class Evidence:
+    classified: DataFrame
+    files: DataFrame
+    ident_occ: DataFrame
+    tok_occ: DataFrame
+    doc_occ: DataFrame
+    resolved: DataFrame
+
+    def token_counts(self) -> DataFrame:
+        return vocabulary.token_counts(self.tok_occ)
+
+    def doc_counts(self) -> DataFrame:
+        return vocabulary.doc_vocabulary(self.doc_occ)
+
+
+def scan(spark: SparkSession, root: str, config: repository.Config | None = None) -> Evidence:
+    """Lists, reads and splits a repository; only production files feed the vocabulary."""
+    classified = cut(repository.classify(spark, root, config))
+    files = cut(repository.read_texts(classified, root))
+    good = files.where("problem is null and role = 'production'")
+    code = good.where("kind = 'code'")
+    occ = cut(vocabulary.code_occurrences(code))
+    return Evidence(classified, files, occ, cut(vocabulary.token_occurrences(occ)), cut(vocabulary.doc_occurrences(good.where("kind = 'doc'"))), cut(imports.resolve(imports.import_specs(code), code)))
+
+
+def _rows(df: DataFrame) -> list[dict]:
+    return [r.asDict(recursive=True) for r in df.collect()]  # only capped tables come here
+
+
+def document(e: Evidence, root: str) -> dict:
+    """The tops of every table with their coverage; the whole tables stay DataFrames."""
+    tc, dc = cut(e.token_counts()), cut(e.doc_counts())
+
+    def section(df: DataFrame, k: int, *order) -> dict:
+        top, led = topk.top_k_with_ledger(df, k, *order)
+        return {"items": _rows(top), "coverage": led}
+
+    reg = cut(terminology.register(e.tok_occ, dc))
+    disp = cut(terminology.context_dispersion(e.tok_occ, tc))
+    edges = cut(imports.internal_edges(e.resolved))
+    mods = e.files.where("kind = 'code' and problem is null").groupBy("module").agg(F.count("*").alias("code_files"), F.array_sort(F.collect_set("language")).alias("languages"))
+    return {
+        "schema_version": 1,
+        "git": repository.git_stamp(root),
+        "exclusions": _rows(repository.exclusion_ledger(e.classified).orderBy("exclusion_kind")),
+        "totals": _rows(e.files.groupBy("role", "kind").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy("role", "kind")),
+        "modules": _rows(mods.orderBy("module").limit(LIMITS["source_files"])),
+        "tokens": section(tc, LIMITS["tokens"], F.desc("uses"), F.asc("token")),
+        "identifiers": section(vocabulary.identifier_counts(e.ident_occ), LIMITS["identifiers"], F.desc("uses"), F.asc("name")),
+        "doc_terms": section(dc, LIMITS["doc_terms"], F.desc("uses"), F.asc("term")),
+        "register": {"styles": _rows(terminology.style_shares(reg).orderBy(F.desc("spellings"), "style")), "prefixes": _rows(terminology.affixes(reg, "prefix")), "suffixes": _rows(terminology.affixes(reg, "suffix"))},
+        "layers": {w: _rows(terminology.layers(tc, dc, w)) for w in ("shared", "code_only", "doc_only")},
+        "synonyms": _rows(terminology.synonym_candidates(e.tok_occ, tc)),
+        "dispersion": _rows(disp.orderBy("term")),
+        "overloads": _rows(terminology.overload_candidates(disp)),
+        "imports": {"edges": _rows(edges), "external": _rows(imports.external_tally(e.resolved))},
+        "naming": {"modules": _rows(naming.module_scores(edges, mods, dc)), "terms": _rows(naming.term_scores(e.tok_occ, tc, dc, disp))},
+    }
+
+
+def _held(spark: SparkSession, e: Evidence, glossary: dict) -> tuple[checks.Glossary, DataFrame]:
+    """The glossary against the evidence, and its drift."""
+    tc, dc = cut(e.token_counts()), cut(e.doc_counts())
+    g = checks.Glossary(glossaries.to_frame(spark, glossary), e.tok_occ, dc)
+    g.totals = cut(g.totals)
+    return g, checks.drift(g, cut(terminology.synonym_candidates(e.tok_occ, tc)), cut(terminology.context_dispersion(e.tok_occ, tc)))
+
+
+def drift(spark: SparkSession, e: Evidence, glossary: dict) -> DataFrame:
+    return checks.capped(_held(spark, e, glossary)[1])
+
+
+def validation(spark: SparkSession, e: Evidence, glossary: dict) -> DataFrame:
+    """Bindings, orphans, fragmentation and drift; the structural checks need a graph and are in ``checks.validation``."""
+    g, drifted = _held(spark, e, glossary)
+    states = cut(checks.bindings(g, e.files.select("path")))
+    return checks.capped(drifted.unionByName(checks.orphaned_concepts(g, states)).unionByName(checks.binding_findings(states)).unionByName(checks.fragmentation(g)))
+
+
+def brief(glossary: dict, budget: int = 4096, entry: int = 1024) -> str:
+    """Canonical terms as text within a byte budget; a footer tells how many are left out."""
+    terms = sorted((c for c in glossary["concepts"] if c["status"] == "canonical"), key=lambda c: (c["term"].casefold(), c["term"], c["id"]))
+    lines: list[str] = []
+    room = budget - len(f"({len(terms)} of {len(terms)} terms)\n")
+    for c in terms:
+        aliases = ", ".join(sorted(a["term"] for a in c.get("aliases") or []))
+        line = shorten(f"- {c['term']}: {c['definition']}" + (f" (not: {aliases})" if aliases else ""), entry) + "\n"
+        if len(line.encode()) > room:
+            break
+        room -= len(line.encode())
+        lines.append(line)
+    return "".join(lines) + f"({len(lines)} of {len(terms)} terms)\n"
+
+
+def shorten(text: str, most: int) -> str:
+    """At most ``most`` bytes of UTF-8, whole characters, with an ellipsis if cut."""
+    raw = text.encode()
+    return text if len(raw) <= most else raw[: most - 3].decode(errors="ignore") + "…"
