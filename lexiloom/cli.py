@@ -1,4 +1,4 @@
-"""python -m lexiloom.cli analyze|inspect|brief|show|save|drift|validate ROOT: the engine over a repository."""
+"""python -m lexiloom.cli VERB ROOT: the engine over a repository."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ import json
 import os
 import sys
 
-from .plans import evidence, glossaries
+from .plans import context, evidence, glossaries
 from .session import session
-from .sources import documents, repository
+from .sources import cache, documents, repository
 
 OUT = "lexiloom-out"
 
@@ -17,14 +17,23 @@ OUT = "lexiloom-out"
 def main(argv: list[str] | None = None) -> int:
     """0: fine; 1: findings or an invalid glossary; 2: the command can't run."""
     p = argparse.ArgumentParser(prog="lexiloom", description=__doc__)
-    p.add_argument("verb", choices=["scan", "analyze", "inspect", "brief", "show", "save", "drift", "validate"])
+    p.add_argument("verb", choices=["scan", "analyze", "inspect", "brief", "show", "save", "drift", "validate", "context-status", "sync-context", "clear-cache"])
     p.add_argument("root")
     p.add_argument("--limit", type=int, default=20, help="rows of a section that inspect prints")
+    p.add_argument("--graph", help="a graph document (nodes, links, communities) for the structural checks")
+    p.add_argument("--cache", help="folder of the extraction cache; on a cluster a shared one, else nothing is reused there")
+    p.add_argument("--no-cache", action="store_true", help="split every file anew")
+    p.add_argument("--file", default=context.HOSTS[0], choices=context.HOSTS, help="the instruction file with the managed block")
+    p.add_argument("--repair", action="store_true", help="replace a managed block that was edited by hand")
     a = p.parse_args(argv)
     if not os.path.isdir(a.root):
         print(f"{a.root}: not a directory", file=sys.stderr)
         return 2
     at = os.path.join(a.root, OUT)
+    entries = cache.location(a.root, a.cache)
+    if a.verb == "clear-cache":
+        print(cache.clear(entries) if entries else 0)
+        return 0
     state, glossary = documents.read_json(os.path.join(at, "glossary.json"))
     if a.verb == "save":
         doc = json.load(sys.stdin)
@@ -33,13 +42,22 @@ def main(argv: list[str] | None = None) -> int:
             return 1
         documents.write_json(os.path.join(at, "glossary.json"), doc | {"concepts": sorted(doc["concepts"], key=lambda c: c["id"])})
         return 0
-    if a.verb in ("brief", "show", "drift", "validate"):
+    if a.verb in ("brief", "show", "drift", "validate", "context-status", "sync-context"):
         if state != "ok" or (bad := glossaries.validate(glossary)):
             print(f"glossary: {state}" if state != "ok" else "\n".join(bad), file=sys.stderr)
             return 2
         if a.verb == "brief":
             print(evidence.brief(glossary), end="")
             return 0
+        host = os.path.join(a.root, a.file)
+        if a.verb == "context-status":
+            state = context.status(context.read_host(host), glossary)
+            print(state)
+            return int(state != "current")
+        if a.verb == "sync-context":
+            state = context.sync(host, glossary, a.repair)
+            print(f"{a.file}: was {state}")
+            return int(state == "uninspectable" or (state == "edited" and not a.repair))
         if a.verb == "show":
             for c in glossary["concepts"]:
                 print(f"{c['id']}\t{c['status']}\t{c['term']}\t{c['definition']}")
@@ -49,7 +67,9 @@ def main(argv: list[str] | None = None) -> int:
         print(f"lexiloom.json: {state}", file=sys.stderr)
         return 2
     spark = session()
-    e = evidence.scan(spark, os.path.abspath(a.root), repository.Config.parse(config) if state == "ok" else None)
+    shared = a.cache or spark.sparkContext.master.startswith("local")
+    reuse = cache.ExtractionCache(spark, entries) if entries and shared and not a.no_cache else None
+    e = evidence.scan(spark, os.path.abspath(a.root), repository.Config.parse(config) if state == "ok" else None, reuse, a.graph)
     if a.verb in ("drift", "validate"):
         check = evidence.drift if a.verb == "drift" else evidence.validation
         found = [r.asDict() for r in check(spark, e, glossary).orderBy("kind", "subject").collect()]

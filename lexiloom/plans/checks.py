@@ -142,6 +142,10 @@ def concept_tokens(g: Glossary) -> DataFrame:
     """(concept, token): the canonical terms' tokens and those of their symbol bindings; scoped concepts stay out."""
     open_ = g.scopes.where("prefixes is null").select("concept")
     own = g.canonical.select("concept", F.explode("tokens").alias("token"))
+    symbols = g.rows.where("status = 'canonical'").select(F.col("id").alias("concept"), F.explode("bindings").alias("ref")).where(F.col("ref").startswith("symbol:"))
+    symbols = symbols.select("concept", F.substring("ref", len("symbol:") + 1, LIMITS["label_chars"]).alias("name"))
+    split = lexical.tokenize_distinct(symbols.select("name").distinct())
+    own = own.union(symbols.join(split, "name").select("concept", F.explode("tokens").alias("token")))
     return own.join(open_, "concept", "left_semi").distinct()
 
 

@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import LIMITS
-from ..operators import imports, naming, terminology, topk, vocabulary
-from ..sources import repository
+from ..functions.paths import name_of
+from ..operators import graph, imports, matching, naming, terminology, topk, vocabulary
+from ..sources import documents, repository
+from ..sources.cache import KEYS, ExtractionCache
 from ..sources.shared import cut
 from . import checks, glossaries
 
+#: Files that may hold a managed block, and the texts its marker lines start with.
+HOSTS, BEGIN, END = ("AGENTS.md", "CLAUDE.md"), "<!-- lexiloom:begin", "<!-- lexiloom:end -->"
+
+
+@dataclass
+class Structure:
+    """A graph's tables, or why there are none: disabled, absent, a state of the file, too-much-work or unusable."""
+
+    state: str
+    nodes: DataFrame | None = None
+    links: DataFrame | None = None
+    members: DataFrame | None = None
+    labels: DataFrame | None = None
+    cohesion: DataFrame | None = None
+    commit: str | None = None
+
 
 @dataclass
 class Evidence:
@@ -22,6 +43,8 @@ class Evidence:
     tok_occ: DataFrame
     doc_occ: DataFrame
     resolved: DataFrame
+    root: str
+    structure: Structure
 
     def token_counts(self) -> DataFrame:
         return vocabulary.token_counts(self.tok_occ)
@@ -30,14 +53,83 @@ class Evidence:
         return vocabulary.doc_vocabulary(self.doc_occ)
 
 
-def scan(spark: SparkSession, root: str, config: repository.Config | None = None) -> Evidence:
-    """Lists, reads and splits a repository; only production files feed the vocabulary."""
+def read_structure(spark: SparkSession, path: str | None) -> Structure:
+    """The graph in a JSON document; its work is judged from list lengths before anything is exploded."""
+    if path is None:
+        return Structure("disabled")
+    state, value = documents.read_json(path)
+    if state != "ok" or not isinstance(value, dict):
+        return Structure(state if state != "ok" else "malformed")
+    texts = spark.createDataFrame([(glossaries.canonical_json(value),)], "json string")
+    if (graph.graph_work(texts).head()["refs"] or 0) > LIMITS["graph_refs"]:
+        return Structure("too-much-work")
+    nodes, links, groups = map(cut, graph.parse_graph(texts))
+    if nodes.isEmpty():
+        return Structure("unusable")
+    explicit = not groups.isEmpty()
+    members = graph.memberships(nodes, groups if explicit else None)
+    labels, cohesion = graph.group_labels(nodes).select("group", "label"), members.select("group").distinct().withColumn("cohesion", F.lit(None).cast("double"))
+    if explicit:
+        named = groups.where("id is not null").groupBy(F.col("id").alias("group")).agg(F.min_by("label", F.when(F.col("label").isNotNull(), F.col("pos"))).alias("own"), F.max("cohesion").alias("cohesion"))
+        labels = named.join(labels, "group", "left").select("group", F.coalesce("own", "label").alias("label")).where("label is not null")
+        cohesion = named.select("group", "cohesion")
+    commit = value.get("built_at_commit")
+    return Structure("ok", nodes, graph.visible_links(links, nodes), cut(members), labels, cohesion, commit if isinstance(commit, str) else None)
+
+
+def extract(files: DataFrame, cache: ExtractionCache) -> tuple[DataFrame, DataFrame]:
+    """(ident_occ, doc_occ): files whose content is known are read from the cache, the others split and added to it."""
+    known = cache.read().dropDuplicates(KEYS)
+    missing = files.join(known, KEYS, "left_anti")
+    code = vocabulary.code_occurrences(missing.where("kind = 'code'")).select("path", F.col("name").alias("word"), "n")
+    words = code.union(vocabulary.doc_occurrences(missing.where("kind = 'doc'")).select("path", "term", "n"))
+    found = words.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("found"))  # at most one file's words
+    none = F.array().cast("array<struct<word:string,n:long>>")
+    fresh = cut(missing.select(*KEYS).join(found, "path", "left").select(*KEYS, F.coalesce("found", none).alias("found")))
+    if not fresh.isEmpty():
+        cache.add(fresh)
+    rows = files.select(*KEYS, "module", "language").join(known.unionByName(fresh), KEYS).select("path", "kind", "module", "language", F.inline("found"))
+    return rows.where("kind = 'code'").select(F.col("word").alias("name"), "path", "module", "language", "n"), rows.where("kind = 'doc'").select(F.col("word").alias("term"), "path", "n")
+
+
+def scan(spark: SparkSession, root: str, config: repository.Config | None = None, cache: ExtractionCache | None = None, graph_path: str | None = None) -> Evidence:
+    """Lists, reads and splits a repository; only production files feed the vocabulary.
+
+    The managed block of an instruction file is no evidence: it echoes the glossary.
+    """
     classified = cut(repository.classify(spark, root, config))
-    files = cut(repository.read_texts(classified, root))
+    host = F.lower(name_of(F.col("path"))).isin([h.lower() for h in HOSTS])
+    texts = repository.read_texts(classified, root)
+    stripped = F.when(host, repository.strip_block(F.col("text"), BEGIN, END)).otherwise(F.col("text"))
+    files = cut(texts.withColumn("text", stripped))
     good = files.where("problem is null and role = 'production'")
     code = good.where("kind = 'code'")
-    occ = cut(vocabulary.code_occurrences(code))
-    return Evidence(classified, files, occ, cut(vocabulary.token_occurrences(occ)), cut(vocabulary.doc_occurrences(good.where("kind = 'doc'"))), cut(imports.resolve(imports.import_specs(code), code)))
+    occ, doc = extract(good, cache) if cache else (vocabulary.code_occurrences(code), vocabulary.doc_occurrences(good.where("kind = 'doc'")))
+    occ = cut(occ)
+    return Evidence(classified, files, occ, cut(vocabulary.token_occurrences(occ)), cut(doc), cut(imports.resolve(imports.import_specs(code), code)), root, read_structure(spark, graph_path))
+
+
+def markdown_glossary(root: str) -> tuple[dict, str | None]:
+    """({state, bytes, sha256}, text) of the root's GLOSSARY.md, followed only inside the root."""
+    path = os.path.join(root, "GLOSSARY.md")
+    info: dict = {"state": "absent", "bytes": None, "sha256": None}
+    if not os.path.lexists(path):
+        return info, None
+    real, inside = os.path.realpath(path), os.path.realpath(root)
+    if os.path.commonpath([real, inside]) != inside:
+        return info | {"state": "symlink-escapes"}, None
+    try:
+        with open(real, "rb") as f:
+            raw = f.read(LIMITS["file_bytes"] + 1)
+    except OSError:
+        return info | {"state": "unreadable"}, None
+    if len(raw) > LIMITS["file_bytes"]:
+        return info | {"state": "oversized"}, None
+    info |= {"bytes": len(raw), "sha256": hashlib.sha256(raw).hexdigest()}
+    try:
+        return info | {"state": "ok"}, raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return info | {"state": "not-utf-8"}, None
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -52,12 +144,26 @@ def document(e: Evidence, root: str) -> dict:
         top, led = topk.top_k_with_ledger(df, k, *order)
         return {"items": _rows(top), "coverage": led}
 
+    def structure() -> dict:
+        s = e.structure
+        if s.state != "ok":
+            return {"state": s.state}
+        groups = graph.group_summary(s.members, s.nodes).join(s.labels, "group", "left")
+        stamp = repository.git_stamp(root)
+        fresh = spark.range(1).select(graph.freshness(*[F.lit(v).cast(t) for v, t in ((s.commit, "string"), (stamp["head"], "string"), (stamp["dirty"], "boolean"))])).head()[0]
+        return {"state": "ok", "freshness": fresh, "groups": section(groups, LIMITS["groups"], F.desc("size"), F.asc("group")), "god_nodes": _rows(graph.god_nodes(graph.node_degrees(s.links))), "naming": _rows(graph.structure_scores(groups, s.cohesion))}
+
+    spark = e.files.sparkSession
+    nested = e.classified.where("exclusion_kind = 'own-output'").where(F.col("path").endswith("/GLOSSARY.md")).select("path").orderBy("path").limit(LIMITS["findings"])
     reg = cut(terminology.register(e.tok_occ, dc))
     disp = cut(terminology.context_dispersion(e.tok_occ, tc))
     edges = cut(imports.internal_edges(e.resolved))
     mods = e.files.where("kind = 'code' and problem is null").groupBy("module").agg(F.count("*").alias("code_files"), F.array_sort(F.collect_set("language")).alias("languages"))
     return {
         "schema_version": 1,
+        "layout": _rows(repository.monorepo(e.classified))[0],
+        "markdown_glossary": markdown_glossary(root)[0] | {"nested": [r["path"] for r in nested.collect()]},
+        "structure": structure(),
         "git": repository.git_stamp(root),
         "exclusions": _rows(repository.exclusion_ledger(e.classified).orderBy("exclusion_kind")),
         "totals": _rows(e.files.groupBy("role", "kind").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy("role", "kind")),
@@ -83,15 +189,30 @@ def _held(spark: SparkSession, e: Evidence, glossary: dict) -> tuple[checks.Glos
     return g, checks.drift(g, cut(terminology.synonym_candidates(e.tok_occ, tc)), cut(terminology.context_dispersion(e.tok_occ, tc)))
 
 
+def _divergence(g: checks.Glossary, root: str) -> list[DataFrame]:
+    """Findings about the root's Markdown glossary, if it can be read."""
+    text = markdown_glossary(root)[1]
+    if text is None:
+        return []
+    rows = matching.markdown_divergence(g.terms.select("concept", "term", "status"), text)
+    return [rows.select("kind", F.concat_ws(":", "concept", "term").alias("subject"), F.lit(None).cast("string").alias("signal_strength"), F.lit("observed").alias("certainty"), F.lit(None).cast("double").alias("value"))]
+
+
 def drift(spark: SparkSession, e: Evidence, glossary: dict) -> DataFrame:
-    return checks.capped(_held(spark, e, glossary)[1])
+    g, found = _held(spark, e, glossary)
+    for more in _divergence(g, e.root):
+        found = found.unionByName(more)
+    return checks.capped(found)
 
 
 def validation(spark: SparkSession, e: Evidence, glossary: dict) -> DataFrame:
-    """Bindings, orphans, fragmentation and drift; the structural checks need a graph and are in ``checks.validation``."""
+    """Bindings, orphans, fragmentation and drift, and the structural checks where the evidence has a graph."""
     g, drifted = _held(spark, e, glossary)
-    states = cut(checks.bindings(g, e.files.select("path")))
-    return checks.capped(drifted.unionByName(checks.orphaned_concepts(g, states)).unionByName(checks.binding_findings(states)).unionByName(checks.fragmentation(g)))
+    states, s = cut(checks.bindings(g, e.files.select("path"))), e.structure
+    found = [drifted, checks.orphaned_concepts(g, states), checks.binding_findings(states), checks.fragmentation(g)]
+    if s.state == "ok":
+        found += checks.structural(cut(checks.strengths(g, s.nodes, s.members, s.labels)), graph.group_summary(s.members, s.nodes)).values()
+    return checks.capped(reduce(DataFrame.unionByName, found))
 
 
 def brief(glossary: dict, budget: int = 4096, entry: int = 1024) -> str:

@@ -6,7 +6,8 @@ import json
 import pytest
 from lexiloom import cli
 from lexiloom.operators import graph, imports, matching, naming, terminology, topk, vocabulary
-from lexiloom.plans import checks, evidence, glossaries
+from lexiloom.plans import checks, context, evidence, glossaries
+from lexiloom.sources import cache as caches
 from lexiloom.sources import documents, repository
 from lexiloom.sources.cache import ExtractionCache
 from lexiloom.streaming import incremental
@@ -148,6 +149,7 @@ def test_documents(tmp_path):
 
 
 def test_cli(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setenv("XDG_CACHE_HOME", str(tmp_path.parent / f"{tmp_path.name}-cache"))
     root = write(tmp_path, CALIBRATION | {"doc.md": "run gateway session"})
     monkeypatch.setattr("sys.stdin", io.StringIO(json.dumps(GLOSSARY)))
     assert cli.main(["save", root]) == 0 and cli.main(["show", root]) == 0 and cli.main(["brief", root]) == 0
@@ -194,3 +196,85 @@ def test_precision_recall(spark):
     f = spark.createDataFrame([("k", "a"), ("k", "b")], "kind string, subject string")
     e = spark.createDataFrame([("k", "a"), ("k", "c")], "kind string, subject string")
     assert tuple(checks.precision_recall(f, e).head()) == (1, 1, 1, 0.5, 0.5)
+
+
+def test_extraction_is_reused(spark, tmp_path):
+    root = write(tmp_path / "repo", CALIBRATION | {"doc.md": "run gateway session", "empty.py": ""})
+    at = caches.location(root, str(tmp_path / "home"))
+    cache = ExtractionCache(spark, at)
+    rows = lambda e: (sorted(map(tuple, e.ident_occ.collect())), sorted(map(tuple, e.doc_occ.collect())))
+    plain = rows(evidence.scan(spark, root))
+    assert rows(evidence.scan(spark, root, cache=cache)) == plain
+    assert cache.read().count() == 8  # an empty file is known as well
+    assert rows(evidence.scan(spark, root, cache=cache)) == plain and cache.read().count() == 8
+    (tmp_path / "repo/runs.py").write_text(names("other_name"))
+    changed = rows(evidence.scan(spark, root, cache=cache))
+    assert changed == rows(evidence.scan(spark, root)) != plain and cache.read().count() == 9
+    (tmp_path / "home/mine").write_text("kept")
+    assert caches.clear(at) > 0 and caches.clear(at) == 0 and not (tmp_path / "home" / at.split("/")[-2]).exists()
+    assert (tmp_path / "home/mine").exists() and cache.read().count() == 0
+    assert caches.location(root, root + "/inside") is None
+
+
+def test_unreadable_cache_is_a_miss(spark, tmp_path):
+    at = tmp_path / "c"
+    write(at, {"part-0.parquet": b"no parquet"})
+    assert ExtractionCache(spark, str(at)).read().count() == 0
+
+
+def test_managed_context(tmp_path):
+    host = tmp_path / "AGENTS.md"
+    assert context.status(context.read_host(str(host)), GLOSSARY) == "absent"
+    assert context.sync(str(host), GLOSSARY) == "absent" and context.sync(str(host), GLOSSARY) == "current"
+    host.write_text("Mine above.")
+    host.chmod(0o600)
+    assert context.sync(str(host), GLOSSARY) == "absent"
+    text = host.read_text()
+    assert text.startswith("Mine above.\n\n<!-- lexiloom:begin") and host.stat().st_mode & 0o777 == 0o600
+    host.write_text(text + "Mine below.\n")
+    less = {"schema_version": 1, "concepts": GLOSSARY["concepts"][:1]}
+    assert context.sync(str(host), less) == "stale"
+    assert host.read_text() == "Mine above.\n\n" + context.render(less) + "Mine below.\n"
+    host.write_text(host.read_text().replace("Run", "Ran"))
+    edited = host.read_text()
+    assert context.sync(str(host), less) == "edited" and host.read_text() == edited
+    assert context.sync(str(host), less, repair=True) == "edited" and context.status(host.read_text(), less) == "current"
+    host.write_text(edited + edited)
+    assert context.sync(str(host), less, repair=True) == "uninspectable" and host.read_text() == edited + edited
+    (tmp_path / "CLAUDE.md").symlink_to(host)
+    assert context.read_host(str(tmp_path / "CLAUDE.md")) is None
+
+
+def test_managed_block_is_no_evidence(spark, tmp_path):
+    block = "mine above\n" + context.render(GLOSSARY)
+    e = evidence.scan(spark, write(tmp_path, {"docs/AGENTS.md": block, "docs/other.md": "<!-- lexiloom:begin x --> workspace <!-- lexiloom:end -->"}))
+    got = {(r["path"], r["term"]) for r in e.doc_occ.collect()}
+    assert ("docs/AGENTS.md", "mine") in got and ("docs/AGENTS.md", "workspace") not in got and ("docs/other.md", "workspace") in got
+
+
+def test_structure_and_markdown_of_a_repository(spark, tmp_path):
+    nodes = [{"id": f"n{i}", "label": f"run_record_{i}", "source_file": "runs.py", "community": 0, "community_name": "Run"} for i in range(3)]
+    nodes += [{"id": f"m{i}", "label": f"odd_thing_{i}", "source_file": "odd.py", "community": 1, "community_name": "Odd"} for i in range(5)]
+    doc = {"nodes": nodes, "links": [{"source": "n0", "target": n["id"]} for n in nodes[1:]]}
+    root = write(tmp_path / "r", CALIBRATION | {"GLOSSARY.md": "Run, gateway, charge and session.", "docs/GLOSSARY.md": "x"})
+    path = tmp_path / "graph.json"
+    path.write_text(json.dumps(doc))
+    e = evidence.scan(spark, root, graph_path=str(path))
+    got = {(r["kind"], r["subject"]) for r in evidence.validation(spark, e, GLOSSARY).collect()}
+    assert ("unnamed-structure", "1") in got and ("unnamed-structure", "0") not in got
+    drifted = {(r["kind"], r["subject"]) for r in evidence.drift(spark, e, GLOSSARY).collect()}
+    assert {("canonical-absent", "workspace:Workspace"), ("superseded-present", "gateway:charge")} <= drifted and ("canonical-absent", "run:Run") not in drifted
+    out = evidence.document(e, root)
+    assert out["structure"]["god_nodes"][0] == {"id": "n0", "degree": 7} and out["structure"]["freshness"] == "unverified"
+    assert {g["group"]: (g["size"], g["label"]) for g in out["structure"]["groups"]["items"]} == {"0": (3, "Run"), "1": (5, "Odd")}
+    assert out["markdown_glossary"]["state"] == "ok" and out["markdown_glossary"]["nested"] == ["docs/GLOSSARY.md"]
+    for text, state in (("{", "malformed"), ('{"nodes": []}', "unusable"), ("[]", "malformed")):
+        path.write_text(text)
+        assert evidence.read_structure(spark, str(path)).state == state
+    assert evidence.read_structure(spark, None).state == "disabled" and evidence.read_structure(spark, str(tmp_path / "no")).state == "absent"
+
+
+def test_symbol_bindings_lend_their_tokens(spark):
+    doc = {"schema_version": 1, "concepts": [{"id": "pay", "term": "Pay", "definition": "d", "status": "canonical", "bindings": [{"ref": "symbol:LedgerEntry"}, {"ref": "path:a"}]}]}
+    g = checks.Glossary(glossaries.to_frame(spark, doc), vocabulary.token_occurrences(spark.createDataFrame([], vocabulary.IDENT_OCC)), spark.createDataFrame([], "term string, uses long, files long"))
+    assert {r["token"] for r in checks.concept_tokens(g).collect()} == {"pay", "ledger", "entry"}
