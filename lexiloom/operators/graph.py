@@ -94,8 +94,9 @@ def structure_scores(summary: DataFrame, cohesion: DataFrame, cap: int = 10) ->
 
 
 def freshness(recorded: Column, head: Column, dirty: Column) -> Column:
-    """current, stale or unverified, by the commit a graph was made at."""
-    return F.when(recorded.isNull() | head.isNull() | dirty.isNull(), "unverified").when((recorded == head) & ~dirty, "current").otherwise("stale")
+    """current, stale or unverified, by the commit a graph was made at; seven or more leading digits of it will do."""
+    same = (recorded == head) | ((F.length(recorded) >= 7) & head.startswith(recorded))
+    return F.when(recorded.isNull() | head.isNull() | dirty.isNull(), "unverified").when(same & ~dirty, "current").otherwise("stale")
 
 
 def concept_strength(group_tokens: DataFrame, group_label_tokens: DataFrame, concept_tokens: DataFrame) -> DataFrame:

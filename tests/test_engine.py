@@ -278,3 +278,10 @@ def test_symbol_bindings_lend_their_tokens(spark):
     doc = {"schema_version": 1, "concepts": [{"id": "pay", "term": "Pay", "definition": "d", "status": "canonical", "bindings": [{"ref": "symbol:LedgerEntry"}, {"ref": "path:a"}]}]}
     g = checks.Glossary(glossaries.to_frame(spark, doc), vocabulary.token_occurrences(spark.createDataFrame([], vocabulary.IDENT_OCC)), spark.createDataFrame([], "term string, uses long, files long"))
     assert {r["token"] for r in checks.concept_tokens(g).collect()} == {"pay", "ledger", "entry"}
+
+
+def test_freshness_takes_short_commits(spark):
+    rows = [("a" * 40, "a" * 40, False), ("a" * 7, "a" * 40, False), ("a" * 6, "a" * 40, False), ("b" * 7, "a" * 40, False), ("a" * 40, "a" * 40, True), (None, "a" * 40, False)]
+    df = spark.createDataFrame(rows, "recorded string, head string, dirty boolean").coalesce(1)
+    got = [r[0] for r in df.select(graph.freshness(F.col("recorded"), F.col("head"), F.col("dirty"))).collect()]
+    assert got == ["current", "current", "stale", "stale", "stale", "unverified"]
