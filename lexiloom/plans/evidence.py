@@ -154,6 +154,7 @@ def document(e: Evidence, root: str) -> dict:
         return {"state": "ok", "freshness": fresh, "groups": section(groups, LIMITS["groups"], F.desc("size"), F.asc("group")), "god_nodes": _rows(graph.god_nodes(graph.node_degrees(s.links))), "naming": _rows(graph.structure_scores(groups, s.cohesion))}
 
     spark = e.files.sparkSession
+    layout, declared = _rows(repository.monorepo(e.classified))[0], repository.declared_workspaces(e.classified, root)
     nested = e.classified.where("exclusion_kind = 'own-output'").where(F.col("path").endswith("/GLOSSARY.md")).select("path").orderBy("path").limit(LIMITS["findings"])
     reg = cut(terminology.register(e.tok_occ, dc))
     disp = cut(terminology.context_dispersion(e.tok_occ, tc))
@@ -161,7 +162,7 @@ def document(e: Evidence, root: str) -> dict:
     mods = e.files.where("kind = 'code' and problem is null").groupBy("module").agg(F.count("*").alias("code_files"), F.array_sort(F.collect_set("language")).alias("languages"))
     return {
         "schema_version": 1,
-        "layout": _rows(repository.monorepo(e.classified))[0],
+        "layout": layout | {"workspaces": declared, "monorepo": bool(layout["monorepo"] or declared)},
         "markdown_glossary": markdown_glossary(root)[0] | {"nested": [r["path"] for r in nested.collect()]},
         "structure": structure(),
         "git": repository.git_stamp(root),

@@ -8,6 +8,7 @@ path, so the root must be visible there.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import subprocess
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ from ..plans.glossaries import valid_prefix
 OWN_DIRS, OWN_FILES = ("lexiloom-out",), ("GLOSSARY.md", "LEXILOOM.md")
 # Files that mark the root of a package.
 MANIFESTS = "package.json pyproject.toml setup.py Cargo.toml go.mod pom.xml build.gradle dune-project mix.exs composer.json Gemfile".split()
+# Files that declare several projects by being there.
+WORKSPACES = "pnpm-workspace.yaml lerna.json go.work WORKSPACE WORKSPACE.bazel MODULE.bazel".split()
 FILES = "path string, kind string, language string, module string, size long, walk_order long"
 
 
@@ -166,6 +169,32 @@ def monorepo(classified: DataFrame) -> DataFrame:
     return got.withColumn("monorepo", (F.col("roots") >= 3) | (F.col("code_files") >= 5000))
 
 
+def declared_workspaces(classified: DataFrame, root: str) -> list[str]:
+    """The root's manifests that declare several projects; excluded, oversized and escaping ones aren't opened."""
+    names = [*WORKSPACES, "Cargo.toml", "package.json"]
+    rows = classified.where(F.col("path").isin(names)).select("path", "exclusion_kind").collect()
+    found = []
+    for path in sorted(r["path"] for r in rows if r["exclusion_kind"] in (None, "unsupported", "corpus-budget")):
+        if path in WORKSPACES:
+            found.append(path)
+            continue
+        try:
+            with open(os.path.join(root, path), "rb") as f:
+                raw = f.read(LIMITS["file_bytes"] + 1)
+            if len(raw) > LIMITS["file_bytes"]:
+                continue
+            if path == "Cargo.toml":
+                declares = b"[workspace]" in raw
+            else:
+                doc = json.loads(raw)
+                declares = isinstance(doc, dict) and "workspaces" in doc
+        except (OSError, ValueError, RecursionError):
+            continue
+        if declares:
+            found.append(path)
+    return found
+
+
 def git_stamp(root: str) -> dict:
     """{head, dirty}; null where git can't tell. Hooks, filters and monitors are off, and it has 30 seconds."""
     safe = ["git", "-C", root, "-c", "core.hooksPath=/dev/null", "-c", "core.fsmonitor=false"]
@@ -182,4 +211,4 @@ def git_stamp(root: str) -> dict:
     return {"head": head.strip() if head else None, "dirty": bool(status) if status is not None else None}
 
 
-__all__ = ["Config", "DOC_EXTENSIONS", "EXTENSIONS", "classify", "exclusion_ledger", "git_stamp", "list_files", "monorepo", "read_texts", "strip_block"]
+__all__ = ["Config", "DOC_EXTENSIONS", "EXTENSIONS", "classify", "declared_workspaces", "exclusion_ledger", "git_stamp", "list_files", "monorepo", "read_texts", "strip_block"]

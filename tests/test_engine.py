@@ -285,3 +285,12 @@ def test_freshness_takes_short_commits(spark):
     df = spark.createDataFrame(rows, "recorded string, head string, dirty boolean").coalesce(1)
     got = [r[0] for r in df.select(graph.freshness(F.col("recorded"), F.col("head"), F.col("dirty"))).collect()]
     assert got == ["current", "current", "stale", "stale", "stale", "unverified"]
+
+
+def test_declared_workspaces(spark, tmp_path):
+    root = write(tmp_path, {"package.json": '{"workspaces": ["a"]}', "Cargo.toml": "[package]", "go.work": "use ./a", "a/package.json": '{"workspaces": []}'})
+    classified = repository.classify(spark, root)
+    assert repository.declared_workspaces(classified, root) == ["go.work", "package.json"]
+    (tmp_path / "package.json").write_text("[" * 100_000)
+    (tmp_path / "Cargo.toml").write_text("[workspace]")
+    assert repository.declared_workspaces(repository.classify(spark, root), root) == ["Cargo.toml", "go.work"]
