@@ -5,9 +5,11 @@ next to each other in several random-hyperplane orders. Each round joins the
 graph with itself: the neighbours of a vector's neighbours, in either
 direction, become candidates, and the best K stay. An audit compares a fixed
 sample of vectors with all rows, in blocks, and asks for more rounds with
-longer lists while the recall is short. Lists whose last neighbour still lies
-above the threshold are saturated: their component is compared whole, block by
-block, and yields numbers of links, not pairs.
+longer lists while the recall is short. Full lists whose last neighbour still
+lies above the threshold are saturated: links beyond them are lost only if the
+other end's list is saturated too, so all saturated vectors are compared with
+each other, block by block, and their components joined. Links are then counted
+inside whole components, in blocks that yield numbers, not pairs.
 """
 
 from __future__ import annotations
@@ -139,7 +141,7 @@ def _descend(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def _audit(vectors: DataFrame, graph: DataFrame, threshold: float, k: int) -> float:
-    """The share of the sample's true neighbours, k a vector at most, that the lists have."""
+    """The share of the sample's true links that the lists have, whole; saturated lists are left to ``_joins``."""
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(AUDIT).toArrow()
     if not sample.num_rows:
         return 1.0
@@ -154,11 +156,49 @@ def _audit(vectors: DataFrame, graph: DataFrame, threshold: float, k: int) -> fl
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], names=["a", "n"])
 
     true = vectors.mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("true"))
-    found = graph.select("a", F.size(F.filter("n", lambda e: e.s >= threshold)).alias("found"))
-    r = true.join(found, "a", "left").agg(F.sum(F.least("true", F.lit(k))).alias("t"), F.sum(F.least("true", F.coalesce("found", F.lit(0)), F.lit(k))).alias("f")).head()
+    found = graph.select("a", F.size(F.filter("n", lambda e: e.s >= threshold)).alias("found"), _saturated(threshold, k).alias("full"))
+    open_ = true.join(found, "a", "left").where(~F.coalesce("full", F.lit(False)))
+    r = open_.agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("found", F.lit(0)))).alias("f")).head()
     return 1.0 if not r["t"] else r["f"] / r["t"]
 
 
+def _saturated(threshold: float, k: int) -> Column:
+    return (F.size("n") >= k) & (F.array_min(F.transform("n", lambda e: e.s)) >= threshold - 1e-5)
+
+
+def _bridges(x: np.ndarray, own: np.ndarray, y: np.ndarray, other: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of component names of x's and y's rows that links join, at most one less than there are names."""
+    names, label = np.unique(np.r_[own, other], return_inverse=True)
+    out, n = [], len(own)
+    for at in range(0, n, 256):
+        near = x[at : at + 256] @ y.T >= threshold
+        for i in np.flatnonzero((near & (label[at : at + len(near), None] != label[None, n:])).any(1)):
+            met = np.unique(np.r_[label[at + i], label[n:][near[i]]])
+            if len(met) > 1:
+                out += [(int(names[met[0]]), int(names[m])) for m in met[1:]]
+                label[np.isin(label, met)] = met[0]
+    return out
+
+
+def _joins(members: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(a, b): components of ``members(component, v)``, n rows, that a link joins. Every vector meets every other, slice by slice."""
+    parts = max(-(-n // SLICE), min(16, int(np.ceil(np.sqrt(n / SPREAD)))), 1)
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("with")
+    met = dealt.select("part", every, "component", "v").select(F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "component", "v")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        part, c = table["part"].to_numpy(), table["component"].to_numpy()
+        v = _vectors(table["v"].combine_chunks() if isinstance(table["v"], pa.ChunkedArray) else table["v"])
+        first = part == table["i"][0].as_py()
+        second = part == table["j"][0].as_py()
+        found = np.array(_bridges(v[first], c[first], v[second], c[second], threshold), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return met.repartition("i", "j").groupBy("i", "j").applyInArrow(run, "a long, b long")
+
+
 def _count_links(members: DataFrame, threshold: float) -> DataFrame:
     """(id, n, low): per vector of a component (component, id, m, v) the linked copies among the others, and the smallest linked id."""
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.sqrt(F.count("*") / SPREAD)), F.ceil(F.count("*") / SLICE)).cast("int").alias("parts"))
@@ -202,16 +242,15 @@ def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     points = unit.where("u is not null").groupBy("u").agg(F.min("row_id").alias("id"), F.count("*").alias("m"))
     total = unit.count()
     points = shelf.keep(points, total)
-    links = None
+    parts = None
     for (width,) in points.groupBy(F.size("u")).agg(F.lit(1)).select(F.col("size(u)")).collect():
         vectors = points.where(F.size("u") == width).select("id", F.col("u").cast("array<float>").alias("v"))
-        own = _near_links(vectors, points, threshold, k, shelf)
-        links = own if links is None else links.union(own)
+        own = _components(vectors, points, threshold, k, shelf, total)
+        parts = own if parts is None else parts.union(own)
     named = points
-    if links is None:
+    if parts is None:
         named = points.select("u", "id", "m", F.col("id").alias("component"), F.lit(0).cast("long").alias("n"))
     else:
-        parts = shelf.keep(connected_components(links, "a", "b", shelf), total)
         grouped = points.join(parts, points.id == parts.node).select("component", "id", "m", F.col("u").alias("v"))
         counts = _count_links(shelf.keep(grouped, total), threshold).withColumnRenamed("id", "node")
         counts = parts.join(counts, "node", "left").select(F.col("node").alias("id"), "component", F.coalesce("n", F.lit(0)).alias("n"))
@@ -222,8 +261,21 @@ def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     return out.select(F.col("row_id").alias("id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("row_id") == comp).alias("kept"))
 
 
-def _near_links(vectors: DataFrame, points: DataFrame, threshold: float, k: int, shelf: Shelf) -> DataFrame:
-    """(a, b) at or above the threshold, enough to connect every group that the lists reach.
+def _components(vectors: DataFrame, points: DataFrame, threshold: float, k: int, shelf: Shelf, total: int) -> DataFrame:
+    """(node, component) for every vector of one length that has a link."""
+    links, full = _near_links(vectors, points, threshold, k, shelf)
+    parts = shelf.keep(connected_components(links, "a", "b", shelf), total)
+    dense = points.join(full, "id").join(parts.withColumnRenamed("node", "id"), "id").select("id", "component", F.col("u").alias("v"))
+    dense = shelf.keep(dense, total)
+    n = dense.count()
+    if dense.select("component").distinct().limit(2).count() < 2:
+        return parts
+    more = shelf.keep(_joins(dense, threshold, n), total)
+    return shelf.keep(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b", shelf), total)
+
+
+def _near_links(vectors: DataFrame, points: DataFrame, threshold: float, k: int, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+    """(a, b) at or above the threshold, enough to connect every group that the lists reach, and the (id) of saturated lists.
 
     The graph works on single-precision vectors; cosines within 1e-5 of the
     threshold are taken again in double precision.
@@ -235,15 +287,16 @@ def _near_links(vectors: DataFrame, points: DataFrame, threshold: float, k: int,
         held = graph.select("a", F.explode("n").alias("e")).select("a", "e.b", "e.s")
         after = shelf.keep(_top(held.union(found), k))
         shelf.drop(graph)
-        graph = after
+        graph, held_k = after, k
         if _audit(vectors, graph, threshold, k) >= RECALL:
             break
         k = 2 * k if at else k
     near = start.union(graph.select("a", F.explode("n").alias("e")).select("a", "e.b", "e.s")).where(F.col("s") >= threshold - 1e-5)
     near = shelf.keep(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s"))
+    full = shelf.keep(graph.where(_saturated(threshold, held_k)).select(F.col("a").alias("id")))
     shelf.drop(start)
     sure = near.where(F.col("s") >= threshold + 1e-5).select("a", "b")
     close = near.where(F.col("s") < threshold + 1e-5).select("a", "b").distinct()
     u, w = points.select(F.col("id").alias("a"), "u"), points.select(F.col("id").alias("b"), F.col("u").alias("w"))
     cosine = F.aggregate(F.zip_with("u", "w", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-    return sure.union(close.join(u, "a").join(w, "b").where(cosine >= threshold).select("a", "b"))
+    return sure.union(close.join(u, "a").join(w, "b").where(cosine >= threshold).select("a", "b")), full

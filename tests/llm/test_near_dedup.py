@@ -119,6 +119,20 @@ def test_embeddings_dense_group_and_edges_of_input(spark):
     assert embeddings.embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_links_between_dense_groups(spark):
+    """Eight pairs of groups of 60: a few of the 3,600 cosines between the two of a pair reach the threshold, all within a group do."""
+    r = np.random.default_rng(6)
+    rows = []
+    for _ in range(8):
+        u, w = np.linalg.qr(r.standard_normal((32, 2)))[0].T
+        for centre in (u, 0.944 * u + (1 - 0.944**2) ** 0.5 * w):
+            rows += [(len(rows) + i, (centre + 0.006 * r.standard_normal(32)).tolist()) for i in range(60)]
+    want = brute_vectors(rows)
+    assert len({c for _, c in want.values()}) == 8
+    got = {x["id"]: (x["n_links"], x["component_id"]) for x in embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == want
+
+
 def test_links_are_exact_where_found(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.95, (1 - 0.95**2) ** 0.5 + 1e-9]), (3, [0.9501, (1 - 0.9501**2) ** 0.5])], "vec_id long, embedding array<double>")
     got = {x["id"]: x["n_links"] for x in embeddings.embedding_groups(v).collect()}
