@@ -5,7 +5,8 @@ next to each other in several random-hyperplane orders. Each round joins the
 graph with itself: the neighbours of a vector's neighbours, in either
 direction, become candidates, and the best K stay. An audit compares a fixed
 sample of vectors with all rows, in blocks, and asks for more rounds with
-longer lists while the recall is short. Full lists whose last neighbour still
+longer lists while the recall is short; if it stays short, or too few vectors
+have links to tell, all vectors are compared, block by block. Full lists whose last neighbour still
 lies above the threshold are saturated: links beyond them are lost only if the
 other end's list is saturated too, so all saturated vectors are compared with
 each other, block by block, and their components joined. Links are then counted
@@ -25,8 +26,10 @@ from .components import connected_components
 from .shelf import Shelf
 
 K, TABLES, BITS, BLOCK = 8, 8, 20, 64
-#: Vectors compared with all rows by the audit, and the recall it asks for.
+#: Vectors compared with all rows by the audit at first, and the recall it asks for.
 AUDIT, RECALL, ROUNDS = 256, 0.97, 4
+#: The audit's sample grows until LINKED of its vectors have true links that the lists must hold, to about MOST_AUDIT vectors.
+LINKED, MOST_AUDIT = 64, 16384
 #: A component of m vectors is cut into about sqrt(m / SPREAD) slices, of at most SLICE vectors each, that meet two by two.
 SPREAD, SLICE = 64, 8192
 
@@ -140,26 +143,47 @@ def _descend(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long, s double")
 
 
-def _audit(vectors: DataFrame, graph: DataFrame, threshold: float, k: int) -> float:
-    """The share of the sample's true links that the lists have, whole; saturated lists are left to ``_joins``."""
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(AUDIT).toArrow()
-    if not sample.num_rows:
-        return 1.0
-    ids, x = sample["id"].to_numpy(), _vectors(sample["v"].combine_chunks())
-    held = vectors.sparkSession.sparkContext.broadcast((ids, x))  # AUDIT vectors
+def _audit(vectors: DataFrame, graph: DataFrame, threshold: float, k: int, total: int) -> float | None:
+    """The share of a sample's true links that the lists have, whole; saturated lists are left to ``_joins``.
+
+    None if a sample of MOST_AUDIT vectors has fewer than LINKED with links. A
+    table of no more than MOST_AUDIT vectors is sampled whole before that.
+    """
+    lists = graph.select("a", F.size(F.filter("n", lambda e: e.s >= threshold)).alias("found"), _saturated(threshold, k).alias("full"))
+    size = AUDIT
+    while True:
+        whole = size >= total
+        # By a cut of the hash, so no task ranks the table.
+        cut = min((1 << 63) - 1, int(size / max(total, 1) * (1 << 64)) - (1 << 63))
+        sample = (vectors if whole else vectors.where(F.xxhash64("id") <= cut)).toArrow()
+        r = {"n": 0, "t": 0, "f": 0}
+        if sample.num_rows:
+            true = _true_links(vectors, sample, threshold)
+            open_ = true.join(lists, "a", "left").where(~F.coalesce("full", F.lit(False)) & (F.col("true") > 0))
+            r = open_.agg(F.count("*").alias("n"), F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("found", F.lit(0)))).alias("f")).head()
+        if whole or r["n"] >= LINKED:
+            return 1.0 if not r["t"] else r["f"] / r["t"]
+        if size >= MOST_AUDIT:
+            return None
+        size = min(4 * size, MOST_AUDIT)
+
+
+def _true_links(vectors: DataFrame, sample: pa.Table, threshold: float) -> DataFrame:
+    """(a, true): for each vector of the sample its links among all."""
+    held = vectors.sparkSession.sparkContext.broadcast((sample["id"].to_numpy(), _vectors(sample["v"].combine_chunks()).astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, m = held.value
+        n = np.zeros(len(own), dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
-                n = ((m @ _vectors(batch.column(1)).T >= threshold) & (own[:, None] != batch.column(0).to_numpy()[None, :])).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], names=["a", "n"])
+                x, ids = _vectors(batch.column(1)).astype(np.float32), batch.column(0).to_numpy()
+                for at in range(0, len(own), 1024):
+                    part = slice(at, at + 1024)
+                    n[part] += ((m[part] @ x.T >= threshold) & (own[part, None] != ids[None, :])).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["a", "n"])
 
-    true = vectors.mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("true"))
-    found = graph.select("a", F.size(F.filter("n", lambda e: e.s >= threshold)).alias("found"), _saturated(threshold, k).alias("full"))
-    open_ = true.join(found, "a", "left").where(~F.coalesce("full", F.lit(False)))
-    r = open_.agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("found", F.lit(0)))).alias("f")).head()
-    return 1.0 if not r["t"] else r["f"] / r["t"]
+    return vectors.mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("true"))
 
 
 def _saturated(threshold: float, k: int) -> Column:
@@ -263,9 +287,12 @@ def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
 
 def _components(vectors: DataFrame, points: DataFrame, threshold: float, k: int, shelf: Shelf, total: int) -> DataFrame:
     """(node, component) for every vector of one length that has a link."""
-    links, full = _near_links(vectors, points, threshold, k, shelf)
+    width = vectors.select(F.size("v")).head()[0]
+    links, full, sure = _near_links(vectors, points, threshold, k, shelf)
     parts = shelf.keep(connected_components(links, "a", "b", shelf), total)
-    dense = points.join(full, "id").join(parts.withColumnRenamed("node", "id"), "id").select("id", "component", F.col("u").alias("v"))
+    # What the audit doesn't vouch for is compared whole.
+    some = points.join(full, "id") if sure else points.where(F.size("u") == width)
+    dense = some.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.col("u").alias("v"))
     dense = shelf.keep(dense, total)
     n = dense.count()
     if dense.select("component").distinct().limit(2).count() < 2:
@@ -274,29 +301,32 @@ def _components(vectors: DataFrame, points: DataFrame, threshold: float, k: int,
     return shelf.keep(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b", shelf), total)
 
 
-def _near_links(vectors: DataFrame, points: DataFrame, threshold: float, k: int, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
-    """(a, b) at or above the threshold, enough to connect every group that the lists reach, and the (id) of saturated lists.
+def _near_links(vectors: DataFrame, points: DataFrame, threshold: float, k: int, shelf: Shelf) -> tuple[DataFrame, DataFrame, bool]:
+    """(a, b) at or above the threshold, enough to connect every group that the lists reach, the (id) of saturated lists, and whether the audit found the recall.
 
     The graph works on single-precision vectors; cosines within 1e-5 of the
     threshold are taken again in double precision.
     """
     start = shelf.keep(_start(vectors, k, BLOCK).groupBy("a", "b").agg(F.max("s").alias("s")))
     graph = shelf.keep(_top(start, k))
+    total, sure = vectors.count(), False
     for at in range(ROUNDS):
         found = _descend(graph, vectors, k)
         held = graph.select("a", F.explode("n").alias("e")).select("a", "e.b", "e.s")
         after = shelf.keep(_top(held.union(found), k))
         shelf.drop(graph)
         graph, held_k = after, k
-        if _audit(vectors, graph, threshold, k) >= RECALL:
+        recall = _audit(vectors, graph, threshold, k, total)
+        sure = recall is not None and recall >= RECALL
+        if sure or recall is None:
             break
         k = 2 * k if at else k
     near = start.union(graph.select("a", F.explode("n").alias("e")).select("a", "e.b", "e.s")).where(F.col("s") >= threshold - 1e-5)
     near = shelf.keep(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s"))
     full = shelf.keep(graph.where(_saturated(threshold, held_k)).select(F.col("a").alias("id")))
     shelf.drop(start)
-    sure = near.where(F.col("s") >= threshold + 1e-5).select("a", "b")
+    above = near.where(F.col("s") >= threshold + 1e-5).select("a", "b")
     close = near.where(F.col("s") < threshold + 1e-5).select("a", "b").distinct()
     u, w = points.select(F.col("id").alias("a"), "u"), points.select(F.col("id").alias("b"), F.col("u").alias("w"))
     cosine = F.aggregate(F.zip_with("u", "w", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-    return sure.union(close.join(u, "a").join(w, "b").where(cosine >= threshold).select("a", "b")), full
+    return above.union(close.join(u, "a").join(w, "b").where(cosine >= threshold).select("a", "b")), full, sure

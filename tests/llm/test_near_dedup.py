@@ -133,6 +133,22 @@ def test_links_between_dense_groups(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [64, 16384])
+def test_sparse_links_that_the_lists_miss(spark, monkeypatch, most):
+    """One pair a hundred vectors and lists that hold nothing: all pairs are found by the comparison of everything."""
+    r = np.random.default_rng(8)
+    rows = [(i, r.standard_normal(32).tolist()) for i in range(600)]
+    rows += [(600 + i, (np.array(rows[100 * i][1]) + 0.03 * r.standard_normal(32)).tolist()) for i in range(6)]
+    monkeypatch.setattr(embeddings, "MOST_AUDIT", most)
+    monkeypatch.setattr(embeddings, "AUDIT", 16)
+    monkeypatch.setattr(embeddings, "ROUNDS", 1)
+    none = lambda edges, k: edges.where("false").groupBy("a").agg(F.collect_list(F.struct("s", "b")).alias("n"))
+    monkeypatch.setattr(embeddings, "_top", none)
+    monkeypatch.setattr(embeddings, "_start", lambda vectors, k, block: spark.createDataFrame([], "a long, b long, s double"))
+    got = {x["id"]: (x["n_links"], x["component_id"]) for x in embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute_vectors(rows) and got[605] == (1, 500)
+
+
 def test_links_are_exact_where_found(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.95, (1 - 0.95**2) ** 0.5 + 1e-9]), (3, [0.9501, (1 - 0.9501**2) ** 0.5])], "vec_id long, embedding array<double>")
     got = {x["id"]: x["n_links"] for x in embeddings.embedding_groups(v).collect()}
