@@ -101,7 +101,7 @@ class LanguageModel:
         return cls(families, langs, by_family, pairs, by_pair)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language numbers, and scores in 0 to 1: the family's probability times the language's share of its votes."""
+        """Language numbers, and scores in 0 to 1: the family's probability times the mean of the language's own pairwise probabilities, whatever the family's size."""
         fam_of = np.array([self.families.index(family_of(lang)) for lang in self.langs])
         margin = x @ self.by_family[:, :-1].T + self.by_family[:, -1]
         p = 1 / (1 + np.exp(-np.clip(3 * margin, -30, 30)))
@@ -113,7 +113,7 @@ class LanguageModel:
                 votes[:, a] += side[:, k]
                 votes[:, b] += 1 - side[:, k]
         size = np.array([(fam_of == f).sum() for f in fam_of])
-        votes = np.where(size > 1, votes / np.maximum(size * (size - 1) / 2, 1), 1.0)
+        votes = np.where(size > 1, votes / np.maximum(size - 1, 1), 1.0)
         best = p.argmax(1)
         votes = np.where(fam_of[None, :] == best[:, None], votes, -1.0)
         lang = votes.argmax(1)

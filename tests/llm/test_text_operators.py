@@ -148,3 +148,13 @@ def test_ordinal_grades_are_ordered_and_edges_of_input(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, g int")
     assert toxicity.fit_severity(empty, "doc_id", "text", "g") is None
     assert toxicity.score_severity(empty, None).count() == 0
+
+
+def test_score_is_independent_of_the_size_of_a_family():
+    langs = "be bg cs hr mk pl ru sk".split()
+    r = np.random.default_rng(3)
+    words = {lang: ["".join(chr(97 + int(c)) for c in r.choice(26, 6)) for _ in range(12)] for lang in langs}
+    texts = [(lang, " ".join(r.choice(words[lang], 40))) for lang in langs for _ in range(20)]
+    model = langid.LanguageModel.fit(langid.features([t for _, t in texts]), [lang for lang, _ in texts])
+    names, scores = langid.judge([" ".join(r.choice(words[lang], 40)) for lang in langs], model)
+    assert names == langs and min(scores) > 0.6
