@@ -13,6 +13,15 @@ from lexiloom.llm.shelf import Shelf
 LEAST_SCORE = 0.3
 
 
+#: The column of a row's own number within a stage.
+KEY = "__row"
+
+
+def _keyed(docs: DataFrame, shelf: Shelf) -> DataFrame:
+    """``docs`` with a number for each row, written once so that every reader sees the same."""
+    return shelf.keep(docs.withColumn(KEY, F.monotonically_increasing_id()))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognisable language."""
     model = langid.fit_languages(docs.where(~held_out(F.col("doc_id"))))
@@ -25,18 +34,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest id.
+    """One document of each SimHash group stays, the one with the smallest id; null ids come last, and one of rows that repeat an id stays.
 
-    The ids are the small side of a hash join, so the texts aren't sorted.
+    The rows' keys are the small side of a hash join, so the texts aren't sorted.
     """
-    kept = simhash.simhash_groups(docs).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    shelf = Shelf(spark)
+    keyed = _keyed(docs, shelf)
+    groups = simhash.simhash_groups(keyed, id_col=KEY).select(F.col("id").alias("k"), "component_id")
+    first = keyed.select(KEY, "doc_id").join(groups.hint("shuffle_hash"), F.col(KEY) == F.col("k"))
+    kept = first.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)).alias("least")).select(F.col(f"least.{KEY}").alias(KEY))
+    return keyed.join(kept.hint("shuffle_hash"), KEY, "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    copies = mixing.mix_sources(docs).where("copies > 0").select(F.col("id").alias("doc_id"), "copies")
-    return docs.join(copies.hint("shuffle_hash"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """Documents as often as the mix takes them; rows that share an id, or have none, are taken one by one."""
+    keyed = _keyed(docs, Shelf(spark))
+    copies = mixing.mix_sources(keyed, key_col=KEY).where("copies > 0").select(F.col("key").alias(KEY), "copies")
+    return keyed.join(copies.hint("shuffle_hash"), KEY).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,15 +26,15 @@ FIXED = float(1 << 20)
 STEPS = 40
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, size): the number of words, runs without ASCII white space."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, key_col: str | None = None) -> DataFrame:
+    """(id, source, size, key): the number of words, runs without ASCII white space; key: zero without ``key_col``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.fromiter((len(t.as_buffer().to_pybytes().split()) if t.is_valid else 0 for t in batch.column(2)), dtype=np.int64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], names=["id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), batch.column(3)], names=["id", "source", "size", "key"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, source string, size long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), (F.col(key_col) if key_col else F.lit(0)).cast("long").alias("key")).mapInArrow(run, "id long, source string, size long, key long")
 
 
 def targets(sizes: DataFrame, shelf: Shelf, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -113,16 +113,17 @@ def diffuse(size: np.ndarray, rate: np.ndarray, most: int) -> np.ndarray:
     return np.array(copies, dtype=np.int64)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, chunk: int = CHUNK) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, chunk: int = CHUNK, key_col: str | None = None) -> DataFrame:
     """(id, source, size, source_size, target, rate, copies) per row of ``docs``.
 
     Null texts have size 0; a null source is a source, the last one; a document
     without words is rounded by its rate alone and takes no words. Repeated rows
-    are dealt one by one. Sources of one size of zero words have target 0. Extra
+    are dealt one by one; ``key_col``, a number of each row, comes back as ``key``
+    to tell them apart. Sources of one size of zero words have target 0. Extra
     columns are ignored; an empty table gives an empty result.
     """
     shelf = Shelf(docs.sparkSession)
-    rows = shelf.keep(sized(docs, id_col, text_col, source_col))
+    rows = shelf.keep(sized(docs, id_col, text_col, source_col, key_col))
     hist = shelf.keep(rows.groupBy("source", "size").agg(F.count("*").alias("n")), rows.count())
     few = hist.select("source").distinct().count()
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
@@ -130,14 +131,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lams = shelf.keep(_newton(hist, goals, shelf, float(most), few), few)
     docs_of = totals.select(F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("k0"), "source_size", "docs")
     info = shelf.keep(lams.join(docs_of, ["k", "k0"]), few)
-    keyed = rows.select("id", "source", "size", F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("k0"))
+    keyed = rows.select("id", "source", "size", "key", F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("k0"))
     x = F.when(F.col("scale") > 0, F.col("lam") * F.col("size") / F.col("scale")).otherwise(F.lit(0.0))
     rate = F.when(F.col("lam").isNull(), F.lit(float(most))).otherwise(most / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x)))))
-    rated = keyed.join(info, ["k", "k0"]).select("id", "source", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("id"), F.ceil(F.col("docs") / chunk)).alias("chunk"), "k", "k0")
-    names = ["id", "source", "size", "source_size", "target", "rate"]
+    rated = keyed.join(info, ["k", "k0"]).select("id", "source", "size", "key", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("id"), F.ceil(F.col("docs") / chunk)).alias("chunk"), "k", "k0")
+    names = ["id", "source", "size", "source_size", "target", "rate", "key"]
 
     def per_chunk(table: pa.Table) -> pa.Table:
-        own = table.select(names).combine_chunks().sort_by([("size", "descending"), ("id", "ascending")])
+        own = table.select(names).combine_chunks().sort_by([("size", "descending"), ("id", "ascending"), ("key", "ascending")])
         return own.append_column("copies", pa.array(diffuse(own["size"].to_numpy(), own["rate"].to_numpy(), most)))
 
-    return rated.groupBy("k", "k0", "chunk").applyInArrow(per_chunk, "id long, source string, size long, source_size long, target double, rate double, copies long")
+    out = rated.groupBy("k", "k0", "chunk").applyInArrow(per_chunk, "id long, source string, size long, source_size long, target double, rate double, key long, copies long")
+    return out if key_col else out.drop("key")

@@ -147,3 +147,16 @@ def test_pipeline_stages(spark, sf_dir):
     assert docs.count() >= kept["language_id"] > kept["quality_rules"] > kept["simhash_near_dedup"] > 0
     assert kept["source_mixing"] == kept["bpe_encoding"]
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.01").count() == kept["bpe_encoding"]
+
+
+def test_stages_on_null_and_repeated_ids(spark, sf_dir):
+    same, other = "one two three four five six seven", "alpha beta gamma delta epsilon zeta eta"
+    rows = [(None, same), (None, same), (1, other), (1, other), (5, other), (None, "a lone text of nobody at all here"), (7, "x y z w v u t"), (7, "quite another text of the same number")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda r: (r["doc_id"] or -1, r["text"])
+    kept = sorted(map(key, corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()))
+    assert kept == sorted([(-1, same), (1, other), (-1, "a lone text of nobody at all here"), (7, "x y z w v u t"), (7, "quite another text of the same number")])
+    many = spark.createDataFrame([(None if i % 3 else 4, "w " * 9, "en", f"s{i % 2}", 18) for i in range(60)], docs.schema)
+    taken = Counter(r["source"] for r in corpus_pipeline.mix(spark, many, sf_dir).collect())
+    want = brute_targets({"s0": 270, "s1": 270})
+    assert all(abs(9 * taken[s] - want[s]) <= 9 for s in want)
