@@ -1,332 +1,437 @@
 """Embedding near-dedup by NN-descent.
 
-A graph of ``K`` neighbours a vector starts from blocks of vectors that are
-next to each other in several random-hyperplane orders. Each round joins the
-graph with itself: the neighbours of a vector's neighbours, in either
-direction, become candidates, and the best K stay. An audit compares a fixed
-sample of vectors with all rows, in blocks, and asks for more rounds with
-longer lists while the recall is short; if it stays short, or too few vectors
-have links to tell, all vectors are compared, block by block. Full lists whose last neighbour still
-lies above the threshold are saturated: links beyond them are lost only if the
-other end's list is saturated too, so all saturated vectors are compared with
-each other, block by block, and their components joined. Links are then counted
-inside whole components, in blocks that yield numbers, not pairs.
+Equal vectors are one point with a number of copies. Points meet in several
+random-hyperplane orders, block by block; only a sketch of a point travels there
+(one byte a component, its scale and the length of its rounding error), and the
+errors bound how far a sketched cosine may be off. Each point keeps a list of its
+``K`` nearest; rounds of joins turn neighbours of neighbours, in either
+direction, into candidates until a round finds no new link. Pairs whose sketches
+can't tell are decided in double precision on the vectors themselves.
+
+A list that holds ``K`` links is saturated. It is enlarged to its whole extent:
+saturated points and all in whose lists they stand are cut into cells, every
+member of which links to the cell's leader, and cells that the triangle
+inequality allows to hold a link are compared member by member, which yields
+numbers, not pairs. So links of saturated lists are exact, and the kept edges of
+all other lists are the rest.
+
+Two audits measure the recall. Every id divisible by ``EVERY`` is compared with
+all rows, in blocks, and one point in ``EVERY``, by a hash, sends a probe, a vector
+at the threshold from it, into each order: the share of probes that meet their
+vector holds for isolated pairs even where the data has few. Orders are added until both reach
+``RECALL``; if they never do, all points are compared by way of their cells.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shelf import Shelf
 
-K, TABLES, BITS, BLOCK = 8, 8, 20, 64
-#: Vectors compared with all rows by the audit at first, and the recall it asks for.
-AUDIT, RECALL, ROUNDS = 256, 0.97, 4
-#: The audit's sample grows until LINKED of its vectors have true links that the lists must hold, to about MOST_AUDIT vectors.
-LINKED, MOST_AUDIT = 64, 16384
-#: A component of m vectors is cut into about sqrt(m / SPREAD) slices, of at most SLICE vectors each, that meet two by two.
-SPREAD, SLICE = 64, 8192
+#: Length of a list, points of a block, points compared for a cell's leaders.
+K, BLOCK, CELLS = 8, 4096, 4096
+#: Edges below this cosine lead nowhere; rounds of the descent; times that orders are added.
+NEAR, ROUNDS, MORE = 0.8, 4, 4
+#: The recall asked for, the audit's query ids, and the queries that are broadcast at once.
+RECALL, EVERY, HELD = 0.95, 50, 8192
+BITS = 20
+#: In rows (a, a, s, sure): s of a saturated point, and sure of a probe that met its vector.
+FULL, MET = 2.0, 2
+#: Probes that a table sends at least, if it has as many points.
+PROBES = 64
+LOG = logging.getLogger(__name__)
 
 
-def _vectors(col: pa.Array) -> np.ndarray:
-    """A list column as a float64 matrix; all lists have one length."""
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(col), -1)
+def matrix(col: pa.Array, kind: str) -> np.ndarray:
+    """Vectors of one length, stored as bytes, as a matrix."""
+    return np.frombuffer(b"".join(col.to_pylist()), dtype=kind).reshape(len(col), -1)
 
 
-def _valid(name: str) -> Column:
-    v = F.col(name)
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return v.isNotNull() & fine & F.exists(v, lambda x: x != 0)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one in double precision; the largest component first, so no square over- or underflows."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _lists(x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row of blocks (b, m, d) its k nearest others of the block: ids and cosines."""
-    sim = np.einsum("bmd,bnd->bmn", x, x)
-    m = sim.shape[1]
-    sim[:, np.arange(m), np.arange(m)] = -2
-    k = min(k, m - 1)
-    at = np.argpartition(-sim, k - 1, axis=2)[:, :, :k]
-    return np.take_along_axis(np.broadcast_to(ids[:, None, :], sim.shape), at, 2), np.take_along_axis(sim, at, 2)
+def sketch(u: np.ndarray) -> list[bytes]:
+    """Per unit vector its scale, the length of the rounding error, and a byte a component."""
+    scale = np.abs(u).max(axis=1, keepdims=True) / 127
+    q = np.rint(u / scale).astype(np.int8)
+    off = np.sqrt(((u - q * scale) ** 2).sum(axis=1))
+    head = np.column_stack([scale[:, 0], off]).astype("<f4")
+    return [h.tobytes() + row.tobytes() for h, row in zip(head, q, strict=True)]
 
 
-def _edge_batch(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "s"])
+def unsketch(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sketched vectors, and how far each may be off."""
+    raw = np.frombuffer(b"".join(col.to_pylist()), dtype=np.uint8).reshape(len(col), -1)
+    head = np.ascontiguousarray(raw[:, :8]).view("<f4")
+    return raw[:, 8:].view(np.int8).astype(np.float32) * head[:, :1], head[:, 1] + np.float32(1e-5)
 
 
-def _start(vectors: DataFrame, k: int, block: int) -> DataFrame:
-    """(a, b, s): candidate neighbours from blocks of each hyperplane order."""
+def _points(rows: DataFrame, kind: str) -> DataFrame:
+    """(row_id, key, width, v) per row: v the vector's bytes, key their 128-bit digest; null where it links with nothing."""
 
-    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _vectors(batch.column(1))
-            planes = np.random.default_rng(3).standard_normal((TABLES, BITS + 1, x.shape[1]))
-            for t in range(TABLES):
-                p = x @ planes[t].T
-                sig = ((p[:, :BITS] > 0) @ (1 << np.arange(BITS))).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(sig), pa.array(p[:, BITS]), batch.column(0), batch.column(1)], names=["t", "sig", "p", "id", "v"])
+            n, col = batch.num_rows, batch.column(1)
+            sizes = np.array([0 if s is None else s for s in col.value_lengths().to_pylist()], dtype=np.int64)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            flat = col.flatten().to_numpy(zero_copy_only=False).astype(kind) + np.array(0, dtype=kind)
+            starts = np.r_[0, np.cumsum(sizes)[:-1]] if n else sizes
+            vs: list[bytes | None] = [None] * n
+            for width in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero((sizes == width) & known)
+                x = flat[starts[at][:, None] + np.arange(width)]
+                for i, row, fine in zip(at, x, np.isfinite(x).all(axis=1) & (x != 0).any(axis=1), strict=True):
+                    if fine:
+                        vs[i] = row.tobytes()
+            keys = [None if v is None else xxhash.xxh3_128_digest(v) for v in vs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(vs, pa.binary())], names=["row_id", "key", "width", "v"])
+
+    return rows.mapInArrow(run, "row_id long, key binary, width int, v binary")
+
+
+def tables_for(n: int, threshold: float) -> int:
+    """Orders in which a pair at the threshold shares a block with a chance of 0.98, by the chance of one sign a bit."""
+    bits = min(BITS, max(0.0, log2(max(1, n) / BLOCK)))
+    together = (1 - np.arccos(threshold) / np.pi) ** bits
+    return 2 if together > 0.9 else ceil(log(0.02) / log(1 - together))
+
+
+def _one_in(n: int) -> int:
+    """One point in so many, of n, sends a probe."""
+    return max(1, min(EVERY, n // PROBES))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, xs = np.empty(0, dtype=np.int64), None
 
-        def work(ids: np.ndarray, x: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            m = min(block, len(ids))
-            for at in range(0, len(starts), 64):
-                rows = starts[at : at + 64, None] + np.arange(m)[None, :]
-                near, sim = _lists(x[rows], ids[rows], k)
-                a = np.broadcast_to(ids[rows][:, :, None], near.shape)
-                fine = a != near
-                yield _edge_batch(a[fine], near[fine], sim[fine])
+def _probes(every: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(every)) == 0
 
+
+def _start(points: DataFrame, kind: str, threshold: float, tables: range, n: int, k: int) -> DataFrame:
+    """(a, b, s, sure) from blocks of each order: near edges of points with under ``k`` links in the block, else (a, a, FULL, 0); (a, a, 0, MET) for probes.
+
+    sure: 1 a link, -1 none, 0 the sketches can't tell.
+    """
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _vectors(batch.column(4))
-            ids = np.r_[ids, batch.column(3).to_numpy()]
-            xs = x if xs is None else np.vstack([xs, x])
-            # Blocks overlap by half; the last half block waits for the next rows.
-            if len(ids) >= 4 * block:
-                starts = np.arange(0, len(ids) - block + 1, block // 2)
-                yield from work(ids, xs, starts)
-                keep = int(starts[-1]) + block // 2
-                ids, xs = ids[keep:], xs[keep:]
-        if len(ids) > 1:
-            m = min(block, len(ids))
-            starts = np.unique(np.r_[np.arange(0, len(ids) - m + 1, max(1, m // 2)), len(ids) - m])
-            yield from work(ids, xs, starts)
-
-    signed = vectors.mapInArrow(signs, "t int, sig long, p double, id long, v array<float>")
-    return signed.repartitionByRange("t", "sig", "p").sortWithinPartitions("t", "sig", "p", "id").mapInArrow(blocks, "a long, b long, s double")
-
-
-def _top(edges: DataFrame, k: int) -> DataFrame:
-    """(a, n): the k best distinct neighbours. The rank limits each partition before the shuffle, so a hub stays small."""
-    both = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
-    best = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("r") <= k)
-    return best.groupBy("a").agg(F.collect_list(F.struct("s", "b")).alias("n"))
-
-
-def _descend(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(a, b, s) candidates: for x and each neighbour u of x, in either direction, u's list."""
-    edges = graph.select("a", F.explode("n").alias("e")).select("a", F.col("e.b").alias("b"))
-    lists = (
-        edges.join(vectors.withColumnRenamed("id", "b"), "b")
-        .groupBy("a").agg(F.collect_list(F.struct("b", "v")).alias("l"))
-        .select(F.col("a").alias("u"), F.col("l.b").alias("ids"), F.flatten("l.v").alias("flat"))
-    )
-    # In either direction: a pair once, so x reads u's list and u reads x's.
-    asks = edges.union(edges.select("b", "a")).distinct().join(vectors.withColumnRenamed("id", "a"), "a").select(F.col("a").alias("x"), F.col("b").alias("u"), "v")
-    met = asks.join(lists, "u").select("x", "v", "ids", "flat")
+            ids, u = batch.column(0).to_numpy(), unit(matrix(batch.column(1), kind))
+            sketches = pa.array(sketch(u), pa.binary())
+            asks = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))
+            side = np.array([np.random.default_rng([5, i & 0xFFFFFFFF]).standard_normal(u.shape[1]) for i in ids[asks].tolist()]).reshape(len(asks), -1)
+            side -= (side * u[asks]).sum(axis=1, keepdims=True) * u[asks]
+            probes = threshold * u[asks] + (1 - threshold**2) ** 0.5 * side / np.maximum(np.sqrt((side * side).sum(axis=1, keepdims=True)), 1e-300)
+            every, own = np.vstack([u, probes]), np.r_[ids, ids[asks]]
+            q = pa.concat_arrays([sketches, pa.nulls(len(asks), pa.binary())])
+            for t in tables:
+                p = every @ np.random.default_rng([3, t]).standard_normal((BITS + 1, u.shape[1])).T
+                code = ((p[:, :BITS] > 0) @ (1 << np.arange(BITS)[::-1])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, dtype=np.int32)), pa.array(code), pa.array(p[:, BITS]), pa.array(own), q], names=["t", "code", "p", "id", "q"])
+
+    def meet(ids: np.ndarray, col: pa.Array) -> Iterator[pa.RecordBatch]:
+        own = col.is_valid().to_numpy(zero_copy_only=False)
+        met = np.intersect1d(ids[~own], ids[own])
+        if met.size:
+            yield _edges(met, met, np.zeros(met.size), np.full(met.size, MET))
+        ids = ids[own]
+        if len(ids) < 2:
+            return
+        x, off = unsketch(col.drop_null())
+        for at in range(0, len(ids), 256):
+            s = x[at : at + 256] @ x.T
+            s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
+            many = np.flatnonzero((s >= NEAR).sum(axis=1) >= k)
+            own_off = off[at + many, None]
+            full = many[(s[many] + own_off + off[None, :] * (1 + own_off) >= threshold).sum(axis=1) >= k]
+            if full.size:
+                yield _edges(ids[at + full], ids[at + full], np.full(full.size, FULL), np.zeros(full.size))
+                s[full] = -2
+            i, j = np.nonzero(s >= NEAR)
+            if i.size:
+                s, slack = s[i, j], off[at + i] + off[j] + off[at + i] * off[j]
+                sure = np.where(s - slack >= threshold, 1, np.where(s + slack < threshold, -1, 0))
+                order = np.lexsort((-s, i))
+                order = order[np.arange(len(i)) - np.searchsorted(i[order], i[order]) < k]
+                yield _edges(ids[at + i[order]], ids[j[order]], s[order].astype(np.float64), sure[order])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, ids, held = -1, np.empty(0, dtype=np.int64), pa.array([], pa.binary())
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, ids = batch.column(0).to_numpy(), batch.column(2)
-            n = np.diff(ids.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(x)), n)
-            v = _vectors(batch.column(1))
-            w = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, v.shape[1])
-            b = ids.flatten().to_numpy()
-            s = np.einsum("ij,ij->i", v[owner], w)
-            fine = (x[owner] != b) & (s > 0)
-            yield _edge_batch(x[owner][fine], b[fine], s[fine])
+            ts = batch.column(0).to_numpy()
+            for t in np.unique(ts).tolist():
+                at = np.flatnonzero(ts == t)
+                if t != table:
+                    yield from meet(ids, held)
+                    table, ids, held = t, ids[:0], held[:0]
+                ids = np.r_[ids, batch.column(3).to_numpy()[at]]
+                held = pa.concat_arrays([held, batch.column(4).slice(at[0], len(at))])
+                while len(ids) > BLOCK:  # neighbouring blocks share a quarter
+                    yield from meet(ids[:BLOCK], held[:BLOCK])
+                    ids, held = ids[BLOCK * 3 // 4 :], held[BLOCK * 3 // 4 :]
+        yield from meet(ids, held)
 
-    return met.mapInArrow(run, "a long, b long, s double")
+    signed = points.select("id", "v", _probes(_one_in(n))).mapInArrow(signs, "t int, code long, p double, id long, q binary")
+    parts = max(1, -(-n * len(tables) // (4 * BLOCK)))
+    met = signed.repartitionByRange(parts, "t", "code", "p").sortWithinPartitions("t", "code", "p", "id").mapInArrow(blocks, "a long, b long, s double, sure int")
+    return met.groupBy("a", "b").agg(F.max("s").alias("s"), F.max("sure").alias("sure"))
 
 
-def _audit(vectors: DataFrame, graph: DataFrame, threshold: float, k: int, total: int) -> float | None:
-    """The share of a sample's true links that the lists have, whole; saturated lists are left to ``_joins``.
+def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s), pa.array(sure.astype(np.int32))], names=["a", "b", "s", "sure"])
 
-    None if a sample of MOST_AUDIT vectors has fewer than LINKED with links. A
-    table of no more than MOST_AUDIT vectors is sampled whole before that.
-    """
-    lists = graph.select("a", F.size(F.filter("n", lambda e: e.s >= threshold)).alias("found"), _saturated(threshold, k).alias("full"))
-    size = AUDIT
-    while True:
-        whole = size >= total
-        # By a cut of the hash, so no task ranks the table.
-        cut = min((1 << 63) - 1, int(size / max(total, 1) * (1 << 64)) - (1 << 63))
-        sample = (vectors if whole else vectors.where(F.xxhash64("id") <= cut)).toArrow()
-        r = {"n": 0, "t": 0, "f": 0}
-        if sample.num_rows:
-            true = _true_links(vectors, sample, threshold)
-            open_ = true.join(lists, "a", "left").where(~F.coalesce("full", F.lit(False)) & (F.col("true") > 0))
-            r = open_.agg(F.count("*").alias("n"), F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("found", F.lit(0)))).alias("f")).head()
-        if whole or r["n"] >= LINKED:
-            return 1.0 if not r["t"] else r["f"] / r["t"]
-        if size >= MOST_AUDIT:
-            return None
-        size = min(4 * size, MOST_AUDIT)
-
-
-def _true_links(vectors: DataFrame, sample: pa.Table, threshold: float) -> DataFrame:
-    """(a, true): for each vector of the sample its links among all."""
-    held = vectors.sparkSession.sparkContext.broadcast((sample["id"].to_numpy(), _vectors(sample["v"].combine_chunks()).astype(np.float32)))
+
+def _cosines(pairs: DataFrame, vectors: DataFrame, kind: str, least: float, threshold: float) -> DataFrame:
+    """(a, b, s, sure) in double precision for the pairs (a, b) of at least ``least``."""
+    met = pairs.join(vectors.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(vectors.select(F.col("id").alias("b"), F.col("v").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, m = held.value
-        n = np.zeros(len(own), dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
-                x, ids = _vectors(batch.column(1)).astype(np.float32), batch.column(0).to_numpy()
-                for at in range(0, len(own), 1024):
-                    part = slice(at, at + 1024)
-                    n[part] += ((m[part] @ x.T >= threshold) & (own[part, None] != ids[None, :])).sum(1)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["a", "n"])
-
-    return vectors.mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("true"))
-
-
-def _saturated(threshold: float, k: int) -> Column:
-    return (F.size("n") >= k) & (F.array_min(F.transform("n", lambda e: e.s)) >= threshold - 1e-5)
-
-
-def _bridges(x: np.ndarray, own: np.ndarray, y: np.ndarray, other: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Pairs of component names of x's and y's rows that links join, at most one less than there are names."""
-    names, label = np.unique(np.r_[own, other], return_inverse=True)
-    out, n = [], len(own)
-    for at in range(0, n, 256):
-        near = x[at : at + 256] @ y.T >= threshold
-        for i in np.flatnonzero((near & (label[at : at + len(near), None] != label[None, n:])).any(1)):
-            met = np.unique(np.r_[label[at + i], label[n:][near[i]]])
-            if len(met) > 1:
-                out += [(int(names[met[0]]), int(names[m])) for m in met[1:]]
-                label[np.isin(label, met)] = met[0]
+                s = np.einsum("ij,ij->i", unit(matrix(batch.column(2), kind)), unit(matrix(batch.column(3), kind)))
+                fine = s >= least
+                yield _edges(batch.column(0).to_numpy()[fine], batch.column(1).to_numpy()[fine], s[fine], np.where(s[fine] >= threshold, 1, -1))
+
+    return met.mapInArrow(run, "a long, b long, s double, sure int")
+
+
+def _descend(edges: DataFrame, k: int) -> DataFrame:
+    """(a, b), a < b: neighbours of neighbours that aren't neighbours, over the ``k`` best of each list, in either direction.
+
+    The lists of points that many others list are cut alike; what that leaves
+    unseen shows in the audit.
+    """
+    both = edges.select("a", "b", "s").union(edges.select("b", "a", "s")).distinct()
+    best = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("r") <= 2 * k).select("a", "b")
+    met = best.select(F.col("a").alias("u"), F.col("b").alias("x")).join(best.select(F.col("a").alias("u"), F.col("b").alias("y")), "u").where("x < y")
+    known = edges.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    return met.select("x", "y").distinct().join(known, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _held(table: DataFrame, n: int, columns: list[str], shelf: Shelf) -> Iterator[tuple]:
+    """Broadcasts of at most about HELD rows each that together hold the ``n`` rows of ``table``."""
+    parts = -(-n // HELD)
+    for part in range(parts):
+        own = table.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part) if parts > 1 else table
+        held = shelf.spark.sparkContext.broadcast(own.select(*columns).toArrow().combine_chunks())
+        yield held
+        held.unpersist()
+
+
+def _true_links(vectors: DataFrame, queries: DataFrame, n: int, kind: str, threshold: float, shelf: Shelf) -> DataFrame:
+    """(a, true): for each query its links among all points, block by block."""
+    out = None
+    for held in _held(queries, n, ["id", "v"], shelf):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            own, q = held.value["id"].to_numpy(), unit(matrix(held.value["v"], kind))
+            many = np.zeros(len(own), dtype=np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    ids, x = batch.column(0).to_numpy(), unit(matrix(batch.column(1), kind))
+                    for at in range(0, len(own), 512):
+                        many[at : at + 512] += ((q[at : at + 512] @ x.T >= threshold) & (own[at : at + 512, None] != ids[None, :])).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(many)], names=["a", "n"])
+
+        got = shelf.keep(vectors.select("id", "v").mapInArrow(run, "a long, n long").where("n > 0").groupBy("a").agg(F.sum("n").alias("true")), HELD)
+        out = got if out is None else out.union(got)
     return out
 
 
-def _joins(members: DataFrame, threshold: float, n: int) -> DataFrame:
-    """(a, b): components of ``members(component, v)``, n rows, that a link joins. Every vector meets every other, slice by slice."""
-    parts = max(-(-n // SLICE), min(16, int(np.ceil(np.sqrt(n / SPREAD)))), 1)
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("with")
-    met = dealt.select("part", every, "component", "v").select(F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "component", "v")
+def _cut(members: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """(id, m, v, cell, angle): cells of points of one neighbourhood, each within the threshold of the point that names it."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        part, c = table["part"].to_numpy(), table["component"].to_numpy()
-        v = _vectors(table["v"].combine_chunks() if isinstance(table["v"], pa.ChunkedArray) else table["v"])
-        first = part == table["i"][0].as_py()
-        second = part == table["j"][0].as_py()
-        found = np.array(_bridges(v[first], c[first], v[second], c[second], threshold), dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
-
-    return met.repartition("i", "j").groupBy("i", "j").applyInArrow(run, "a long, b long")
-
-
-def _count_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, low): per vector of a component (component, id, m, v) the linked copies among the others, and the smallest linked id."""
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.sqrt(F.count("*") / SPREAD)), F.ceil(F.count("*") / SLICE)).cast("int").alias("parts"))
-    dealt = members.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    seen = dealt.select("component", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("asks"), "id", "m", "v")
-    asked = dealt.select("component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("part").alias("j"), F.lit(False).alias("asks"), "id", "m", "v")
-
-    def count(x: np.ndarray, ids: np.ndarray, y: np.ndarray, other: np.ndarray, m: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), dtype=np.int64)
-        for at in range(0, len(ids), 1024):
-            part = slice(at, at + 1024)
-            out[part] = ((x[part] @ y.T >= threshold) & (ids[part, None] != other[None, :])) @ m
-        return out
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = unit(matrix(batch.column(2), kind))
+                p = x @ np.random.default_rng([3, 0]).standard_normal((BITS + 1, x.shape[1])).T
+                code = ((p[:, :BITS] > 0) @ (1 << np.arange(BITS)[::-1])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(p[:, BITS]), *batch.columns], names=["code", "p", "id", "m", "v"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CELLS):
+                part = batch.slice(at, CELLS)
+                ids, x = part.column(2).to_numpy(), unit(matrix(part.column(4), kind))
+                cell, angle, left = np.empty(len(ids), dtype=np.int64), np.zeros(len(ids)), np.arange(len(ids))
+                while left.size:
+                    s = x[left] @ x[left[0]]
+                    own = s >= threshold
+                    own[0] = True
+                    cell[left[own]] = ids[left[0]]
+                    angle[left[own][1:]] = np.arccos(np.clip(s[own][1:], -1, 1))
+                    left = left[~own]
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(4), pa.array(cell), pa.array(angle)], names=["id", "m", "v", "cell", "angle"])
+
+    signed = members.select("id", "m", "v").mapInArrow(signs, "code long, p double, id long, m long, v binary")
+    return signed.repartitionByRange("code", "p").sortWithinPartitions("code", "p", "id").mapInArrow(cells, "id long, m long, v binary, cell long, angle double")
+
+
+def _whole_lists(members: DataFrame, kind: str, threshold: float, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+    """(id, n): the copies that each member links to among the members; (a, b): links that span their components."""
+    cut = shelf.keep(_cut(members, kind, threshold))
+    size = cut.groupBy("cell").agg(F.max("angle").alias("r"))
+    cells = shelf.keep(cut.where("id = cell").select("id", "v").join(size.withColumnRenamed("cell", "id"), "id"))
+    reach, pairs = float(np.arccos(threshold)) + 1e-6, None
+    for held in _held(cells, cells.count(), ["id", "v", "r"], shelf):
+
+        def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            own, r, c = held.value["id"].to_numpy(), held.value["r"].to_numpy(), unit(matrix(held.value["v"], kind))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, x, q = batch.column(0).to_numpy(), unit(matrix(batch.column(1), kind)), batch.column(2).to_numpy()
+                for at in range(0, len(own), 512):
+                    s = c[at : at + 512] @ x.T
+                    far = np.cos(np.minimum(r[at : at + 512, None] + q[None, :] + reach, np.pi))
+                    i, j = np.nonzero((s >= far - 1e-9) & (own[at : at + 512, None] <= ids[None, :]))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at + i]), pa.array(ids[j])], names=["i", "j"])
+
+        got = shelf.keep(cells.mapInArrow(near, "i long, j long"))
+        pairs = got if pairs is None else pairs.union(got)
+    one = pairs.join(cut.withColumnRenamed("cell", "i"), "i").select("i", "j", F.lit(True).alias("first"), "id", "m", "v")
+    two = pairs.where("i < j").join(cut.withColumnRenamed("cell", "j"), "j").select("i", "j", F.lit(False).alias("first"), "id", "m", "v")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        ids, m = table["id"].to_numpy(), table["m"].to_numpy()
-        v = _vectors(table["v"].combine_chunks() if isinstance(table["v"], pa.ChunkedArray) else table["v"])
-        n = count(v[asks], ids[asks], v[~asks], ids[~asks], m[~asks])
-        return pa.table({"id": ids[asks], "n": n.astype(np.int64)})
-
-    # Dealt by the pair of slices, else a component would stay in the one task that counted it.
-    return seen.union(asked).repartition("component", "i", "j").groupBy("component", "i", "j").applyInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        first = table["first"].to_numpy(zero_copy_only=False).astype(bool)
+        ids, m, x = table["id"].to_numpy(), table["m"].to_numpy(), unit(matrix(table["v"], kind))
+        same = first.all()
+        one, two = np.flatnonzero(first), np.flatnonzero(first if same else ~first)
+        many = np.zeros(len(ids), dtype=np.int64)
+        for at in range(0, len(one), 1024):
+            part = one[at : at + 1024]
+            near = x[part] @ x[two].T >= threshold
+            if same:
+                near[np.arange(len(part)), np.arange(at, at + len(part))] = False
+            many[part] += near @ m[two]
+            if not same:
+                many[two] += m[part] @ near
+        hit = np.flatnonzero(many)
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        links = [(i, j)] if hit.size and not same else []
+        return pa.table({"id": np.r_[ids[hit], [x for x, _ in links]].astype(np.int64), "to": pa.array([None] * hit.size + [y for _, y in links], pa.int64()), "n": np.r_[many[hit], np.zeros(len(links), dtype=np.int64)].astype(np.int64)})
+
+    done = shelf.keep(one.union(two).repartition("i", "j").groupBy("i", "j").applyInArrow(run, "id long, to long, n long"))
+    counts = done.where("to is null").groupBy("id").agg(F.sum("n").alias("n"))
+    spans = cut.where("id != cell").select(F.col("id").alias("a"), F.col("cell").alias("b")).union(done.where("to is not null").select("id", "to"))
+    return counts, spans
+
+
+def _near_links(vectors: DataFrame, n: int, kind: str, threshold: float, k: int, shelf: Shelf) -> tuple[DataFrame, DataFrame | None, dict]:
+    """(a, b) links of lists, (id) of the points whose lists have to be enlarged, None for all, and the audit's figures."""
+    queries = vectors.where(F.pmod("id", F.lit(EVERY)) == 0)
+    asked, sent = vectors.agg(F.count_if(F.pmod("id", F.lit(EVERY)) == 0), F.count_if(_probes(_one_in(n)))).head()
+    true = _true_links(vectors, queries, asked, kind, threshold, shelf) if asked else None
+    found, made, audit = None, 0, {}
+    for _ in range(MORE):
+        tables = range(made, max(tables_for(n, threshold), 2 * made))
+        made = tables.stop
+        start = shelf.keep(_start(vectors, kind, threshold, tables, n, k))
+        found = start if found is None else found.union(start).groupBy("a", "b").agg(F.max("s").alias("s"), F.max("sure").alias("sure"))
+        met, unsure = found.agg(F.count_if(F.col("sure") == MET), F.count_if((F.col("sure") == 0) & (F.col("a") != F.col("b")))).head()
+        audit = {"queries": asked, "orders": made, "probes_met": met / sent if sent else 1.0, "recall": 1.0}
+        if audit["probes_met"] < RECALL:
+            continue
+        edges, wide = _refine(found, unsure, vectors, kind, threshold, k, shelf)
+        links = shelf.keep(edges.where("sure = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if true is not None:
+            ends = links.union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("found"))
+            open_ = true.join(wide.withColumnRenamed("id", "a"), "a", "left_anti").join(ends, "a", "left")
+            t, f = open_.agg(F.sum("true"), F.sum(F.least("true", F.coalesce("found", F.lit(0))))).head()
+            audit |= {"links": t or 0, "recall": (f / t) if t else 1.0}
+        if audit["recall"] >= RECALL:
+            return links, wide, audit
+    LOG.warning("the recall stayed short, all points are compared: %s", audit)
+    return found.where("false").select("a", "b"), None, audit
+
+
+def _refine(found: DataFrame, unsure: int, vectors: DataFrame, kind: str, threshold: float, k: int, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+    """The edges after the descent's rounds, and the (id) of saturated points and those that list them."""
+    edges = found.where("a != b")
+    if unsure:  # pairs near the threshold
+        edges = shelf.keep(edges.where("sure != 0").union(_cosines(edges.where("sure = 0").select("a", "b"), vectors, kind, NEAR, threshold)))
+    marked = found.where(F.col("s") == FULL).select(F.col("a").alias("id"))
+    full = None
+    for _ in range(ROUNDS):
+        ends = edges.where("sure = 1").select("a", "b").union(edges.where("sure = 1").select("b", "a")).distinct()
+        full = shelf.keep(marked.union(ends.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("a")).distinct())
+        open_ = edges.join(full.withColumnRenamed("id", "a"), "a", "left_anti").join(full.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", "s", "sure")
+        fresh = shelf.keep(_cosines(_descend(open_, k), vectors, kind, NEAR, threshold))
+        edges = edges.union(fresh)
+        if not fresh.where("sure = 1").head(1):
+            break
+    to = full.withColumnRenamed("id", "b")
+    near = edges.select("a", "b").union(edges.select("b", "a")).join(to, "b", "left_semi").select(F.col("a").alias("id"))
+    return edges, shelf.keep(full.union(near).distinct())
 
 
 def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, k: int = K) -> DataFrame:
-    """(id, n_links, component_id, kept) per row of ``rows``.
+    """(id, n_links, component_id, kept) per row of ``rows``; the frame's ``audits`` has the recall by length of vector.
 
     Vectors that are null, empty, zero or hold null or non-finite components link
-    with nothing. Equal vectors are one point with a number of copies, and link.
-    Vectors of different lengths never link. A row that repeats an id is returned
-    each; extra columns are ignored; an empty table gives an empty result.
+    with nothing, nor do rows with a null id. Vectors of any finite scale are
+    compared in double precision. Equal vectors are one point with a number of
+    copies, and link. Vectors of different lengths never link. A row that repeats
+    an id is returned each; extra columns are ignored; an empty table gives an
+    empty result. Raises nothing for a short recall: everything is then compared.
     """
-    spark = rows.sparkSession
-    shelf = Shelf(spark)
-    base = rows.select(F.col(id_col).cast("long").alias("row_id"), F.col(vector_col).cast("array<double>").alias("e"))
-    base = base.withColumn("e", F.when(_valid("e"), F.col("e")))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
-    unit = shelf.keep(base.select("row_id", F.transform("e", lambda x: x / norm).alias("u"), "e").select("row_id", "u"))
-    points = unit.where("u is not null").groupBy("u").agg(F.min("row_id").alias("id"), F.count("*").alias("m"))
-    total = unit.count()
-    points = shelf.keep(points, total)
-    parts = None
-    for (width,) in points.groupBy(F.size("u")).agg(F.lit(1)).select(F.col("size(u)")).collect():
-        vectors = points.where(F.size("u") == width).select("id", F.col("u").cast("array<float>").alias("v"))
-        own = _components(vectors, points, threshold, k, shelf, total)
-        parts = own if parts is None else parts.union(own)
-    named = points
-    if parts is None:
-        named = points.select("u", "id", "m", F.col("id").alias("component"), F.lit(0).cast("long").alias("n"))
+    shelf = Shelf(rows.sparkSession)
+    single = rows.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    base = rows.select(F.col(id_col).cast("long").alias("row_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("e"))
+    marked = _points(base, kind)
+    points = marked.where("key is not null").groupBy("key", "width").agg(F.min("row_id").alias("id"), F.count("*").alias("m"), F.first("v").alias("v"))
+    points = shelf.keep(points)
+    widths = points.groupBy("width").count().collect()  # a row a length of vector
+    total = sum(w["count"] for w in widths)
+    counted, spans, audits = [], [], {}
+    for width, n in widths:
+        own = points.where(F.col("width") == width)
+        copies = own.select(F.col("id").alias("b"), F.col("m"))
+        links, wide, audits[width] = _near_links(own.select("id", "v"), n, kind, threshold, k, shelf)
+        LOG.info("vectors of %d: %s", width, audits[width])
+        members = own if wide is None else own.join(wide, "id", "left_semi")
+        if wide is None or wide.head(1):
+            counts, edges = _whole_lists(members, kind, threshold, shelf)
+            counted.append(counts)
+            spans.append(edges)
+            ends = links.union(links.select("b", "a"))
+            if wide is not None:
+                inner = wide.select(F.col("id").alias("a")), wide.select(F.col("id").alias("b"))
+                ends = ends.join(inner[0], "a", "left_semi").join(inner[1], "b", "left_anti").union(ends.join(inner[0], "a", "left_anti")).select("a", "b")
+        else:
+            ends = links.union(links.select("b", "a"))
+        counted.append(ends.join(copies, "b").groupBy("a").agg(F.sum("m").alias("n")).withColumnRenamed("a", "id"))
+        spans.append(links)
+    named = points.select("key", "id", "m")
+    if counted:
+        edges, counts = spans[0], counted[0]
+        for more in spans[1:]:
+            edges = edges.union(more)
+        for more in counted[1:]:
+            counts = counts.union(more)
+        parts = connected_components(edges, "a", "b", shelf, edges.count()).withColumnRenamed("node", "id")
+        counts = counts.groupBy("id").agg(F.sum("n").alias("n"))
+        named = named.join(parts, "id", "left").join(counts, "id", "left")
+        named = named.select("key", F.coalesce("component", "id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
     else:
-        grouped = points.join(parts, points.id == parts.node).select("component", "id", "m", F.col("u").alias("v"))
-        counts = _count_links(shelf.keep(grouped, total), threshold).withColumnRenamed("id", "node")
-        counts = parts.join(counts, "node", "left").select(F.col("node").alias("id"), "component", F.coalesce("n", F.lit(0)).alias("n"))
-        named = points.join(counts, "id", "left").select("u", "id", "m", F.coalesce("component", "id").alias("component"), F.coalesce("n", F.lit(0)).alias("n"))
-    named = named.select(F.col("u").alias("key"), F.col("component").alias("component_id"), (F.col("n") + F.col("m") - 1).alias("n_links"))
-    out = unit.join(named, F.col("u") == F.col("key"), "left")
+        named = named.select("key", F.col("id").alias("component_id"), (F.col("m") - 1).alias("n_links"))
+    out = marked.select("row_id", "key").join(shelf.keep(named, total), "key", "left")
     comp = F.coalesce("component_id", "row_id")
-    return out.select(F.col("row_id").alias("id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("row_id") == comp).alias("kept"))
-
-
-def _components(vectors: DataFrame, points: DataFrame, threshold: float, k: int, shelf: Shelf, total: int) -> DataFrame:
-    """(node, component) for every vector of one length that has a link."""
-    width = vectors.select(F.size("v")).head()[0]
-    links, full, sure = _near_links(vectors, points, threshold, k, shelf)
-    parts = shelf.keep(connected_components(links, "a", "b", shelf), total)
-    # What the audit doesn't vouch for is compared whole.
-    some = points.join(full, "id") if sure else points.where(F.size("u") == width)
-    dense = some.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.col("u").alias("v"))
-    dense = shelf.keep(dense, total)
-    n = dense.count()
-    if dense.select("component").distinct().limit(2).count() < 2:
-        return parts
-    more = shelf.keep(_joins(dense, threshold, n), total)
-    return shelf.keep(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b", shelf), total)
-
-
-def _near_links(vectors: DataFrame, points: DataFrame, threshold: float, k: int, shelf: Shelf) -> tuple[DataFrame, DataFrame, bool]:
-    """(a, b) at or above the threshold, enough to connect every group that the lists reach, the (id) of saturated lists, and whether the audit found the recall.
-
-    The graph works on single-precision vectors; cosines within 1e-5 of the
-    threshold are taken again in double precision.
-    """
-    start = shelf.keep(_start(vectors, k, BLOCK).groupBy("a", "b").agg(F.max("s").alias("s")))
-    graph = shelf.keep(_top(start, k))
-    total, sure = vectors.count(), False
-    for at in range(ROUNDS):
-        found = _descend(graph, vectors, k)
-        held = graph.select("a", F.explode("n").alias("e")).select("a", "e.b", "e.s")
-        after = shelf.keep(_top(held.union(found), k))
-        shelf.drop(graph)
-        graph, held_k = after, k
-        recall = _audit(vectors, graph, threshold, k, total)
-        sure = recall is not None and recall >= RECALL
-        if sure or recall is None:
-            break
-        k = 2 * k if at else k
-    near = start.union(graph.select("a", F.explode("n").alias("e")).select("a", "e.b", "e.s")).where(F.col("s") >= threshold - 1e-5)
-    near = shelf.keep(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s"))
-    full = shelf.keep(graph.where(_saturated(threshold, held_k)).select(F.col("a").alias("id")))
-    shelf.drop(start)
-    above = near.where(F.col("s") >= threshold + 1e-5).select("a", "b")
-    close = near.where(F.col("s") < threshold + 1e-5).select("a", "b").distinct()
-    u, w = points.select(F.col("id").alias("a"), "u"), points.select(F.col("id").alias("b"), F.col("u").alias("w"))
-    cosine = F.aggregate(F.zip_with("u", "w", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-    return above.union(close.join(u, "a").join(w, "b").where(cosine >= threshold).select("a", "b")), full, sure
+    out = out.select(F.col("row_id").alias("id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("row_id") == comp, F.lit(True)).alias("kept"))
+    out.audits = audits
+    return out
