@@ -131,7 +131,7 @@ def _start(points: DataFrame, kind: str, threshold: float, tables: range, n: int
             ids, u = batch.column(0).to_numpy(), unit(matrix(batch.column(1), kind))
             sketches = pa.array(sketch(u), pa.binary())
             asks = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))
-            side = np.array([np.random.default_rng([5, i & 0xFFFFFFFF]).standard_normal(u.shape[1]) for i in ids[asks].tolist()]).reshape(len(asks), -1)
+            side = np.array([np.random.default_rng([5, i & 0xFFFFFFFF]).standard_normal(u.shape[1]) for i in ids[asks].tolist()]).reshape(len(asks), u.shape[1])
             side -= (side * u[asks]).sum(axis=1, keepdims=True) * u[asks]
             probes = threshold * u[asks] + (1 - threshold**2) ** 0.5 * side / np.maximum(np.sqrt((side * side).sum(axis=1, keepdims=True)), 1e-300)
             every, own = np.vstack([u, probes]), np.r_[ids, ids[asks]]

@@ -166,7 +166,7 @@ def test_isolated_pairs_and_groups_of_all_sizes(spark, monkeypatch, block):
             add(centre + 0.12 * r.standard_normal(48))
     want = brute_vectors(rows)
     monkeypatch.setattr(embeddings, "BLOCK", block)
-    out = embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    out = embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(40))
     got = {x["id"]: (x["n_links"], x["component_id"]) for x in out.collect()}
     assert sum(n for n, _ in got.values()) >= embeddings.RECALL * sum(n for n, _ in want.values())
     assert all(got[i][0] <= n for i, (n, _) in want.items())
