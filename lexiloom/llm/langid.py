@@ -6,7 +6,7 @@ picks the family; inside a family every pair of languages has its own linear
 SVM, and the votes, weighted by their margins, decide.
 
 The models are fitted on a bounded sample: at most ``per_lang`` training
-documents of each language, the ones whose ids hash lowest.
+documents of each language, the ones whose ids hash lowest, one row an id.
 """
 
 from __future__ import annotations
@@ -120,37 +120,55 @@ class LanguageModel:
         return lang, np.clip(p.max(1) * votes.max(1), 0.0, 1.0)
 
 
-def sample_ids(train: DataFrame, per_lang: int) -> list[int]:
-    """Ids of at most ``per_lang`` documents of each language, lowest hash first; reads no text.
+def sampled(train: DataFrame, per_label: int, label: str, most: int) -> DataFrame | None:
+    """(label, id) of at most ``per_label`` ids of each label, lowest hash first; None without a label.
 
-    A cut of the hash by the language's number of documents leaves about half
-    as many again as are wanted, whatever the input, and only those are ranked.
+    Equal ids of a label are one first, so neither repeated rows nor the rows of
+    one id push a label out or add to the sample. A cut of the hash by the
+    label's number of ids leaves about half as many again as are wanted, whatever
+    the input, and only those are ranked. Over ``most`` labels raise ValueError.
     """
-    counts = train.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
+    ids = train.select(label, "id").distinct()
+    counts = ids.groupBy(label).count().limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} values of {label}")
     if not counts:
-        return []
-    cut = {r["lang"]: min((1 << 63) - 1, int(min(1.0, (1.5 * per_lang + 64) / r["count"]) * (1 << 64)) - (1 << 63)) for r in counts}
+        return None
+    cut = {r[label]: min((1 << 63) - 1, int(min(1.0, (1.5 * per_label + 64) / r["count"]) * (1 << 64)) - (1 << 63)) for r in counts}
     cuts = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair])
-    some = train.select("id", "lang", F.xxhash64("id").alias("h")).where(F.col("h") <= cuts[F.col("lang")])
-    ranked = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
-    return [r[0] for r in ranked.where(F.col("r") <= per_lang).select("id").distinct().collect()]
+    some = ids.withColumn("h", F.xxhash64("id")).where(F.col("h") <= cuts[F.col(label)])
+    ranked = some.withColumn("r", F.row_number().over(Window.partitionBy(label).orderBy("h", "id")))
+    return ranked.where(F.col("r") <= per_label).select(label, "id")
+
+
+def sample_rows(train: DataFrame, per_label: int, label: str, most: int) -> DataFrame | None:
+    """One row (label, id, text) for each of ``sampled``: of rows that share both, the one whose text hashes lowest."""
+    picked = sampled(train, per_label, label, most)
+    if picked is None:
+        return None
+    # At most per_label * most small rows are broadcast.
+    rows = train.join(F.broadcast(picked), [label, "id"])
+    return rows.groupBy(label, "id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("low")).select(label, "id", F.col("low.text").alias("text"))
 
 
 def fit_languages(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500) -> LanguageModel | None:
-    """The model from labelled rows; None if there is none. Rows with a null id, text or language don't teach."""
+    """The model from labelled rows; None if there is none. Rows with a null id, text or language don't teach.
+
+    The model has a row of weights a family, at most MOST_LANGS, and one a pair
+    of languages of a listed family, a few hundred whatever the data: a language
+    that FAMILIES doesn't list is a family of its own.
+    """
     rows = train.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and text is not null and lang is not null")
-    ids = sample_ids(rows, per_lang)
-    if not ids:
+    sample = sample_rows(rows, per_lang, "lang", MOST_LANGS)
+    if sample is None:
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features([t.as_py() for t in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["id", "lang", "x"])
+            x = features([t.as_py() for t in batch.column(2)])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["id", "lang", "x"])
 
-    got = rows.where(F.col("id").isin(ids)).mapInArrow(run, "id long, lang string, x binary").toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
+    got = sample.mapInArrow(run, "id long, lang string, x binary").toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
     x = np.vstack([np.frombuffer(b, dtype=np.float16) for b in got["x"].to_pylist()]).astype(np.float32)
     return LanguageModel.fit(x, got["lang"].to_pylist())
 

@@ -4,7 +4,7 @@ For several lengths n, a rolling hash over word numbers marks the n-grams that
 occur again in the same text; the measure is the share of the text's word
 characters that lie inside repeats after the first. Repeated lines and symbols
 are measured the same way. Words get numbers per text, so 3-word windows are
-packed exactly; longer windows use 64-bit polynomial hashes.
+packed exactly, whatever their number; longer windows use 64-bit polynomial hashes.
 """
 
 from __future__ import annotations
@@ -50,6 +50,10 @@ def repeated_words(numbers: np.ndarray, n: int, later_only: bool) -> np.ndarray:
         h = x[:windows].copy()
         for i in range(1, n):
             h = (h << np.uint64(21)) | x[i : windows + i]
+    elif n <= 3:  # exact too: the first words' windows get numbers, then those with the last word
+        h = x[:windows]
+        for i in range(1, n):
+            h = (np.unique(h, return_inverse=True)[1].astype(np.uint64) << np.uint64(32)) | x[i : windows + i]
     else:
         with np.errstate(over="ignore"):
             h = np.zeros(windows, dtype=np.uint64)

@@ -61,7 +61,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled"), "toxic")
     graded = docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("labelled"))
-    model = toxicity.fit_severity(graded, "doc_id", "text", "toxic", split_binary=True)
+    model = toxicity.fit_severity(graded, "doc_id", "text", "toxic")
     return toxicity.score_severity(docs, model).withColumnRenamed("id", "doc_id")
 
 
@@ -69,9 +69,94 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def quality_base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of op7 that SQL can express."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of op8, a row a document."""
+    return op8_source_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe_trie, op3_license_scan, op4_sharding, op5_language_id, op6_embedding_near_dedup, op7_quality_rules, op8_source_mixing, op9_toxicity, op10_url_filter)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe_trie, op3_license_scan, op4_sharding, op5_language_id, op6_embedding_near_dedup, op7_quality_rules, op8_source_mixing, op9_toxicity, op10_url_filter, quality_base_figures, mixing_targets)}
+
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+EMBEDDINGS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT x.vec_id, p.b FROM reach x JOIN pairs p ON x.r = p.a
+), parts AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT t.vec_id, coalesce(n, 0) AS n_links, component_id, t.vec_id = component_id AS kept
+FROM embeddings t LEFT JOIN parts p ON t.vec_id = p.vec_id LEFT JOIN links l ON t.vec_id = l.a
+"""
+
+QUALITY_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d WHERE len(w) > 2),
+windows AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM places),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS line FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+  len(w) < 50 OR 100 * coalesce(covered.n, 0) > 50 * len(w) AS base_failed
+FROM d LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN covered ON d.doc_id = covered.doc_id
+"""
+
+#: Water-filling: for each number of capped sources, in the order of cap a weight, the level of the others; the first that no other exceeds holds.
+MIXING_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, 2.0 * source_size AS cap, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS DOUBLE) AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source IS NULL, source) - 1 AS r FROM w),
+levels AS (SELECT k.r AS n, (1.5 * (SELECT sum(source_size) FROM o) - coalesce(sum(o.cap) FILTER (o.r < k.r), 0)) / sum(o.weight) FILTER (o.r >= k.r) AS level FROM o CROSS JOIN (SELECT r FROM o) k GROUP BY k.r),
+fits AS (SELECT min(n) AS n FROM levels WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.r >= n AND level * o.weight > o.cap)),
+goals AS (SELECT source, source_size, CASE WHEN r < fits.n OR fits.n IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM o CROSS JOIN fits LEFT JOIN levels ON levels.n = fits.n)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 3) AS target FROM d JOIN goals ON d.source IS NOT DISTINCT FROM goals.source
+"""
+
+
+def _sharding_sql() -> str:
+    table = ",".join(map(str, sharding.fill_table(SHARDS).tolist()))
+    return f"""
+WITH t AS (SELECT [{table}] AS slots),
+d AS (SELECT doc_id, CAST(CAST(concat('0x', substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) % {sharding.SLOTS} AS INTEGER) AS slot FROM documents)
+SELECT doc_id, slot, CAST(slots[slot + 1] AS INTEGER) AS shard FROM d, t
+"""
+
+
+def _urls_sql() -> str:
+    """Rules, and components over canonical links and refreshes whose targets are absolute or begin at the root."""
+    fits = lambda host, path: " ".join(f"WHEN ({host} = '{own}' OR ends_with({host}, '.{own}')) AND starts_with({path}, '/{rest}') THEN '{v} {rule}'" for v, rule in sorted(urlfilter.RULES, key=lambda r: -len(r[1])) for own, _, rest in [rule.partition("/")])
+    part = lambda url: f"translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract({url}, '(?s)^[^?#]*(\\?[^#]*)', 1) AS query"
+    node = "CASE WHEN host <> '' THEN concat(host, CASE WHEN path = '' THEN '/' ELSE path END, query) END AS node"
+    return f"""
+WITH RECURSIVE p AS (SELECT page_id, url, html, {part("coalesce(url, '')")} FROM pages),
+q AS (SELECT *, {node}, CASE {fits("host", "path")} END AS hit FROM p),
+tags AS (SELECT node, url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:link|meta)\\s[^>]*>')) AS tag FROM q WHERE node IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')),
+raw AS (SELECT node, url, replace(CASE WHEN regexp_matches(tag, '(?is)^<link.*\\srel\\s*=\\s*["'']?canonical') THEN regexp_extract(tag, '(?is)\\shref\\s*=\\s*["'']?([^"''\\s>]+)', 1) WHEN regexp_matches(tag, '(?is)^<meta.*http-equiv\\s*=\\s*["'']?refresh') THEN regexp_extract(tag, '(?is)url\\s*=\\s*([^"''\\s>]+)', 1) ELSE '' END, '&amp;', '&') AS link FROM tags),
+goal AS (SELECT node AS a, CASE WHEN link LIKE '%://%' THEN link WHEN starts_with(link, '/') THEN concat(regexp_extract(url, '^[^:]+://[^/?#]*'), link) END AS link FROM raw WHERE link <> ''),
+met AS (SELECT a, {part("link")} FROM goal WHERE link IS NOT NULL),
+edges AS (SELECT a, node AS b FROM (SELECT a, {node} FROM met) WHERE node IS NOT NULL),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a AS node, a AS r FROM both_ways UNION SELECT x.node, e.b FROM reach x JOIN both_ways e ON x.r = e.a),
+said AS (SELECT node, CASE {fits("split_part(r, '/', 1)", "regexp_extract(r, '^[^/]*([^?]*)', 1)")} END AS hit FROM reach),
+whole AS (SELECT node, bool_or(starts_with(coalesce(hit, ''), 'block')) AND NOT bool_or(starts_with(coalesce(hit, ''), 'allow')) AS blocked FROM said GROUP BY node)
+SELECT page_id, host, path, split_part(hit, ' ', 2) AS rule, CASE WHEN hit IS NOT NULL THEN split_part(hit, ' ', 1) WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM q LEFT JOIN whole ON q.node = whole.node
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_sharding": _sharding_sql(), "op6_embedding_near_dedup": EMBEDDINGS_SQL, "op10_url_filter": _urls_sql(), "quality_base_figures": QUALITY_SQL, "mixing_targets": MIXING_SQL}

@@ -45,8 +45,9 @@ def fill_table(shards: list[str], slots: int = SLOTS) -> np.ndarray:
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """The slot of a key: XXH64 of its text modulo the size; null keys share the slot of the bare seed."""
-    return F.pmod(F.xxhash64(key.cast("string")), F.lit(slots)).cast("int")
+    """The slot of a key: the first 60 bits of its text's MD5 modulo the size; null keys share the slot of the empty text."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.lit(slots)).cast("int")
 
 
 def table_frame(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> DataFrame:
@@ -59,15 +60,13 @@ def assign_shards(docs: DataFrame, shards: list[str], key_col: str = "doc_id", s
     """``docs`` with shard (int) and slot (int), without a shuffle.
 
     Equal keys, null included, get the same shard; repeated rows stay. Columns of
-    ``docs`` named shard, slot, table_slot or table_shard are replaced. An empty
+    ``docs`` named shard, slot, table_slot or table_shard, in any case, are replaced. An empty
     table gives an empty result.
     """
     slot = slot_of(F.col(key_col), slots)
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot", "table_slot", "table_shard")]
-    placed = docs.withColumn("table_key", slot) if key_col in ("shard", "slot", "table_slot", "table_shard") else docs
-    key = F.col("table_key") if placed is not docs else slot
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot", "table_slot", "table_shard")]
     table = table_frame(docs.sparkSession, shards, slots)
-    return placed.select(*rest, key.alias("slot")).join(F.broadcast(table), F.col("slot") == F.col("table_slot")).drop("table_slot").withColumnRenamed("table_shard", "shard")
+    return docs.select(*rest, slot.alias("slot")).join(F.broadcast(table), F.col("slot") == F.col("table_slot")).drop("table_slot").withColumnRenamed("table_shard", "shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: list[str], key_col: str = "doc_id", files_per_shard: int = 4) -> None:

@@ -89,6 +89,14 @@ def spanning_edges(fps: np.ndarray, within: int) -> list[tuple[np.ndarray, np.nd
     return out
 
 
+def grids_for(n: int, within: int) -> int:
+    """So many grids that a cell holds some 64 of n points: a segment's count of 0, 1 or 2 is worth 1.5 bits, and a cell fixes the segments of all grids but ``within``. Seven at least."""
+    groups = within + 3
+    while 48 * (groups - within) / groups < np.log2(max(1, n)) - 6 and groups < 32:
+        groups += 1
+    return groups
+
+
 def _grid_masks(groups: int, within: int) -> list[int]:
     cuts = [round(i * 32 / groups) for i in range(groups + 1)]
     own = [sum(3 << (2 * axis) for axis in range(cuts[i], cuts[i + 1])) for i in range(groups)]
@@ -189,11 +197,12 @@ def near_edges(points: DataFrame, shelf: Shelf, within: int = 4, groups: int = 7
     return found
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, within: int = 4, groups: int = 7, limit: int = SLICE) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, within: int = 4, groups: int | None = None, limit: int = SLICE) -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``docs``.
 
     Fingerprints link at ``within`` or fewer differing bits; component_id is the
-    smallest id reachable. Null, empty and wordless texts have fingerprint zero
+    smallest id reachable. ``groups``: the number of grids, by the number of
+    fingerprints if not given. Null, empty and wordless texts have fingerprint zero
     and link like any other. Rows that repeat an id are returned each; a null id
     is never a component's name unless no other is there. Extra columns of any
     name are ignored; an empty table gives an empty result. Text of any length
@@ -202,11 +211,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shelf = Shelf(docs.sparkSession)
     marked = shelf.keep(fingerprints(docs, id_col, text_col, shingle))
     n = marked.count()
-    points = shelf.keep(marked.groupBy("fp").agg(F.min("id").alias("rep")), n)
-    edges = near_edges(points, shelf, within, groups, limit)
-    parts = connected_components(edges, "a", "b", shelf, edges.count())
-    named = points.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    named = shelf.keep(named, n)
-    names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    lookup = named.join(names, "component").select("fp", "component_id")
+    # A node is a fingerprint behind its smallest id, so a component's name is the answer; nulls come last.
+    points = shelf.keep(marked.groupBy("fp").agg(F.min("id").alias("rep")).select("fp", F.struct(F.col("rep").isNull().alias("none"), "rep", "fp").alias("node")), n)
+    edges = near_edges(points.select("fp"), shelf, within, groups or grids_for(points.count(), within), limit)
+    named = edges.join(points.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(points.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b")
+    parts = connected_components(named.select("u", "v"), "u", "v", shelf, edges.count())
+    found = parts.select(F.col("node.fp").alias("found"), F.col("component.rep").alias("of"))
+    lookup = points.join(found, F.col("fp") == F.col("found"), "left").select("fp", F.when(F.col("found").isNull(), F.col("node.rep")).otherwise(F.col("of")).alias("component_id"))
     return marked.join(lookup, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

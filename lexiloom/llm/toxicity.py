@@ -17,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .langid import sample_rows
+
 #: Bounds of the training sample and of the model.
 SAMPLE_PER_CLASS = 4000
 VOCABULARY = 1024
+MOST_GRADES = 64
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -77,34 +80,32 @@ def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, dims: int, l2
     return w, b
 
 
-def fit_severity(labelled: DataFrame, id_col: str, text_col: str, grade_col: str, per_grade: int = SAMPLE_PER_CLASS, vocabulary: int = VOCABULARY, split_binary: bool = False) -> SeverityModel | None:
-    """The model from graded rows (0, 1, 2, ...); None without two grades.
+def fit_severity(labelled: DataFrame, id_col: str, text_col: str, grade_col: str, per_grade: int = SAMPLE_PER_CLASS, vocabulary: int = VOCABULARY) -> SeverityModel | None:
+    """The model from graded rows (0, 1, 2, ...); None without two grades, ValueError for more than MOST_GRADES.
 
-    split_binary: labels are 0 and 1 only; of the sampled positives, those that
-    a first fit with one threshold scores over their median become grade 2.
+    A threshold a grade above the lowest; no grade is invented, so labels of two
+    grades give one threshold and a severity from 0 to 1.
 
-    Sample: of each grade the ``per_grade`` ids that hash lowest. Vocabulary: the
-    features that most exceed, in standard deviations, the number of graded
-    documents above 0 that chance would give them; at most ``vocabulary``.
+    Sample: of each grade the ``per_grade`` ids that hash lowest, one row an id.
+    Vocabulary: the features that most exceed, in standard deviations, the number
+    of graded documents above 0 that chance would give them; at most ``vocabulary``.
     """
     rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(grade_col).cast("int").alias("grade")).where("id is not null and text is not null and grade is not null")
-    top = rows.groupBy("grade").agg(F.count("*").alias("n")).orderBy("grade").limit(16).collect()
-    if len(top) < 2:
+    picked = sample_rows(rows, per_grade, "grade", MOST_GRADES)
+    if picked is None:
         return None
-    h = F.xxhash64("id")
-    ids: set[int] = set()
-    for r in top:  # the cut of the hash is near per_grade of n; then a bounded sort
-        low = min((1 << 63) - 1, int(min(1.0, (1.5 * per_grade + 64) / r["n"]) * (1 << 64)) - (1 << 63))
-        ids |= {x[0] for x in rows.where((F.col("grade") == r["grade"]) & (h <= F.lit(low))).select("id").orderBy(h, "id").limit(per_grade).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([sorted(grams(t.as_py())) for t in part.column(1)], pa.list_(pa.string()))], names=["id", "grade", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), pa.array([sorted(grams(t.as_py())) for t in part.column(2)], pa.list_(pa.string()))], names=["id", "grade", "grams"])
 
-    sample = rows.where(F.col("id").isin(sorted(ids))).mapInArrow(run, "id long, grade int, grams array<string>").persist()
+    sample = picked.mapInArrow(run, "id long, grade int, grams array<string>").persist()
     many = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
+    if len(many) < 2:
+        sample.unpersist()
+        return None
     clean, bad = max(1, many.get(0, 0)), max(1, sum(n for g, n in many.items() if g))
     per = sample.select("grade", F.explode("grams").alias("g")).groupBy("g").agg(F.sum((F.col("grade") > 0).cast("long")).alias("b"), F.sum((F.col("grade") == 0).cast("long")).alias("c")).where("b + c >= 3")
     due = (F.col("b") + F.col("c")) * bad / (bad + clean)
@@ -118,12 +119,7 @@ def fit_severity(labelled: DataFrame, id_col: str, text_col: str, grade_col: str
     got = sample.mapInArrow(narrow, "id long, grade int, cols array<int>").toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
     sample.unpersist()
     cols, grades = got["cols"].to_pylist(), got["grade"].to_numpy()
-    w, b = fit_cumulative_link(cols, grades, max(1, len(names)))
-    if split_binary and grades.max() == 1:
-        eta = np.array([w[c].sum() for c in cols])
-        grades = grades + (eta > np.median(eta[grades == 1])) * (grades == 1)
-        w, b = fit_cumulative_link(cols, grades, max(1, len(names)))
-    return SeverityModel(names, w, b)
+    return SeverityModel(names, *fit_cumulative_link(cols, grades, max(1, len(names))))
 
 
 def score_severity(docs: DataFrame, model: SeverityModel | None, id_col: str = "doc_id", text_col: str = "text", flag_at: float = 0.5) -> DataFrame:

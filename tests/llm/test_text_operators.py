@@ -132,7 +132,7 @@ def test_toxicity_catches_labelled_documents(spark):
 
 def test_toxicity_on_documents_it_did_not_learn_from(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
-    model = toxicity.fit_severity(docs.where("doc_id % 2 = 0"), "doc_id", "text", "toxic", split_binary=True)
+    model = toxicity.fit_severity(docs.where("doc_id % 2 = 0"), "doc_id", "text", "toxic")
     got = toxicity.score_severity(docs.where("doc_id % 2 = 1"), model).join(docs.select("doc_id", docs["toxic"].alias("label")), docs["doc_id"] == toxicity.F.col("id")).collect()
     assert np.mean([r["toxic"] for r in got if r["label"]]) >= 0.93
     assert np.mean([r["toxic"] for r in got if not r["label"]]) <= 0.02
@@ -158,3 +158,33 @@ def test_score_is_independent_of_the_size_of_a_family():
     model = langid.LanguageModel.fit(langid.features([t for _, t in texts]), [lang for lang, _ in texts])
     names, scores = langid.judge([" ".join(r.choice(words[lang], 40)) for lang in langs], model)
     assert names == langs and min(scores) > 0.6
+
+
+def test_repeated_ids_push_no_language_out(spark):
+    """A hundred thousand rows of one id in one language, thirty documents of the other."""
+    many = spark.range(100_000).selectExpr("7L AS doc_id", "'the quick brown fox ' || (id % 3) AS text", "'en' AS lang")
+    few = spark.createDataFrame([(100 + i, "der schnelle braune fuchs " + "x" * i, "de") for i in range(30)], "doc_id long, text string, lang string")
+    sample = langid.sample_rows(many.union(few).withColumnRenamed("doc_id", "id"), 500, "lang", 10).collect()
+    assert Counter(r["lang"] for r in sample) == {"en": 1, "de": 30}
+    assert langid.fit_languages(many.union(few)).langs == ["de", "en"]
+    with pytest.raises(ValueError):
+        langid.sample_rows(many.union(few).withColumnRenamed("doc_id", "id"), 500, "lang", 1)
+
+
+def test_all_grades_are_thresholds(spark):
+    """Eighteen grades, each with words of all below it; a repeated id is one document."""
+    rows = [(g * 100 + i, " ".join(f"w{chr(97 + k)}ord" for k in range(g)) + " plain text", g) for g in range(18) for i in range(20)]
+    rows += [(1700, "wbord", 17)] * 500
+    model = toxicity.fit_severity(spark.createDataFrame(rows, "doc_id long, text string, g int"), "doc_id", "text", "g")
+    assert len(model.cuts) == 17 and (np.diff(model.cuts) >= 0).all()
+    severity, _ = model.expected(model.rows([rows[g * 20][1] for g in range(18)]))
+    assert (np.diff(severity)[1:] > 0).all() and severity[:2].max() < severity[3]
+    with pytest.raises(ValueError):
+        toxicity.fit_severity(spark.range(100).selectExpr("id AS doc_id", "'x' AS text", "int(id) AS g"), "doc_id", "text", "g")
+
+
+def test_many_distinct_words_are_counted_exactly():
+    """Over 2**21 distinct words, where three numbers no longer share a word of 64 bits by shifting."""
+    n = (1 << 21) + 50
+    words = np.r_[np.arange(n), [5, 6, 7, 3, 4, 9]]
+    assert np.flatnonzero(quality.repeated_words(words, 3, later_only=False)).tolist() == [5, 6, 7, n, n + 1, n + 2]
