@@ -1,8 +1,13 @@
-"""A training-data pipeline over ``documents``: each stage works on all that the one before kept."""
+"""A training-data pipeline over ``documents``: each stage works on all that the one before kept.
+
+Every stage takes null ids, texts, languages and sources, repeated rows, texts
+of any length, empty tables and extra columns of any name, which it returns.
+A null or blank text has no language and goes in the first stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import bpe, langid, mixing, quality, simhash
@@ -13,13 +18,16 @@ from lexiloom.llm.shelf import Shelf
 LEAST_SCORE = 0.3
 
 
-#: The column of a row's own number within a stage.
-KEY = "__row"
+def _keyed(docs: DataFrame, shelf: Shelf) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, in a column of a new name, written once so that every reader sees the same."""
+    key = "__row"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    return shelf.keep(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
-def _keyed(docs: DataFrame, shelf: Shelf) -> DataFrame:
-    """``docs`` with a number for each row, written once so that every reader sees the same."""
-    return shelf.keep(docs.withColumn(KEY, F.monotonically_increasing_id()))
+def _all(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,18 +47,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The rows' keys are the small side of a hash join, so the texts aren't sorted.
     """
     shelf = Shelf(spark)
-    keyed = _keyed(docs, shelf)
-    groups = simhash.simhash_groups(keyed, id_col=KEY).select(F.col("id").alias("k"), "component_id")
-    first = keyed.select(KEY, "doc_id").join(groups.hint("shuffle_hash"), F.col(KEY) == F.col("k"))
-    kept = first.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)).alias("least")).select(F.col(f"least.{KEY}").alias(KEY))
-    return keyed.join(kept.hint("shuffle_hash"), KEY, "left_semi").select(*docs.columns)
+    keyed, key = _keyed(docs, shelf)
+    groups = simhash.simhash_groups(keyed, id_col=key).select("id", "component_id")
+    first = keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("d")).join(groups.hint("shuffle_hash"), F.col("k") == F.col("id"))
+    kept = first.groupBy("component_id").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "k")).alias("least")).select(F.col("least.k").alias(key))
+    return keyed.join(kept.hint("shuffle_hash"), key, "left_semi").select(*_all(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; rows that share an id, or have none, are taken one by one."""
-    keyed = _keyed(docs, Shelf(spark))
-    copies = mixing.mix_sources(keyed, key_col=KEY).where("copies > 0").select(F.col("key").alias(KEY), "copies")
-    return keyed.join(copies.hint("shuffle_hash"), KEY).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """Documents as often as the mix takes them; rows that share an id, or have none, are taken one by one.
+
+    A null source is a source; a null or blank text has no words and is taken by
+    its source's rate alone, so it may come back up to twice or not at all.
+    """
+    keyed, key = _keyed(docs, Shelf(spark))
+    copies = mixing.mix_sources(keyed, key_col=key).where("copies > 0").select(F.col("key").alias(key), F.sequence(F.lit(1), "copies").alias(key + "n"))
+    # ``docs`` has none of these names.
+    return keyed.join(copies.hint("shuffle_hash"), key).select(*_all(docs), F.explode(key + "n").alias(key + "i")).select(*_all(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
