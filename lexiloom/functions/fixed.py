@@ -52,5 +52,5 @@ LIMITS = {
     "tokens": 5_000, "identifiers": 2_000, "doc_terms": 2_000, "locations": 5, "identifier_tokens": 64, "edges": 200, "external": 30,
     "pair_top": 150, "module_contexts": 30, "overload_modules": 50, "groups": 50, "group_members": 6, "god_nodes": 8, "label_chars": 512,
     "findings": 10, "compound_tokens": 32, "compound_starts": 250_000, "structural_matches": 50_000, "scope_comparisons": 500_000,
-    "glossary_concepts": 10_000, "config_rules": 500, "path_chars": 512, "json_bytes": 64_000_000, "graph_refs": 1_000_000,
+    "glossary_concepts": 10_000, "glossary_aliases": 50_000, "glossary_bindings": 50_000, "config_rules": 500, "path_chars": 512, "json_bytes": 64_000_000, "graph_refs": 1_000_000,
 }

@@ -157,15 +157,15 @@ def tokenize_distinct(names: DataFrame, col: str = "name", out: str = "tokens",
     return plain.unionByName(wide.join(learned, F.col(col) == F.col("wide_name")).drop("wide_name"))
 
 
-def normalize_text(texts: DataFrame, col: str) -> DataFrame:
-    """NFKC for the rows that need it; ASCII rows are not sent to Python."""
+def normalize_text(texts: DataFrame, col: str, form: str = "NFKC") -> DataFrame:
+    """A Unicode normal form for the rows that need it; ASCII rows are not sent to Python."""
 
     @F.pandas_udf("string")
-    def nfkc(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
+    def normal(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None else unicodedata.normalize(form, x))
 
     plain = is_ascii(F.col(col)) | F.col(col).isNull()
-    return texts.where(plain).unionByName(texts.where(~plain).withColumn(col, nfkc(F.col(col))))
+    return texts.where(plain).unionByName(texts.where(~plain).withColumn(col, normal(F.col(col))))
 
 
 def register(spark: SparkSession) -> None:

@@ -100,16 +100,15 @@ def freshness(recorded: Column, head: Column, dirty: Column) -> Column:
 
 
 def concept_strength(group_tokens: DataFrame, group_label_tokens: DataFrame, concept_tokens: DataFrame) -> DataFrame:
-    """(group, concept, strength) of groups and concepts that share a token.
+    """(group, concept, strength) of groups and concepts that share a token; ``concept_tokens(concept, token, own)``: own marks the term's.
 
-    3: the label's tokens are the concept's; 2: all concept tokens are in the
-    label or all are in the members; 1: some token is shared. An equality join
-    on tokens makes the candidates, sets decide.
+    3: the label has all of the term's tokens; 2: the label and the members have;
+    1: some token of the term or of a symbol binding is shared. An equality join
+    on tokens makes the candidates, counts decide.
     """
-    need = concept_tokens.groupBy("concept").agg(F.countDistinct("token").alias("need"))
-    lab = group_label_tokens.groupBy("group").agg(F.countDistinct("token").alias("label_size"))
-    in_label = group_label_tokens.distinct().join(concept_tokens.distinct(), "token").groupBy("group", "concept").agg(F.count("*").alias("in_label"))
-    every = group_tokens.union(group_label_tokens).distinct().join(concept_tokens.distinct(), "token").groupBy("group", "concept").agg(F.count("*").alias("in_all"))
-    m = every.join(in_label, ["group", "concept"], "left").join(need, "concept").join(lab, "group", "left").na.fill(0, ["in_label", "label_size"])
-    strength = F.when((F.col("in_label") == F.col("need")) & (F.col("label_size") == F.col("need")), 3).when(F.col("in_all") == F.col("need"), 2).otherwise(1)
-    return m.select("group", "concept", strength.cast("long").alias("strength"))
+    need = concept_tokens.groupBy("concept").agg(F.count_if("own").alias("need"))
+    label = group_label_tokens.select("group", "token").distinct().withColumn("named", F.lit(True))
+    every = group_tokens.select("group", "token").withColumn("named", F.lit(False)).union(label).groupBy("group", "token").agg(F.max("named").alias("named"))
+    met = every.join(concept_tokens, "token").groupBy("group", "concept").agg(F.count_if(F.col("own") & F.col("named")).alias("in_label"), F.count_if("own").alias("in_all")).join(need, "concept")
+    strength = F.when((F.col("need") > 0) & (F.col("in_label") == F.col("need")), 3).when((F.col("need") > 0) & (F.col("in_all") == F.col("need")), 2).otherwise(1)
+    return met.select("group", "concept", strength.cast("long").alias("strength"))

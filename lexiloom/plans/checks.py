@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexical
 from ..functions.fixed import LIMITS
-from ..functions.paths import scopes_overlap, under
-from ..operators import graph, matching
+from ..functions.paths import in_scope, module_of, scopes_overlap, under
+from ..operators import graph, matching, vocabulary
+from ..operators.terminology import DIVERGENT, LEAST_MODULES
 from ..operators.topk import per_key
 from . import glossaries
 
@@ -41,7 +44,7 @@ class Glossary:
 
 
 def parallel_terms(g: Glossary, synonyms: DataFrame) -> DataFrame:
-    """A synonym pair of which exactly one side is a canonical term, and the other isn't owned where it counts."""
+    """A synonym pair of which exactly one side is a canonical term, where both occur in the concept's scope and the other isn't owned in it."""
     idx = g.index()
     side = lambda t, c: synonyms.join(idx.select(F.col("token").alias(t), F.col("concept").alias(c), F.col("prefixes").alias(f"p{c}")), t, "left").select("a", "b", "similarity", c, f"p{c}")
     both = side("a", "ca").join(side("b", "cb"), ["a", "b", "similarity"]).where("(ca is null) != (cb is null)")
@@ -49,7 +52,11 @@ def parallel_terms(g: Glossary, synonyms: DataFrame) -> DataFrame:
     owned = g.terms.select("concept", F.explode("tokens").alias("new")).join(g.scopes.withColumnRenamed("prefixes", "owner"), "concept").select("new", "owner")
     taken = rows.join(owned, "new").where(scopes_overlap(F.col("prefixes"), F.col("owner"))).select("new", "concept").distinct()
     rows = rows.join(taken, ["new", "concept"], "left_anti")
-    strength = F.when(F.col("similarity") >= STRONG, "strong").otherwise("moderate")
+    used = g.canonical.where(F.size("tokens") == 1).select("concept", "term").join(g.totals, ["concept", "term"]).where("uses > 0").select("concept")
+    places = vocabulary.by_token(g.tok_occ).select(F.col("token").alias("new"), "path")
+    met = places.join(rows.select("new", "concept", "prefixes").distinct(), "new").where(in_scope(F.col("path"), F.col("prefixes"))).select("new", "concept").distinct()
+    rows = rows.join(used, "concept", "left_semi").join(met, ["new", "concept"], "left_semi")
+    strength = F.when(F.col("similarity") >= STRONG, "strong").when(F.col("similarity") >= MODERATE, "moderate").otherwise("weak")
     return rows.select(*finding("parallel-term", F.concat_ws(":", "concept", "new"), signal=strength, value=F.col("similarity")))
 
 
@@ -66,55 +73,111 @@ def canonical_fading(g: Glossary) -> DataFrame:
     return rows.where(signal.isNotNull()).select(*finding("canonical-fading", F.concat_ws(":", "concept", "term"), signal=signal, value=F.col("uses").cast("double")))
 
 
+#: Modules and contexts of an overload candidate that its evidence holds in full.
+SHOWN_MODULES, SHOWN_CONTEXTS = 4, 5
+
+
+def scoped_dispersion(g: Glossary, dispersion: DataFrame) -> DataFrame:
+    """(concept, term, whole, dispersion): divergent terms taken again over the modules in a scoped concept's scope.
+
+    whole: the evidence holds all modules and contexts of the term; else nothing
+    can be said. dispersion is null without LEAST_MODULES modules in scope.
+    """
+    wanted = g.index().where("prefixes is not null").join(dispersion.where("divergent").select(F.col("term").alias("token")), "token", "left_semi")
+    near = vocabulary.neighbor_pairs(g.tok_occ, ["module"], wanted.select("token").distinct()).select(F.col("a").alias("token"), "module", "b")
+    sets = near.groupBy("token", "module").agg(F.collect_set("b").alias("s"))
+    whole = sets.groupBy("token").agg(((F.count("*") <= SHOWN_MODULES) & (F.max(F.size("s")) <= SHOWN_CONTEXTS)).alias("whole"))
+    own = wanted.join(whole, "token")
+    inside = own.where("whole").join(sets, "token").where(in_scope(F.col("module"), F.col("prefixes"))).select("concept", "token", "module", "s")
+    two = inside.select("concept", F.col("module").alias("m2"), F.col("s").alias("s2"))
+    jac = F.size(F.array_intersect("s", "s2")) / F.size(F.array_union("s", "s2"))
+    # LEAST_MODULES modules make three pairs or more.
+    again = inside.join(two, "concept").where("module < m2").groupBy("concept").agg(F.round(1 - F.avg(jac), 3).alias("dispersion"), F.count("*").alias("pairs"))
+    return own.join(again.where(F.col("pairs") >= LEAST_MODULES * (LEAST_MODULES - 1) // 2), "concept", "left").select("concept", F.col("token").alias("term"), "whole", "dispersion")
+
+
 def canonical_overloaded(g: Glossary, dispersion: DataFrame) -> DataFrame:
-    rows = dispersion.where("divergent").join(g.index().where("prefixes is null"), F.col("term") == F.col("token"))
+    """Canonical terms of divergent contexts, a scoped concept's over the modules in its scope."""
+    rows = dispersion.where("divergent").join(g.index().where("prefixes is null"), F.col("term") == F.col("token")).select("concept", "term", "dispersion")
+    rows = rows.union(scoped_dispersion(g, dispersion).where(F.col("dispersion") >= DIVERGENT).select("concept", "term", "dispersion"))
     strength = F.when(F.col("dispersion") >= 0.95, "strong").otherwise("moderate")
     return rows.select(*finding("canonical-overloaded", F.concat_ws(":", "concept", "term"), signal=strength, value=F.col("dispersion")))
 
 
-def bindings(g: Glossary, paths: DataFrame) -> DataFrame:
-    """(concept, ref, state): resolved, out-of-scope or unresolved, for symbol: and path: references."""
+def exists_confined(root: str | None, relative: str) -> bool:
+    """Whether a path names something inside ``root``; absolute paths, ``..`` and links that lead out read as absent."""
+    if not root or not relative or os.path.isabs(relative) or ".." in relative.split("/"):
+        return False
+    top, at = os.path.realpath(root), os.path.realpath(os.path.join(root, relative))
+    return os.path.exists(at) and (at == top or at.startswith(top + os.sep))
+
+
+def bindings(g: Glossary, paths: DataFrame, excluded: Sequence[str] = (), complete: bool = True, root: str | None = None) -> DataFrame:
+    """(concept, ref, state) for symbol:, file: and module: references: resolved, out-of-scope, uncertain or unresolved.
+
+    ``paths(path)``: files the evidence knows. A file or module it doesn't know is
+    uncertain if the inventory isn't complete, if it lies under an ``excluded``
+    path, which was left unread, or if it exists inside ``root``.
+    """
+    # At most as many bindings as a glossary may hold are looked up on the driver's disk.
     refs = g.rows.select(F.col("id").alias("concept"), "prefixes", F.explode("bindings").alias("ref")).withColumn("what", F.regexp_extract("ref", "^([^:]*):", 1)).withColumn("key", F.regexp_replace("ref", "^[^:]*:", ""))
-    symbols = refs.where("what = 'symbol'").join(g.tok_occ.select(F.col("name").alias("key"), "path").distinct(), "key", "left")
-    parts = F.split("path", "/")
-    heads = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("key"))
-    places = refs.where("what = 'path'").join(heads, "key", "left")
-    inside = F.col("path").isNotNull() & (F.col("prefixes").isNull() | F.coalesce(F.exists("prefixes", lambda p: under(F.col("path"), p)), F.lit(False)))
-    rows = symbols.select("concept", "ref", "path", "prefixes").union(places.select("concept", "ref", "path", "prefixes"))
-    got = rows.groupBy("concept", "ref").agg(F.max(F.col("path").isNotNull()).alias("there"), F.max(inside).alias("inside"))
-    return got.select("concept", "ref", F.when(F.col("inside"), "resolved").when(F.col("there"), "out-of-scope").otherwise("unresolved").alias("state"))
+    refs = lexical.normalize_text(refs, "key", form="NFC")
+    if root:
+        there = [k["key"] for k in refs.where("what != 'symbol'").select("key").distinct().collect() if exists_confined(root, k["key"])]
+        excluded = [*excluded, *there]
+    held = paths.sparkSession.createDataFrame([(p,) for p in excluded], "skipped string")
+    symbols = refs.where("what = 'symbol'").join(g.tok_occ.select(F.col("name").alias("key"), "path").distinct(), "key", "left").select("concept", "ref", "path", "prefixes", F.lit(False).alias("maybe"))
+    known = paths.select(F.col("path").alias("key"), F.lit("file").alias("what")).union(paths.select(module_of(F.col("path")), F.lit("module"))).distinct()
+    places = refs.where("what != 'symbol'").join(known.withColumn("path", F.col("key")), ["what", "key"], "left")
+    unread = refs.join(held, under(F.col("key"), F.col("skipped"))).select("concept", "ref").distinct().withColumn("maybe", F.lit(True))
+    places = places.join(unread, ["concept", "ref"], "left").select("concept", "ref", "path", "prefixes", (F.coalesce("maybe", F.lit(False)) | F.lit(not complete)).alias("maybe"))
+    inside = F.col("path").isNotNull() & in_scope(F.col("path"), F.col("prefixes"))
+    got = symbols.union(places).groupBy("concept", "ref").agg(F.max(F.col("path").isNotNull()).alias("there"), F.max(inside).alias("inside"), F.max("maybe").alias("maybe"))
+    return got.select("concept", "ref", F.when(F.col("inside"), "resolved").when(F.col("there"), "out-of-scope").when(F.col("maybe"), "uncertain").otherwise("unresolved").alias("state"))
 
 
 def binding_findings(states: DataFrame) -> DataFrame:
-    return states.where("state != 'resolved'").select(F.concat(F.lit("binding-"), "state").alias("kind"), F.concat_ws(":", "concept", "ref").alias("subject"), F.lit(None).cast("string").alias("signal_strength"), F.lit("observed").alias("certainty"), F.lit(None).cast("double").alias("value"))
+    return states.where("state in ('unresolved', 'out-of-scope')").select(F.concat(F.lit("binding-"), "state").alias("kind"), F.concat_ws(":", "concept", "ref").alias("subject"), F.lit(None).cast("string").alias("signal_strength"), F.lit("observed").alias("certainty"), F.lit(None).cast("double").alias("value"))
 
 
 def orphaned_concepts(g: Glossary, states: DataFrame) -> DataFrame:
-    """Unscoped canonical concepts with at most two uses and no resolved binding."""
-    held = states.where("state = 'resolved'").select("concept").distinct()
-    rows = g.canonical.where(F.size("tokens") > 0).select("concept", "term").join(g.totals, ["concept", "term"]).where("uses <= 2").join(held, "concept", "left_anti").join(g.scopes.where("prefixes is null"), "concept", "left_semi")
+    """Canonical concepts with at most two uses in their scope and no binding that is resolved or uncertain."""
+    held = states.where("state in ('resolved', 'uncertain')").select("concept").distinct()
+    rows = g.canonical.where(F.size("tokens") > 0).select("concept", "term").join(g.totals, ["concept", "term"]).where("uses <= 2").join(held, "concept", "left_anti")
     return rows.select(*finding("orphaned-concept", F.col("concept"), signal=F.when(F.col("uses") == 0, "strong").otherwise("moderate"), value=F.col("uses").cast("double")))
 
 
 def fragmentation(g: Glossary, least: int = 5) -> DataFrame:
     rows = g.canonical.select("concept", "term").join(g.totals, ["concept", "term"]).where(F.col("modules") >= least)
-    return rows.select(*finding("fragmentation", F.col("concept"), signal=F.lit("moderate"), value=F.col("modules").cast("double")))
+    return rows.select(*finding("fragmentation", F.col("concept"), signal=F.lit("weak"), value=F.col("modules").cast("double")))
 
 
 def structural(strengths: DataFrame, summary: DataFrame) -> dict[str, DataFrame]:
-    """unnamed-structure, boundary-mismatch and overloaded-structural-region from group and concept strengths."""
+    """unnamed-structure, boundary-mismatch and overloaded-structural-region from group and concept strengths.
+
+    Boundary pairs are those of a group's first concepts, as many as a report
+    shows, with all others; ``boundary_totals`` counts all.
+    """
     named = strengths.select("group").distinct()
     unnamed = summary.join(named, "group", "left_anti")
     strong = strengths.where("strength >= 2").select("group", "concept")
-    pairs = strong.join(strong.withColumnRenamed("concept", "other"), "group").where("concept < other")  # a group has few concepts
+    # A pair stems from its later concept: only the first concepts of a group come before, so the pairs stay few.
+    ranked = strong.withColumn("at", F.row_number().over(Window.partitionBy("group").orderBy("concept")))
+    pairs = ranked.where(F.col("at") <= LIMITS["findings"]).drop("at").join(strong.withColumnRenamed("concept", "other"), "group").where("concept < other")
     many = strong.groupBy("group").agg(F.count("*").alias("concepts")).where("concepts >= 3")
     return {
         "unnamed": unnamed.select(*finding("unnamed-structure", F.col("group"), signal=F.when(F.col("size") >= 5, "strong").otherwise("moderate"), value=F.col("size").cast("double"))),
         "boundary": pairs.select(*finding("boundary-mismatch", F.concat_ws(":", "group", "concept", "other"), signal=F.lit("moderate"), value=F.lit(None).cast("double"))),
-        "overloaded": many.select(*finding("overloaded-structural-region", F.col("group"), signal=F.lit("strong"), value=F.col("concepts").cast("double"))),
+        "overloaded": many.select(*finding("overloaded-structural-region", F.col("group"), signal=F.lit("moderate"), value=F.col("concepts").cast("double"))),
     }
 
 
+def boundary_totals(strengths: DataFrame) -> DataFrame:
+    """(total): the number of pairs of concepts that strongly match one group, without making them."""
+    n = F.count("*")
+    return strengths.where("strength >= 2").groupBy("group").agg((n * (n - 1) / 2).cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+
+
 def drift(g: Glossary, synonyms: DataFrame, dispersion: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [parallel_terms(g, synonyms), watched_in_use(g), canonical_fading(g), canonical_overloaded(g, dispersion)])
 
@@ -139,14 +202,14 @@ def precision_recall(found: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def concept_tokens(g: Glossary) -> DataFrame:
-    """(concept, token): the canonical terms' tokens and those of their symbol bindings; scoped concepts stay out."""
+    """(concept, token, own): the canonical terms' tokens, own, and those of their symbol bindings; scoped concepts stay out."""
     open_ = g.scopes.where("prefixes is null").select("concept")
-    own = g.canonical.select("concept", F.explode("tokens").alias("token"))
+    own = g.canonical.select("concept", F.explode("tokens").alias("token"), F.lit(True).alias("own"))
     symbols = g.rows.where("status = 'canonical'").select(F.col("id").alias("concept"), F.explode("bindings").alias("ref")).where(F.col("ref").startswith("symbol:"))
     symbols = symbols.select("concept", F.substring("ref", len("symbol:") + 1, LIMITS["label_chars"]).alias("name"))
     split = lexical.tokenize_distinct(symbols.select("name").distinct())
-    own = own.union(symbols.join(split, "name").select("concept", F.explode("tokens").alias("token")))
-    return own.join(open_, "concept", "left_semi").distinct()
+    own = own.union(symbols.join(split, "name").select("concept", F.explode("tokens").alias("token"), F.lit(False)))
+    return own.join(open_, "concept", "left_semi").groupBy("concept", "token").agg(F.max("own").alias("own"))
 
 
 def strengths(g: Glossary, nodes: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from itertools import combinations
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexical
 from ..functions.fixed import LIMITS
 
 SCHEMA = "id string, term string, definition string, status string, prefixes array<string>, aliases array<struct<term:string,status:string,note:string>>, bindings array<string>, notes string"
-STATUSES, ALIAS_STATUSES = ("canonical", "proposed", "discouraged", "deprecated"), ("discouraged", "deprecated")
+#: Statuses of concepts and aliases, kinds of bindings, and the fields of each part.
+STATUSES = ("canonical", "proposed", "alias", "discouraged", "deprecated", "unknown")
+BINDING_KINDS = ("symbol", "file", "module")
+ALIAS_FIELDS, BINDING_FIELDS = {"term", "status", "note"}, {"ref"}
 FIELDS = {"id", "term", "definition", "status", "scope", "aliases", "bindings", "notes"}
 UNSAFE = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f‎‏‪-‮⁦-⁩\ud800-\udfff]")
 
@@ -23,59 +28,122 @@ STANDING = {
         {"id": "promo", "term": "Promo", "definition": "An offer.", "status": "canonical"},
         {"id": "part", "term": "Part Type", "definition": "A kind of part.", "status": "canonical", "aliases": [{"term": "standard", "status": "discouraged"}]},
         {"id": "urgent", "term": "Urgent", "definition": "First in line.", "status": "canonical", "scope": {"path_prefixes": ["orders"]}},
-        {"id": "purchase", "term": "Purchase", "definition": "Goods for money.", "status": "canonical", "bindings": [{"ref": "symbol:purchase"}, {"ref": "path:events"}]},
-        {"id": "workspace", "term": "Workspace", "definition": "A place.", "status": "canonical", "bindings": [{"ref": "symbol:Workspace"}, {"ref": "path:nowhere"}]},
+        {"id": "purchase", "term": "Purchase", "definition": "Goods for money.", "status": "canonical", "bindings": [{"ref": "symbol:purchase"}, {"ref": "module:events"}]},
+        {"id": "workspace", "term": "Workspace", "definition": "A place.", "status": "canonical", "bindings": [{"ref": "symbol:Workspace"}, {"ref": "file:nowhere/at.sql"}, {"ref": "module:events/purchase.py"}]},
         {"id": "small", "term": "Small Plated", "definition": "Finish.", "status": "deprecated"},
         {"id": "steel", "term": "Steel", "definition": "A metal.", "status": "canonical"},
-        {"id": "segment", "term": "Building", "definition": "A segment.", "status": "canonical", "scope": {"path_prefixes": ["customer"]}},
+        {"id": "segment", "term": "Building", "definition": "A segment.", "status": "canonical", "scope": {"path_prefixes": ["customer"]}, "bindings": [{"ref": "file:customer/segments.sql"}, {"ref": "file:tools/size.py"}]},
+        {"id": "widget", "term": "Widget", "definition": "A part.", "status": "canonical"},
+        {"id": "bolt", "term": "Bolt", "definition": "A fastener.", "status": "canonical", "aliases": [{"term": "Gizmo", "status": "alias"}]},
+        {"id": "ring", "term": "Cold Ring", "definition": "A part at rest.", "status": "canonical"},
+        {"id": "drone", "term": "Drone", "definition": "Not made here.", "status": "canonical", "bindings": [{"ref": "file:vendor/drone.c"}]},
     ],
 }
 
 
+def fold_vocabulary(term: str) -> str:
+    """The identity of a term: its words before any filter, so ``AlphaBeta`` and ``alpha_beta`` are one; without words its folded text."""
+    words = lexical.split_term(term)
+    return " ".join(words) if words else unicodedata.normalize("NFKC", term.strip()).casefold()
+
+
+def _text(value: object, most: int, needed: bool = True) -> bool:
+    return isinstance(value, str) and len(value) <= most and not UNSAFE.search(value) and (not needed or bool(value.strip()))
+
+
+def _scope_problem(scope: object) -> str | None:
+    prefixes = scope.get("path_prefixes") if isinstance(scope, dict) else None
+    if not isinstance(scope, dict) or set(scope) - {"path_prefixes"} or not isinstance(prefixes, list) or not prefixes or any(not valid_prefix(p) for p in prefixes):
+        return "needs literal path prefixes"
+    # In order, a prefix is followed by what lies beneath it.
+    ordered = sorted((p + "/" for p in prefixes))
+    return "prefixes overlap" if any(b.startswith(a) for a, b in zip(ordered, ordered[1:])) else None
+
+
+def _owners_meet(owners: list[tuple[str, tuple[str, ...] | None]]) -> tuple[str, str] | None:
+    """Two concepts whose scopes meet, of the (concept, prefixes) that claim a word; one sort, not all pairs."""
+    by_path: list[tuple[str, str]] = []
+    whole: list[str] = []
+    for concept, prefixes in owners:
+        if prefixes is None:
+            whole.append(concept)
+        else:
+            by_path += [(p + "/", concept) for p in prefixes]
+    names = sorted({c for c, _ in owners})
+    if whole and len(names) > 1:
+        return whole[0], next(n for n in names if n != whole[0])
+    open_: list[tuple[str, str]] = []
+    for path, concept in sorted(by_path):
+        while open_ and not path.startswith(open_[-1][0]):
+            open_.pop()
+        for _, other in open_:
+            if other != concept:
+                return other, concept
+        open_.append((path, concept))
+    return None
+
+
 def validate(doc: dict) -> list[str]:
     """Messages about what is wrong, at most a hundred; a valid glossary has none."""
     bad: list[str] = []
     if not isinstance(doc, dict) or set(doc) - {"schema_version", "concepts"} or doc.get("schema_version") != 1 or not isinstance(doc.get("concepts"), list):
         return ["a glossary has schema_version 1 and a list of concepts, nothing else"]
-    if len(doc["concepts"]) > LIMITS["glossary_concepts"]:
-        return ["too many concepts"]
+    concepts = doc["concepts"]
+    count = lambda k: sum(len(c[k]) for c in concepts if isinstance(c, dict) and isinstance(c.get(k), list))
+    for what, n, most in (("concepts", len(concepts), LIMITS["glossary_concepts"]), ("aliases", count("aliases"), LIMITS["glossary_aliases"]), ("bindings", count("bindings"), LIMITS["glossary_bindings"])):
+        if n > most:
+            return [f"over {most} {what}"]
     seen: set[str] = set()
-    owned: dict[str, list[tuple[str, list[str] | None]]] = {}
-    for i, c in enumerate(doc["concepts"]):
+    owned: dict[str, list[tuple[str, tuple[str, ...] | None]]] = {}
+    for i, c in enumerate(concepts):
         at = f"concepts[{i}]"
         if not isinstance(c, dict):
             bad.append(f"{at}: not an object")
             continue
         bad += [f"{at}: unknown field {k}" for k in sorted(set(c) - FIELDS)]
         for k, most in (("id", 1024), ("term", 1024), ("definition", 16_384)):
-            v = c.get(k)
-            if not isinstance(v, str) or not v.strip() or len(v) > most or UNSAFE.search(v):
+            if not _text(c.get(k), most):
                 bad.append(f"{at}.{k}: needs safe text of 1 to {most} characters")
+        if "notes" in c and not _text(c["notes"], 16_384, needed=False):
+            bad.append(f"{at}.notes: needs safe text of at most 16384 characters")
         if c.get("status") not in STATUSES:
             bad.append(f"{at}.status: one of {', '.join(STATUSES)}")
-        if c.get("id") in seen:
-            bad.append(f"{at}.id: repeated")
-        seen.add(c.get("id"))
-        scope = c.get("scope")
-        prefixes = scope.get("path_prefixes") if isinstance(scope, dict) else None
-        if scope is not None and (not isinstance(prefixes, list) or not prefixes or any(not valid_prefix(p) for p in prefixes)):
-            bad.append(f"{at}.scope: needs literal path prefixes")
-        elif prefixes and any(a == b or b.startswith(a + "/") or a.startswith(b + "/") for a, b in combinations(prefixes, 2)):
-            bad.append(f"{at}.scope: prefixes overlap")
+        if isinstance(c.get("id"), str):
+            if c["id"] in seen:
+                bad.append(f"{at}.id: repeated")
+            seen.add(c["id"])
+        prefixes = None
+        if "scope" in c:
+            problem = _scope_problem(c["scope"])
+            if problem:
+                bad.append(f"{at}.scope: {problem}")
+            else:
+                prefixes = tuple(c["scope"]["path_prefixes"])
         names = [c.get("term")]
-        for a in c.get("aliases") or []:
-            if not isinstance(a, dict) or a.get("status") not in ALIAS_STATUSES or not isinstance(a.get("term"), str):
-                bad.append(f"{at}.aliases: each has a term and a status of {', '.join(ALIAS_STATUSES)}")
+        aliases = c.get("aliases", [])
+        if not isinstance(aliases, list):
+            bad.append(f"{at}.aliases: a list")
+            aliases = []
+        for j, a in enumerate(aliases):
+            if not isinstance(a, dict) or set(a) - ALIAS_FIELDS or a.get("status") not in STATUSES or not _text(a.get("term"), 1024) or ("note" in a and not _text(a["note"], 16_384, needed=False)):
+                bad.append(f"{at}.aliases[{j}]: a term, a status of {', '.join(STATUSES)} and perhaps a note")
             else:
                 names.append(a["term"])
-        for n in names:
-            if isinstance(n, str):
-                owned.setdefault(" ".join(n.lower().replace("_", " ").split()), []).append((c.get("id"), prefixes))
+        bindings = c.get("bindings", [])
+        if not isinstance(bindings, list):
+            bad.append(f"{at}.bindings: a list")
+            bindings = []
+        for j, b in enumerate(bindings):
+            kind, colon, value = b["ref"].partition(":") if isinstance(b, dict) and isinstance(b.get("ref"), str) else ("", "", "")
+            if not isinstance(b, dict) or set(b) - BINDING_FIELDS or not _text(b.get("ref"), 1024) or kind not in BINDING_KINDS or not value.strip():
+                bad.append(f"{at}.bindings[{j}]: a ref of {', '.join(k + ':' for k in BINDING_KINDS)} and a name")
+        for own in {fold_vocabulary(n) for n in names if isinstance(n, str)}:
+            owned.setdefault(own, []).append((str(c.get("id")), prefixes))
     for word, own in owned.items():
-        for (a, pa), (b, pb) in combinations(own, 2):
-            if a != b and (not pa or not pb or any(x == y or x.startswith(y + "/") or y.startswith(x + "/") for x in pa for y in pb)):
-                bad.append(f"{word}: owned by {a} and {b} in overlapping scopes")
-    return bad[:100]
+        met = _owners_meet(own) if len(own) > 1 else None
+        if met:
+            bad.append(f"{word}: owned by {met[0]} and {met[1]} in overlapping scopes")
+    return bad if len(bad) <= 100 else [*bad[:100], f"{len(bad) - 100} more"]
 
 
 def valid_prefix(p: object) -> bool:
@@ -101,3 +169,8 @@ def all_terms(glossary: DataFrame) -> DataFrame:
 
 def canonical_json(doc: dict) -> str:
     return json.dumps(doc, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+
+
+def digest(doc: dict) -> str:
+    """SHA-256 of the canonical JSON, in hex: binds what is derived from a glossary to it."""
+    return hashlib.sha256(canonical_json(doc).encode()).hexdigest()

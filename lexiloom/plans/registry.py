@@ -432,18 +432,23 @@ def canonical_fading(spark, sf):
     return checks.canonical_fading(_glossary(spark, sf))
 
 
-@query(f"WITH {IDENT}, {_USES} SELECT 'fragmentation' AS kind, concept AS subject, 'moderate' AS signal_strength, NULL::VARCHAR AS certainty, modules::DOUBLE AS value FROM totals WHERE status = 'canonical' AND modules >= 5")
+@query(f"WITH {IDENT}, {_USES} SELECT 'fragmentation' AS kind, concept AS subject, 'weak' AS signal_strength, NULL::VARCHAR AS certainty, modules::DOUBLE AS value FROM totals WHERE status = 'canonical' AND modules >= 5")
 def fragmentation(spark, sf):
     return checks.fragmentation(_glossary(spark, sf))
 
 
-_BIND = """refs(concept, what, key) AS (VALUES ('purchase', 'symbol', 'purchase'), ('purchase', 'path', 'events'), ('workspace', 'symbol', 'Workspace'), ('workspace', 'path', 'nowhere')),
-bind AS (SELECT concept, what || ':' || key AS ref, CASE WHEN EXISTS (SELECT 1 FROM occ WHERE CASE what WHEN 'symbol' THEN name = key ELSE path = key OR starts_with(path, key || '/') END) THEN 'resolved' ELSE 'unresolved' END AS state FROM refs)"""
+#: A folder that the standing evidence left unread.
+UNREAD = "vendor"
+_REFS = ", ".join(f"('{c['id']}', '{kind}', '{key}')" for c in glossaries.STANDING["concepts"] for b in c.get("bindings", []) for kind, _, key in [b["ref"].partition(":")])
+_BIND = f"""refs(concept, what, key) AS (VALUES {_REFS}), {_values()},
+places AS (SELECT 'symbol' AS what, name AS key, path FROM occ UNION ALL SELECT 'file', path, path FROM occ UNION ALL SELECT 'module', regexp_replace(path, '/[^/]*$', ''), regexp_replace(path, '/[^/]*$', '') FROM occ),
+bind AS (SELECT r.concept, what || ':' || key AS ref, CASE WHEN EXISTS (SELECT 1 FROM places p WHERE p.what = r.what AND p.key = r.key AND (r.concept NOT IN (SELECT concept FROM scopes) OR EXISTS (SELECT 1 FROM scopes s WHERE s.concept = r.concept AND (p.path = prefix OR starts_with(p.path, prefix || '/'))))) THEN 'resolved'
+   WHEN EXISTS (SELECT 1 FROM places p WHERE p.what = r.what AND p.key = r.key) THEN 'out-of-scope' WHEN what != 'symbol' AND starts_with(key, '{UNREAD}/') THEN 'uncertain' ELSE 'unresolved' END AS state FROM refs r)"""
 
 
 def _bindings(spark, sf) -> tuple[checks.Glossary, DataFrame]:
     g = _glossary(spark, sf)
-    return g, checks.bindings(g, g.tok_occ.select("path").distinct())
+    return g, checks.bindings(g, g.tok_occ.select("path").distinct(), excluded=[UNREAD])
 
 
 @query(f"WITH {IDENT}, {_BIND} SELECT concept, ref, state FROM bind")
@@ -451,14 +456,16 @@ def binding_states(spark, sf):
     return _bindings(spark, sf)[1]
 
 
-@query(f"""WITH {IDENT}, {_USES}, {_BIND} SELECT 'orphaned-concept' AS kind, concept AS subject, CASE WHEN uses = 0 THEN 'strong' ELSE 'moderate' END AS signal_strength, NULL::VARCHAR AS certainty, uses::DOUBLE AS value
-FROM totals WHERE status = 'canonical' AND uses <= 2 AND concept NOT IN (SELECT concept FROM scopes) AND concept NOT IN (SELECT concept FROM bind WHERE state = 'resolved')""")
+@query(f"""WITH {IDENT}, {_USES}, {_BIND.replace(_values() + ",", "")} SELECT 'orphaned-concept' AS kind, concept AS subject, CASE WHEN uses = 0 THEN 'strong' ELSE 'moderate' END AS signal_strength, NULL::VARCHAR AS certainty, uses::DOUBLE AS value
+FROM totals WHERE status = 'canonical' AND len(toks) > 0 AND uses <= 2 AND concept NOT IN (SELECT concept FROM bind WHERE state IN ('resolved', 'uncertain'))""")
 def orphaned_concepts(spark, sf):
     return checks.orphaned_concepts(*_bindings(spark, sf))
 
 
-@query(f"""WITH {PART}, {_SYN} SELECT 'parallel-term' AS kind, 'steel:' || CASE WHEN a = 'steel' THEN b ELSE a END AS subject, CASE WHEN similarity >= 0.7 THEN 'strong' ELSE 'moderate' END AS signal_strength, NULL::VARCHAR AS certainty, similarity AS value
-FROM syn WHERE (a = 'steel') != (b = 'steel') AND CASE WHEN a = 'steel' THEN b ELSE a END NOT IN ('promo', 'part', 'type', 'standard', 'urgent', 'purchase', 'workspace', 'small', 'plated', 'building')""")
+@query(f"""WITH {PART}, {_SYN}, {_USES}, idx AS (SELECT concept, toks[1] AS token FROM terms WHERE status = 'canonical' AND len(toks) = 1 AND concept NOT IN (SELECT concept FROM scopes) AND (concept, term) IN (SELECT concept, term FROM totals WHERE uses > 0)),
+par AS (SELECT s.*, i.concept, CASE WHEN s.a = i.token THEN s.b ELSE s.a END AS new FROM syn s JOIN idx i ON i.token IN (s.a, s.b))
+SELECT 'parallel-term' AS kind, concept || ':' || new AS subject, CASE WHEN similarity >= 0.7 THEN 'strong' WHEN similarity >= 0.55 THEN 'moderate' ELSE 'weak' END AS signal_strength, NULL::VARCHAR AS certainty, similarity AS value
+FROM par WHERE new NOT IN (SELECT unnest(toks) FROM terms)""")
 def parallel_terms(spark, sf):
     occ = corpora.tok(corpora.part_occ(spark, sf))
     g = checks.Glossary(glossaries.to_frame(spark, glossaries.STANDING), occ, _docs(spark, sf))
@@ -472,13 +479,12 @@ def _strengths(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 _STR = f"""{_values()}, ct AS (SELECT DISTINCT concept, unnest(toks) AS token FROM terms t WHERE status = 'canonical' AND concept NOT IN (SELECT concept FROM scopes)),
-need AS (SELECT concept, count(*) AS need FROM ct GROUP BY concept),
 mt AS (SELECT DISTINCT community AS "group", unnest({corpora.sql_tokens("label")}) AS token FROM nodes),
 lt AS (SELECT DISTINCT community AS "group", unnest({corpora.sql_tokens("community_name")}) AS token FROM nodes),
-ls AS (SELECT "group", count(*) AS ls FROM lt GROUP BY 1),
-il AS (SELECT "group", concept, count(*) AS il FROM lt JOIN ct USING (token) GROUP BY ALL),
-ia AS (SELECT "group", concept, count(*) AS ia FROM (SELECT * FROM mt UNION SELECT * FROM lt) JOIN ct USING (token) GROUP BY ALL),
-st AS (SELECT "group", concept, (CASE WHEN coalesce(il, 0) = need AND coalesce(ls, 0) = need THEN 3 WHEN ia = need THEN 2 ELSE 1 END)::BIGINT AS strength FROM ia LEFT JOIN il USING ("group", concept) JOIN need USING (concept) LEFT JOIN ls USING ("group"))"""
+gt AS (SELECT "group", list(token) AS tokens FROM (SELECT * FROM mt UNION SELECT * FROM lt) GROUP BY 1),
+gl AS (SELECT "group", list(token) AS tokens FROM lt GROUP BY 1),
+cs AS (SELECT concept, list(token) AS need FROM ct GROUP BY concept),
+st AS (SELECT gt."group", concept, (CASE WHEN list_has_all(coalesce(gl.tokens, []), need) THEN 3 WHEN list_has_all(gt.tokens, need) THEN 2 ELSE 1 END)::BIGINT AS strength FROM gt JOIN cs ON list_has_any(gt.tokens, need) LEFT JOIN gl ON gl."group" = gt."group")"""
 
 
 @query(f'WITH {_GRAPH}, {_STR} SELECT "group", concept, strength FROM st')
@@ -496,7 +502,7 @@ def boundary_pairs(spark, sf):
     return checks.structural(*_strengths(spark, sf))["boundary"]
 
 
-@query(f"""WITH {_GRAPH}, {_STR} SELECT 'overloaded-structural-region' AS kind, "group" AS subject, 'strong' AS signal_strength, NULL::VARCHAR AS certainty, count(*)::DOUBLE AS value FROM st WHERE strength >= 2 GROUP BY "group" HAVING count(*) >= 3""")
+@query(f"""WITH {_GRAPH}, {_STR} SELECT 'overloaded-structural-region' AS kind, "group" AS subject, 'moderate' AS signal_strength, NULL::VARCHAR AS certainty, count(*)::DOUBLE AS value FROM st WHERE strength >= 2 GROUP BY "group" HAVING count(*) >= 3""")
 def overloaded_regions(spark, sf):
     return checks.structural(*_strengths(spark, sf))["overloaded"]
 
