@@ -7,6 +7,7 @@ import json
 import os
 import sys
 
+from .functions.fixed import LIMITS
 from .plans import context, evidence, glossaries
 from .session import session
 from .sources import cache, documents, repository
@@ -36,11 +37,20 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     state, glossary = documents.read_json(os.path.join(at, "glossary.json"))
     if a.verb == "save":
-        doc = json.load(sys.stdin)
+        raw = sys.stdin.read(LIMITS["json_bytes"] + 1)
+        if len(raw) > LIMITS["json_bytes"]:
+            print(f"over {LIMITS['json_bytes']} characters", file=sys.stderr)
+            return 1
+        try:
+            doc = json.loads(raw)
+        except (ValueError, RecursionError):
+            print("not JSON", file=sys.stderr)
+            return 1
         if bad := glossaries.validate(doc):
             print("\n".join(bad), file=sys.stderr)
             return 1
-        documents.write_json(os.path.join(at, "glossary.json"), doc | {"concepts": sorted(doc["concepts"], key=lambda c: c["id"])})
+        scoped = [c | {"scope": {"path_prefixes": sorted(c["scope"]["path_prefixes"])}} if "scope" in c else c for c in doc["concepts"]]
+        documents.write_json(os.path.join(at, "glossary.json"), doc | {"concepts": sorted(scoped, key=lambda c: c["id"])})
         return 0
     if a.verb in ("brief", "show", "drift", "validate", "context-status", "sync-context"):
         if state != "ok" or (bad := glossaries.validate(glossary)):

@@ -36,9 +36,19 @@ def words_array(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in sorted(set(words))])
 
 
+#: Characters that every normal form leaves alone and that ``fold`` folds as Python does: ASCII, Latin letters up to
+#: U+0131 but for the compatibility characters, basic Greek and Cyrillic, common punctuation, kana and CJK ideographs.
+SETTLED = r"^[\x00-\x7F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\x{0131}\x{0391}-\x{03A1}\x{03A3}-\x{03A9}\x{03AC}-\x{03AF}\x{03B1}-\x{03CE}\x{0410}-\x{044F}\x{2013}\x{2014}\x{2018}-\x{201E}\x{2020}-\x{2022}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FA5}]*$"
+
+
 def fold(c: Column) -> Column:
-    """Case folding that is exact for ASCII and for Latin letters with one-to-one lower case and sharp s."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Case folding of settled text: lower case, sharp s as ss, and one sigma."""
+    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
+def is_settled(c: Column) -> Column:
+    """Whether a text is known to be in every normal form, by its characters alone."""
+    return c.rlike(SETTLED)
 
 
 def is_ascii(c: Column) -> Column:
@@ -65,9 +75,9 @@ def tokens(name: Column) -> Column:
 
 
 def doc_words(text: Column) -> Column:
-    """Prose words in order: folded, possessives cut, three letters or more, no stopwords."""
-    found = F.regexp_extract_all(text, F.lit(PROSE), F.lit(0))
-    bare = F.transform(found, lambda w: F.regexp_replace(fold(w), "['’]s$", ""))
+    """Prose words of a normalised text in order: folded, possessives cut, three letters or more, no stopwords."""
+    found = F.regexp_extract_all(fold(text), F.lit(PROSE), F.lit(0))
+    bare = F.transform(found, lambda w: F.regexp_replace(w, "['’]s$", ""))
     return F.filter(bare, lambda w: (F.length(w) >= LEAST_PROSE) & ~w.isin(STOPWORDS))
 
 
@@ -158,13 +168,15 @@ def tokenize_distinct(names: DataFrame, col: str = "name", out: str = "tokens",
 
 
 def normalize_text(texts: DataFrame, col: str, form: str = "NFKC") -> DataFrame:
-    """A Unicode normal form for the rows that need it; ASCII rows are not sent to Python."""
+    """A Unicode normal form (NFC, NFKC, or FOLD: NFKC, then case folding) for the rows that may need it; settled rows are not sent to Python."""
 
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
+        if form == "FOLD":  # folding can undo the form, and the form the folding
+            return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", x).casefold()))
         return s.map(lambda x: x if x is None else unicodedata.normalize(form, x))
 
-    plain = is_ascii(F.col(col)) | F.col(col).isNull()
+    plain = is_settled(F.col(col)) | F.col(col).isNull()
     return texts.where(plain).unionByName(texts.where(~plain).withColumn(col, normal(F.col(col))))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def ledger(total: int, included: int, exact: bool = True, reasons: list[str] | None = None) -> dict:
     """How complete a collection is: complete only if exact, nothing dropped and no reason given."""
@@ -43,10 +45,11 @@ def per_key(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame
 def locations(uses: DataFrame, key: str, k: int) -> DataFrame:
     """(key, locations, locations_truncated) of ``uses(key, path, n)``: the k paths with most uses."""
     per_path = uses.groupBy(key, "path").agg(F.sum("n").alias("count"))
-    sizes = per_path.groupBy(key).agg(F.count("*").alias("paths"))
-    best = per_key(per_path, [key], k, F.desc("count"), F.asc("path"))
-    lists = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path", "count"))), lambda x: F.struct(x["path"].alias("path"), x["count"].alias("count"))).alias("locations"))
-    return lists.join(sizes, key).select(key, "locations", (F.col("paths") > k).alias("locations_truncated"))
+    # One row beyond k tells whether more are left out, so paths needn't be counted.
+    best = per_key(per_path, [key], k + 1, F.desc("count"), F.asc("path"))
+    lists = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "path", "count"))).alias("all"))
+    shown = F.transform(F.slice("all", 1, k), lambda x: F.struct(x["path"].alias("path"), x["count"].alias("count")))
+    return lists.select(key, shown.alias("locations"), (F.size("all") > k).alias("locations_truncated"))
 
 
 def within_budget(df: DataFrame, cost: Column, budget: int, *order: Column) -> DataFrame:
@@ -55,8 +58,8 @@ def within_budget(df: DataFrame, cost: Column, budget: int, *order: Column) -> D
     Rows are dealt by range in the order, part sums are added up (one row a
     part), and only the running sums inside each part are ordered windows.
     """
-    parts = df.withColumn("cost", cost).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    parts = parts.persist()
+    # Written once: a deal by sampled ranges that was computed again could differ.
+    parts = cut(df.withColumn("cost", cost).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     sums = parts.groupBy("part").agg(F.sum("cost").alias("own"))
     before = sums.withColumn("before", F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
     run = F.sum("cost").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

@@ -18,13 +18,15 @@ DOC_OCC = "term string, path string, n long"
 
 
 def code_occurrences(files: DataFrame) -> DataFrame:
-    """ident_occ of ``files(path, module, language, text)``."""
+    """ident_occ of ``files(path, module, language, text)``, in NFKC."""
+    files = lexical.normalize_text(files.select("path", "module", "language", "text"), "text")
     found = files.select("path", "module", "language", F.explode(lexical.identifiers(F.col("text"), F.col("language"))).alias("name"))
     return found.groupBy("name", "path", "module", "language").agg(F.count("*").alias("n")).select("name", "path", "module", "language", "n")
 
 
 def doc_occurrences(files: DataFrame) -> DataFrame:
-    """doc_occ of ``files(path, text)``."""
+    """doc_occ of ``files(path, text)``, in NFKC and folded."""
+    files = lexical.normalize_text(files.select("path", "text"), "text", form="FOLD")
     return files.select("path", F.explode(lexical.doc_words(F.col("text"))).alias("term")).groupBy("term", "path").agg(F.count("*").alias("n"))
 
 
@@ -50,7 +52,10 @@ def identifier_counts(ident_occ: DataFrame) -> DataFrame:
 
 def token_counts(tok_occ: DataFrame) -> DataFrame:
     """(token, uses, files, modules, origin): a repeated token in a name counts each time; domain wins over language."""
-    return by_token(tok_occ).groupBy("token").agg(F.sum("n").alias("uses"), F.countDistinct("path").alias("files"), F.countDistinct("module").alias("modules"), F.when(F.max((F.col("origin") == "domain").cast("int")) == 1, "domain").otherwise("language").alias("origin"))
+    domain = F.max(F.col("origin") == "domain").alias("domain")
+    paths = by_token(tok_occ).groupBy("token", "module", "path").agg(F.sum("n").alias("n"), domain)  # a path is of one module
+    modules = paths.groupBy("token", "module").agg(F.sum("n").alias("n"), F.count("*").alias("files"), F.max("domain").alias("domain"))
+    return modules.groupBy("token").agg(F.sum("n").alias("uses"), F.sum("files").alias("files"), F.count("*").alias("modules"), F.when(F.max("domain"), "domain").otherwise("language").alias("origin"))
 
 
 def token_patterns(tok_occ: DataFrame) -> DataFrame:
@@ -83,4 +88,4 @@ def oversized(tok_occ: DataFrame, limit: int = LIMITS["identifier_tokens"]) -> D
 
 
 def doc_vocabulary(doc_occ: DataFrame) -> DataFrame:
-    return doc_occ.groupBy("term").agg(F.sum("n").alias("uses"), F.countDistinct("path").alias("files"))
+    return doc_occ.groupBy("term").agg(F.sum("n").alias("uses"), F.count("*").alias("files"))  # doc_occ has a row per term and path

@@ -100,6 +100,7 @@ def canonical_overloaded(g: Glossary, dispersion: DataFrame) -> DataFrame:
     """Canonical terms of divergent contexts, a scoped concept's over the modules in its scope."""
     rows = dispersion.where("divergent").join(g.index().where("prefixes is null"), F.col("term") == F.col("token")).select("concept", "term", "dispersion")
     rows = rows.union(scoped_dispersion(g, dispersion).where(F.col("dispersion") >= DIVERGENT).select("concept", "term", "dispersion"))
+    rows = rows.drop("term").join(g.canonical.where(F.size("tokens") == 1).select("concept", "term"), "concept")
     strength = F.when(F.col("dispersion") >= 0.95, "strong").otherwise("moderate")
     return rows.select(*finding("canonical-overloaded", F.concat_ws(":", "concept", "term"), signal=strength, value=F.col("dispersion")))
 

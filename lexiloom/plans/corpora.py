@@ -85,7 +85,7 @@ def sql_tokens(x: str) -> str:
 _L = r"\p{L}[\p{L}\p{M}\x{200C}\x{200D}]*"
 DOC = f"""doc_words AS (
   SELECT source || '/doc_' || doc_id || '.md' AS path, source AS module, lang,
-         regexp_replace(replace(lower(unnest(regexp_extract_all(text, '{_L}(?:[''’]{_L})*'))), 'ß', 'ss'), '[''’]s$', '') AS term
+         regexp_replace(replace(replace(lower(unnest(regexp_extract_all(nfc_normalize(text), '{_L}(?:[''’]{_L})*'))), 'ß', 'ss'), 'ς', 'σ'), '[''’]s$', '') AS term
   FROM documents),
 doc_occ AS (SELECT term, path, module, count(*) AS n FROM doc_words WHERE length(term) >= 3 AND term NOT IN ({_list(STOPWORDS)}) GROUP BY ALL),
 doc_counts AS (SELECT term, sum(n)::BIGINT AS uses, count(DISTINCT path) AS files FROM doc_occ GROUP BY term)"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexical, paths
 from ..functions.fixed import ROLE_DIRS
 from ..operators import graph, imports, naming, terminology, topk, vocabulary
+from ..sources.shared import cut
 from . import checks, corpora, glossaries
 from .corpora import BIGRAM, DOC, IDENT, PART, table
 
@@ -51,7 +52,8 @@ def doc_term_counts(spark, sf):
 
 @query(f"WITH {DOC} SELECT term, module, sum(n)::BIGINT AS uses FROM doc_occ GROUP BY ALL")
 def doc_terms_by_module(spark, sf):
-    occ = corpora.doc_files(spark, sf).select("module", F.explode(lexical.doc_words(F.col("text"))).alias("term"))
+    files = lexical.normalize_text(corpora.doc_files(spark, sf).select("module", "text"), "text", form="FOLD")
+    occ = files.select("module", F.explode(lexical.doc_words(F.col("text"))).alias("term"))
     return occ.groupBy("term", "module").agg(F.count("*").alias("uses"))
 
 
@@ -261,8 +263,10 @@ SELECT tc.token AS term, round(2 * modules + ln(1 + least(tc.uses, 100)) + 2 * l
  CASE WHEN v.dispersion >= 0.8 THEN '{naming.DISAMBIGUATE}' ELSE '{naming.CANONICAL}' END AS nomination, tc.uses, tc.files, tc.modules, coalesce(d.uses, 0)::BIGINT AS doc_mentions, compounds, compound_uses, false AS names_file
 FROM tc JOIN pc USING (token) LEFT JOIN doc_counts d ON d.term = tc.token LEFT JOIN (SELECT term, dispersion FROM disp) v ON v.term = tc.token WHERE tc.modules >= 2 AND tc.origin = 'domain' ORDER BY score DESC, term LIMIT 15""")
 def term_naming_score(spark, sf):
-    occ, disp = _dispersion(spark, sf)
-    return naming.term_scores(occ, vocabulary.token_counts(occ), _docs(spark, sf), disp)
+    # Four tables are made of the occurrences, so they are written once.
+    occ = cut(corpora.tok(corpora.bigram_occ(spark, sf)))
+    counts = cut(vocabulary.token_counts(occ))
+    return naming.term_scores(occ, counts, _docs(spark, sf), terminology.context_dispersion(occ, counts))
 
 
 # Imports: the pages' links as an include graph, and generated source files.
@@ -469,7 +473,7 @@ FROM par WHERE new NOT IN (SELECT unnest(toks) FROM terms)""")
 def parallel_terms(spark, sf):
     occ = corpora.tok(corpora.part_occ(spark, sf))
     g = checks.Glossary(glossaries.to_frame(spark, glossaries.STANDING), occ, _docs(spark, sf))
-    return checks.parallel_terms(g, _synonyms(spark, sf))
+    return checks.parallel_terms(g, cut(_synonyms(spark, sf)))
 
 
 def _strengths(spark, sf) -> tuple[DataFrame, DataFrame]:

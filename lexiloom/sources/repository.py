@@ -197,7 +197,7 @@ def declared_workspaces(classified: DataFrame, root: str) -> list[str]:
 
 def git_stamp(root: str) -> dict:
     """{head, dirty}; null where git can't tell. Hooks, filters and monitors are off, and it has 30 seconds."""
-    safe = ["git", "-C", root, "-c", "core.hooksPath=/dev/null", "-c", "core.fsmonitor=false"]
+    safe = ["git", "-C", root, "-c", "core.hooksPath=/dev/null", "-c", "core.fsmonitor=false", "-c", "core.quotePath=false"]
     env = {"PATH": os.environ.get("PATH", ""), "GIT_CONFIG_NOSYSTEM": "1", "GIT_OPTIONAL_LOCKS": "0", "LC_ALL": "C"}
 
     def ask(*args: str) -> str | None:
@@ -207,6 +207,10 @@ def git_stamp(root: str) -> dict:
             return None
         return r.stdout if r.returncode == 0 else None
 
+    # A driver that the repository's own settings name would run under status; each is emptied first.
+    named = ask("config", "--name-only", "--get-regexp", r"^filter\..*\.(clean|smudge|process|required)$") or ""
+    for driver in sorted({line.rpartition(".")[0] for line in named.splitlines() if line}):
+        safe += [x for key, value in (("clean", ""), ("smudge", ""), ("process", ""), ("required", "false")) for x in ("-c", f"{driver}.{key}={value}")]
     head, status = ask("rev-parse", "HEAD"), ask("status", "--porcelain")
     return {"head": head.strip() if head else None, "dirty": bool(status) if status is not None else None}
 

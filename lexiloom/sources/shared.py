@@ -11,5 +11,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and written once to ``spark.checkpoint.dir``; a temp folder only where that is unset, as in tests."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
