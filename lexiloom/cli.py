@@ -8,7 +8,7 @@ import os
 import sys
 
 from .functions.fixed import LIMITS
-from .plans import context, evidence, glossaries
+from .plans import context, evidence, glossaries, report
 from .session import session
 from .sources import cache, documents, repository
 
@@ -69,8 +69,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{a.file}: was {state}")
             return int(state == "uninspectable" or (state == "edited" and not a.repair))
         if a.verb == "show":
-            for c in glossary["concepts"]:
-                print(f"{c['id']}\t{c['status']}\t{c['term']}\t{c['definition']}")
+            print("\n".join(report.glossary_lines(glossary)))
             return 0
     state, config = documents.read_json(os.path.join(a.root, "lexiloom.json"))
     if state not in ("ok", "absent"):
@@ -81,16 +80,20 @@ def main(argv: list[str] | None = None) -> int:
     reuse = cache.ExtractionCache(spark, entries) if entries and shared and not a.no_cache else None
     e = evidence.scan(spark, os.path.abspath(a.root), repository.Config.parse(config) if state == "ok" else None, reuse, a.graph)
     if a.verb in ("drift", "validate"):
-        check = evidence.drift if a.verb == "drift" else evidence.validation
-        found = [r.asDict() for r in check(spark, e, glossary).orderBy("kind", "subject").collect()]
-        documents.write_json(os.path.join(at, f"{a.verb}.json"), {"findings": found})
-        for f in found:
-            print(f"{f['kind']}\t{f['subject']}\t{f['signal_strength'] or f['certainty']}")
-        return int(bool(found))
+        out = evidence.findings(spark, e, glossary, "drift" if a.verb == "drift" else "validation")
+        documents.write_json(os.path.join(at, f"{a.verb}.json"), out)
+        print("\n".join(report.finding_lines(out["findings"], out["sections"])))
+        return int(bool(out["findings"]))
     doc = evidence.document(e, a.root)
     documents.write_json(os.path.join(at, "evidence.json"), doc)
     if a.verb == "inspect":
-        print(json.dumps({k: {"items": v["items"][: a.limit], "coverage": v["coverage"]} if isinstance(v, dict) and "items" in v else v for k, v in doc.items()}, sort_keys=True, ensure_ascii=False))
+        try:
+            print(json.dumps(report.project(doc, a.limit), sort_keys=True, ensure_ascii=False))
+        except report.TooMuchOmitted as problem:
+            print(problem, file=sys.stderr)
+            return 2
+    if a.verb == "analyze":
+        print("\n".join(report.evidence_lines(doc)))
     return 0
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical
 from ..functions.fixed import LIMITS
-from ..functions.paths import in_scope, module_of, scopes_overlap, under
+from ..functions.paths import in_scope, module_of, scopes_overlap
 from ..operators import graph, matching, vocabulary
 from ..operators.terminology import DIVERGENT, LEAST_MODULES
 from ..operators.topk import per_key
@@ -113,24 +113,27 @@ def exists_confined(root: str | None, relative: str) -> bool:
     return os.path.exists(at) and (at == top or at.startswith(top + os.sep))
 
 
-def bindings(g: Glossary, paths: DataFrame, excluded: Sequence[str] = (), complete: bool = True, root: str | None = None) -> DataFrame:
+def bindings(g: Glossary, paths: DataFrame, excluded: Sequence[str] | DataFrame = (), complete: bool = True, root: str | None = None) -> DataFrame:
     """(concept, ref, state) for symbol:, file: and module: references: resolved, out-of-scope, uncertain or unresolved.
 
-    ``paths(path)``: files the evidence knows. A file or module it doesn't know is
+    ``paths(path)``: files the evidence knows; ``excluded``: paths, or a table of them. A file or module it doesn't know is
     uncertain if the inventory isn't complete, if it lies under an ``excluded``
     path, which was left unread, or if it exists inside ``root``.
     """
     # At most as many bindings as a glossary may hold are looked up on the driver's disk.
     refs = g.rows.select(F.col("id").alias("concept"), "prefixes", F.explode("bindings").alias("ref")).withColumn("what", F.regexp_extract("ref", "^([^:]*):", 1)).withColumn("key", F.regexp_replace("ref", "^[^:]*:", ""))
     refs = lexical.normalize_text(refs, "key", form="NFC")
-    if root:
-        there = [k["key"] for k in refs.where("what != 'symbol'").select("key").distinct().collect() if exists_confined(root, k["key"])]
-        excluded = [*excluded, *there]
-    held = paths.sparkSession.createDataFrame([(p,) for p in excluded], "skipped string")
+    held = excluded if isinstance(excluded, DataFrame) else paths.sparkSession.createDataFrame([(p,) for p in excluded], "path string")
     symbols = refs.where("what = 'symbol'").join(g.tok_occ.select(F.col("name").alias("key"), "path").distinct(), "key", "left").select("concept", "ref", "path", "prefixes", F.lit(False).alias("maybe"))
     known = paths.select(F.col("path").alias("key"), F.lit("file").alias("what")).union(paths.select(module_of(F.col("path")), F.lit("module"))).distinct()
     places = refs.where("what != 'symbol'").join(known.withColumn("path", F.col("key")), ["what", "key"], "left")
-    unread = refs.join(held, under(F.col("key"), F.col("skipped"))).select("concept", "ref").distinct().withColumn("maybe", F.lit(True))
+    if root:
+        there = [(k["key"],) for k in refs.where("what != 'symbol'").select("key").distinct().collect() if exists_confined(root, k["key"])]
+        held = held.select("path").union(paths.sparkSession.createDataFrame(there, "path string"))
+    # A path meets what lies above it by equality with its own beginnings.
+    steps = F.split("key", "/")
+    heads = refs.where("what != 'symbol'").select("concept", "ref", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))).alias("head"))
+    unread = heads.join(held.select(F.col("path").alias("head")).distinct(), "head").select("concept", "ref").distinct().withColumn("maybe", F.lit(True))
     places = places.join(unread, ["concept", "ref"], "left").select("concept", "ref", "path", "prefixes", (F.coalesce("maybe", F.lit(False)) | F.lit(not complete)).alias("maybe"))
     inside = F.col("path").isNotNull() & in_scope(F.col("path"), F.col("prefixes"))
     got = symbols.union(places).groupBy("concept", "ref").agg(F.max(F.col("path").isNotNull()).alias("there"), F.max(inside).alias("inside"), F.max("maybe").alias("maybe"))

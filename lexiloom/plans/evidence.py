@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import LIMITS
+from ..functions import paths
 from ..functions.paths import name_of
 from ..operators import graph, imports, matching, naming, terminology, topk, vocabulary
 from ..sources import documents, repository
 from ..sources.cache import KEYS, ExtractionCache
 from ..sources.shared import cut
-from . import checks, glossaries
+from . import checks, completeness, glossaries
 
 #: Files that may hold a managed block, and the texts its marker lines start with.
 HOSTS, BEGIN, END = ("AGENTS.md", "CLAUDE.md"), "<!-- lexiloom:begin", "<!-- lexiloom:end -->"
@@ -113,7 +114,7 @@ def markdown_glossary(root: str) -> tuple[dict, str | None]:
     """({state, bytes, sha256}, text) of the root's GLOSSARY.md, followed only inside the root."""
     path = os.path.join(root, "GLOSSARY.md")
     info: dict = {"state": "absent", "bytes": None, "sha256": None}
-    if not os.path.lexists(path):
+    if not os.path.lexists(path) or repository.named_exactly(root, "GLOSSARY.md") is False:
         return info, None
     real, inside = os.path.realpath(path), os.path.realpath(root)
     if os.path.commonpath([real, inside]) != inside:
@@ -140,9 +141,22 @@ def document(e: Evidence, root: str) -> dict:
     """The tops of every table with their coverage; the whole tables stay DataFrames."""
     tc, dc = cut(e.token_counts()), cut(e.doc_counts())
 
-    def section(df: DataFrame, k: int, *order) -> dict:
+    def section(df: DataFrame, k: int, *order, key: str | None = None, uses: DataFrame | None = None) -> dict:
+        """The top with its ledger; ``uses(key, path, module, n)`` adds the places and the uses a module of what is kept."""
         top, led = topk.top_k_with_ledger(df, k, *order)
-        return {"items": _rows(top), "coverage": led}
+        if key is None:
+            return {"items": _rows(top), "coverage": led}
+        return {"items": _rows(located(top, key, uses).orderBy(*order)), "coverage": led}
+
+    def located(top: DataFrame, key: str, uses: DataFrame) -> DataFrame:
+        own = cut(uses.join(top.select(key), key, "left_semi"))
+        places = topk.locations(own.select(key, "path", "n"), key, LIMITS["locations"])
+        modules = completeness.rollup(own.select(F.col(key).alias("key"), "module", "path", "n"))
+        most = topk.per_key(modules, ["key"], LIMITS["locations"], F.desc("uses"), F.asc("module")).groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", "uses")))).alias("uses_by_module"))
+        return top.join(places, key, "left").join(most.withColumnRenamed("key", key), key, "left")
+
+    by_token = vocabulary.by_token(e.tok_occ).select("token", "path", "module", "n")
+    prose = e.doc_occ.withColumn("module", paths.module_of(F.col("path")))
 
     def structure() -> dict:
         s = e.structure
@@ -169,16 +183,16 @@ def document(e: Evidence, root: str) -> dict:
         "exclusions": _rows(repository.exclusion_ledger(e.classified).orderBy("exclusion_kind")),
         "totals": _rows(e.files.groupBy("role", "kind").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy("role", "kind")),
         "modules": _rows(mods.orderBy("module").limit(LIMITS["source_files"])),
-        "tokens": section(tc, LIMITS["tokens"], F.desc("uses"), F.asc("token")),
-        "identifiers": section(vocabulary.identifier_counts(e.ident_occ), LIMITS["identifiers"], F.desc("uses"), F.asc("name")),
-        "doc_terms": section(dc, LIMITS["doc_terms"], F.desc("uses"), F.asc("term")),
+        "tokens": section(tc, LIMITS["tokens"], F.desc("uses"), F.asc("token"), key="token", uses=by_token),
+        "identifiers": section(vocabulary.identifier_counts(e.ident_occ), LIMITS["identifiers"], F.desc("uses"), F.asc("name"), key="name", uses=e.ident_occ.select("name", "path", "module", "n")),
+        "doc_terms": section(dc, LIMITS["doc_terms"], F.desc("uses"), F.asc("term"), key="term", uses=prose),
         "register": {"styles": _rows(terminology.style_shares(reg).orderBy(F.desc("spellings"), "style")), "prefixes": _rows(terminology.affixes(reg, "prefix")), "suffixes": _rows(terminology.affixes(reg, "suffix"))},
         "layers": {w: _rows(terminology.layers(tc, dc, w)) for w in ("shared", "code_only", "doc_only")},
         "synonyms": _rows(terminology.synonym_candidates(e.tok_occ, tc)),
         "dispersion": _rows(disp.orderBy("term")),
         "overloads": _rows(terminology.overload_candidates(disp)),
         "imports": {"edges": _rows(edges), "external": _rows(imports.external_tally(e.resolved))},
-        "naming": {"modules": _rows(naming.module_scores(edges, mods, dc)), "terms": _rows(naming.term_scores(e.tok_occ, tc, dc, disp))},
+        "naming": {"modules": _rows(naming.module_scores(edges, mods, dc)), "terms": _rows(located(naming.term_scores(e.tok_occ, tc, dc, disp), "term", by_token.withColumnRenamed("token", "term")).orderBy(F.desc("score"), "term"))},
     }
 
 
@@ -199,6 +213,30 @@ def _divergence(g: checks.Glossary, root: str) -> list[DataFrame]:
     return [rows.select("kind", F.concat_ws(":", "concept", "term").alias("subject"), F.lit(None).cast("string").alias("signal_strength"), F.lit("observed").alias("certainty"), F.lit(None).cast("double").alias("value"))]
 
 
+def _exclusions(e: Evidence) -> dict[str, int]:
+    """Files by kind of exclusion, those that couldn't be read among them."""
+    kinds = {r[0]: r[1] for r in e.classified.where("exclusion_kind is not null").groupBy("exclusion_kind").count().collect()}
+    unread = e.files.where("problem is not null").count()
+    return kinds | ({"unreadable": unread} if unread else {})
+
+
+def findings(spark: SparkSession, e: Evidence, glossary: dict, which: str) -> dict:
+    """{findings, sections, complete, limitations} of ``which``: drift or validation. Every kind has a section, found or not."""
+    rows = cut((drift if which == "drift" else validation)(spark, e, glossary))
+    g = checks.Glossary(glossaries.to_frame(spark, glossary), e.tok_occ, e.doc_counts())
+    tc = cut(e.token_counts())
+    scoped = checks.scoped_dispersion(g, terminology.overload_candidates(terminology.context_dispersion(e.tok_occ, tc)))
+    narrow = sum(c["status"] == "canonical" and "scope" in c for c in glossary["concepts"])
+    groups = graph.group_summary(e.structure.members, e.structure.nodes).count() if e.structure.state == "ok" else 0
+    kinds = completeness.DRIFT if which == "drift" else completeness.VALIDATION
+    planned = completeness.plan(kinds, completeness.corpus_reasons(_exclusions(e)), completeness.overload_reasons(scoped), e.structure.state, completeness.graph_reasons(groups), narrow)
+    totals = {r["kind"]: r["total"] for r in rows.select("kind", "total").distinct().collect()}
+    held = _rows(completeness.sections(rows, planned, totals=totals).orderBy("kind"))
+    skipped = [s["kind"] for s in held if s["skipped"]]
+    kept = _rows(rows.where(~F.col("kind").isin(skipped)).orderBy("kind", "subject"))
+    return {"findings": kept, "sections": held, "complete": all(s["exact"] and not s["skipped"] for s in held), "limitations": completeness.limitations(held), "glossary_sha256": glossaries.digest(glossary)}
+
+
 def drift(spark: SparkSession, e: Evidence, glossary: dict) -> DataFrame:
     g, found = _held(spark, e, glossary)
     for more in _divergence(g, e.root):
@@ -209,7 +247,9 @@ def drift(spark: SparkSession, e: Evidence, glossary: dict) -> DataFrame:
 def validation(spark: SparkSession, e: Evidence, glossary: dict) -> DataFrame:
     """Bindings, orphans, fragmentation and drift, and the structural checks where the evidence has a graph."""
     g, drifted = _held(spark, e, glossary)
-    states, s = cut(checks.bindings(g, e.files.select("path"))), e.structure
+    excluded = e.classified.where(F.col("exclusion_kind").isin(list(completeness.EXCLUDED_KINDS))).select("path").union(e.files.where("problem is not null").select("path"))
+    whole = not completeness.corpus_reasons(_exclusions(e))
+    states, s = cut(checks.bindings(g, e.files.where("problem is null").select("path"), excluded, whole, e.root)), e.structure
     found = [drifted, checks.orphaned_concepts(g, states), checks.binding_findings(states), checks.fragmentation(g)]
     if s.state == "ok":
         found += checks.structural(cut(checks.strengths(g, s.nodes, s.members, s.labels)), graph.group_summary(s.members, s.nodes)).values()

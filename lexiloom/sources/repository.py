@@ -10,16 +10,18 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import subprocess
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..functions.fixed import EXTENSIONS, DOC_EXTENSIONS, LIMITS, ROLES
+from ..functions.fixed import DOC_EXTENSIONS, EXTENSIONS, LIMITS, ROLES, ROLE_DIRS, SENSITIVE
 from ..plans.glossaries import valid_prefix
 
 #: Folders and files that this engine writes, and documents it reports on; never evidence.
@@ -57,6 +59,31 @@ class Config:
         return spark.createDataFrame(sorted(self.roles.items()), "prefix string, role string")
 
 
+def named_exactly(folder: str, name: str) -> bool | None:
+    """Whether a folder has an entry of exactly this name, whatever the file system says of case; null if it can't tell within the entry limit."""
+    try:
+        with os.scandir(folder) as it:
+            for i, e in enumerate(it):
+                if e.name == name:
+                    return True
+                if i >= LIMITS["directory_entries"]:
+                    return None
+    except OSError:
+        return None
+    return False
+
+
+def _pruned(name: str, path: str, config: Config) -> str | None:
+    """Why a folder isn't entered: its name is sensitive, or its role left out and no rule names it or something beneath it."""
+    if re.search(SENSITIVE, name.lower()):
+        return "sensitive"
+    role = next((r for r in ("vendored", "generated") if name.lower() in ROLE_DIRS[r]), None)
+    own = max((p for p in config.roles if path == p or path.startswith(p + "/")), key=len, default=None)
+    if own is not None:
+        role = config.roles[own] if config.roles[own] in ("vendored", "generated") else None
+    return None if role is None or any(p.startswith(path + "/") for p in config.roles) else role
+
+
 def list_files(root: str, config: Config | None = None) -> list[tuple[str, str, int, str | None]]:
     """(path, name, size, exclusion) in walk order: a sorted depth-first listing that doesn't enter excluded folders."""
     config = config or Config()
@@ -65,8 +92,8 @@ def list_files(root: str, config: Config | None = None) -> list[tuple[str, str,
     stack, entries = [""], 0
     while stack:
         rel = stack.pop()
-        with os.scandir(os.path.join(root, rel)) as it:
-            here = sorted(it, key=lambda e: e.name)
+        with os.scandir(os.path.join(root, rel)) as it:  # no more is read than the limit allows
+            here = sorted(islice(it, LIMITS["directory_entries"] + 1), key=lambda e: e.name)
         if len(here) > LIMITS["directory_entries"]:
             out.append((rel or ".", "", 0, "directory-too-large"))
             continue
@@ -79,7 +106,7 @@ def list_files(root: str, config: Config | None = None) -> list[tuple[str, str,
             if entries > LIMITS["walk_entries"]:
                 out.append((path, e.name, 0, "walk-budget"))
             elif e.is_dir(follow_symlinks=False):
-                why = "own-output" if e.name in OWN_DIRS else "ignored" if ignored else "hidden" if hidden else None
+                why = "own-output" if e.name in OWN_DIRS else "ignored" if ignored else "hidden" if hidden else _pruned(e.name, path, config)
                 if why:
                     out.append((path, e.name, 0, why))
                 else:

@@ -2,11 +2,12 @@
 
 import io
 import json
+import os
 
 import pytest
 from lexiloom import cli
 from lexiloom.operators import graph, imports, matching, naming, terminology, topk, vocabulary
-from lexiloom.plans import checks, context, evidence, glossaries
+from lexiloom.plans import checks, context, evidence, glossaries, report
 from lexiloom.sources import cache as caches
 from lexiloom.sources import documents, repository
 from lexiloom.sources.cache import ExtractionCache
@@ -56,7 +57,7 @@ def test_dispersion_of_the_calibration_corpus(calibration):
 
 def test_drift_of_the_calibration_corpus(spark, calibration):
     got = {(r["kind"], r["subject"]): r for r in evidence.drift(spark, calibration, GLOSSARY).collect()}
-    assert set(got) == {("parallel-term", "run:execution"), ("watched-term-in-use", "gateway:charge"), ("canonical-fading", "workspace:Workspace"), ("canonical-overloaded", "session:session")}
+    assert set(got) == {("parallel-term", "run:execution"), ("watched-term-in-use", "gateway:charge"), ("canonical-fading", "workspace:Workspace"), ("canonical-overloaded", "session:Session")}
     assert got["watched-term-in-use", "gateway:charge"]["value"] == 2
     assert all((r["signal_strength"] is None) != (r["certainty"] is None) for r in got.values())
 
@@ -66,7 +67,7 @@ def test_scan_rules(spark, tmp_path):
     config = repository.Config.parse({"schema_version": 1, "ignore_paths": ["skip"], "path_roles": {"test": ["n.md"]}})
     c = {r["path"]: r["exclusion_kind"] for r in repository.classify(spark, root, config).collect()}
     assert {p for p, why in c.items() if why is None} == {"a.py", "_b.py", "bin.py", "bad.py", "n.md"}
-    assert (c[".env"], c["node_modules/m.js"], c["big.py"], c["skip"], c["GLOSSARY.md"]) == ("sensitive", "vendored", "too-large", "ignored", "own-output")
+    assert (c[".env"], c["node_modules"], c["big.py"], c["skip"], c["GLOSSARY.md"]) == ("sensitive", "vendored", "too-large", "ignored", "own-output")
     e = evidence.scan(spark, root, config)
     assert {r["path"]: r["problem"] for r in e.files.where("problem is not null").collect()} == {"bin.py": "binary-content", "bad.py": "not-utf-8"}
     assert {r["name"] for r in e.ident_occ.collect()} == {"x_value", "under_score"} and e.doc_occ.count() == 0
@@ -275,7 +276,7 @@ def test_structure_and_markdown_of_a_repository(spark, tmp_path):
 
 
 def test_symbol_bindings_lend_their_tokens(spark):
-    doc = {"schema_version": 1, "concepts": [{"id": "pay", "term": "Pay", "definition": "d", "status": "canonical", "bindings": [{"ref": "symbol:LedgerEntry"}, {"ref": "path:a"}]}]}
+    doc = {"schema_version": 1, "concepts": [{"id": "pay", "term": "Pay", "definition": "d", "status": "canonical", "bindings": [{"ref": "symbol:LedgerEntry"}, {"ref": "module:a"}]}]}
     g = checks.Glossary(glossaries.to_frame(spark, doc), vocabulary.token_occurrences(spark.createDataFrame([], vocabulary.IDENT_OCC)), spark.createDataFrame([], "term string, uses long, files long"))
     assert {r["token"] for r in checks.concept_tokens(g).collect()} == {"pay", "ledger", "entry"}
 
@@ -294,3 +295,47 @@ def test_declared_workspaces(spark, tmp_path):
     (tmp_path / "package.json").write_text("[" * 100_000)
     (tmp_path / "Cargo.toml").write_text("[workspace]")
     assert repository.declared_workspaces(repository.classify(spark, root), root) == ["Cargo.toml", "go.work"]
+
+
+def test_folders_left_unentered(tmp_path):
+    root = write(tmp_path, {"a.py": "x", "vendor/lib/v.py": "x", "vendor/own/o.py": "x", "dist/d.js": "x", "private-secrets/k.py": "x", "build/b.py": "x"})
+    listed = {p: why for p, _, _, why in repository.list_files(root)}
+    assert listed == {"a.py": None, "vendor": "vendored", "dist": "generated", "private-secrets": "sensitive", "build": "generated"}
+    config = repository.Config.parse({"schema_version": 1, "path_roles": {"production": ["vendor/own", "build"]}})
+    listed = {p: why for p, _, _, why in repository.list_files(root, config)}
+    assert listed["vendor/own/o.py"] is None and listed["build/b.py"] is None and listed["vendor/lib/v.py"] is None and listed["dist"] == "generated"
+    assert repository.named_exactly(root, "a.py") is True and repository.named_exactly(root, "A.py") is False and repository.named_exactly(root + "/none", "a") is None
+
+
+def test_confined_existence(tmp_path):
+    root = write(tmp_path / "in", {"Makefile": "x"})
+    write(tmp_path, {"out.txt": "x"})
+    os.symlink(tmp_path / "out.txt", tmp_path / "in" / "link")
+    assert checks.exists_confined(root, "Makefile") and not any(checks.exists_confined(root, p) for p in ("../out.txt", str(tmp_path / "out.txt"), "link", "none", ""))
+    assert not checks.exists_confined(None, "Makefile")
+
+
+def test_projection_is_bounded_and_accounts_for_what_it_leaves_out():
+    doc = {"a": {"items": [{"t": "x" * 600}] * 30}, "b": list(range(5)), "c": "y" * 300}
+    out = report.project(doc, rows=20)
+    assert len(out["a"]["items"]) == 20 and len(out["a"]["items"][0]["t"]) == report.TEXT and out["b"] == doc["b"]
+    assert out["omissions"] == [{"path": "a/items", "kind": "rows", "times": 1, "amount": 10}, {"path": "a/items/*/t", "kind": "characters", "times": 20, "amount": 20 * 88}]
+    small = report.project(doc, rows=20, whole=1000)
+    assert "a" not in small and small["omissions"][0]["kind"] == "section" and len(json.dumps(small)) <= 1000
+    with pytest.raises(report.TooMuchOmitted):
+        report.project({f"k{i}": "z" * 600 for i in range(101)})
+    assert report.shown("a\x1b[0m\u202eb") == "a\\x1b[0m\\u202eb"
+
+
+def test_report_of_findings():
+    found = [{"kind": "fragmentation", "subject": "a", "signal_strength": "weak", "certainty": None}]
+    sections = [{"kind": "fragmentation", "total": 1, "exact": False, "dropped": 0, "skipped": None, "reasons": ["why"]}, {"kind": "unnamed-structure", "total": 0, "exact": True, "dropped": 0, "skipped": "no graph", "reasons": []}]
+    assert report.finding_lines(found, sections) == ["fragmentation: 1 or more", "  a\tweak", "  incomplete: why", "unnamed-structure: skipped (no graph)"]
+
+
+def test_boundary_totals_without_pairs(spark):
+    rows = spark.createDataFrame([("g", f"c{i:02d}", 2) for i in range(40)] + [("h", "x", 3), ("h", "y", 1)], "`group` string, concept string, strength long")
+    assert checks.boundary_totals(rows).head()[0] == 780
+    sizes = spark.createDataFrame([("g", 9), ("h", 2)], "`group` string, size long")
+    pairs = checks.structural(rows, sizes)["boundary"]
+    assert pairs.count() == sum(39 - i for i in range(10)) and pairs.orderBy("subject").head()["subject"] == "g:c00:c01"
