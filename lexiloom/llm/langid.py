@@ -141,13 +141,16 @@ def sampled(train: DataFrame, per_label: int, label: str, most: int) -> DataFram
     return ranked.where(F.col("r") <= per_label).select(label, "id")
 
 
-def sample_rows(train: DataFrame, per_label: int, label: str, most: int) -> DataFrame | None:
-    """One row (label, id, text) for each of ``sampled``: of rows that share both, the one whose text hashes lowest."""
+def sample_rows(train: DataFrame, per_label: int, label: str, most: int, texts: DataFrame | None = None) -> DataFrame | None:
+    """One row (label, id, text) for each of ``sampled``: of rows that share both, the one whose text hashes lowest.
+
+    ``texts(id, text)``: where the texts are, if ``train`` has labels only; no text is shuffled but the sample's.
+    """
     picked = sampled(train, per_label, label, most)
     if picked is None:
         return None
     # At most per_label * most small rows are broadcast.
-    rows = train.join(F.broadcast(picked), [label, "id"])
+    rows = train.join(F.broadcast(picked), [label, "id"]) if texts is None else texts.join(F.broadcast(picked), "id")
     return rows.groupBy(label, "id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("low")).select(label, "id", F.col("low.text").alias("text"))
 
 

@@ -59,9 +59,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled"), "toxic")
-    graded = docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("labelled"))
-    model = toxicity.fit_severity(graded, "doc_id", "text", "toxic")
+    model = toxicity.fit_severity(docs, "doc_id", "text", "toxic", grades=_table(spark, sf_dir, "labels"))
     return toxicity.score_severity(docs, model).withColumnRenamed("id", "doc_id")
 
 

@@ -80,9 +80,12 @@ def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, dims: int, l2
     return w, b
 
 
-def fit_severity(labelled: DataFrame, id_col: str, text_col: str, grade_col: str, per_grade: int = SAMPLE_PER_CLASS, vocabulary: int = VOCABULARY) -> SeverityModel | None:
+def fit_severity(labelled: DataFrame, id_col: str, text_col: str, grade_col: str, per_grade: int = SAMPLE_PER_CLASS, vocabulary: int = VOCABULARY, grades: DataFrame | None = None) -> SeverityModel | None:
     """The model from graded rows (0, 1, 2, ...); None without two grades, ValueError for more than MOST_GRADES.
 
+    ``grades``: a table of ``id_col`` and ``grade_col``, if ``labelled`` has texts
+    only; then the texts aren't shuffled to meet their grades.
+
     A threshold a grade above the lowest; no grade is invented, so labels of two
     grades give one threshold and a severity from 0 to 1.
 
@@ -90,8 +93,13 @@ def fit_severity(labelled: DataFrame, id_col: str, text_col: str, grade_col: str
     Vocabulary: the features that most exceed, in standard deviations, the number
     of graded documents above 0 that chance would give them; at most ``vocabulary``.
     """
-    rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(grade_col).cast("int").alias("grade")).where("id is not null and text is not null and grade is not null")
-    picked = sample_rows(rows, per_grade, "grade", MOST_GRADES)
+    key = F.col(id_col).cast("long").alias("id")
+    graded = (labelled if grades is None else grades).select(key, F.col(grade_col).cast("int").alias("grade"), *([F.col(text_col).alias("text")] if grades is None else [])).where("id is not null and grade is not null")
+    if grades is None:
+        picked = sample_rows(graded.where("text is not null"), per_grade, "grade", MOST_GRADES)
+    else:
+        texts = labelled.select(key, F.col(text_col).alias("text")).where("id is not null and text is not null")
+        picked = sample_rows(graded.join(texts.select("id").distinct(), "id", "left_semi"), per_grade, "grade", MOST_GRADES, texts)
     if picked is None:
         return None
 
