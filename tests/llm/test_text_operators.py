@@ -49,15 +49,55 @@ def test_license_templates_are_found(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_license_scan_equals_exact_containment(spark, sf_dir):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    got = {(r["id"], r["template"]) for r in licenses.scan_licenses(docs).collect()}
+def windowed_containment(lib, text):
+    """{template: best containment in a window}, with every window compared and nothing hashed into bands."""
+    h, out = licenses.shingle_hashes(licenses.words_of(text or "")), {}
+    for name, own in zip(lib.names, lib.shingles, strict=True):
+        step, blocks = licenses.window_shape(own.size)
+        if np.isin(own, h).mean() < licenses.CONTAINED:
+            continue
+        best = max((np.isin(own, h[i : i + blocks * step]).mean() for i in range(0, len(h), step)), default=0.0)
+        if best >= licenses.CONTAINED:
+            out[name] = best
+    return out
+
+
+def test_license_scan_equals_exact_containment(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     lib = licenses.Library(licenses.TEMPLATES)
-    for r in docs.collect():
-        h = licenses.shingle_hashes(licenses.words_of(r["text"] or ""))
-        for n, s in zip(lib.names, lib.shingles):
-            if np.isin(s, h).mean() == 1.0 and s.size < 8:
-                assert (r["doc_id"], n) in got
+    want = {(r["doc_id"], name, c) for r in docs.collect() for name, c in windowed_containment(lib, r["text"]).items()}
+    assert want and {(r["id"], r["template"], r["containment"]) for r in licenses.scan_licenses(docs).collect()} == want
+
+
+def test_license_edits_and_insertions_equal_exact_containment():
+    lib = licenses.Library(licenses.TEMPLATES)
+    r = np.random.default_rng(11)
+    filler = lambda n: ["w" + "".join(r.choice(list("abcdef"), 6)) for _ in range(n)]
+    for name, text in [(f"{spdx}#{i}", t) for spdx, own in licenses.TEMPLATES.items() for i, t in enumerate(own)]:
+        own = lib.shingles[lib.names.index(name)].size
+        for _ in range(6):
+            words = licenses.words_of(text)
+            if own >= 30:  # one insertion loses four shingles, of which a fifth may go
+                at = int(r.integers(1, len(words)))
+                words[at:at] = filler(int(r.integers(1, own - 4)))
+            for at in r.choice(len(words), int(r.integers(0, 2)), replace=False):
+                words[at] = "changed"
+            mixed = " ".join(filler(int(r.integers(0, 300))) + words + filler(int(r.integers(0, 300))))
+            got = {m[0]: m[1] for m in lib.scan(mixed)}
+            assert got == windowed_containment(lib, mixed)
+    assert max((1 - (-(-4 * s // 5) / (np.prod(licenses.window_shape(s)) + s - -(-4 * s // 5))) ** licenses.ROWS) ** licenses.BANDS for s in range(1, 5000)) < 1.3e-5
+
+
+def test_license_siblings_are_told_apart():
+    lib = licenses.Library(licenses.TEMPLATES)
+    texts = licenses.TEMPLATES
+    for spdx in ("BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSL-1.0", "MIT"):
+        got = lib.scan("So says the owner: " + texts[spdx][-1] + " And so on.")
+        assert {m[0].rpartition("#")[0] for m in got if m[4] is None} == {spdx}, got
+    assert {m[0] for m in lib.scan(texts["GPL-3.0"][1]) if m[4] is None} == {"GPL-3.0#1"}
+    apart = lib.scan(texts["GPL-2.0"][0] + " and else " * 60 + texts["AGPL-3.0"][0])
+    assert {m[0] for m in apart if m[4] is None} == {"GPL-2.0#0", "AGPL-3.0#0"}
+    assert lib.scan(" ".join(["word"] * 200_000) + " " + texts["MIT"][0])[0][:3] == ("MIT#0", 1.0, 200_000)
 
 
 def test_languages_held_out_accuracy(spark):
