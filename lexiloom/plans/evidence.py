@@ -16,7 +16,7 @@ from ..functions.paths import name_of
 from ..operators import graph, imports, matching, naming, terminology, topk, vocabulary
 from ..sources import documents, repository
 from ..sources.cache import KEYS, ExtractionCache
-from ..sources.shared import cut
+from ..sources.shared import cut, together
 from . import checks, completeness, glossaries
 
 #: Files that may hold a managed block, and the texts its marker lines start with.
@@ -106,8 +106,13 @@ def scan(spark: SparkSession, root: str, config: repository.Config | None = None
     good = files.where("problem is null and role = 'production'")
     code = good.where("kind = 'code'")
     occ, doc = extract(good, cache) if cache else (vocabulary.code_occurrences(code), vocabulary.doc_occurrences(good.where("kind = 'doc'")))
-    occ = cut(occ)
-    return Evidence(classified, files, occ, cut(vocabulary.token_occurrences(occ)), cut(doc), cut(imports.resolve(imports.import_specs(code), code)), root, read_structure(spark, graph_path))
+
+    def words() -> tuple[DataFrame, DataFrame]:
+        names = cut(occ)
+        return names, cut(vocabulary.token_occurrences(names))
+
+    got = together(spark, words=words, resolved=lambda: cut(imports.resolve(imports.import_specs(code), code)), doc=lambda: cut(doc), structure=lambda: read_structure(spark, graph_path))
+    return Evidence(classified, files, *got["words"], got["doc"], got["resolved"], root, got["structure"])
 
 
 def markdown_glossary(root: str) -> tuple[dict, str | None]:
@@ -139,7 +144,9 @@ def _rows(df: DataFrame) -> list[dict]:
 
 def document(e: Evidence, root: str) -> dict:
     """The tops of every table with their coverage; the whole tables stay DataFrames."""
-    tc, dc = cut(e.token_counts()), cut(e.doc_counts())
+    spark = e.files.sparkSession
+    counts = together(spark, tokens=lambda: cut(e.token_counts()), docs=lambda: cut(e.doc_counts()), edges=lambda: cut(imports.internal_edges(e.resolved)))
+    tc, dc, edges = counts["tokens"], counts["docs"], counts["edges"]
 
     def section(df: DataFrame, k: int, *order, key: str | None = None, uses: DataFrame | None = None) -> dict:
         """The top with its ledger; ``uses(key, path, module, n)`` adds the places and the uses a module of what is kept."""
@@ -167,41 +174,70 @@ def document(e: Evidence, root: str) -> dict:
         fresh = spark.range(1).select(graph.freshness(*[F.lit(v).cast(t) for v, t in ((s.commit, "string"), (stamp["head"], "string"), (stamp["dirty"], "boolean"))])).head()[0]
         return {"state": "ok", "freshness": fresh, "groups": section(groups, LIMITS["groups"], F.desc("size"), F.asc("group")), "god_nodes": _rows(graph.god_nodes(graph.node_degrees(s.links))), "naming": _rows(graph.structure_scores(groups, s.cohesion))}
 
-    spark = e.files.sparkSession
-    layout, declared = _rows(repository.monorepo(e.classified))[0], repository.declared_workspaces(e.classified, root)
-    nested = e.classified.where("exclusion_kind = 'own-output'").where(F.col("path").endswith("/GLOSSARY.md")).select("path").orderBy("path").limit(LIMITS["findings"])
-    reg = cut(terminology.register(e.tok_occ, dc))
-    disp = cut(terminology.context_dispersion(e.tok_occ, tc))
-    edges = cut(imports.internal_edges(e.resolved))
+    def layout() -> dict:
+        declared, found = repository.declared_workspaces(e.classified, root), _rows(repository.monorepo(e.classified))[0]
+        return found | {"workspaces": declared, "monorepo": bool(found["monorepo"] or declared)}
+
+    def markdown() -> dict:
+        nested = e.classified.where("exclusion_kind = 'own-output'").where(F.col("path").endswith("/GLOSSARY.md")).select("path").orderBy("path").limit(LIMITS["findings"])
+        return markdown_glossary(root)[0] | {"nested": [r["path"] for r in nested.collect()]}
+
+    def register() -> dict:
+        reg = cut(terminology.register(e.tok_occ, dc))
+        shares = terminology.style_shares(reg).orderBy(F.desc("spellings"), "style")
+        return {"styles": _rows(shares), "prefixes": _rows(terminology.affixes(reg, "prefix")), "suffixes": _rows(terminology.affixes(reg, "suffix"))}
+
+    def contexts() -> dict:
+        disp = cut(terminology.context_dispersion(e.tok_occ, tc))
+        terms = located(naming.term_scores(e.tok_occ, tc, dc, disp), "term", by_token.withColumnRenamed("token", "term")).orderBy(F.desc("score"), "term")
+        return together(spark, dispersion=lambda: _rows(disp.orderBy("term")), overloads=lambda: _rows(terminology.overload_candidates(disp)), terms=lambda: _rows(terms))
+
     mods = e.files.where("kind = 'code' and problem is null").groupBy("module").agg(F.count("*").alias("code_files"), F.array_sort(F.collect_set("language")).alias("languages"))
+    # The longest go first.
+    got = together(
+        spark,
+        contexts=contexts,
+        synonyms=lambda: _rows(terminology.synonym_candidates(e.tok_occ, tc)),
+        tokens=lambda: section(tc, LIMITS["tokens"], F.desc("uses"), F.asc("token"), key="token", uses=by_token),
+        identifiers=lambda: section(vocabulary.identifier_counts(e.ident_occ), LIMITS["identifiers"], F.desc("uses"), F.asc("name"), key="name", uses=e.ident_occ.select("name", "path", "module", "n")),
+        doc_terms=lambda: section(dc, LIMITS["doc_terms"], F.desc("uses"), F.asc("term"), key="term", uses=prose),
+        register=register,
+        structure=structure,
+        modules_named=lambda: _rows(naming.module_scores(edges, mods, dc)),
+        shared=lambda: _rows(terminology.layers(tc, dc, "shared")),
+        code_only=lambda: _rows(terminology.layers(tc, dc, "code_only")),
+        doc_only=lambda: _rows(terminology.layers(tc, dc, "doc_only")),
+        layout=layout,
+        markdown=markdown,
+        exclusions=lambda: _rows(repository.exclusion_ledger(e.classified).orderBy("exclusion_kind")),
+        totals=lambda: _rows(e.files.groupBy("role", "kind").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy("role", "kind")),
+        modules=lambda: _rows(mods.orderBy("module").limit(LIMITS["source_files"])),
+        edges=lambda: _rows(edges),
+        external=lambda: _rows(imports.external_tally(e.resolved)),
+        git=lambda: repository.git_stamp(root),
+    )
     return {
         "schema_version": 1,
-        "layout": layout | {"workspaces": declared, "monorepo": bool(layout["monorepo"] or declared)},
-        "markdown_glossary": markdown_glossary(root)[0] | {"nested": [r["path"] for r in nested.collect()]},
-        "structure": structure(),
-        "git": repository.git_stamp(root),
-        "exclusions": _rows(repository.exclusion_ledger(e.classified).orderBy("exclusion_kind")),
-        "totals": _rows(e.files.groupBy("role", "kind").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy("role", "kind")),
-        "modules": _rows(mods.orderBy("module").limit(LIMITS["source_files"])),
-        "tokens": section(tc, LIMITS["tokens"], F.desc("uses"), F.asc("token"), key="token", uses=by_token),
-        "identifiers": section(vocabulary.identifier_counts(e.ident_occ), LIMITS["identifiers"], F.desc("uses"), F.asc("name"), key="name", uses=e.ident_occ.select("name", "path", "module", "n")),
-        "doc_terms": section(dc, LIMITS["doc_terms"], F.desc("uses"), F.asc("term"), key="term", uses=prose),
-        "register": {"styles": _rows(terminology.style_shares(reg).orderBy(F.desc("spellings"), "style")), "prefixes": _rows(terminology.affixes(reg, "prefix")), "suffixes": _rows(terminology.affixes(reg, "suffix"))},
-        "layers": {w: _rows(terminology.layers(tc, dc, w)) for w in ("shared", "code_only", "doc_only")},
-        "synonyms": _rows(terminology.synonym_candidates(e.tok_occ, tc)),
-        "dispersion": _rows(disp.orderBy("term")),
-        "overloads": _rows(terminology.overload_candidates(disp)),
-        "imports": {"edges": _rows(edges), "external": _rows(imports.external_tally(e.resolved))},
-        "naming": {"modules": _rows(naming.module_scores(edges, mods, dc)), "terms": _rows(located(naming.term_scores(e.tok_occ, tc, dc, disp), "term", by_token.withColumnRenamed("token", "term")).orderBy(F.desc("score"), "term"))},
-    }
+        "layout": got["layout"],
+        "markdown_glossary": got["markdown"],
+        **{k: got[k] for k in ("structure", "git", "exclusions", "totals", "modules", "tokens", "identifiers", "doc_terms", "register")},
+        "layers": {k: got[k] for k in ("shared", "code_only", "doc_only")},
+        "synonyms": got["synonyms"],
+        "dispersion": got["contexts"]["dispersion"],
+        "overloads": got["contexts"]["overloads"],
+        "imports": {"edges": got["edges"], "external": got["external"]},
+        "naming": {"modules": got["modules_named"], "terms": got["contexts"]["terms"]},
+    }
 
 
 def _held(spark: SparkSession, e: Evidence, glossary: dict) -> tuple[checks.Glossary, DataFrame]:
     """The glossary against the evidence, and its drift."""
-    tc, dc = cut(e.token_counts()), cut(e.doc_counts())
-    g = checks.Glossary(glossaries.to_frame(spark, glossary), e.tok_occ, dc)
-    g.totals = cut(g.totals)
-    return g, checks.drift(g, cut(terminology.synonym_candidates(e.tok_occ, tc)), cut(terminology.context_dispersion(e.tok_occ, tc)))
+    counts = together(spark, tokens=lambda: cut(e.token_counts()), docs=lambda: cut(e.doc_counts()))
+    tc, g = counts["tokens"], checks.Glossary(glossaries.to_frame(spark, glossary), e.tok_occ, counts["docs"])
+    totals = g.totals
+    got = together(spark, totals=lambda: cut(totals), synonyms=lambda: cut(terminology.synonym_candidates(e.tok_occ, tc)), contexts=lambda: cut(terminology.context_dispersion(e.tok_occ, tc)))
+    g.totals = got["totals"]
+    return g, checks.drift(g, got["synonyms"], got["contexts"])
 
 
 def _divergence(g: checks.Glossary, root: str) -> list[DataFrame]:
