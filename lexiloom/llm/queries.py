@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, licenses, mixing, quality, sharding, simhash, toxicity, urlfilter
+from . import bpe, conversations, embeddings, filteraudit, fingerprints, langid, licenses, mixing, quality, sharding, simhash, toxicity, urlfilter
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -67,6 +67,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversations.repair_conversations(conversations.damage(rows), rows, "copies")
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op13 that SQL can express."""
+    return op13_document_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def quality_base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures of op7 that SQL can express."""
     return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -78,7 +96,7 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe_trie, op3_license_scan, op4_sharding, op5_language_id, op6_embedding_near_dedup, op7_quality_rules, op8_source_mixing, op9_toxicity, op10_url_filter, quality_base_figures, mixing_targets)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe_trie, op3_license_scan, op4_sharding, op5_language_id, op6_embedding_near_dedup, op7_quality_rules, op8_source_mixing, op9_toxicity, op10_url_filter, op11_conversation_repair, op12_filter_interaction_audit, op13_document_fingerprints, quality_base_figures, mixing_targets, fingerprint_edits)}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -125,6 +143,72 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 3
 """
 
 
+#: All edits turn by turn: up to two inserts, then a deletion, a keep or a rerole; of equal costs the least audit.
+REPAIR_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)
+), c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS said,
+    xor(list_reduce(list_transform(string_split(concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda h, b: xor(h >> 8, t[1 + (xor(h, b) & 255)]), 4294967295), 4294967295) % 20 AS fate
+  FROM conversations, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(said, '[.!?]', '', 'g') ELSE said END AS said,
+    unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy FROM c WHERE fate <> 0
+), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(sha256(said), 1, 32), copy) AS n FROM damaged),
+f AS (
+  SELECT *, NOT regexp_matches(said, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, said ORDER BY n) > 1 AS again,
+    NOT regexp_matches(said, '[.!?][\x20\x09-\x0D]*$') AS cut, substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS was FROM o
+), ins AS (SELECT * FROM (VALUES ('E', 0, 'E', ''), ('E', 1, 'U', ' user:'), ('E', 2, 'A', ' user: assistant:'), ('S', 0, 'S', ''), ('S', 1, 'U', ' user:'), ('S', 2, 'A', ' user: assistant:'),
+  ('U', 0, 'U', ''), ('U', 1, 'A', ' assistant:'), ('U', 2, 'U', ' assistant: user:'), ('A', 0, 'A', ''), ('A', 1, 'U', ' user:'), ('A', 2, 'A', ' user: assistant:')) v(x, k, y, lines)
+), acts AS (SELECT * FROM (VALUES ('E', 'D', 'E', NULL, 3), ('S', 'D', 'S', NULL, 3), ('U', 'D', 'U', NULL, 3), ('A', 'D', 'A', NULL, 3),
+  ('E', 'K', 'S', 's', 0), ('E', 'K', 'U', 'u', 0), ('S', 'K', 'U', 'u', 0), ('A', 'K', 'U', 'u', 0), ('U', 'K', 'A', 'a', 0),
+  ('E', 'R', 'U', NULL, 2), ('S', 'R', 'U', NULL, 2), ('A', 'R', 'U', NULL, 2), ('U', 'R', 'A', NULL, 2)) v(y, edit, z, needs, price)
+), rec AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, 'E' AS state, {'c': CAST(0 AS BIGINT), 'a': '', 't': ''} AS best FROM f
+  UNION ALL
+  SELECT rec.conv_id, f.n, z, min({'c': CAST(best.c + 2 * k + price + CASE WHEN cut AND edit <> 'D' THEN 1 ELSE 0 END AS BIGINT), 'a': concat(best.a, repeat('I', k), edit),
+    't': concat(best.t, replace(lines, ' ', chr(10)), CASE edit WHEN 'D' THEN '' WHEN 'K' THEN concat(chr(10), role, ':', said) ELSE concat(chr(10), CASE z WHEN 'U' THEN 'user' ELSE 'assistant' END, ':', said) END)})
+  FROM rec JOIN f ON rec.conv_id IS NOT DISTINCT FROM f.conv_id AND f.n = rec.n + 1 JOIN ins ON ins.x = rec.state JOIN acts ON acts.y = ins.y
+  WHERE edit = 'D' OR NOT blank AND NOT again AND (needs IS NULL OR needs = r)
+  GROUP BY rec.conv_id, f.n, z
+), facts AS (
+  SELECT conv_id, max(n) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (cut AND NOT blank AND NOT again) AS truncated, count(*) FILTER (was IS NOT NULL AND concat(was, r) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+), ends AS (
+  SELECT rec.conv_id, min({'c': CAST(best.c + 2 * k AS BIGINT), 'a': concat(best.a, repeat('I', k)), 't': concat(best.t, replace(lines, ' ', chr(10)))}) AS best
+  FROM rec JOIN facts ON rec.conv_id IS NOT DISTINCT FROM facts.conv_id AND rec.n = facts.n JOIN ins ON ins.x = rec.state WHERE ins.y IN ('E', 'A') GROUP BY rec.conv_id
+), every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT every.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(substr(coalesce(best.t, ''), 2)) AS repaired_sha256
+FROM every LEFT JOIN facts ON every.conv_id IS NOT DISTINCT FROM facts.conv_id LEFT JOIN ends ON every.conv_id IS NOT DISTINCT FROM ends.conv_id
+"""
+
+#: Every document under every order, step by step.
+AUDIT_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
+d AS (
+  SELECT part, coalesce(bool_or(l.quality = 1), FALSE) AS good, coalesce(bool_or(l.toxic = 1), FALSE) AS toxic,
+    [len(any_value(words)) < 200, 100 * len(list_distinct(any_value(words))) < 50 * len(any_value(words)), 100 * length(regexp_replace(any_value(text), '[^A-Z]', '', 'g')) > 3 * length(any_value(text)),
+     regexp_matches(any_value(text), '[#$%&*|]'), coalesce(w.doc_id > any_value(least_id), FALSE)] AS fails
+  FROM (SELECT *, row_number() OVER () AS row, min(doc_id) OVER (PARTITION BY text) AS least_id FROM w) w LEFT JOIN labels l ON w.doc_id = l.doc_id GROUP BY row, part, w.doc_id
+), orders AS (SELECT '' AS o UNION ALL SELECT concat(o, x) FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+steps AS (
+  SELECT part, good, toxic, o, s, fails[strpos('ABCDE', o[s])] AS here, len(list_filter([1, 2, 3, 4, 5], lambda k: k < s AND fails[strpos('ABCDE', o[k])])) AS earlier, len(list_filter(fails, lambda x: x)) AS failed
+  FROM d, (SELECT o FROM orders WHERE length(o) = 5), (SELECT unnest([1, 2, 3, 4, 5]) AS s)
+), sums AS (
+  SELECT part, o AS filter_order, s AS step, count(*) FILTER (NOT here AND earlier = 0) AS kept, count(*) FILTER (here AND earlier = 0) AS removed, count(*) FILTER (here AND earlier > 0) AS redundant,
+    count(*) FILTER (here AND failed = 1) AS unique_fails, count(*) FILTER (here AND earlier = 0 AND good) AS good_lost, count(*) FILTER (here AND earlier = 0 AND toxic) AS toxic_lost FROM steps GROUP BY part, o, s
+)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM sums
+"""
+
+EDITS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS after, length(text) // 2 AS half FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST))
+SELECT doc_id, length(text) AS n_chars, sha256(concat(left(text, length(text) - half), CASE WHEN half = 0 THEN '' ELSE left(after, half) END)) AS edited_sha256 FROM n
+"""
+
+
 def _sharding_sql() -> str:
     table = ",".join(map(str, sharding.fill_table(SHARDS).tolist()))
     return f"""
@@ -157,4 +241,4 @@ FROM q LEFT JOIN whole ON q.node = whole.node
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": _sharding_sql(), "op6_embedding_near_dedup": EMBEDDINGS_SQL, "op10_url_filter": _urls_sql(), "quality_base_figures": QUALITY_SQL, "mixing_targets": MIXING_SQL}
+    return {"op4_sharding": _sharding_sql(), "op6_embedding_near_dedup": EMBEDDINGS_SQL, "op10_url_filter": _urls_sql(), "op11_conversation_repair": REPAIR_SQL, "op12_filter_interaction_audit": AUDIT_SQL, "fingerprint_edits": EDITS_SQL, "quality_base_figures": QUALITY_SQL, "mixing_targets": MIXING_SQL}
