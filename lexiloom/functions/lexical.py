@@ -176,8 +176,9 @@ def normalize_text(texts: DataFrame, col: str, form: str = "NFKC") -> DataFrame:
             return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", x).casefold()))
         return s.map(lambda x: x if x is None else unicodedata.normalize(form, x))
 
-    plain = is_settled(F.col(col)) | F.col(col).isNull()
-    return texts.where(plain).unionByName(texts.where(~plain).withColumn(col, normal(F.col(col))))
+    # One pass: settled texts meet the function as nulls and stay as they are.
+    marked = texts.withColumn("_settled", is_settled(F.col(col)) | F.col(col).isNull())
+    return marked.withColumn(col, F.when(F.col("_settled"), F.col(col)).otherwise(normal(F.when(~F.col("_settled"), F.col(col))))).drop("_settled")
 
 
 def register(spark: SparkSession) -> None:

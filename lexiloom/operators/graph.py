@@ -87,6 +87,12 @@ def group_summary(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return seen.groupBy("group").agg(F.count("*").alias("size"), F.sum((F.col("p") == "code").cast("long")).alias("code"), F.sum((F.col("p") == "doc").cast("long")).alias("doc"))
 
 
+def member_samples(members: DataFrame, nodes: DataFrame, cap: int = LIMITS["group_members"]) -> DataFrame:
+    """(group, members): the first labels of each group's visible members, in the order of its list, then of ids."""
+    seen = members.join(nodes.where(provenance(F.col("source_file")) != "glossary").select("id", "label"), "id")
+    return per_key(seen, ["group"], cap, F.asc("pos"), F.asc("id")).groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]).alias("members"))
+
+
 def structure_scores(summary: DataFrame, cohesion: DataFrame, cap: int = 10) -> DataFrame:
     """size + 10 cohesion of groups of two or more."""
     rows = summary.where("size >= 2").join(cohesion, "group", "left")

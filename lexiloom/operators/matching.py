@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,21 +67,86 @@ def doc_occurrence(terms: DataFrame, doc_counts: DataFrame) -> DataFrame:
     return got.select("concept", "term", F.when(F.col("word").isNotNull(), F.coalesce("uses", F.lit(0))).alias("doc_uses"))
 
 
-def symbol_lookup(symbols: DataFrame, ident_counts: DataFrame) -> DataFrame:
-    """``symbols(concept, symbol)`` with the uses of that exact spelling."""
-    return symbols.join(ident_counts.select(F.col("name").alias("symbol"), "uses"), "symbol", "left").na.fill(0, ["uses"])
+#: Limits of the comparison with a Markdown glossary: terms looked up, and characters of the folded page.
+MOST_TERMS, MOST_CHARACTERS = 500, 4_000_000
+SUPERSEDED = ("alias", "discouraged", "deprecated")
+
+
+def fold_page(text: str) -> str:
+    """NFKC and full case folding, with every run of white space as one space."""
+    return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
+
+
+def spellings(term: str) -> set[str]:
+    """The folded spellings under which a term counts as present: as it is, joined, and with underscores or hyphens for its spaces."""
+    folded = fold_page(term)
+    return {folded.replace(" ", by) for by in (" ", "", "_", "-")} if folded else set()
+
+
+def term_automaton(terms: list[str]) -> ahocorasick.Automaton:
+    """One automaton over all spellings; it yields lists of places in ``terms``."""
+    by: dict[str, list[int]] = {}
+    for i, term in enumerate(terms):
+        for spelled in spellings(term):
+            by.setdefault(spelled, []).append(i)
+    found = ahocorasick.Automaton()
+    for spelled, own in by.items():
+        found.add_word(spelled, own)
+    found.make_automaton()
+    return found
+
+
+def present(found: ahocorasick.Automaton, folded: str) -> set[int]:
+    """The places of the terms that a folded text holds anywhere, inside words too."""
+    seen: set[int] = set()
+    if len(found):
+        for _, own in found.iter(folded):
+            seen.update(own)
+    return seen
+
+
+def term_presence(texts: DataFrame, terms: list[str], id_col: str = "path", text_col: str = "text") -> DataFrame:
+    """(id, term): each of at most ``MOST_TERMS`` distinct terms that a text holds in some spelling; whole texts, in one pass each.
+
+    The automaton goes to the tasks with the function: its size is bounded by
+    the terms. Nulls and empty texts hold nothing; a term without characters
+    is in no text. Rows that repeat an id are told apart by nothing, so each
+    gives its own rows.
+    """
+    terms = list(dict.fromkeys(terms))
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"at most {MOST_TERMS} terms")
+    found, kind = term_automaton(terms), texts.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                rows = [(i, t) for i, text in enumerate(part.column(1).to_pylist()) if text for t in sorted(present(found, fold_page(text)))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([i for i, _ in rows], pa.int64())), pa.array([terms[t] for _, t in rows], pa.string())], names=["id", "term"])
+
+    return texts.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, term string")
 
 
-def markdown_divergence(terms: DataFrame, text: str) -> DataFrame:
-    """Canonical terms absent from a Markdown glossary, and superseded ones still in it.
+def markdown_divergence(glossary: DataFrame, text: str) -> tuple[DataFrame, dict]:
+    """(concept, term, status, kind) of a glossary against a Markdown page, and {checked, skipped, complete, reason}.
 
-    A term counts as present in any of four spellings: as written, with spaces,
-    underscores or hyphens between its words; case and white space don't matter.
+    Canonical terms that the page lacks, and superseded aliases of those that it
+    still holds. The page is one bounded text and a glossary has bounded terms,
+    so both are compared on the driver. Beyond the limits nothing is claimed.
     """
-    page = " ".join(text.lower().split())
-    low = F.regexp_replace(lexical.fold(F.col("term")), r"\s+", " ")
-    spelled = F.array(low, *[F.regexp_replace(low, r"[\s_-]+", sep) for sep in (" ", "_", "-")])
-    there = F.exists(spelled, lambda s: F.lit(page).contains(s))
-    rows = terms.withColumn("present", there)
-    kind = F.when((F.col("status") == "canonical") & ~F.col("present"), "canonical-absent").when(F.col("status").isin("discouraged", "deprecated") & F.col("present"), "superseded-present")
-    return rows.withColumn("kind", kind).where("kind is not null").select("concept", "term", "status", "kind")
+    concepts = glossary.where("status = 'canonical'").select("id", "term", "aliases").orderBy("id").collect()
+    asked = [row for c in concepts for row in [(c["id"], c["term"], "canonical"), *((c["id"], a["term"], a["status"]) for a in c["aliases"] or [] if a["status"] in SUPERSEDED)]]
+    normal, reason = unicodedata.normalize("NFKC", text), None
+    folded = normal.casefold() if len(normal) <= MOST_CHARACTERS else normal  # a folded text may be longer
+    if len(folded) > MOST_CHARACTERS:
+        checked, reason = [], f"the page has over {MOST_CHARACTERS} characters"
+    else:
+        checked = asked[:MOST_TERMS]
+        reason = f"{len(asked) - MOST_TERMS} term(s) beyond {MOST_TERMS}" if len(asked) > MOST_TERMS else None
+    terms = list(dict.fromkeys(t for _, t, _ in checked))
+    held = {terms[i] for i in present(term_automaton(terms), " ".join(folded.split()))} if checked else set()
+    absent = {c for c, t, status in checked if status == "canonical" and t not in held}
+    rows = [(c, t, s, "canonical-absent") for c, t, s in checked if s == "canonical" and c in absent] + [(c, t, s, "superseded-present") for c, t, s in checked if s != "canonical" and c in absent and t in held]
+    info = {"checked": len(checked), "skipped": len(asked) - len(checked), "complete": len(checked) == len(asked), "reason": reason}
+    return glossary.sparkSession.createDataFrame(rows, "concept string, term string, status string, kind string"), info

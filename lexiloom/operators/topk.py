@@ -64,3 +64,41 @@ def within_budget(df: DataFrame, cost: Column, budget: int, *order: Column) -> D
     before = sums.withColumn("before", F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
     run = F.sum("cost").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return parts.join(before, "part").withColumn("running", run + F.col("before")).where(F.col("running") <= budget).drop("part", "before")
+
+
+def greedy_budget(df: DataFrame, cost: Column, budget: int, *order: Column) -> DataFrame:
+    """``df`` with admitted: in the order, a row is admitted if its cost fits the room left by those admitted before; what doesn't fit is passed over.
+
+    Exact, and not a walk: with room R, costs up to R/2 are small. All small
+    rows are admitted up to the first row that ends the round: a small one that
+    no longer fits, or a large one that does. Either leaves less than R/2, so the
+    rounds are at most log2(budget), each a prefix sum as in ``within_budget``.
+    The decision is a filter over the rounds' intervals. Costs are whole numbers
+    from zero; a null or negative cost is never admitted.
+    """
+    spark = df.sparkSession
+    # Sorted ranges, written once: the number of a row is its place in the order.
+    placed = cut(df.withColumn("_cost", cost.cast("long")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    slim = placed.select(F.col("_place").alias("place"), F.col("_cost").alias("cost"), F.shiftright("_place", 33).alias("part")).where("cost >= 0")
+    room, start, admitted = budget, -1, F.lit(False)
+    place, price = F.col("_place"), F.col("_cost")
+    while True:
+        half = room // 2
+        rows = slim.where((F.col("place") > start) & (F.col("cost") <= room)).withColumn("small", F.when(F.col("cost") <= half, F.col("cost")).otherwise(0))
+        sums = sorted((r["part"], r["own"]) for r in rows.groupBy("part").agg(F.sum("small").alias("own")).collect())  # a row a part
+        before, offsets = 0, []
+        for p, own in sums:
+            offsets.append((p, before))
+            before += own
+        mine = F.coalesce(F.sum("small").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        run = rows.withColumn("mine", mine).join(F.broadcast(spark.createDataFrame(offsets, "part long, before long")), "part").withColumn("used", F.col("mine") + F.col("before"))
+        fits = F.col("used") + F.col("cost") <= room
+        stop = run.where(F.when(F.col("cost") <= half, ~fits).otherwise(fits)).agg(F.min(F.struct("place", "cost", "used")).alias("s")).head()["s"]
+        taken = (place > start) & (price <= half)
+        if stop is None:
+            return placed.withColumn("admitted", F.coalesce((price >= 0) & (admitted | taken), F.lit(False))).drop("_cost", "_place")
+        admitted = admitted | (taken & (place < stop["place"]))
+        room, start = room - stop["used"], stop["place"]
+        if stop["cost"] > half:
+            admitted = admitted | (place == start)
+            room -= stop["cost"]

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import LIMITS
-from ..functions import paths
+from ..functions import lexical, paths
 from ..functions.paths import name_of
-from ..operators import graph, imports, matching, naming, terminology, topk, vocabulary
+from ..operators import graph, imports, inventory, matching, naming, terminology, topk, vocabulary
 from ..sources import documents, repository
 from ..sources.cache import KEYS, ExtractionCache
 from ..sources.shared import cut, together
@@ -192,7 +192,9 @@ def document(e: Evidence, root: str) -> dict:
         terms = located(naming.term_scores(e.tok_occ, tc, dc, disp), "term", by_token.withColumnRenamed("token", "term")).orderBy(F.desc("score"), "term")
         return together(spark, dispersion=lambda: _rows(disp.orderBy("term")), overloads=lambda: _rows(terminology.overload_candidates(disp)), terms=lambda: _rows(terms))
 
-    mods = e.files.where("kind = 'code' and problem is null").groupBy("module").agg(F.count("*").alias("code_files"), F.array_sort(F.collect_set("language")).alias("languages"))
+    read = lexical.normalize_text(e.files.where("problem is null").select("module", "role", "kind", "language", "size", F.when(F.col("kind") == "doc", F.col("text")).alias("text")), "text", form="FOLD")
+    made = cut(inventory.inventory(read.withColumn("words", F.when(F.col("kind") == "doc", F.size(lexical.doc_words(F.col("text")))))))
+    mods = inventory.module_inventory(made)
     # The longest go first.
     got = together(
         spark,
@@ -210,7 +212,8 @@ def document(e: Evidence, root: str) -> dict:
         layout=layout,
         markdown=markdown,
         exclusions=lambda: _rows(repository.exclusion_ledger(e.classified).orderBy("exclusion_kind")),
-        totals=lambda: _rows(e.files.groupBy("role", "kind").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy("role", "kind")),
+        totals=lambda: _rows(inventory.totals(made))[0],
+        languages=lambda: {r["language"]: r["files"] for r in made.where("level = 'language' and kind = 'code' and language is not null").select("language", "files").orderBy("language").collect()},
         modules=lambda: _rows(mods.orderBy("module").limit(LIMITS["source_files"])),
         edges=lambda: _rows(edges),
         external=lambda: _rows(imports.external_tally(e.resolved)),
@@ -220,7 +223,7 @@ def document(e: Evidence, root: str) -> dict:
         "schema_version": 1,
         "layout": got["layout"],
         "markdown_glossary": got["markdown"],
-        **{k: got[k] for k in ("structure", "git", "exclusions", "totals", "modules", "tokens", "identifiers", "doc_terms", "register")},
+        **{k: got[k] for k in ("structure", "git", "exclusions", "totals", "languages", "modules", "tokens", "identifiers", "doc_terms", "register")},
         "layers": {k: got[k] for k in ("shared", "code_only", "doc_only")},
         "synonyms": got["synonyms"],
         "dispersion": got["contexts"]["dispersion"],
@@ -230,14 +233,26 @@ def document(e: Evidence, root: str) -> dict:
     }
 
 
-def _held(spark: SparkSession, e: Evidence, glossary: dict) -> tuple[checks.Glossary, DataFrame]:
-    """The glossary against the evidence, and its drift."""
+@dataclass
+class Held:
+    """A glossary against the evidence, with the tables that the checks share."""
+
+    g: checks.Glossary
+    synonyms: DataFrame
+    dispersion: DataFrame
+
+    def drift(self) -> DataFrame:
+        return checks.drift(self.g, self.synonyms, self.dispersion)
+
+
+def _held(spark: SparkSession, e: Evidence, glossary: dict) -> Held:
     counts = together(spark, tokens=lambda: cut(e.token_counts()), docs=lambda: cut(e.doc_counts()))
     tc, g = counts["tokens"], checks.Glossary(glossaries.to_frame(spark, glossary), e.tok_occ, counts["docs"])
-    totals = g.totals
-    got = together(spark, totals=lambda: cut(totals), synonyms=lambda: cut(terminology.synonym_candidates(e.tok_occ, tc)), contexts=lambda: cut(terminology.context_dispersion(e.tok_occ, tc)))
-    g.totals = got["totals"]
-    return g, checks.drift(g, got["synonyms"], got["contexts"])
+    uses = g.uses
+    got = together(spark, uses=lambda: cut(uses), synonyms=lambda: cut(terminology.synonym_candidates(e.tok_occ, tc)), contexts=lambda: cut(terminology.context_dispersion(e.tok_occ, tc)))
+    g.uses = got["uses"]
+    g.totals = cut(matching.occurrence_totals(g.terms, g.uses))
+    return Held(g, got["synonyms"], got["contexts"])
 
 
 def _divergence(g: checks.Glossary, root: str) -> list[DataFrame]:
@@ -245,8 +260,7 @@ def _divergence(g: checks.Glossary, root: str) -> list[DataFrame]:
     text = markdown_glossary(root)[1]
     if text is None:
         return []
-    rows = matching.markdown_divergence(g.terms.select("concept", "term", "status"), text)
-    return [rows.select("kind", F.concat_ws(":", "concept", "term").alias("subject"), F.lit(None).cast("string").alias("signal_strength"), F.lit("observed").alias("certainty"), F.lit(None).cast("double").alias("value"))]
+    return [checks.divergence_findings(matching.markdown_divergence(g.rows, text)[0])]
 
 
 def _exclusions(e: Evidence) -> dict[str, int]:
@@ -258,10 +272,9 @@ def _exclusions(e: Evidence) -> dict[str, int]:
 
 def findings(spark: SparkSession, e: Evidence, glossary: dict, which: str) -> dict:
     """{findings, sections, complete, limitations} of ``which``: drift or validation. Every kind has a section, found or not."""
-    rows = cut((drift if which == "drift" else validation)(spark, e, glossary))
-    g = checks.Glossary(glossaries.to_frame(spark, glossary), e.tok_occ, e.doc_counts())
-    tc = cut(e.token_counts())
-    scoped = checks.scoped_dispersion(g, terminology.overload_candidates(terminology.context_dispersion(e.tok_occ, tc)))
+    own = _held(spark, e, glossary)
+    rows = cut((drift if which == "drift" else validation)(spark, e, glossary, own))
+    scoped = checks.scoped_dispersion(own.g, terminology.overload_candidates(own.dispersion))
     narrow = sum(c["status"] == "canonical" and "scope" in c for c in glossary["concepts"])
     groups = graph.group_summary(e.structure.members, e.structure.nodes).count() if e.structure.state == "ok" else 0
     kinds = completeness.DRIFT if which == "drift" else completeness.VALIDATION
@@ -270,25 +283,27 @@ def findings(spark: SparkSession, e: Evidence, glossary: dict, which: str) -> di
     held = _rows(completeness.sections(rows, planned, totals=totals).orderBy("kind"))
     skipped = [s["kind"] for s in held if s["skipped"]]
     kept = _rows(rows.where(~F.col("kind").isin(skipped)).orderBy("kind", "subject"))
-    return {"findings": kept, "sections": held, "complete": all(s["exact"] and not s["skipped"] for s in held), "limitations": completeness.limitations(held), "glossary_sha256": glossaries.digest(glossary)}
+    return {"findings": kept, "sections": held, "complete": all(s["complete"] for s in held if not s["skipped"]) and not any(s["skipped"] for s in held), "limitations": completeness.limitations(held), "glossary_sha256": glossaries.digest(glossary)}
 
 
-def drift(spark: SparkSession, e: Evidence, glossary: dict) -> DataFrame:
-    g, found = _held(spark, e, glossary)
-    for more in _divergence(g, e.root):
+def drift(spark: SparkSession, e: Evidence, glossary: dict, own: Held | None = None) -> DataFrame:
+    own = own or _held(spark, e, glossary)
+    found = own.drift()
+    for more in _divergence(own.g, e.root):
         found = found.unionByName(more)
     return checks.capped(found)
 
 
-def validation(spark: SparkSession, e: Evidence, glossary: dict) -> DataFrame:
+def validation(spark: SparkSession, e: Evidence, glossary: dict, own: Held | None = None) -> DataFrame:
     """Bindings, orphans, fragmentation and drift, and the structural checks where the evidence has a graph."""
-    g, drifted = _held(spark, e, glossary)
+    own = own or _held(spark, e, glossary)
+    g, drifted = own.g, own.drift()
     excluded = e.classified.where(F.col("exclusion_kind").isin(list(completeness.EXCLUDED_KINDS))).select("path").union(e.files.where("problem is not null").select("path"))
     whole = not completeness.corpus_reasons(_exclusions(e))
     states, s = cut(checks.bindings(g, e.files.where("problem is null").select("path"), excluded, whole, e.root)), e.structure
-    found = [drifted, checks.orphaned_concepts(g, states), checks.binding_findings(states), checks.fragmentation(g)]
+    found = [drifted, checks.orphaned_concepts(g, states), checks.binding_findings(states, g), checks.fragmentation(g)]
     if s.state == "ok":
-        found += checks.structural(cut(checks.strengths(g, s.nodes, s.members, s.labels)), graph.group_summary(s.members, s.nodes)).values()
+        found += checks.structural(cut(checks.strengths(g, s.nodes, s.members, s.labels)), graph.group_summary(s.members, s.nodes), graph.member_samples(s.members, s.nodes)).values()
     return checks.capped(reduce(DataFrame.unionByName, found))
 
 

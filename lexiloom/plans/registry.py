@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical, paths
 from ..functions.fixed import ROLE_DIRS
-from ..operators import graph, imports, naming, terminology, topk, vocabulary
+from ..operators import evaluation, graph, imports, inventory, matching, naming, ownership, terminology, topk, vocabulary
+from ..sources import repository
 from ..sources.shared import cut
 from . import checks, corpora, glossaries
 from .corpora import BIGRAM, DOC, IDENT, PART, table
@@ -390,6 +391,9 @@ def structure_naming_score(spark, sf):
 
 # The glossary.
 
+#: The columns of a finding that its own query holds against SQL.
+PLAIN = ["kind", "subject", "signal_strength", "certainty", "value"]
+
 
 def _glossary(spark, sf) -> checks.Glossary:
     return checks.Glossary(glossaries.to_frame(spark, glossaries.STANDING), _idents(spark, sf), _docs(spark, sf))
@@ -427,18 +431,18 @@ def scoped_occurrence(spark, sf):
 
 @query(f"WITH {IDENT}, {_USES} SELECT 'watched-term-in-use' AS kind, concept || ':' || term AS subject, NULL::VARCHAR AS signal_strength, 'observed' AS certainty, uses::DOUBLE AS value FROM totals WHERE status IN ('discouraged', 'deprecated') AND uses > 0")
 def watched_in_use(spark, sf):
-    return checks.watched_in_use(_glossary(spark, sf))
+    return checks.watched_in_use(_glossary(spark, sf)).select(*PLAIN)
 
 
 @query(f"""WITH {IDENT}, {DOC}, {_USES} SELECT 'canonical-fading' AS kind, concept || ':' || t.term AS subject, CASE WHEN t.uses = 0 THEN 'strong' ELSE 'moderate' END AS signal_strength, NULL::VARCHAR AS certainty, t.uses::DOUBLE AS value
 FROM totals t LEFT JOIN doc_counts d ON d.term = lower(t.term) WHERE status = 'canonical' AND (t.uses = 0 OR (t.uses <= 2 AND NOT contains(t.term, ' ') AND coalesce(d.uses, 0) = 0))""")
 def canonical_fading(spark, sf):
-    return checks.canonical_fading(_glossary(spark, sf))
+    return checks.canonical_fading(_glossary(spark, sf)).select(*PLAIN)
 
 
 @query(f"WITH {IDENT}, {_USES} SELECT 'fragmentation' AS kind, concept AS subject, 'weak' AS signal_strength, NULL::VARCHAR AS certainty, modules::DOUBLE AS value FROM totals WHERE status = 'canonical' AND modules >= 5")
 def fragmentation(spark, sf):
-    return checks.fragmentation(_glossary(spark, sf))
+    return checks.fragmentation(_glossary(spark, sf)).select(*PLAIN)
 
 
 #: A folder that the standing evidence left unread.
@@ -463,7 +467,7 @@ def binding_states(spark, sf):
 @query(f"""WITH {IDENT}, {_USES}, {_BIND.replace(_values() + ",", "")} SELECT 'orphaned-concept' AS kind, concept AS subject, CASE WHEN uses = 0 THEN 'strong' ELSE 'moderate' END AS signal_strength, NULL::VARCHAR AS certainty, uses::DOUBLE AS value
 FROM totals WHERE status = 'canonical' AND len(toks) > 0 AND uses <= 2 AND concept NOT IN (SELECT concept FROM bind WHERE state IN ('resolved', 'uncertain'))""")
 def orphaned_concepts(spark, sf):
-    return checks.orphaned_concepts(*_bindings(spark, sf))
+    return checks.orphaned_concepts(*_bindings(spark, sf)).select(*PLAIN)
 
 
 @query(f"""WITH {PART}, {_SYN}, {_USES}, idx AS (SELECT concept, toks[1] AS token FROM terms WHERE status = 'canonical' AND len(toks) = 1 AND concept NOT IN (SELECT concept FROM scopes) AND (concept, term) IN (SELECT concept, term FROM totals WHERE uses > 0)),
@@ -473,7 +477,7 @@ FROM par WHERE new NOT IN (SELECT unnest(toks) FROM terms)""")
 def parallel_terms(spark, sf):
     occ = corpora.tok(corpora.part_occ(spark, sf))
     g = checks.Glossary(glossaries.to_frame(spark, glossaries.STANDING), occ, _docs(spark, sf))
-    return checks.parallel_terms(g, cut(_synonyms(spark, sf)))
+    return checks.parallel_terms(g, cut(_synonyms(spark, sf))).select(*PLAIN)
 
 
 def _strengths(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -498,17 +502,17 @@ def group_concept_strength(spark, sf):
 
 @query(f"""WITH {_GRAPH}, {_STR} SELECT 'unnamed-structure' AS kind, "group" AS subject, CASE WHEN size >= 5 THEN 'strong' ELSE 'moderate' END AS signal_strength, NULL::VARCHAR AS certainty, size::DOUBLE AS value FROM gs WHERE "group" NOT IN (SELECT "group" FROM st)""")
 def unnamed_groups(spark, sf):
-    return checks.structural(*_strengths(spark, sf))["unnamed"]
+    return checks.structural(*_strengths(spark, sf))["unnamed"].select(*PLAIN)
 
 
 @query(f"""WITH {_GRAPH}, {_STR} SELECT 'boundary-mismatch' AS kind, x."group" || ':' || x.concept || ':' || y.concept AS subject, 'moderate' AS signal_strength, NULL::VARCHAR AS certainty, NULL::DOUBLE AS value FROM st x JOIN st y ON x."group" = y."group" AND x.concept < y.concept WHERE x.strength >= 2 AND y.strength >= 2""")
 def boundary_pairs(spark, sf):
-    return checks.structural(*_strengths(spark, sf))["boundary"]
+    return checks.structural(*_strengths(spark, sf))["boundary"].select(*PLAIN)
 
 
 @query(f"""WITH {_GRAPH}, {_STR} SELECT 'overloaded-structural-region' AS kind, "group" AS subject, 'moderate' AS signal_strength, NULL::VARCHAR AS certainty, count(*)::DOUBLE AS value FROM st WHERE strength >= 2 GROUP BY "group" HAVING count(*) >= 3""")
 def overloaded_regions(spark, sf):
-    return checks.structural(*_strengths(spark, sf))["overloaded"]
+    return checks.structural(*_strengths(spark, sf))["overloaded"].select(*PLAIN)
 
 
 @query(f"""WITH {IDENT}, {_USES}, found AS (SELECT 'watched-term-in-use' AS kind, concept || ':' || term AS subject FROM totals WHERE status IN ('discouraged', 'deprecated') AND uses > 0),
@@ -575,6 +579,109 @@ def module_rollup(spark, sf):
     return per.groupBy("module").agg(F.count("*").alias("terms"), F.sum("uses").alias("uses"), F.sum((F.col("uses") == 1).cast("long")).alias("once"))
 
 
+# Budgets, links, presence, ownership and totals.
+
+_BUDGET = 1_000_000
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY source, doc_id) AS n FROM documents),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST({_BUDGET} AS BIGINT) AS room, CAST(NULL AS BIGINT) AS doc_id, false AS admitted
+  UNION ALL SELECT o.n, CASE WHEN o.n_chars <= room THEN room - o.n_chars ELSE room END, o.doc_id, coalesce(o.n_chars <= room, false) FROM r JOIN o ON o.n = r.n + 1)
+SELECT doc_id, admitted FROM r WHERE n > 0""")
+def budget_greedy(spark, sf):
+    d = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    return topk.greedy_budget(d, F.col("n_chars"), _BUDGET, F.asc("source"), F.asc("doc_id")).select("doc_id", "admitted")
+
+
+#: What the standing listing's links lead to, by a document's number: another document's path, or one of these.
+_TARGETS = [".env", "vendor/lib/v.js", "GLOSSARY.md", ".hidden/notes.md", "src/skipped/a.py", "keys-secret/k.md", None]
+
+
+def _listing(spark, sf) -> DataFrame:
+    d = _some_paths(spark, sf).withColumn("doc_id", F.regexp_extract("path", r"test_(\d+)\.", 1).cast("long"))
+    odd = F.element_at(F.array(*[F.lit(t) for t in _TARGETS]), (F.floor(F.col("doc_id") / 5) % len(_TARGETS) + 1).cast("int"))
+    link = F.col("doc_id") % 5 == 0
+    own = d.select("path", F.col("n_chars").alias("size"), F.lit(None).cast("string").alias("why"), link.alias("link"), F.when(link, F.when(F.col("doc_id") % 2 == 0, odd).otherwise(F.concat(F.lit("src/other/doc_"), "doc_id", F.lit(".md")))).alias("target"), F.col("doc_id").alias("walk_order"))
+    return own
+
+
+_LINKED = f"""listed AS (SELECT path, n_chars AS size, doc_id % 5 = 0 AS link, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN [{', '.join('NULL' if t is None else repr(t) for t in _TARGETS)}][1 + (doc_id // 5) % {len(_TARGETS)}] ELSE 'src/other/doc_' || doc_id || '.md' END END AS target
+  FROM (SELECT *, regexp_extract(path, 'test_(\\d+)\\.', 1)::BIGINT AS doc_id FROM paths)),
+names AS (SELECT path FROM listed UNION SELECT target FROM listed WHERE target IS NOT NULL),
+said AS (SELECT path, CASE WHEN regexp_matches(path, '(^|/)[.]env$|secret') THEN 'sensitive' WHEN path = 'GLOSSARY.md' THEN 'own-output' WHEN starts_with(path, 'src/skipped/') THEN 'ignored' WHEN regexp_matches(path, '(^|/)[.]') THEN 'hidden'
+  WHEN {_has('vendored')} THEN 'vendored' WHEN {_has('generated')} OR contains(path, '.generated.') THEN 'generated' END AS verdict FROM names)"""
+
+
+@query(f"""WITH {_PATHS}, {_LINKED}
+SELECT l.path, l.target, coalesce(a.verdict, CASE WHEN link AND target IS NULL THEN 'symlink-escapes' WHEN b.verdict = 'sensitive' THEN 'sensitive' WHEN b.verdict IS NOT NULL THEN 'symlink-excluded' WHEN size > 2000000 THEN 'too-large' END) AS exclusion_kind
+FROM listed l JOIN said a ON a.path = l.path LEFT JOIN said b ON b.path = l.target""")
+def link_verdicts(spark, sf):
+    config = repository.Config.parse({"schema_version": 1, "ignore_paths": ["src/skipped"]})
+    return repository.judge(_listing(spark, sf), config).select("path", "target", "exclusion_kind")
+
+
+@query(f"""WITH {DOC}, terms AS (SELECT term FROM doc_counts WHERE length(term) >= 4 ORDER BY uses DESC, term LIMIT 60)
+SELECT doc_id, term FROM documents, terms WHERE contains(regexp_replace(replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'ς', 'σ'), '\\s+', ' ', 'g'), term)""")
+def term_presence(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    common = topk.top_k(_docs(spark, sf).where("length(term) >= 4"), 60, F.desc("uses"), F.asc("term"))
+    return matching.term_presence(d, [r["term"] for r in common.collect()], "doc_id").withColumnRenamed("id", "doc_id")
+
+
+_CLAIMS = """claims AS (SELECT DISTINCT 'w' || doc_id % 40 AS word, source AS concept, CASE WHEN doc_id % 97 = 0 THEN NULL ELSE CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN lang || '/m' || doc_id % 5 WHEN 2 THEN lang || '/m' || doc_id % 5 || '/s' || doc_id % 3 ELSE lang || '-x/m' || doc_id % 5 END END AS prefix FROM documents)"""
+
+
+@query(f"""WITH {_CLAIMS} SELECT x.word, x.concept, x.prefix, arg_min(y.concept, (length(coalesce(y.prefix, '')), y.concept)) AS owner
+FROM claims x JOIN claims y ON x.word = y.word AND x.concept <> y.concept AND (y.prefix IS NULL OR x.prefix = y.prefix OR starts_with(x.prefix, y.prefix || '/')) GROUP BY x.word, x.concept, x.prefix""")
+def scope_conflicts(spark, sf):
+    d, at = table(spark, sf, "documents"), F.col("doc_id")
+    part = lambda name, n: F.concat(F.lit(f"/{name}"), (at % n).cast("string"))
+    prefix = F.when(at % 4 == 0, F.col("lang")).when(at % 4 == 1, F.concat("lang", part("m", 5))).when(at % 4 == 2, F.concat("lang", part("m", 5), part("s", 3))).otherwise(F.concat("lang", F.lit("-x"), part("m", 5)))
+    claims = d.select(F.concat(F.lit("w"), (at % 40).cast("string")).alias("word"), F.col("source").alias("concept"), F.when(at % 97 != 0, prefix).alias("prefix"))
+    return ownership.ownership_conflicts(claims)
+
+
+_FILES = f"""files AS (SELECT source AS module, {_ROLE} AS role, CASE WHEN ends_with(path, '.md') THEN 'doc' ELSE 'code' END AS kind, CASE WHEN ends_with(path, '.py') THEN 'python' WHEN ends_with(path, '.js') THEN 'javascript' END AS language, n_chars AS size, words
+  FROM (SELECT p.path, d.source, d.n_chars, coalesce(w.words, 0) AS words FROM (SELECT *, regexp_extract(path, 'test_(\\d+)\\.', 1)::BIGINT AS doc_id FROM paths) p JOIN documents d USING (doc_id) LEFT JOIN (SELECT path, sum(n) AS words FROM doc_occ GROUP BY path) w ON w.path = d.source || '/doc_' || d.doc_id || '.md'))"""
+
+
+def _inventory(spark, sf) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "source", "text", "n_chars")
+    at = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("doc_id") % n + 1).cast("int"))
+    path = F.concat(at(["src/", "tests/", "vendor/lib/", "app/build/", "fixtures/", "src/api/generated/"], 6), "source", F.lit("/test_"), F.col("doc_id").cast("string"), at([".py", ".md", ".generated.js"], 3))
+    files = lexical.normalize_text(d.withColumn("path", path), "text", form="FOLD")
+    return inventory.inventory(files.select(F.col("source").alias("module"), paths.default_role(F.col("path")).alias("role"), paths.kind_of(F.col("path")).alias("kind"), paths.language_of(F.col("path")).alias("language"), F.col("n_chars").alias("size"), F.size(lexical.doc_words(F.col("text"))).alias("words")))
+
+
+@query(f"""WITH {DOC}, {_PATHS}, {_FILES}
+SELECT CASE grouping_id(module, role, kind, language) WHEN 15 THEN 'all' WHEN 13 THEN 'kind' WHEN 9 THEN 'role' WHEN 12 THEN 'language' WHEN 5 THEN 'module' WHEN 1 THEN 'module_role' ELSE 'module_language' END AS level, module, role, kind, language, count(*) AS files, sum(size)::BIGINT AS bytes, sum(words)::BIGINT AS words
+FROM files GROUP BY GROUPING SETS ((), (kind), (role, kind), (language, kind), (module, kind), (module, role, kind), (module, language, kind))""")
+def corpus_inventory(spark, sf):
+    return _inventory(spark, sf)
+
+
+@query(f"""WITH {DOC}, {_PATHS}, {_FILES}, c AS (SELECT * FROM files WHERE kind = 'code')
+SELECT module, count(*) AS code_files, sum(size)::BIGINT AS code_bytes, (SELECT string_agg(l || '=' || n, ' ' ORDER BY l) FROM (SELECT language AS l, count(*) AS n FROM c x WHERE x.module = c.module GROUP BY 1)) AS languages,
+ (SELECT string_agg(r || '=' || n, ' ' ORDER BY r) FROM (SELECT role AS r, count(*) AS n FROM c x WHERE x.module = c.module GROUP BY 1)) AS roles, bool_or(role = 'production') AS production FROM c GROUP BY module""")
+def module_inventory(spark, sf):
+    flat = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
+    got = inventory.module_inventory(cut(_inventory(spark, sf)))
+    return got.select("module", "code_files", "code_bytes", flat("languages").alias("languages"), flat("code_files_by_role").alias("roles"), "production")
+
+
+_CASES = """cases AS (SELECT lang AS name, n_chars, n_chars >= 400 AS found, quality = 1 AS expected, toxic = 0 AS useful FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL)"""
+
+
+@query(f"""WITH {_CASES} SELECT name AS "case", count(*) FILTER (found AND expected) AS tp, count(*) FILTER (found AND NOT expected) AS fp, count(*) FILTER (expected AND NOT found) AS fn,
+ count(*) FILTER (found AND expected) / nullif(count(*) FILTER (found), 0) AS precision, count(*) FILTER (found AND expected) / nullif(count(*) FILTER (expected), 0) AS recall,
+ count(*) FILTER (found AND useful) / nullif(count(*) FILTER (found), 0) AS usefulness, round(1000.0 * count(*) FILTER (found AND NOT expected) / nullif(count(*), 0), 2)::DOUBLE AS false_alarms_per_1000, median(n_chars)::DOUBLE AS median_cost, quantile_cont(n_chars, 0.9)::DOUBLE AS p90_cost
+FROM cases GROUP BY ROLLUP (name)""")
+def evaluation_metrics(spark, sf):
+    rows = table(spark, sf, "labels").where("quality is not null").join(table(spark, sf, "documents"), "doc_id")
+    judged = rows.select(F.col("lang").alias("case"), (F.col("n_chars") >= 400).alias("found"), (F.col("quality") == 1).alias("expected"), (F.col("toxic") == 0).alias("useful"), F.col("n_chars").alias("cost"))
+    return evaluation.metrics(judged)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

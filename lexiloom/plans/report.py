@@ -65,8 +65,10 @@ def shown(text: object) -> str:
 def evidence_lines(doc: dict) -> list[str]:
     """The evidence document as lines of text."""
     out = ["Files"]
-    out += [f"  {r['role']} {r['kind']}: {r['files']} files, {r['bytes']} bytes" for r in doc["totals"]]
-    out += [f"  left out, {r['exclusion_kind']}: {r['files']}" for r in doc["exclusions"]]
+    total = doc["totals"]
+    out.append(f"  code: {total['code_files']} files, {total['code_bytes']} bytes; prose: {total['doc_files']} files, {total['doc_words']} words")
+    out += [f"  {kind}, {shown(role)}: {n} files" for kind in ("code", "doc") for role, n in sorted((total[f"{kind}_files_by_role"] or {}).items())]
+    out += [f"  left out: {shown(r['sentence'])}" for r in doc["exclusions"]]
     if doc["layout"]["monorepo"]:
         out.append("  several projects: " + ", ".join(map(shown, doc["layout"]["workspaces"])))
     for name in ("tokens", "identifiers", "doc_terms"):
@@ -93,12 +95,22 @@ def finding_lines(found: list[dict], sections: list[dict]) -> list[str]:
     for s in sections:
         title = f"{s['kind']}: " + (f"skipped ({s['skipped']})" if s["skipped"] else f"{s['total']}" + ("" if s["exact"] else " or more") + (f", {s['dropped']} not shown" if s["dropped"] else ""))
         out.append(title)
-        out += [f"  {shown(f['subject'])}\t{f['signal_strength'] or f['certainty']}" for f in found if f["kind"] == s["kind"] and not s["skipped"]]
+        for f in found:
+            if f["kind"] == s["kind"] and not s["skipped"]:
+                out.append(f"  {shown(f.get('summary') or f['subject'])}\t{f['signal_strength'] or f['certainty']}")
+                out += detail_lines(f)
         if not s["skipped"]:
             out += [f"  incomplete: {shown(r)}" for r in s["reasons"]]
     return out
 
 
+def detail_lines(found: dict) -> list[str]:
+    """What a finding rests on: scope, contexts, first places, modules."""
+    held = found.get("evidence") or {}
+    lists = (("scope", found.get("scope")), ("shared contexts", held.get("shared_contexts")), ("at", [x["path"] for x in held.get("locations") or []][:3]), ("modules", [x["module"] for x in held.get("module_contexts") or []]), ("members", held.get("members")))
+    return [f"    {name}: " + ", ".join(map(shown, own)) for name, own in lists if own]
+
+
 def glossary_lines(doc: dict) -> list[str]:
     """Counts by status, then the concepts."""
     counts: dict[str, int] = {}

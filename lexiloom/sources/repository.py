@@ -15,13 +15,15 @@ import subprocess
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.fixed import DOC_EXTENSIONS, EXTENSIONS, LIMITS, ROLES, ROLE_DIRS, SENSITIVE
+from ..operators import topk
 from ..plans.glossaries import valid_prefix
 
 #: Folders and files that this engine writes, and documents it reports on; never evidence.
@@ -30,7 +32,8 @@ OWN_DIRS, OWN_FILES = ("lexiloom-out",), ("GLOSSARY.md", "LEXILOOM.md")
 MANIFESTS = "package.json pyproject.toml setup.py Cargo.toml go.mod pom.xml build.gradle dune-project mix.exs composer.json Gemfile".split()
 # Files that declare several projects by being there.
 WORKSPACES = "pnpm-workspace.yaml lerna.json go.work WORKSPACE WORKSPACE.bazel MODULE.bazel".split()
-FILES = "path string, kind string, language string, module string, size long, walk_order long"
+#: Roles whose content is never evidence.
+LEFT_OUT_ROLES = ("vendored", "generated")
 
 
 @dataclass
@@ -73,99 +76,189 @@ def named_exactly(folder: str, name: str) -> bool | None:
     return False
 
 
-def _pruned(name: str, path: str, config: Config) -> str | None:
-    """Why a folder isn't entered: its name is sensitive, or its role left out and no rule names it or something beneath it."""
+def _left_out(name: str, path: str, config: Config) -> str | None:
+    """Why a folder isn't entered: its name, a rule, or a role that is left out while no rule names anything beneath it."""
     if re.search(SENSITIVE, name.lower()):
         return "sensitive"
-    role = next((r for r in ("vendored", "generated") if name.lower() in ROLE_DIRS[r]), None)
+    if any(path == p or path.startswith(p + "/") for p in config.ignore):
+        return "ignored"
+    if name.startswith("."):
+        return "hidden"
+    role = next((r for r in LEFT_OUT_ROLES if name.lower() in ROLE_DIRS[r]), None)
     own = max((p for p in config.roles if path == p or path.startswith(p + "/")), key=len, default=None)
     if own is not None:
-        role = config.roles[own] if config.roles[own] in ("vendored", "generated") else None
+        role = config.roles[own] if config.roles[own] in LEFT_OUT_ROLES else None
     return None if role is None or any(p.startswith(path + "/") for p in config.roles) else role
 
 
-def list_files(root: str, config: Config | None = None) -> list[tuple[str, str, int, str | None]]:
-    """(path, name, size, exclusion) in walk order: a sorted depth-first listing that doesn't enter excluded folders."""
+class Entry(NamedTuple):
+    """What a listing knows of a path. ``why``: left out already; ``target``: what a link leads to inside the root; ``size``: of the content, null where it can't be read."""
+
+    path: str
+    size: int | None
+    why: str | None = None
+    link: bool = False
+    target: str | None = None
+
+
+def list_files(root: str, config: Config | None = None) -> list[Entry]:
+    """Files and unentered folders in walk order: sorted, depth first, within the limits of entries; looks at names, sizes and links only."""
     config = config or Config()
-    out: list[tuple[str, str, int, str | None]] = []
+    out: list[Entry] = []
     inside = os.path.realpath(root)
     stack, entries = [""], 0
     while stack:
         rel = stack.pop()
-        with os.scandir(os.path.join(root, rel)) as it:  # no more is read than the limit allows
-            here = sorted(islice(it, LIMITS["directory_entries"] + 1), key=lambda e: e.name)
+        try:
+            with os.scandir(os.path.join(root, rel)) as it:  # no more is read than the limit allows
+                here = sorted(islice(it, LIMITS["directory_entries"] + 1), key=lambda e: e.name)
+        except OSError:
+            out.append(Entry(rel or ".", 0, "unreadable-directory"))
+            continue
         if len(here) > LIMITS["directory_entries"]:
-            out.append((rel or ".", "", 0, "directory-too-large"))
+            out.append(Entry(rel or ".", 0, "directory-too-large"))
             continue
-        below = []
+        below, files = [], []
         for e in here:
-            entries += 1
             path = f"{rel}/{e.name}" if rel else e.name
-            hidden = e.name.startswith(".")
-            ignored = any(path == p or path.startswith(p + "/") for p in config.ignore)
+            link = e.is_symlink()
+            try:
+                folder = e.is_dir()
+            except OSError:
+                folder = False
+            if folder and e.name in OWN_DIRS:
+                out.append(Entry(path, 0, "own-output"))
+                continue
+            entries += 1
             if entries > LIMITS["walk_entries"]:
-                out.append((path, e.name, 0, "walk-budget"))
-            elif e.is_dir(follow_symlinks=False):
-                why = "own-output" if e.name in OWN_DIRS else "ignored" if ignored else "hidden" if hidden else _pruned(e.name, path, config)
+                return [*out, *files, Entry(path, 0, "walk-budget")]
+            real = os.path.realpath(e.path) if link else None
+            away = real is not None and os.path.commonpath([real, inside]) != inside
+            if folder:
+                why = _left_out(e.name, path, config) or ("symlink-escapes" if away else "symlink-directory" if link else None)
                 if why:
-                    out.append((path, e.name, 0, why))
+                    out.append(Entry(path, 0, why))
                 else:
                     below.append(path)
-            else:
-                real = os.path.realpath(os.path.join(root, path))
-                why = "own-output" if e.name in OWN_FILES else "ignored" if ignored else None
-                if not why and e.is_symlink():
-                    why = "symlink-escapes" if os.path.commonpath([real, inside]) != inside else "symlink-directory" if os.path.isdir(real) else None
-                size = os.path.getsize(real) if not why and os.path.exists(real) else 0
-                out.append((path, e.name, size, why))
+                continue
+            try:
+                size = os.path.getsize(e.path) if not away else 0
+            except OSError:
+                size = None
+            files.append(Entry(path, size, None, link, None if real is None or away else os.path.relpath(real, inside).replace(os.sep, "/")))
+        out += files
         stack += below[::-1]
     return out
 
 
-def classify(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
-    """Every listed file with kind, language, module, role and exclusion_kind (null: in the corpus).
+def path_verdict(path: Column, role: Column, config: Config) -> Column:
+    """Why a path is no evidence, by its whole name, in order: sensitive, own output, ignored, hidden, role; null if it may be."""
+    parts = F.split(path, "/")
+    dirs, name = F.slice(parts, F.lit(1), F.size(parts) - 1), F.element_at(parts, -1)
+    ignored = F.exists(F.array(*map(F.lit, config.ignore)), lambda p: paths.under(path, p)) if config.ignore else F.lit(False)
+    return (
+        F.when(F.exists(parts, lambda p: F.lower(p).rlike(SENSITIVE)), "sensitive")
+        .when(name.isin(list(OWN_FILES)) | F.exists(dirs, lambda d: d.isin(list(OWN_DIRS))), "own-output")
+        .when(ignored, "ignored")
+        .when(F.exists(parts, lambda p: p.startswith(".")), "hidden")
+        .when(role.isin(list(LEFT_OUT_ROLES)), role)
+    )
 
-    The byte budget is greedy, so a smaller later file may still fit; the listing is bounded, and so is that loop.
+
+LISTED = "path string, size long, why string, link boolean, target string, walk_order long"
+
+
+def judge(listed: DataFrame, config: Config, links: bool = True) -> DataFrame:
+    """``LISTED`` rows with kind, language, module, role and exclusion_kind (null: it may be evidence).
+
+    A link is judged by its own name and then, by the same ordered decision, by
+    the whole path of what it leads to, which the listing need not have met; the
+    link's role and size are those of that content. ``links``: whether any may be there.
     """
-    config = config or Config()
-    rows = [(p, size, why, i) for i, (p, _, size, why) in enumerate(list_files(root, config))]
-    listed = spark.createDataFrame(rows, "path string, size long, why string, walk_order long")
     typed = listed.withColumns({"kind": paths.kind_of(F.col("path")), "language": paths.language_of(F.col("path")), "module": paths.module_of(F.col("path"))})
-    typed = paths.with_roles(typed, config.frame(spark))
-    why = (
-        F.when(F.col("why").isNotNull(), F.col("why")).when(paths.is_sensitive(F.col("path")), "sensitive").when(paths.name_of(F.col("path")).startswith("."), "hidden")
-        .when(F.col("role").isin("generated", "vendored"), F.col("role")).when(F.col("kind").isNull(), "unsupported").when(F.col("size") > LIMITS["file_bytes"], "too-large")
+    named = listed.select("path").union(listed.where("target is not null").select("target")).distinct() if links else listed.select("path")
+    named = paths.with_roles(named, config.frame(listed.sparkSession))
+    judged = named.withColumn("verdict", path_verdict(F.col("path"), F.col("role"), config))
+    met = typed.join(judged, "path")
+    if links:
+        met = met.join(judged.select(F.col("path").alias("target"), F.col("role").alias("target_role"), F.col("verdict").alias("target_verdict")), "target", "left")
+    else:
+        met = met.withColumns({"target_role": F.lit(None).cast("string"), "target_verdict": F.lit(None).cast("string")})
+    why = F.coalesce(
+        "why", "verdict", F.when(F.col("kind").isNull(), "unsupported"), F.when(F.col("link") & F.col("target").isNull(), "symlink-escapes"),
+        F.when(F.col("target_verdict") == "sensitive", "sensitive").when(F.col("target_verdict").isNotNull(), "symlink-excluded"),
+        F.when(F.col("size").isNull(), "unreadable").when(F.col("size") > LIMITS["file_bytes"], "too-large"),
     )
-    judged = typed.withColumn("exclusion_kind", why).drop("why")
-    used, count, over = 0, 0, []
-    for r in judged.where("exclusion_kind is null").select("path", "size").orderBy("walk_order").collect():  # at most walk_entries rows
-        if count >= LIMITS["source_files"] or used + r["size"] > LIMITS["corpus_bytes"]:
-            over.append((r["path"],))
-        else:
-            used, count = used + r["size"], count + 1
-    late = spark.createDataFrame(over, "path string").withColumn("late", F.lit(True))
-    return judged.join(late, "path", "left").withColumn("exclusion_kind", F.coalesce("exclusion_kind", F.when(F.col("late"), "corpus-budget"))).drop("late")
+    met = met.withColumn("exclusion_kind", why).withColumn("role", F.coalesce("target_role", "role"))
+    return met.select("path", F.coalesce("size", F.lit(0)).alias("size"), "walk_order", "kind", "language", "module", "role", "target", "exclusion_kind")
 
 
-def exclusion_ledger(classified: DataFrame) -> DataFrame:
-    """(exclusion_kind, files, sample): what was left out, with the first twenty paths."""
-    out = classified.where("exclusion_kind is not null").groupBy("exclusion_kind")
-    return out.agg(F.count("*").alias("files"), F.slice(F.array_sort(F.collect_list("path")), 1, 20).alias("sample"))
+def classify(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
+    """Every listed path, judged; what the corpus has no room for is excluded too: a smaller later file may still fit."""
+    config = config or Config()
+    rows = [(*e, i) for i, e in enumerate(list_files(root, config))]
+    met = judge(spark.createDataFrame(rows, LISTED), config, any(r[4] for r in rows))
+    good = met.where("exclusion_kind is null").select("path", "size", "walk_order")
+    files, total = good.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).head()
+    if files <= LIMITS["source_files"] and total <= LIMITS["corpus_bytes"]:
+        return met
+    fits = topk.greedy_budget(good, F.col("size"), LIMITS["corpus_bytes"], F.asc("walk_order")).where("admitted")
+    fits = topk.top_k(fits, LIMITS["source_files"], F.asc("walk_order")).select("path", F.lit(True).alias("fits"))
+    over = F.when(F.col("exclusion_kind").isNull() & F.col("fits").isNull(), "corpus-budget")
+    return met.join(fits, "path", "left").withColumn("exclusion_kind", F.coalesce("exclusion_kind", over)).drop("fits")
+
+
+#: What each kind of exclusion means, with the number of paths.
+SENTENCES = {
+    "sensitive": "%d path(s) with a name, or behind a link to a name, that may hold secrets",
+    "own-output": "%d path(s) of this engine's own output, or glossaries",
+    "ignored": "%d path(s) that the configuration ignores",
+    "hidden": "%d hidden path(s)",
+    "generated": "%d generated path(s)",
+    "vendored": "%d vendored path(s)",
+    "unsupported": "%d file(s) that are neither code nor prose",
+    "symlink-escapes": "%d link(s) that lead out of the repository",
+    "symlink-excluded": "%d link(s) to content that is itself left out",
+    "symlink-directory": "%d linked folder(s), read at their own place only",
+    "unreadable": "%d path(s) that can't be read",
+    "unreadable-directory": "%d folder(s) that can't be listed",
+    "too-large": "%d file(s) beyond the limit of a file",
+    "directory-too-large": "%d folder(s) beyond the limit of entries, left out whole",
+    "walk-budget": "%d path(s) at which the walk ended, and all after",
+    "corpus-budget": "%d file(s) that the corpus had no room for",
+}
+
+
+def exclusion_ledger(classified: DataFrame, most: int = 20) -> DataFrame:
+    """(exclusion_kind, files, sample, sentence): what was left out, with its first paths and what the kind means."""
+    out = classified.where("exclusion_kind is not null").select("exclusion_kind", "path")
+    first = topk.per_key(out, ["exclusion_kind"], most, F.asc("path")).groupBy("exclusion_kind").agg(F.array_sort(F.collect_list("path")).alias("sample"))
+    said = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    counts = out.groupBy("exclusion_kind").agg(F.count("*").alias("files"))
+    return counts.join(first, "exclusion_kind").withColumn("sentence", F.replace(F.coalesce(said[F.col("exclusion_kind")], F.concat(F.lit("%d "), "exclusion_kind")), F.lit("%d"), F.col("files").cast("string")))
 
 
 def read_texts(classified: DataFrame, root: str) -> DataFrame:
-    """The corpus's files with text, digest and problem (binary-content, not-utf-8 or unreadable; never a lossy text)."""
-    chosen = classified.where("exclusion_kind is null").select("path", "kind", "language", "module", "role", "size")
+    """The corpus's files with text, digest and problem (binary-content, not-utf-8 or unreadable; never a lossy text).
+
+    A path, or what its link leads to, is opened only if it still is where the listing found it.
+    """
+    columns = ["path", "kind", "language", "module", "role", "size"]
+    chosen = classified.where("exclusion_kind is null").select(*columns, F.coalesce("target", "path").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside = os.path.realpath(root)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
                 texts, digests, problems = [], [], []
-                for p in part.column(0).to_pylist():
+                for p in part.column(len(columns)).to_pylist():
                     text = digest = problem = None
                     try:
-                        with open(os.path.join(root, p), "rb") as f:
+                        place = os.path.join(inside, p)
+                        if os.path.realpath(place) != place:
+                            raise OSError(p)
+                        with open(os.open(place, os.O_RDONLY | os.O_NOFOLLOW), "rb") as f:
                             raw = f.read(LIMITS["file_bytes"] + 1)
                         digest = hashlib.sha256(raw).hexdigest()
                         if b"\0" in raw[:1024]:
@@ -177,7 +270,7 @@ def read_texts(classified: DataFrame, root: str) -> DataFrame:
                     except OSError:
                         problem = "unreadable"
                     texts.append(text), digests.append(digest), problems.append(problem)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string()), pa.array(digests, pa.string()), pa.array(problems, pa.string())], names=[*batch.schema.names, "text", "sha", "problem"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(digests, pa.string()), pa.array(problems, pa.string())], names=[*columns, "text", "sha", "problem"])
 
     return chosen.mapInArrow(run, "path string, kind string, language string, module string, role string, size long, text string, sha string, problem string")
 
@@ -205,8 +298,11 @@ def declared_workspaces(classified: DataFrame, root: str) -> list[str]:
         if path in WORKSPACES:
             found.append(path)
             continue
+        full = os.path.join(os.path.realpath(root), path)
         try:
-            with open(os.path.join(root, path), "rb") as f:
+            if os.path.realpath(full) != full:  # a link is no manifest
+                continue
+            with open(full, "rb") as f:
                 raw = f.read(LIMITS["file_bytes"] + 1)
             if len(raw) > LIMITS["file_bytes"]:
                 continue

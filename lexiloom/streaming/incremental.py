@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import lexical
 from ..operators import vocabulary
 
 
 def term_counts(files: DataFrame) -> DataFrame:
     """(term, uses) of a streaming ``files(path, text)``; state is one row a term."""
-    from ..functions.lexical import doc_words
-
-    return files.select(F.explode(doc_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("uses"))
+    files = lexical.normalize_text(files.select("text"), "text", form="FOLD")
+    return files.select(F.explode(lexical.doc_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("uses"))
 
 
 def windowed_terms(files: DataFrame, time_col: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """(window, term, uses) by event time; windows close when the watermark passes."""
-    from ..functions.lexical import doc_words
-
-    words = files.withWatermark(time_col, late).select(time_col, F.explode(doc_words(F.col("text"))).alias("term"))
+    folded = lexical.normalize_text(files.withWatermark(time_col, late).select(time_col, "text"), "text", form="FOLD")
+    words = folded.select(time_col, F.explode(lexical.doc_words(F.col("text"))).alias("term"))
     return words.groupBy(F.window(time_col, window), "term").agg(F.count("*").alias("uses"))
 
 

@@ -1,4 +1,4 @@
-"""Queries over fixed cases whose results are written down: each has its SQL as a table of literal rows.
+"""Fixed cases whose results are written down, each as a frame and a table of literal rows.
 
 The expectations are the documented behaviour, not what the engine gives; text
 beyond ASCII is expected as Python's unicodedata has it.
@@ -8,14 +8,23 @@ from __future__ import annotations
 
 import unicodedata
 
+from lexiloom.functions import lexical, paths
+from lexiloom.operators import graph, imports, matching, topk, vocabulary
+from lexiloom.plans import checks, completeness, context, evidence, glossaries
+from lexiloom.sources import repository
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import lexical, paths
-from ..operators import graph, imports, matching, topk, vocabulary
-from ..sources import repository
-from . import checks, completeness, context, evidence, glossaries
-from .registry import query
+CASES: dict = {}
+
+
+def query(sql: str):
+    def add(f):
+        CASES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
 
 
 def _lit(v: object) -> str:
@@ -195,6 +204,7 @@ def orphan_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.orphaned_concepts(*_bound(spark)).select("subject", "signal_strength")
 
 
+# A term in the contexts of several modules.
 def _sessions(spark: SparkSession, contexts: dict[str, str], scopes: list[list[str] | None]) -> tuple[checks.Glossary, DataFrame]:
     rows = [(f"session_{c}", f"{m}/session.py", m, "python", 1) for m, own in contexts.items() for c in own.split()]
     tok = vocabulary.token_occurrences(spark.createDataFrame(rows, vocabulary.IDENT_OCC))
@@ -228,14 +238,18 @@ def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.resolve(imports.import_specs(files), files).select("path", "spec", "target", "external")
 
 
-# A Markdown glossary and what it lacks or still holds.
-PAGE = "# Terms\nThe **Payment Service** takes money. An order-line is kept. Old word: basket.\n"
+# A Markdown glossary, a structured one, and where they differ.
+PAGE = "# Terms\nThe **Payment\n Service** takes money. An order-line is kept; see LedgerEntry. Die STRASSE, λόγος, Cafe\u0301 and the ﬁle. Old word: basket, wagon.\n"
+TERMS = [
+    ("a", "Payment Service", []), ("b", "Refund", [("Repayment", "alias")]), ("c", "Order Line", [("wagon", "deprecated")]), ("d", "Cart", [("Basket", "discouraged"), ("Wagon", "canonical"), ("Trolley", "alias")]),
+    ("e", "Ledger Entry", []), ("f", "Straße", []), ("g", "ΛΌΓΟΣ", []), ("h", "Café", []), ("i", "File", []), ("j", "Wagons", [("wagon", "deprecated")]),
+]
 
 
-@query(expect("concept term kind", [("b", "Refund", "canonical-absent"), ("d", "Basket", "superseded-present")], "VARCHAR VARCHAR VARCHAR"))
+@query(expect("concept term kind", [("b", "Refund", "canonical-absent"), ("d", "Cart", "canonical-absent"), ("d", "Basket", "superseded-present"), ("j", "Wagons", "canonical-absent"), ("j", "wagon", "superseded-present")], "VARCHAR VARCHAR VARCHAR"))
 def markdown_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", "Payment Service", "canonical"), ("b", "Refund", "canonical"), ("c", "order_line", "canonical"), ("d", "Basket", "deprecated"), ("e", "Gone", "discouraged"), ("f", "Maybe", "proposed")]
-    return matching.markdown_divergence(spark.createDataFrame(rows, "concept string, term string, status string"), PAGE).select("concept", "term", "kind")
+    concepts = [(i, t, "d", "canonical", None, [(x, status, None) for x, status in aliases], [], None) for i, t, aliases in TERMS] + [("z", "basket", "d", "deprecated", None, [], [], None)]
+    return matching.markdown_divergence(spark.createDataFrame(concepts, glossaries.SCHEMA), PAGE)[0].select("concept", "term", "kind")
 
 
 # Totals, kept rows, exactness, reasons, and the ledger they make.

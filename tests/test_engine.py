@@ -131,12 +131,6 @@ def test_glossary_rules():
     assert glossaries.validate(scoped) == []
 
 
-def test_markdown_divergence(spark):
-    terms = spark.createDataFrame([("a", "Payment Run", "canonical"), ("b", "Gone", "canonical"), ("c", "old_name", "deprecated")], "concept string, term string, status string")
-    got = {(r["concept"], r["kind"]) for r in matching.markdown_divergence(terms, "A payment-run.\nThe OLD   name").collect()}
-    assert got == {("b", "canonical-absent"), ("c", "superseded-present")}
-
-
 def test_documents(tmp_path):
     p = tmp_path / "d.json"
     documents.write_json(str(p), {"b": 1, "a": "é"})
@@ -299,10 +293,10 @@ def test_declared_workspaces(spark, tmp_path):
 
 def test_folders_left_unentered(tmp_path):
     root = write(tmp_path, {"a.py": "x", "vendor/lib/v.py": "x", "vendor/own/o.py": "x", "dist/d.js": "x", "private-secrets/k.py": "x", "build/b.py": "x"})
-    listed = {p: why for p, _, _, why in repository.list_files(root)}
+    listed = {e.path: e.why for e in repository.list_files(root)}
     assert listed == {"a.py": None, "vendor": "vendored", "dist": "generated", "private-secrets": "sensitive", "build": "generated"}
     config = repository.Config.parse({"schema_version": 1, "path_roles": {"production": ["vendor/own", "build"]}})
-    listed = {p: why for p, _, _, why in repository.list_files(root, config)}
+    listed = {e.path: e.why for e in repository.list_files(root, config)}
     assert listed["vendor/own/o.py"] is None and listed["build/b.py"] is None and listed["vendor/lib/v.py"] is None and listed["dist"] == "generated"
     assert repository.named_exactly(root, "a.py") is True and repository.named_exactly(root, "A.py") is False and repository.named_exactly(root + "/none", "a") is None
 
