@@ -50,7 +50,7 @@ ROLES = ("production", "test", "fixture", "generated", "vendored")
 LIMITS = {
     "file_bytes": 2_000_000, "corpus_bytes": 32_000_000, "source_files": 10_000, "walk_entries": 100_000, "directory_entries": 10_000,
     "tokens": 5_000, "identifiers": 2_000, "doc_terms": 2_000, "locations": 5, "identifier_tokens": 64, "edges": 200, "external": 30,
-    "pair_top": 150, "module_contexts": 30, "overload_modules": 50, "groups": 50, "group_members": 6, "god_nodes": 8, "label_chars": 512,
+    "pair_top": 150, "module_contexts": 30, "overload_modules": 50, "groups": 50, "group_members": 6, "member_tokens": 2_000, "graph_label_chars": 5_000_000, "god_nodes": 8, "label_chars": 512,
     "findings": 10, "compound_tokens": 32,
     "glossary_concepts": 10_000, "glossary_aliases": 50_000, "glossary_bindings": 50_000, "config_rules": 500, "path_chars": 512, "json_bytes": 64_000_000, "graph_refs": 1_000_000,
 }

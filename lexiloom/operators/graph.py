@@ -28,21 +28,24 @@ def provenance(source: Column, glossary_files: tuple[str, ...] = ("GLOSSARY.md",
     return F.when(name.isin([g.lower() for g in glossary_files]), "glossary").when(name.rlike(r"\.(md|rst|txt|adoc)$"), "doc").otherwise("code")
 
 
-def parse_graph(texts: DataFrame, col: str = "json") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, links and communities of one JSON text a row; a later node of one id wins, order decides."""
-    one = lambda names: F.coalesce(*[F.from_json(F.get_json_object(col, f"$.{n}"), "array<string>") for n in names], F.array().cast("array<string>"))
-    raw = texts.select(F.posexplode(one(["nodes"])).alias("pos", "o"))
-    nodes = raw.select("pos", pick(F.col("o"), "id", "name").alias("id"), F.substring(pick(F.col("o"), "label", "name", "id"), 1, LIMITS["label_chars"]).alias("label"), pick(F.col("o"), "source_file", "file", "path").alias("source_file"), pick(F.col("o"), "community").alias("community"), pick(F.col("o"), "community_name").alias("community_name"))
+def graph_tables(nodes: DataFrame, links: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, links and communities from (pos, o) elements as JSON texts; a later node of one id wins, order decides."""
+    nodes = nodes.select("pos", pick(F.col("o"), "id", "name").alias("id"), F.substring(pick(F.col("o"), "label", "name", "id"), 1, LIMITS["label_chars"]).alias("label"), pick(F.col("o"), "source_file", "file", "path").alias("source_file"), pick(F.col("o"), "community").alias("community"), pick(F.col("o"), "community_name").alias("community_name"))
     nodes = nodes.where("id is not null").groupBy("id").agg(F.max_by(F.struct("label", "source_file", "community", "community_name"), "pos").alias("n")).select("id", "n.*")
-    links = texts.select(F.explode(one(["links", "edges"])).alias("o")).select(pick(F.col("o"), "source", "from").alias("source"), pick(F.col("o"), "target", "to").alias("target")).where("source is not null and target is not null")
-    groups = texts.select(F.posexplode(one(["communities"])).alias("pos", "o")).select("pos", pick(F.col("o"), "id").alias("id"), pick(F.col("o"), "label", "name").alias("label"), usable_cohesion(F.get_json_object("o", "$.cohesion")).alias("cohesion"), F.coalesce(F.from_json(F.get_json_object("o", "$.nodes"), "array<string>"), F.array().cast("array<string>")).alias("nodes"))
+    links = links.select(pick(F.col("o"), "source", "from").alias("source"), pick(F.col("o"), "target", "to").alias("target")).where("source is not null and target is not null")
+    groups = groups.select("pos", pick(F.col("o"), "id").alias("id"), pick(F.col("o"), "label", "name").alias("label"), usable_cohesion(F.get_json_object("o", "$.cohesion")).alias("cohesion"), F.coalesce(F.from_json(F.get_json_object("o", "$.nodes"), "array<string>"), F.array().cast("array<string>")).alias("nodes"))
     return nodes, links, groups
 
 
-def graph_work(texts: DataFrame, col: str = "json") -> DataFrame:
-    """References a graph holds, judged from array lengths before anything is exploded."""
-    size = lambda path: F.coalesce(F.json_array_length(F.get_json_object(col, path)), F.lit(0))
-    return texts.agg(F.sum((size("$.nodes") + size("$.links") + size("$.edges") + size("$.communities")).cast("long")).alias("refs"))
+def parse_graph(texts: DataFrame, col: str = "json") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of whole, small documents, one a row."""
+    one = lambda *names: texts.select(F.posexplode(F.coalesce(*[F.from_json(F.get_json_object(col, f"$.{n}"), "array<string>") for n in names], F.array().cast("array<string>"))).alias("pos", "o"))
+    return graph_tables(one("nodes"), one("links", "edges"), one("communities"))
+
+
+def label_characters(nodes: DataFrame) -> int:
+    """Characters of all labels after their cut: what splitting them would cost, known before any is split."""
+    return nodes.agg(F.coalesce(F.sum(F.length("label")), F.lit(0))).head()[0]
 
 
 def visible_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -81,16 +84,24 @@ def label_tokens(nodes: DataFrame) -> DataFrame:
     return nodes.join(labels, F.col("label") == F.col("name")).select("id", F.explode("tokens").alias("token")).distinct()
 
 
+def member_tokens(members: DataFrame, nodes: DataFrame, cap: int = LIMITS["member_tokens"]) -> tuple[DataFrame, DataFrame]:
+    """(group, token) of visible members, at most ``cap`` of a group in order of the alphabet, and (group, tokens, dropped) of the groups that have more."""
+    seen = nodes.where(provenance(F.col("source_file")) != "glossary").select("id", "label")
+    every = members.join(label_tokens(seen), "id").select("group", "token").distinct()
+    counts = every.groupBy("group").agg(F.count("*").alias("tokens")).where(F.col("tokens") > cap)
+    return per_key(every, ["group"], cap, F.asc("token")).drop("rank"), counts.withColumn("dropped", F.col("tokens") - cap)
+
+
 def group_summary(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(group, size, code, doc): visible members by provenance."""
     seen = members.join(nodes.select("id", provenance(F.col("source_file")).alias("p")), "id").where("p != 'glossary'")
     return seen.groupBy("group").agg(F.count("*").alias("size"), F.sum((F.col("p") == "code").cast("long")).alias("code"), F.sum((F.col("p") == "doc").cast("long")).alias("doc"))
 
 
-def member_samples(members: DataFrame, nodes: DataFrame, cap: int = LIMITS["group_members"]) -> DataFrame:
-    """(group, members): the first labels of each group's visible members, in the order of its list, then of ids."""
-    seen = members.join(nodes.where(provenance(F.col("source_file")) != "glossary").select("id", "label"), "id")
-    return per_key(seen, ["group"], cap, F.asc("pos"), F.asc("id")).groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]).alias("members"))
+def member_samples(members: DataFrame, nodes: DataFrame, degrees: DataFrame, cap: int = LIMITS["group_members"]) -> DataFrame:
+    """(group, members): the labels of each group's visible members with most links, then by label."""
+    seen = members.join(nodes.where(provenance(F.col("source_file")) != "glossary").select("id", "label"), "id").join(degrees, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return per_key(seen, ["group"], cap, F.desc("degree"), F.asc("label"), F.asc("id")).groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]).alias("members"))
 
 
 def structure_scores(summary: DataFrame, cohesion: DataFrame, cap: int = 10) -> DataFrame:

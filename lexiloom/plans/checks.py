@@ -121,16 +121,16 @@ def canonical_fading(g: Glossary) -> DataFrame:
 SHOWN_MODULES, SHOWN_CONTEXTS = 4, 5
 
 
-def scoped_dispersion(g: Glossary, dispersion: DataFrame) -> DataFrame:
+def scoped_dispersion(g: Glossary, dispersion: DataFrame, modules: int = SHOWN_MODULES, contexts: int = SHOWN_CONTEXTS) -> DataFrame:
     """(concept, term, whole, dispersion): divergent terms taken again over the modules in a scoped concept's scope.
 
-    whole: the evidence holds all modules and contexts of the term; else nothing
-    can be said. dispersion is null without LEAST_MODULES modules in scope.
+    whole: the term has at most so many ``modules`` and ``contexts`` of each, so
+    that the evidence holds them all; else nothing can be said. dispersion is null without LEAST_MODULES modules in scope.
     """
     wanted = g.index().where("prefixes is not null").join(dispersion.where("divergent").select(F.col("term").alias("token")), "token", "left_semi")
     near = vocabulary.neighbor_pairs(g.tok_occ, ["module"], wanted.select("token").distinct()).select(F.col("a").alias("token"), "module", "b")
     sets = near.groupBy("token", "module").agg(F.collect_set("b").alias("s"))
-    whole = sets.groupBy("token").agg(((F.count("*") <= SHOWN_MODULES) & (F.max(F.size("s")) <= SHOWN_CONTEXTS)).alias("whole"))
+    whole = sets.groupBy("token").agg(((F.count("*") <= modules) & (F.max(F.size("s")) <= contexts)).alias("whole"))
     own = wanted.join(whole, "token")
     inside = own.where("whole").join(sets, "token").where(in_scope(F.col("module"), F.col("prefixes"))).select("concept", "token", "module", "s")
     two = inside.select("concept", F.col("module").alias("m2"), F.col("s").alias("s2"))
@@ -140,10 +140,10 @@ def scoped_dispersion(g: Glossary, dispersion: DataFrame) -> DataFrame:
     return own.join(again.where(F.col("pairs") >= LEAST_MODULES * (LEAST_MODULES - 1) // 2), "concept", "left").select("concept", F.col("token").alias("term"), "whole", "dispersion")
 
 
-def canonical_overloaded(g: Glossary, dispersion: DataFrame) -> DataFrame:
+def canonical_overloaded(g: Glossary, dispersion: DataFrame, modules: int = SHOWN_MODULES, contexts: int = SHOWN_CONTEXTS) -> DataFrame:
     """Canonical terms of divergent contexts, a scoped concept's over the modules in its scope."""
     rows = dispersion.where("divergent").join(g.index().where("prefixes is null"), F.col("term") == F.col("token")).select("concept", "token", "dispersion")
-    rows = rows.union(scoped_dispersion(g, dispersion).where(F.col("dispersion") >= DIVERGENT).select("concept", "term", "dispersion"))
+    rows = rows.union(scoped_dispersion(g, dispersion, modules, contexts).where(F.col("dispersion") >= DIVERGENT).select("concept", "term", "dispersion"))
     rows = rows.join(g.canonical.where(F.size("tokens") == 1).select("concept", "term"), "concept").join(g.scopes, "concept")
     # A concept's modules in its scope, with the first contexts of each.
     wanted = rows.select("concept", "token", "prefixes")
@@ -290,7 +290,7 @@ def concept_tokens(g: Glossary) -> DataFrame:
 
 
 def strengths(g: Glossary, nodes: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
-    tokens = members.join(graph.label_tokens(nodes), "id").select("group", "token").distinct()
+    tokens, _ = graph.member_tokens(members, nodes)
     names = lexical.tokenize_distinct(labels.select(F.col("label").alias("name")).distinct())
     named = labels.join(names, F.col("label") == F.col("name")).select("group", F.explode("tokens").alias("token"))
     return graph.concept_strength(tokens, named, concept_tokens(g))

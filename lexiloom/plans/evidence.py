@@ -14,7 +14,7 @@ from ..functions.fixed import LIMITS
 from ..functions import lexical, paths
 from ..functions.paths import name_of
 from ..operators import graph, imports, inventory, matching, naming, terminology, topk, vocabulary
-from ..sources import documents, repository
+from ..sources import graphs, repository
 from ..sources.cache import KEYS, ExtractionCache
 from ..sources.shared import cut, together
 from . import checks, completeness, glossaries
@@ -55,18 +55,22 @@ class Evidence:
 
 
 def read_structure(spark: SparkSession, path: str | None) -> Structure:
-    """The graph in a JSON document; its work is judged from list lengths before anything is exploded."""
+    """The graph in a JSON document, read in pieces; its work is judged from list lengths before anything is exploded, and from its labels before any is split."""
     if path is None:
         return Structure("disabled")
-    state, value = documents.read_json(path)
-    if state != "ok" or not isinstance(value, dict):
-        return Structure(state if state != "ok" else "malformed")
-    texts = spark.createDataFrame([(glossaries.canonical_json(value),)], "json string")
-    if (graph.graph_work(texts).head()["refs"] or 0) > LIMITS["graph_refs"]:
+    state, text = graphs.read_graph(path)
+    if text is None:
+        return Structure(state)
+    if not text.counts.get("nodes"):
+        return Structure("unusable")
+    if text.refs > LIMITS["graph_refs"]:
         return Structure("too-much-work")
-    nodes, links, groups = map(cut, graph.parse_graph(texts))
+    pieces = cut(text.frame(spark))
+    nodes, links, groups = map(cut, graph.graph_tables(graphs.elements(pieces, "nodes"), graphs.elements(pieces, "links", "edges"), graphs.elements(pieces, "communities")))
     if nodes.isEmpty():
         return Structure("unusable")
+    if graph.label_characters(nodes) > LIMITS["graph_label_chars"]:
+        return Structure("too-much-work")
     explicit = not groups.isEmpty()
     members = graph.memberships(nodes, groups if explicit else None)
     labels, cohesion = graph.group_labels(nodes).select("group", "label"), members.select("group").distinct().withColumn("cohesion", F.lit(None).cast("double"))
@@ -74,7 +78,7 @@ def read_structure(spark: SparkSession, path: str | None) -> Structure:
         named = groups.where("id is not null").groupBy(F.col("id").alias("group")).agg(F.min_by("label", F.when(F.col("label").isNotNull(), F.col("pos"))).alias("own"), F.max("cohesion").alias("cohesion"))
         labels = named.join(labels, "group", "left").select("group", F.coalesce("own", "label").alias("label")).where("label is not null")
         cohesion = named.select("group", "cohesion")
-    commit = value.get("built_at_commit")
+    commit = text.values.get("built_at_commit")
     return Structure("ok", nodes, graph.visible_links(links, nodes), cut(members), labels, cohesion, commit if isinstance(commit, str) else None)
 
 
@@ -169,7 +173,10 @@ def document(e: Evidence, root: str) -> dict:
         s = e.structure
         if s.state != "ok":
             return {"state": s.state}
-        groups = graph.group_summary(s.members, s.nodes).join(s.labels, "group", "left")
+        groups = graph.group_summary(s.members, s.nodes).join(s.labels, "group", "left").join(graph.member_samples(s.members, s.nodes, graph.node_degrees(s.links)), "group", "left")
+        tokens, over = graph.member_tokens(s.members, s.nodes)
+        first = tokens.groupBy("group").agg(F.array_sort(F.collect_list("token")).alias("member_tokens"))  # at most the cap of a group
+        groups = groups.join(first, "group", "left").join(over.select("group", F.col("dropped").alias("member_tokens_dropped")), "group", "left").na.fill(0, ["member_tokens_dropped"])
         stamp = repository.git_stamp(root)
         fresh = spark.range(1).select(graph.freshness(*[F.lit(v).cast(t) for v, t in ((s.commit, "string"), (stamp["head"], "string"), (stamp["dirty"], "boolean"))])).head()[0]
         return {"state": "ok", "freshness": fresh, "groups": section(groups, LIMITS["groups"], F.desc("size"), F.asc("group")), "god_nodes": _rows(graph.god_nodes(graph.node_degrees(s.links))), "naming": _rows(graph.structure_scores(groups, s.cohesion))}
@@ -303,7 +310,7 @@ def validation(spark: SparkSession, e: Evidence, glossary: dict, own: Held | Non
     states, s = cut(checks.bindings(g, e.files.where("problem is null").select("path"), excluded, whole, e.root)), e.structure
     found = [drifted, checks.orphaned_concepts(g, states), checks.binding_findings(states, g), checks.fragmentation(g)]
     if s.state == "ok":
-        found += checks.structural(cut(checks.strengths(g, s.nodes, s.members, s.labels)), graph.group_summary(s.members, s.nodes), graph.member_samples(s.members, s.nodes)).values()
+        found += checks.structural(cut(checks.strengths(g, s.nodes, s.members, s.labels)), graph.group_summary(s.members, s.nodes), graph.member_samples(s.members, s.nodes, graph.node_degrees(s.links))).values()
     return checks.capped(reduce(DataFrame.unionByName, found))
 
 

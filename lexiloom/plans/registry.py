@@ -480,6 +480,67 @@ def parallel_terms(spark, sf):
     return checks.parallel_terms(g, cut(_synonyms(spark, sf))).select(*PLAIN)
 
 
+_HELD = f"""{_USES}, ur AS (SELECT *, row_number() OVER (PARTITION BY concept, term ORDER BY n DESC, path) AS r FROM (SELECT concept, term, path, sum(n)::BIGINT AS n FROM uses GROUP BY ALL)),
+loc AS (SELECT concept, term, string_agg(path || '=' || n, ' ' ORDER BY r) FILTER (r <= 5) AS locations, count(*) > 5 AS cut FROM ur GROUP BY ALL),
+sc AS (SELECT concept, string_agg(prefix, ' ' ORDER BY prefix) AS scope FROM scopes GROUP BY 1),
+held AS (SELECT t.*, coalesce(locations, '') AS locations, coalesce(cut, false) AS locations_truncated, scope FROM totals t LEFT JOIN loc USING (concept, term) LEFT JOIN sc USING (concept))"""
+
+
+@query(f"""WITH {IDENT}, {DOC}, {_HELD}, fading AS (SELECT h.*, CASE WHEN NOT contains(h.term, ' ') THEN coalesce(d.uses, 0) END AS prose FROM held h LEFT JOIN doc_counts d ON d.term = lower(h.term) WHERE status = 'canonical')
+SELECT 'watched-term-in-use' AS kind, concept || ':' || term AS subject, uses AS "count", files, modules, locations, locations_truncated, NULL::BIGINT AS doc_mentions, scope, 'the ' || status || ' ''' || term || ''' is still used ' || uses || ' time(s) in ' || files || ' file(s)' AS summary FROM held WHERE status IN ('discouraged', 'deprecated') AND uses > 0
+UNION ALL SELECT 'canonical-fading', concept || ':' || term, uses, files, modules, locations, locations_truncated, prose, scope, CASE WHEN uses = 0 THEN 'the canonical ''' || term || ''' isn''t used in code' ELSE 'the canonical ''' || term || ''' is used ' || uses || ' time(s) in code and not in prose' END FROM fading WHERE uses = 0 OR (uses <= 2 AND prose = 0)
+UNION ALL SELECT 'fragmentation', concept, uses, files, modules, locations, locations_truncated, NULL, scope, '''' || term || ''' is spread over ' || modules || ' modules' FROM held WHERE status = 'canonical' AND modules >= 5""")
+def finding_evidence(spark, sf):
+    g = _glossary(spark, sf)
+    rows = checks.watched_in_use(g).unionByName(checks.canonical_fading(g)).unionByName(checks.fragmentation(g))
+    e = lambda name: F.col(f"evidence.{name}").alias(name)
+    places = F.array_join(F.transform("evidence.locations", lambda x: F.concat(x["path"], F.lit("="), x["count"].cast("string"))), " ").alias("locations")
+    return rows.select("kind", "subject", e("count"), e("files"), e("modules"), places, e("locations_truncated"), e("doc_mentions"), F.array_join("scope", " ").alias("scope"), "summary")
+
+
+_HALF = ["src0", "src1", "src2", "src3"]
+_IN_HALF = ", ".join(f"'{m}'" for m in _HALF)
+
+
+@query(f"""WITH {BIGRAM}, {_DISP}, ov AS (SELECT term, dispersion, row_number() OVER (ORDER BY dispersion DESC, term) - 1 AS i FROM disp WHERE dispersion >= 0.8 ORDER BY dispersion DESC, term LIMIT 10),
+part AS (SELECT x.a AS term, round(1 - avg(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s)))), 3) AS dispersion FROM ss x JOIN ss y ON x.a = y.a AND x.module < y.module WHERE x.module IN ({_IN_HALF}) AND y.module IN ({_IN_HALF}) GROUP BY 1 HAVING count(*) >= 3),
+found AS (SELECT term, i, dispersion FROM ov WHERE i % 2 = 0 UNION ALL SELECT term, i, part.dispersion FROM ov JOIN part USING (term) WHERE i % 2 = 1 AND part.dispersion >= 0.8),
+um AS (SELECT f.term, bt.module, sum(n)::BIGINT AS uses FROM found f JOIN bt ON bt.token = f.term WHERE i % 2 = 0 OR bt.module IN ({_IN_HALF}) GROUP BY ALL),
+ur AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY uses DESC, module) AS r FROM um),
+cc AS (SELECT a AS term, module, string_agg(b, ',' ORDER BY b) AS own FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY a, module ORDER BY b) <= 5) GROUP BY ALL)
+SELECT 'c' || i || ':' || term AS subject, CASE WHEN dispersion >= 0.95 THEN 'strong' ELSE 'moderate' END AS signal_strength, dispersion, (SELECT count(*) FROM um WHERE um.term = found.term) AS modules,
+ (SELECT string_agg(ur.module || '=' || uses || ':' || coalesce(own, ''), ' ' ORDER BY r) FROM ur LEFT JOIN cc ON cc.term = ur.term AND cc.module = ur.module WHERE ur.term = found.term AND r <= 4) AS module_contexts, CASE WHEN i % 2 = 1 THEN '{" ".join(_HALF)}' END AS scope FROM found""")
+def canonical_overloaded(spark, sf):
+    occ, disp = map(cut, _dispersion(spark, sf))
+    terms = [r["term"] for r in terminology.overload_candidates(disp).orderBy(F.desc("dispersion"), "term").collect()]
+    concepts = [{"id": f"c{i}", "term": t, "definition": "x", "status": "canonical"} | ({"scope": {"path_prefixes": _HALF}} if i % 2 else {}) for i, t in enumerate(terms)]
+    g = checks.Glossary(glossaries.to_frame(spark, {"schema_version": 1, "concepts": concepts}), occ, spark.createDataFrame([], "term string, uses long, files long"))
+    rows = checks.canonical_overloaded(g, disp, modules=50, contexts=30)
+    shown = F.array_join(F.transform("evidence.module_contexts", lambda x: F.concat(x["module"], F.lit("="), x["uses"].cast("string"), F.lit(":"), F.array_join(F.coalesce(x["contexts"], F.array().cast("array<string>")), ","))), " ")
+    return rows.select("subject", "signal_strength", F.col("evidence.dispersion").alias("dispersion"), F.col("evidence.modules").alias("modules"), shown.alias("module_contexts"), F.array_join("scope", " ").alias("scope"))
+
+
+_BRANDS = ["Brand#11", "Brand#12", "Brand#13"]
+_IN_BRANDS = ", ".join(f"'{b}'" for b in _BRANDS)
+
+
+@query(f"""WITH {PART}, {_SYN}, own AS (SELECT DISTINCT a AS token FROM (SELECT * FROM syn ORDER BY similarity DESC, a, b LIMIT 3)),
+met AS (SELECT similarity, contexts, CASE WHEN a IN (FROM own) THEN a ELSE b END AS term, CASE WHEN a IN (FROM own) THEN b ELSE a END AS new FROM syn WHERE (a IN (FROM own)) <> (b IN (FROM own))),
+u AS (SELECT token, sum(n)::BIGINT AS uses, count(DISTINCT path) AS files FROM bt WHERE module IN ({_IN_BRANDS}) GROUP BY token),
+places AS (SELECT token, string_agg(path, ' ' ORDER BY r) AS at FROM (SELECT token, path, row_number() OVER (PARTITION BY token ORDER BY sum(n) DESC, path) AS r FROM bt WHERE module IN ({_IN_BRANDS}) GROUP BY token, path) WHERE r <= 5 GROUP BY token)
+SELECT 'k-' || term || ':' || new AS subject, similarity, contexts AS shared_contexts, un.uses AS "count", un.files, pn.at AS locations, ut.uses AS canonical_count, pt.at AS canonical_locations, '{" ".join(_BRANDS)}' AS scope
+FROM met JOIN u un ON un.token = new JOIN u ut ON ut.token = term JOIN places pn ON pn.token = new JOIN places pt ON pt.token = term""")
+def scoped_parallels(spark, sf):
+    occ = corpora.tok(corpora.part_occ(spark, sf))
+    found = cut(_synonyms(spark, sf))
+    best = topk.top_k(found, 3, F.desc("similarity"), F.asc("a"), F.asc("b"))
+    concepts = [{"id": f"k-{t}", "term": t, "definition": "x", "status": "canonical", "scope": {"path_prefixes": _BRANDS}} for t in sorted({r["a"] for r in best.collect()})]
+    g = checks.Glossary(glossaries.to_frame(spark, {"schema_version": 1, "concepts": concepts}), occ, spark.createDataFrame([], "term string, uses long, files long"))
+    rows, e = checks.parallel_terms(g, found), lambda name: F.col(f"evidence.{name}")
+    at = lambda name: F.array_join(F.transform(e(name), lambda x: x["path"]), " ").alias(name)
+    return rows.select("subject", e("similarity").alias("similarity"), F.array_join(e("shared_contexts"), " ").alias("shared_contexts"), e("count").alias("count"), e("files").alias("files"), at("locations"), e("canonical_count").alias("canonical_count"), at("canonical_locations"), F.array_join("scope", " ").alias("scope"))
+
+
 def _strengths(spark, sf) -> tuple[DataFrame, DataFrame]:
     nodes, _ = _graph(spark, sf)
     members = graph.memberships(nodes)
@@ -628,7 +689,7 @@ def term_presence(spark, sf):
     return matching.term_presence(d, [r["term"] for r in common.collect()], "doc_id").withColumnRenamed("id", "doc_id")
 
 
-_CLAIMS = """claims AS (SELECT DISTINCT 'w' || doc_id % 40 AS word, source AS concept, CASE WHEN doc_id % 97 = 0 THEN NULL ELSE CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN lang || '/m' || doc_id % 5 WHEN 2 THEN lang || '/m' || doc_id % 5 || '/s' || doc_id % 3 ELSE lang || '-x/m' || doc_id % 5 END END AS prefix FROM documents)"""
+_CLAIMS = """claims AS (SELECT DISTINCT 'w' || (doc_id // 40) % 40 AS word, source AS concept, CASE WHEN doc_id % 97 = 0 THEN NULL ELSE CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN lang || '/m' || doc_id % 5 WHEN 2 THEN lang || '/m' || doc_id % 5 || '/s' || doc_id % 3 ELSE lang || '-x/m' || doc_id % 5 END END AS prefix FROM documents)"""
 
 
 @query(f"""WITH {_CLAIMS} SELECT x.word, x.concept, x.prefix, arg_min(y.concept, (length(coalesce(y.prefix, '')), y.concept)) AS owner
@@ -637,7 +698,7 @@ def scope_conflicts(spark, sf):
     d, at = table(spark, sf, "documents"), F.col("doc_id")
     part = lambda name, n: F.concat(F.lit(f"/{name}"), (at % n).cast("string"))
     prefix = F.when(at % 4 == 0, F.col("lang")).when(at % 4 == 1, F.concat("lang", part("m", 5))).when(at % 4 == 2, F.concat("lang", part("m", 5), part("s", 3))).otherwise(F.concat("lang", F.lit("-x"), part("m", 5)))
-    claims = d.select(F.concat(F.lit("w"), (at % 40).cast("string")).alias("word"), F.col("source").alias("concept"), F.when(at % 97 != 0, prefix).alias("prefix"))
+    claims = d.select(F.concat(F.lit("w"), (F.floor(at / 40) % 40).cast("string")).alias("word"), F.col("source").alias("concept"), F.when(at % 97 != 0, prefix).alias("prefix"))
     return ownership.ownership_conflicts(claims)
 
 

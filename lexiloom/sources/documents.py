@@ -9,8 +9,8 @@ import tempfile
 from ..functions.fixed import LIMITS
 
 
-def read_json(path: str, cap: int = LIMITS["json_bytes"]) -> tuple[str, object]:
-    """(state, value); state: ok, absent, oversized, unreadable or malformed. A byte-order mark is fine, NaN isn't."""
+def read_bounded(path: str, cap: int = LIMITS["json_bytes"]) -> tuple[str, str | None]:
+    """(state, text); state: ok, absent, oversized, unreadable or malformed (not UTF-8). A byte-order mark is dropped."""
     try:
         with open(path, "rb") as f:
             raw = f.read(cap + 1)
@@ -20,13 +20,24 @@ def read_json(path: str, cap: int = LIMITS["json_bytes"]) -> tuple[str, object]:
         return "unreadable", None
     if len(raw) > cap:
         return "oversized", None
+    try:
+        return "ok", raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return "malformed", None
+
+
+def read_json(path: str, cap: int = LIMITS["json_bytes"]) -> tuple[str, object]:
+    """(state, value); states as of ``read_bounded``, malformed for what isn't JSON too. NaN isn't."""
+    state, text = read_bounded(path, cap)
+    if state != "ok":
+        return state, None
 
     def no(x: str) -> None:
         raise ValueError(x)
 
     try:
-        return "ok", json.loads(raw.decode("utf-8-sig"), parse_constant=no)
-    except ValueError:
+        return "ok", json.loads(text, parse_constant=no)
+    except (ValueError, RecursionError):
         return "malformed", None
 
 

@@ -9,7 +9,7 @@ from lexiloom import cli
 from lexiloom.operators import graph, imports, matching, naming, terminology, topk, vocabulary
 from lexiloom.plans import checks, context, evidence, glossaries, report
 from lexiloom.sources import cache as caches
-from lexiloom.sources import documents, repository
+from lexiloom.sources import documents, graphs, repository
 from lexiloom.sources.cache import ExtractionCache
 from lexiloom.streaming import incremental
 from pyspark.sql import functions as F
@@ -109,7 +109,7 @@ def test_graph_parsing(spark):
     assert {(r["source"], r["target"]) for r in graph.visible_links(links, nodes).collect()} == {("c", "0")}
     assert {r["id"]: r["cohesion"] for r in groups.collect()} == {"0": 0.5, "1": None}
     assert {(r["group"], r["id"]) for r in graph.memberships(nodes, groups).collect()} == {("0", "0"), ("0", "c")}
-    assert graph.graph_work(texts).head()[0] == 9
+    assert graphs.cut_graph(json.dumps(doc)).refs == 12
     assert graph.group_labels(nodes).head()["label"] == "Payments"
 
 
@@ -251,14 +251,14 @@ def test_structure_and_markdown_of_a_repository(spark, tmp_path):
     nodes = [{"id": f"n{i}", "label": f"run_record_{i}", "source_file": "runs.py", "community": 0, "community_name": "Run"} for i in range(3)]
     nodes += [{"id": f"m{i}", "label": f"odd_thing_{i}", "source_file": "odd.py", "community": 1, "community_name": "Odd"} for i in range(5)]
     doc = {"nodes": nodes, "links": [{"source": "n0", "target": n["id"]} for n in nodes[1:]]}
-    root = write(tmp_path / "r", CALIBRATION | {"GLOSSARY.md": "Run, gateway, charge and session.", "docs/GLOSSARY.md": "x"})
+    root = write(tmp_path / "r", CALIBRATION | {"GLOSSARY.md": "Run, charge and session.", "docs/GLOSSARY.md": "x"})
     path = tmp_path / "graph.json"
     path.write_text(json.dumps(doc))
     e = evidence.scan(spark, root, graph_path=str(path))
     got = {(r["kind"], r["subject"]) for r in evidence.validation(spark, e, GLOSSARY).collect()}
     assert ("unnamed-structure", "1") in got and ("unnamed-structure", "0") not in got
     drifted = {(r["kind"], r["subject"]) for r in evidence.drift(spark, e, GLOSSARY).collect()}
-    assert {("canonical-absent", "workspace:Workspace"), ("superseded-present", "gateway:charge")} <= drifted and ("canonical-absent", "run:Run") not in drifted
+    assert {("canonical-absent", "workspace:Workspace"), ("canonical-absent", "gateway:Gateway"), ("superseded-present", "gateway:charge")} <= drifted and ("canonical-absent", "run:Run") not in drifted
     out = evidence.document(e, root)
     assert out["structure"]["god_nodes"][0] == {"id": "n0", "degree": 7} and out["structure"]["freshness"] == "unverified"
     assert {g["group"]: (g["size"], g["label"]) for g in out["structure"]["groups"]["items"]} == {"0": (3, "Run"), "1": (5, "Odd")}
