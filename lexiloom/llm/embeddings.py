@@ -10,13 +10,13 @@ can't tell are decided in double precision on the vectors themselves.
 
 A list that holds ``K`` links is saturated. It is enlarged to its whole extent:
 saturated points and all in whose lists they stand are cut into cells, every
-member of which links to the cell's leader, and cells that the triangle
-inequality allows to hold a link are compared member by member, which yields
-numbers, not pairs. So links of saturated lists are exact, and the kept edges of
+member of which links to the cell's leader. By the triangle inequality, two cells
+hold no link, or nothing but links, which their sizes count, or they are compared
+member by member, which yields numbers, not pairs. So links of saturated lists are exact, and the kept edges of
 all other lists are the rest.
 
-Two audits measure the recall. Every id divisible by ``EVERY`` is compared with
-all rows, in blocks, and one point in ``EVERY``, by a hash, sends a probe, a vector
+Two audits measure the recall. Every point with an id divisible by ``EVERY``, its
+own or that of a copy, is compared with all rows, in blocks, and one point in ``EVERY``, by a hash, sends a probe, a vector
 at the threshold from it, into each order: the share of probes that meet their
 vector holds for isolated pairs even where the data has few. Orders are added until both reach
 ``RECALL``; if they never do, all points are compared by way of their cells.
@@ -46,6 +46,8 @@ RECALL, EVERY, HELD = 0.95, 50, 8192
 BITS = 20
 #: In rows (a, a, s, sure): s of a saturated point, and sure of a probe that met its vector.
 FULL, MET = 2.0, 2
+#: By so much, in radians, an angle must clear a bound to count as proven.
+SURE = 1e-6
 #: Probes that a table sends at least, if it has as many points.
 PROBES = 64
 LOG = logging.getLogger(__name__)
@@ -283,9 +285,9 @@ def _cut(members: DataFrame, kind: str, threshold: float) -> DataFrame:
 def _whole_lists(members: DataFrame, kind: str, threshold: float, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
     """(id, n): the copies that each member links to among the members; (a, b): links that span their components."""
     cut = shelf.keep(_cut(members, kind, threshold))
-    size = cut.groupBy("cell").agg(F.max("angle").alias("r"))
-    cells = shelf.keep(cut.where("id = cell").select("id", "v").join(size.withColumnRenamed("cell", "id"), "id"))
-    reach, pairs = float(np.arccos(threshold)) + 1e-6, None
+    size = cut.groupBy("cell").agg(F.max("angle").alias("r"), F.sum("m").alias("all"))
+    cells = shelf.keep(cut.where("id = cell").select("id", "v").join(size.select(F.col("cell").alias("id"), "r"), "id"))
+    reach, met = float(np.arccos(threshold)), None
     for held in _held(cells, cells.count(), ["id", "v", "r"], shelf):
 
         def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -295,13 +297,21 @@ def _whole_lists(members: DataFrame, kind: str, threshold: float, shelf: Shelf)
                     continue
                 ids, x, q = batch.column(0).to_numpy(), unit(matrix(batch.column(1), kind)), batch.column(2).to_numpy()
                 for at in range(0, len(own), 512):
-                    s = c[at : at + 512] @ x.T
-                    far = np.cos(np.minimum(r[at : at + 512, None] + q[None, :] + reach, np.pi))
+                    s, wide = c[at : at + 512] @ x.T, r[at : at + 512, None] + q[None, :]
+                    # Leaders so far apart that no members can link, or so near that all do; SURE is far above what rounding does.
+                    far = np.cos(np.minimum(wide + reach + SURE, np.pi))
                     i, j = np.nonzero((s >= far - 1e-9) & (own[at : at + 512, None] <= ids[None, :]))
-                    yield pa.RecordBatch.from_arrays([pa.array(own[at + i]), pa.array(ids[j])], names=["i", "j"])
-
-        got = shelf.keep(cells.mapInArrow(near, "i long, j long"))
-        pairs = got if pairs is None else pairs.union(got)
+                    sure = np.arccos(np.clip(s[i, j] - 1e-9, -1, 1)) + wide[i, j] <= reach - SURE
+                    sure |= (own[at + i] == ids[j]) & (wide[i, j] <= reach - SURE)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at + i]), pa.array(ids[j]), pa.array(sure)], names=["i", "j", "sure"])
+
+        got = shelf.keep(cells.mapInArrow(near, "i long, j long, sure boolean"))
+        met = got if met is None else met.union(got)
+    pairs, sure = met.where("not sure").select("i", "j"), met.where("sure")
+    # Every member of a cell links to all of a sure one, but for itself in its own: sizes count these links, nothing is shipped.
+    both = sure.select("i", "j").union(sure.where("i < j").select("j", "i"))
+    owed = both.join(size.select(F.col("cell").alias("j"), "all"), "j").groupBy(F.col("i").alias("cell")).agg(F.sum("all").alias("n"), F.max(F.col("i") == F.col("j")).alias("own"))
+    whole = cut.join(owed, "cell").select("id", (F.col("n") - F.when(F.col("own"), F.col("m")).otherwise(0)).alias("n"))
     one = pairs.join(cut.withColumnRenamed("cell", "i"), "i").select("i", "j", F.lit(True).alias("first"), "id", "m", "v")
     two = pairs.where("i < j").join(cut.withColumnRenamed("cell", "j"), "j").select("i", "j", F.lit(False).alias("first"), "id", "m", "v")
 
@@ -326,16 +336,17 @@ def _whole_lists(members: DataFrame, kind: str, threshold: float, shelf: Shelf)
         return pa.table({"id": np.r_[ids[hit], [x for x, _ in links]].astype(np.int64), "to": pa.array([None] * hit.size + [y for _, y in links], pa.int64()), "n": np.r_[many[hit], np.zeros(len(links), dtype=np.int64)].astype(np.int64)})
 
     done = shelf.keep(one.union(two).repartition("i", "j").groupBy("i", "j").applyInArrow(run, "id long, to long, n long"))
-    counts = done.where("to is null").groupBy("id").agg(F.sum("n").alias("n"))
-    spans = cut.where("id != cell").select(F.col("id").alias("a"), F.col("cell").alias("b")).union(done.where("to is not null").select("id", "to"))
+    counts = done.where("to is null").select("id", "n").union(whole).groupBy("id").agg(F.sum("n").alias("n"))
+    spans = cut.where("id != cell").select(F.col("id").alias("a"), F.col("cell").alias("b")).union(done.where("to is not null").select("id", "to")).union(sure.where("i < j").select("i", "j"))
     return counts, spans
 
 
 def _near_links(vectors: DataFrame, n: int, kind: str, threshold: float, k: int, shelf: Shelf) -> tuple[DataFrame, DataFrame | None, dict]:
     """(a, b) links of lists, (id) of the points whose lists have to be enlarged, None for all, and the audit's figures."""
-    queries = vectors.where(F.pmod("id", F.lit(EVERY)) == 0)
-    asked, sent = vectors.agg(F.count_if(F.pmod("id", F.lit(EVERY)) == 0), F.count_if(_probes(_one_in(n)))).head()
-    true = _true_links(vectors, queries, asked, kind, threshold, shelf) if asked else None
+    queries = vectors.where("asked > 0").select("id", "v")
+    asked, points, sent = vectors.agg(F.sum("asked"), F.count_if(F.col("asked") > 0), F.count_if(_probes(_one_in(n)))).head()
+    vectors = vectors.select("id", "v")
+    true = _true_links(vectors, queries, points, kind, threshold, shelf) if points else None
     found, made, audit = None, 0, {}
     for _ in range(MORE):
         tables = range(made, max(tables_for(n, threshold), 2 * made))
@@ -343,8 +354,9 @@ def _near_links(vectors: DataFrame, n: int, kind: str, threshold: float, k: int,
         start = shelf.keep(_start(vectors, kind, threshold, tables, n, k))
         found = start if found is None else found.union(start).groupBy("a", "b").agg(F.max("s").alias("s"), F.max("sure").alias("sure"))
         met, unsure = found.agg(F.count_if(F.col("sure") == MET), F.count_if((F.col("sure") == 0) & (F.col("a") != F.col("b")))).head()
-        audit = {"queries": asked, "orders": made, "probes_met": met / sent if sent else 1.0, "recall": 1.0}
-        if audit["probes_met"] < RECALL:
+        # A figure without a case is null and decides nothing; there is a probe in any table.
+        audit = {"queries": asked, "query_points": points, "orders": made, "probes_met": met / sent if sent else None, "links": 0, "recall": None}
+        if sent and audit["probes_met"] < RECALL:
             continue
         edges, wide = _refine(found, unsure, vectors, kind, threshold, k, shelf)
         links = shelf.keep(edges.where("sure = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -352,8 +364,8 @@ def _near_links(vectors: DataFrame, n: int, kind: str, threshold: float, k: int,
             ends = links.union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("found"))
             open_ = true.join(wide.withColumnRenamed("id", "a"), "a", "left_anti").join(ends, "a", "left")
             t, f = open_.agg(F.sum("true"), F.sum(F.least("true", F.coalesce("found", F.lit(0))))).head()
-            audit |= {"links": t or 0, "recall": (f / t) if t else 1.0}
-        if audit["recall"] >= RECALL:
+            audit |= {"links": t or 0, "recall": f / t if t else None}
+        if audit["recall"] is None or audit["recall"] >= RECALL:
             return links, wide, audit
     LOG.warning("the recall stayed short, all points are compared: %s", audit)
     return found.where("false").select("a", "b"), None, audit
@@ -394,7 +406,7 @@ def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     kind = "<f4" if single else "<f8"
     base = rows.select(F.col(id_col).cast("long").alias("row_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("e"))
     marked = _points(base, kind)
-    points = marked.where("key is not null").groupBy("key", "width").agg(F.min("row_id").alias("id"), F.count("*").alias("m"), F.first("v").alias("v"))
+    points = marked.where("key is not null").groupBy("key", "width").agg(F.min("row_id").alias("id"), F.count("*").alias("m"), F.first("v").alias("v"), F.count_if(F.pmod("row_id", F.lit(EVERY)) == 0).alias("asked"))
     points = shelf.keep(points)
     widths = points.groupBy("width").count().collect()  # a row a length of vector
     total = sum(w["count"] for w in widths)
@@ -402,7 +414,7 @@ def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     for width, n in widths:
         own = points.where(F.col("width") == width)
         copies = own.select(F.col("id").alias("b"), F.col("m"))
-        links, wide, audits[width] = _near_links(own.select("id", "v"), n, kind, threshold, k, shelf)
+        links, wide, audits[width] = _near_links(own.select("id", "v", "asked"), n, kind, threshold, k, shelf)
         LOG.info("vectors of %d: %s", width, audits[width])
         members = own if wide is None else own.join(wide, "id", "left_semi")
         if wide is None or wide.head(1):
