@@ -226,7 +226,7 @@ def _urls_sql() -> str:
     return f"""
 WITH RECURSIVE p AS (SELECT page_id, url, html, {part("coalesce(url, '')")} FROM pages),
 q AS (SELECT *, {node}, CASE {fits("host", "path")} END AS hit FROM p),
-tags AS (SELECT node, url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:link|meta)\\s[^>]*>')) AS tag FROM q WHERE node IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')),
+tags AS (SELECT node, url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:link|meta)\\s(?:[^>=]|=+\\s*(?:"[^"]*"|''[^'']*'')?)*>')) AS tag FROM q WHERE node IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')),
 raw AS (SELECT node, url, replace(CASE WHEN regexp_matches(tag, '(?is)^<link.*\\srel\\s*=\\s*["'']?canonical') THEN regexp_extract(tag, '(?is)\\shref\\s*=\\s*["'']?([^"''\\s>]+)', 1) WHEN regexp_matches(tag, '(?is)^<meta.*http-equiv\\s*=\\s*["'']?refresh') THEN regexp_extract(tag, '(?is)url\\s*=\\s*([^"''\\s>]+)', 1) ELSE '' END, '&amp;', '&') AS link FROM tags),
 goal AS (SELECT node AS a, CASE WHEN link LIKE '%://%' THEN link WHEN starts_with(link, '/') THEN concat(regexp_extract(url, '^[^:]+://[^/?#]*'), link) END AS link FROM raw WHERE link <> ''),
 met AS (SELECT a, {part("link")} FROM goal WHERE link IS NOT NULL),
