@@ -30,6 +30,9 @@ def main(argv: list[str] | None = None) -> int:
     if not os.path.isdir(a.root):
         print(f"{a.root}: not a directory", file=sys.stderr)
         return 2
+    if OUT in os.path.realpath(a.root).split(os.sep):
+        print(f"{a.root}: lies in {OUT}, which this engine writes", file=sys.stderr)
+        return 2
     at = os.path.join(a.root, OUT)
     entries = cache.location(a.root, a.cache)
     if a.verb == "clear-cache":
@@ -37,12 +40,13 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     state, glossary = documents.read_json(os.path.join(at, "glossary.json"))
     if a.verb == "save":
-        raw = sys.stdin.read(LIMITS["json_bytes"] + 1)
+        source = getattr(sys.stdin, "buffer", None)
+        raw = source.read(LIMITS["json_bytes"] + 1) if source else sys.stdin.read(LIMITS["json_bytes"] + 1).encode()
         if len(raw) > LIMITS["json_bytes"]:
-            print(f"over {LIMITS['json_bytes']} characters", file=sys.stderr)
+            print(f"over {LIMITS['json_bytes']} bytes", file=sys.stderr)
             return 1
         try:
-            doc = json.loads(raw)
+            doc = json.loads(raw.decode("utf-8-sig"))
         except (ValueError, RecursionError):
             print("not JSON", file=sys.stderr)
             return 1

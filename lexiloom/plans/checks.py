@@ -175,7 +175,9 @@ def bindings(g: Glossary, paths: DataFrame, excluded: Sequence[str] | DataFrame
     # At most as many bindings as a glossary may hold are looked up on the driver's disk.
     refs = g.rows.select(F.col("id").alias("concept"), "prefixes", F.explode("bindings").alias("ref")).withColumn("what", F.regexp_extract("ref", "^([^:]*):", 1)).withColumn("key", F.regexp_replace("ref", "^[^:]*:", ""))
     refs = lexical.normalize_text(refs, "key", form="NFC")
+    paths = lexical.normalize_text(paths.select("path"), "path", form="NFC")  # one spelling on every side
     held = excluded if isinstance(excluded, DataFrame) else paths.sparkSession.createDataFrame([(p,) for p in excluded], "path string")
+    held = lexical.normalize_text(held.select("path"), "path", form="NFC")
     symbols = refs.where("what = 'symbol'").join(g.tok_occ.select(F.col("name").alias("key"), "path").distinct(), "key", "left").select("concept", "ref", "path", "prefixes", F.lit(False).alias("maybe"))
     known = paths.select(F.col("path").alias("key"), F.lit("file").alias("what")).union(paths.select(module_of(F.col("path")), F.lit("module"))).distinct()
     places = refs.where("what != 'symbol'").join(known.withColumn("path", F.col("key")), ["what", "key"], "left")

@@ -16,6 +16,9 @@ VALIDATION = (*STRUCTURAL, "orphaned-concept", "binding-unresolved", "binding-ou
 UNREAD_KINDS = ("corpus-budget", "walk-budget", "directory-too-large", "too-large", "unreadable")
 EXCLUDED_KINDS = ("ignored", "generated", "vendored", "sensitive", "too-large", "symlink-escapes", "symlink-directory", "unreadable", "hidden", "own-output", "unsupported")
 
+#: Kinds that claim that something is absent; a corpus that isn't whole can't prove it.
+ABSENCE = ("canonical-fading", "orphaned-concept")
+
 SCOPED = "path-scoped concepts are left out: groups of a graph carry no paths"
 
 
@@ -24,6 +27,14 @@ def corpus_reasons(exclusions: dict[str, int]) -> list[str]:
     return [f"{exclusions[kind]} file(s) or folder(s) left out: {kind}" for kind in UNREAD_KINDS if exclusions.get(kind)]
 
 
+def withhold(planned: dict[str, dict], totals: dict[str, int], corpus: list[str]) -> dict[str, int]:
+    """{kind: findings} of absence that a corpus with omissions withholds; ``planned`` gets the reasons, ``totals`` loses them."""
+    held = {k: totals.pop(k) for k in ABSENCE if corpus and totals.get(k)}
+    for kind, n in held.items():
+        planned[kind]["reasons"].append(f"{n} finding(s) of absence withheld: the corpus isn't whole")
+    return held
+
+
 def overload_reasons(scoped: DataFrame) -> list[str]:
     """``checks.scoped_dispersion`` rows that its evidence can't decide."""
     n = scoped.where("not whole").count()

@@ -14,7 +14,7 @@ from ..functions.fixed import LIMITS
 from ..functions import lexical, paths
 from ..functions.paths import name_of
 from ..operators import graph, imports, inventory, matching, naming, terminology, topk, vocabulary
-from ..sources import graphs, repository
+from ..sources import git, graphs, repository
 from ..sources.cache import KEYS, ExtractionCache
 from ..sources.shared import cut, together
 from . import checks, completeness, glossaries
@@ -107,6 +107,9 @@ def scan(spark: SparkSession, root: str, config: repository.Config | None = None
     texts = repository.read_texts(classified, root)
     stripped = F.when(host, repository.strip_block(F.col("text"), BEGIN, END)).otherwise(F.col("text"))
     files = cut(texts.withColumn("text", stripped))
+    unread = files.where("problem is not null").select("path", "problem")
+    if unread.head(1):  # what couldn't be read is no part of the corpus after all
+        classified = cut(classified.join(unread, "path", "left").withColumn("exclusion_kind", F.coalesce("exclusion_kind", F.when(F.col("problem").isNotNull(), "unreadable"))).drop("problem"))
     good = files.where("problem is null and role = 'production'")
     code = good.where("kind = 'code'")
     occ, doc = extract(good, cache) if cache else (vocabulary.code_occurrences(code), vocabulary.doc_occurrences(good.where("kind = 'doc'")))
@@ -177,9 +180,12 @@ def document(e: Evidence, root: str) -> dict:
         tokens, over = graph.member_tokens(s.members, s.nodes)
         first = tokens.groupBy("group").agg(F.array_sort(F.collect_list("token")).alias("member_tokens"))  # at most the cap of a group
         groups = groups.join(first, "group", "left").join(over.select("group", F.col("dropped").alias("member_tokens_dropped")), "group", "left").na.fill(0, ["member_tokens_dropped"])
-        stamp = repository.git_stamp(root)
+        stamp = git.git_stamp(root)
         fresh = spark.range(1).select(graph.freshness(*[F.lit(v).cast(t) for v, t in ((s.commit, "string"), (stamp["head"], "string"), (stamp["dirty"], "boolean"))])).head()[0]
-        return {"state": "ok", "freshness": fresh, "groups": section(groups, LIMITS["groups"], F.desc("size"), F.asc("group")), "god_nodes": _rows(graph.god_nodes(graph.node_degrees(s.links))), "naming": _rows(graph.structure_scores(groups, s.cohesion))}
+        files = cut(git.file_freshness(s.nodes, root, s.commit))
+        by_state = {r["state"]: r["files"] for r in files.groupBy("state").agg(F.count("*").alias("files")).collect()}
+        stale = _rows(topk.top_k(files.where("state != 'current'"), LIMITS["findings"], F.desc("nodes"), F.asc("source_file")))
+        return {"state": "ok", "freshness": fresh, "files": by_state, "stale_files": stale, "groups": section(groups, LIMITS["groups"], F.desc("size"), F.asc("group")), "god_nodes": _rows(graph.god_nodes(graph.node_degrees(s.links))), "naming": _rows(graph.structure_scores(groups, s.cohesion))}
 
     def layout() -> dict:
         declared, found = repository.declared_workspaces(e.classified, root), _rows(repository.monorepo(e.classified))[0]
@@ -224,7 +230,7 @@ def document(e: Evidence, root: str) -> dict:
         modules=lambda: _rows(mods.orderBy("module").limit(LIMITS["source_files"])),
         edges=lambda: _rows(edges),
         external=lambda: _rows(imports.external_tally(e.resolved)),
-        git=lambda: repository.git_stamp(root),
+        git=lambda: git.git_stamp(root),
     )
     return {
         "schema_version": 1,
@@ -272,9 +278,7 @@ def _divergence(g: checks.Glossary, root: str) -> list[DataFrame]:
 
 def _exclusions(e: Evidence) -> dict[str, int]:
     """Files by kind of exclusion, those that couldn't be read among them."""
-    kinds = {r[0]: r[1] for r in e.classified.where("exclusion_kind is not null").groupBy("exclusion_kind").count().collect()}
-    unread = e.files.where("problem is not null").count()
-    return kinds | ({"unreadable": unread} if unread else {})
+    return {r[0]: r[1] for r in e.classified.where("exclusion_kind is not null").groupBy("exclusion_kind").count().collect()}
 
 
 def findings(spark: SparkSession, e: Evidence, glossary: dict, which: str) -> dict:
@@ -285,12 +289,15 @@ def findings(spark: SparkSession, e: Evidence, glossary: dict, which: str) -> di
     narrow = sum(c["status"] == "canonical" and "scope" in c for c in glossary["concepts"])
     groups = graph.group_summary(e.structure.members, e.structure.nodes).count() if e.structure.state == "ok" else 0
     kinds = completeness.DRIFT if which == "drift" else completeness.VALIDATION
-    planned = completeness.plan(kinds, completeness.corpus_reasons(_exclusions(e)), completeness.overload_reasons(scoped), e.structure.state, completeness.graph_reasons(groups), narrow)
+    corpus = completeness.corpus_reasons(_exclusions(e))
+    planned = completeness.plan(kinds, corpus, completeness.overload_reasons(scoped), e.structure.state, completeness.graph_reasons(groups), narrow)
     totals = {r["kind"]: r["total"] for r in rows.select("kind", "total").distinct().collect()}
+    withheld = completeness.withhold(planned, totals, corpus)
+    rows = rows.where(~F.col("kind").isin(list(withheld)))
     held = _rows(completeness.sections(rows, planned, totals=totals).orderBy("kind"))
     skipped = [s["kind"] for s in held if s["skipped"]]
     kept = _rows(rows.where(~F.col("kind").isin(skipped)).orderBy("kind", "subject"))
-    return {"findings": kept, "sections": held, "complete": all(s["complete"] for s in held if not s["skipped"]) and not any(s["skipped"] for s in held), "limitations": completeness.limitations(held), "glossary_sha256": glossaries.digest(glossary)}
+    return {"findings": kept, "sections": held, "complete": all(s["complete"] for s in held if not s["skipped"]) and not any(s["skipped"] for s in held), "withheld": withheld, "limitations": completeness.limitations(held), "glossary_sha256": glossaries.digest(glossary)}
 
 
 def drift(spark: SparkSession, e: Evidence, glossary: dict, own: Held | None = None) -> DataFrame:
@@ -305,7 +312,7 @@ def validation(spark: SparkSession, e: Evidence, glossary: dict, own: Held | Non
     """Bindings, orphans, fragmentation and drift, and the structural checks where the evidence has a graph."""
     own = own or _held(spark, e, glossary)
     g, drifted = own.g, own.drift()
-    excluded = e.classified.where(F.col("exclusion_kind").isin(list(completeness.EXCLUDED_KINDS))).select("path").union(e.files.where("problem is not null").select("path"))
+    excluded = e.classified.where(F.col("exclusion_kind").isin(list(completeness.EXCLUDED_KINDS))).select("path")
     whole = not completeness.corpus_reasons(_exclusions(e))
     states, s = cut(checks.bindings(g, e.files.where("problem is null").select("path"), excluded, whole, e.root)), e.structure
     found = [drifted, checks.orphaned_concepts(g, states), checks.binding_findings(states, g), checks.fragmentation(g)]

@@ -11,7 +11,6 @@ import hashlib
 import json
 import os
 import re
-import subprocess
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
@@ -101,54 +100,63 @@ class Entry(NamedTuple):
     target: str | None = None
 
 
-def list_files(root: str, config: Config | None = None) -> list[Entry]:
-    """Files and unentered folders in walk order: sorted, depth first, within the limits of entries; looks at names, sizes and links only."""
-    config = config or Config()
-    out: list[Entry] = []
+def list_folder(root: str, rel: str, config: Config) -> list[tuple[Entry | None, str | None]]:
+    """What one folder holds, folders before files, each sorted: an entry to report, or the path of a folder to enter.
+
+    Names, sizes and links are looked at, no more of them than a folder may
+    have; a folder with more is left out whole, as is one that can't be listed.
+    """
     inside = os.path.realpath(root)
-    stack, entries = [""], 0
-    while stack:
-        rel = stack.pop()
+    try:
+        with os.scandir(os.path.join(root, rel)) as it:
+            here = sorted(islice(it, LIMITS["directory_entries"] + 1), key=lambda e: e.name)
+    except OSError:
+        return [(Entry(rel or ".", 0, "unreadable-directory"), None)]
+    if len(here) > LIMITS["directory_entries"]:
+        return [(Entry(rel or ".", 0, "directory-too-large"), None)]
+    folders: list[tuple[Entry | None, str | None]] = []
+    files: list[tuple[Entry | None, str | None]] = []
+    for e in here:
+        path, link = f"{rel}/{e.name}" if rel else e.name, e.is_symlink()
         try:
-            with os.scandir(os.path.join(root, rel)) as it:  # no more is read than the limit allows
-                here = sorted(islice(it, LIMITS["directory_entries"] + 1), key=lambda e: e.name)
+            folder = e.is_dir()
         except OSError:
-            out.append(Entry(rel or ".", 0, "unreadable-directory"))
+            folder = False
+        real = os.path.realpath(e.path) if link else None
+        away = real is not None and os.path.commonpath([real, inside]) != inside
+        if folder:
+            why = "own-output" if e.name in OWN_DIRS else _left_out(e.name, path, config) or ("symlink-escapes" if away else "symlink-directory" if link else None)
+            folders.append((Entry(path, 0, why), None) if why else (None, path))
             continue
-        if len(here) > LIMITS["directory_entries"]:
-            out.append(Entry(rel or ".", 0, "directory-too-large"))
-            continue
-        below, files = [], []
-        for e in here:
-            path = f"{rel}/{e.name}" if rel else e.name
-            link = e.is_symlink()
-            try:
-                folder = e.is_dir()
-            except OSError:
-                folder = False
-            if folder and e.name in OWN_DIRS:
-                out.append(Entry(path, 0, "own-output"))
-                continue
-            entries += 1
-            if entries > LIMITS["walk_entries"]:
-                return [*out, *files, Entry(path, 0, "walk-budget")]
-            real = os.path.realpath(e.path) if link else None
-            away = real is not None and os.path.commonpath([real, inside]) != inside
-            if folder:
-                why = _left_out(e.name, path, config) or ("symlink-escapes" if away else "symlink-directory" if link else None)
-                if why:
-                    out.append(Entry(path, 0, why))
-                else:
-                    below.append(path)
-                continue
-            try:
-                size = os.path.getsize(e.path) if not away else 0
-            except OSError:
-                size = None
-            files.append(Entry(path, size, None, link, None if real is None or away else os.path.relpath(real, inside).replace(os.sep, "/")))
-        out += files
+        try:
+            size = os.path.getsize(e.path) if not away else 0
+        except OSError:
+            size = None
+        files.append((Entry(path, size, None, link, None if real is None or away else os.path.relpath(real, inside).replace(os.sep, "/")), None))
+    return folders + files
+
+
+def walk_folders(root: str, start: str, config: Config) -> Iterator[Entry]:
+    """Files and unentered folders from one folder down, depth first, up to the limit of entries; own output isn't counted."""
+    stack, entries = [start], 0
+    while stack:
+        below = []
+        for entry, folder in list_folder(root, stack.pop(), config):
+            if entry is None or entry.why != "own-output":
+                entries += 1
+                if entries > LIMITS["walk_entries"]:
+                    yield Entry(folder or entry.path, 0, "walk-budget")
+                    return
+            if folder is not None:
+                below.append(folder)
+            else:
+                yield entry
         stack += below[::-1]
-    return out
+
+
+def list_files(root: str, config: Config | None = None) -> list[Entry]:
+    """The whole repository's files and unentered folders in walk order."""
+    return list(walk_folders(root, "", config or Config()))
 
 
 def path_verdict(path: Column, role: Column, config: Config) -> Column:
@@ -238,39 +246,51 @@ def exclusion_ledger(classified: DataFrame, most: int = 20) -> DataFrame:
     return counts.join(first, "exclusion_kind").withColumn("sentence", F.replace(F.coalesce(said[F.col("exclusion_kind")], F.concat(F.lit("%d "), "exclusion_kind")), F.lit("%d"), F.col("files").cast("string")))
 
 
-def read_texts(classified: DataFrame, root: str) -> DataFrame:
-    """The corpus's files with text, digest and problem (binary-content, not-utf-8 or unreadable; never a lossy text).
+def never_read(path: str) -> bool:
+    """Whether any part of a path has a name that may hold secrets."""
+    return any(re.search(SENSITIVE, p) for p in path.lower().split("/"))
+
+
+def known_kind(path: str) -> bool:
+    """Whether a path has an extension of code or prose, as ``paths.kind_of`` has it."""
+    stem, dot, extension = path.rpartition("/")[2].rpartition(".")
+    return bool(stem) and (extension.lower() in EXTENSIONS or extension.lower() in DOC_EXTENSIONS)
+
 
-    A path, or what its link leads to, is opened only if it still is where the listing found it.
+def read_file(root: str, relative: str) -> tuple[str | None, str | None, str | None]:
+    """(text, digest, problem) of a file; problem: binary-content, not-utf-8 or unreadable; never a lossy text.
+
+    It is opened only if it still is where the listing found it, without a link on the way.
     """
+    inside = os.path.realpath(root)
+    place = os.path.join(inside, relative)
+    try:
+        if os.path.realpath(place) != place:
+            return None, None, "unreadable"
+        with open(os.open(place, os.O_RDONLY | os.O_NOFOLLOW), "rb") as f:
+            raw = f.read(LIMITS["file_bytes"] + 1)
+    except OSError:
+        return None, None, "unreadable"
+    digest = hashlib.sha256(raw).hexdigest()
+    if b"\0" in raw[:1024]:
+        return None, digest, "binary-content"
+    try:
+        return raw.decode("utf-8-sig"), digest, None
+    except UnicodeDecodeError:
+        return None, digest, "not-utf-8"
+
+
+def read_texts(classified: DataFrame, root: str) -> DataFrame:
+    """The corpus's files with text, digest and problem, as ``read_file`` has them; a link's are those of what it leads to."""
     columns = ["path", "kind", "language", "module", "role", "size"]
     chosen = classified.where("exclusion_kind is null").select(*columns, F.coalesce("target", "path").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside = os.path.realpath(root)
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 64)
-                texts, digests, problems = [], [], []
-                for p in part.column(len(columns)).to_pylist():
-                    text = digest = problem = None
-                    try:
-                        place = os.path.join(inside, p)
-                        if os.path.realpath(place) != place:
-                            raise OSError(p)
-                        with open(os.open(place, os.O_RDONLY | os.O_NOFOLLOW), "rb") as f:
-                            raw = f.read(LIMITS["file_bytes"] + 1)
-                        digest = hashlib.sha256(raw).hexdigest()
-                        if b"\0" in raw[:1024]:
-                            problem = "binary-content"
-                        else:
-                            text = raw.decode("utf-8-sig")
-                    except UnicodeDecodeError:
-                        problem = "not-utf-8"
-                    except OSError:
-                        problem = "unreadable"
-                    texts.append(text), digests.append(digest), problems.append(problem)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(digests, pa.string()), pa.array(problems, pa.string())], names=[*columns, "text", "sha", "problem"])
+                read = [read_file(root, p) for p in part.column(len(columns)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array([r[i] for r in read], pa.string()) for i in range(3))], names=[*columns, "text", "sha", "problem"])
 
     return chosen.mapInArrow(run, "path string, kind string, language string, module string, role string, size long, text string, sha string, problem string")
 
@@ -318,24 +338,4 @@ def declared_workspaces(classified: DataFrame, root: str) -> list[str]:
     return found
 
 
-def git_stamp(root: str) -> dict:
-    """{head, dirty}; null where git can't tell. Hooks, filters and monitors are off, and it has 30 seconds."""
-    safe = ["git", "-C", root, "-c", "core.hooksPath=/dev/null", "-c", "core.fsmonitor=false", "-c", "core.quotePath=false"]
-    env = {"PATH": os.environ.get("PATH", ""), "GIT_CONFIG_NOSYSTEM": "1", "GIT_OPTIONAL_LOCKS": "0", "LC_ALL": "C"}
-
-    def ask(*args: str) -> str | None:
-        try:
-            r = subprocess.run([*safe, *args], capture_output=True, text=True, timeout=30, env=env)
-        except (OSError, subprocess.TimeoutExpired):
-            return None
-        return r.stdout if r.returncode == 0 else None
-
-    # A driver that the repository's own settings name would run under status; each is emptied first.
-    named = ask("config", "--name-only", "--get-regexp", r"^filter\..*\.(clean|smudge|process|required)$") or ""
-    for driver in sorted({line.rpartition(".")[0] for line in named.splitlines() if line}):
-        safe += [x for key, value in (("clean", ""), ("smudge", ""), ("process", ""), ("required", "false")) for x in ("-c", f"{driver}.{key}={value}")]
-    head, status = ask("rev-parse", "HEAD"), ask("status", "--porcelain")
-    return {"head": head.strip() if head else None, "dirty": bool(status) if status is not None else None}
-
-
-__all__ = ["Config", "DOC_EXTENSIONS", "EXTENSIONS", "classify", "declared_workspaces", "exclusion_ledger", "git_stamp", "list_files", "monorepo", "read_texts", "strip_block"]
+__all__ = ["Config", "DOC_EXTENSIONS", "EXTENSIONS", "classify", "declared_workspaces", "exclusion_ledger", "list_files", "monorepo", "read_texts", "strip_block"]

@@ -86,3 +86,44 @@ def test_corpus_budget_lets_smaller_files_in(spark, tmp_path, monkeypatch):
     monkeypatch.setitem(repository.LIMITS, "source_files", 2)
     got = {r["path"]: r["exclusion_kind"] for r in repository.classify(spark, root).collect()}
     assert {p for p, why in got.items() if why is None} == {"a.py", "c.py"} and got["b.py"] == got["d.py"] == "corpus-budget"
+
+
+def test_the_data_source_lists_the_same_rows(spark, tmp_path, monkeypatch):
+    from lexiloom.sources import datasource
+
+    root = write(tmp_path / "in", {f"m{i}/s{j}/f{k}.py": f"word_{i}{j}{k} = 1" for i in range(4) for j in range(3) for k in range(2)} | {"a.py": "top_word = 1", "vendor/v.py": "x", ".env": "S=1", "m1/.hid/h.py": "x", "m2/s0/bad.py": b"\xff", "m3/keys-secret/k.py": "x"})
+    os.symlink("../.env", tmp_path / "in" / "m0" / "n.md")
+    os.symlink("../a.py", tmp_path / "in" / "m0" / "ok.py")
+    datasource.register(spark)
+    load = lambda **o: spark.read.format("repository").options(**o).load(root)
+    listed = repository.list_files(root)
+    for parts in (1, 5, 64):
+        rows = load(partitions=parts).orderBy("walk_order").collect()
+        assert [tuple(r)[:5] for r in rows] == [tuple(e) for e in listed]
+    text = {r["path"]: (r["text"], r["problem"]) for r in rows if r["text"] or r["problem"]}
+    assert text["a.py"] == text["m0/ok.py"] == ("top_word = 1", None) and text["m2/s0/bad.py"] == (None, "not-utf-8") and "m0/n.md" not in text and ".env" not in text
+    judged = {r["path"]: r["exclusion_kind"] for r in repository.judge(load(texts="false"), repository.Config()).collect()}
+    assert judged == {r["path"]: r["exclusion_kind"] for r in repository.classify(spark, root).collect()}
+    got = load().where(F.col("path").startswith("m1/s2/")).select("path").collect()
+    assert sorted(r["path"] for r in got) == ["m1/s2/f0.py", "m1/s2/f1.py"]
+    reader, opened, scan = datasource.RepositoryReader({"path": root}), [], os.scandir
+    monkeypatch.setattr(os, "scandir", lambda p: opened.append(os.path.relpath(p, root)) or scan(p))
+    list(reader.pushFilters([datasource.StringStartsWith(("path",), "m1/s2/")]))
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert set(opened) == {".", "m1", "m1/s2"} and {r[0] for r in rows} >= {"m1/s2/f0.py", "m1/s2/f1.py"}
+
+
+def test_unread_files_leave_the_corpus_and_absence_is_withheld(spark, tmp_path):
+    root = write(tmp_path, {"a.py": "widget_count = 1\nwidget_size = 2", "bad.py": b"\xff\xfe"})
+    glossary = {"schema_version": 1, "concepts": [{"id": "gone", "term": "Gone", "definition": "d", "status": "canonical"}]}
+    e = evidence.scan(spark, root)
+    assert {r["path"]: r["exclusion_kind"] for r in e.classified.collect()} == {"a.py": None, "bad.py": "unreadable"}
+    out = evidence.findings(spark, e, glossary, "drift")
+    assert out["findings"] == [] and out["withheld"] == {"canonical-fading": 1} and not out["complete"]
+    section = {s["kind"]: s for s in out["sections"]}["canonical-fading"]
+    assert section["total"] == 0 and not section["exact"] and any("withheld" in r for r in section["reasons"])
+    os.remove(tmp_path / "bad.py")
+    out = evidence.findings(spark, evidence.scan(spark, root), glossary, "validate")
+    fading = next(f for f in out["findings"] if f["kind"] == "canonical-fading")
+    assert out["withheld"] == {} and fading["evidence"]["count"] == 0 and fading["summary"] == "the canonical 'Gone' isn't used in code"
+    assert {f["kind"] for f in out["findings"]} == {"canonical-fading", "orphaned-concept"}
