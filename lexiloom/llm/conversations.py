@@ -59,10 +59,12 @@ TURN = ["conv", "turn", "role", "digest"]
 
 def _turns(rows: DataFrame, shelf: Shelf) -> DataFrame:
     """Slim rows: TURN, times, blank, truncated and again (the same role and text came before); equal rows of a turn are one."""
+    n = rows.count()
     own = shelf.keep(
         rows.groupBy("conv", "turn", "role", _digest(F.col("text")).alias("digest")).agg(
             F.sum("copies").alias("times"), F.max(~F.col("text").rlike(NONBLANK)).alias("blank"), F.max(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z")).alias("truncated")
-        )
+        ),
+        n,
     )
     # Structs order nulls first. The first turn is part of the key, so that a line said a thousand times is no hot key.
     first = own.groupBy("conv", "role", "digest").agg(F.min(F.struct("turn")).alias("least")).select(F.col("conv").alias("c"), F.col("role").alias("r"), F.col("digest").alias("d"), F.col("least.turn").alias("t"), F.lit(True).alias("is_first"))

@@ -180,7 +180,8 @@ def near_counts(points: DataFrame, shelf: Shelf, within: int = RADIUS, blocks: i
     Exact: slices of a crowded cell meet two by two, each pair of slices in a
     task, and give sums, never pairs.
     """
-    blocks = blocks or blocks_for(points.count(), within)
+    n = points.count()
+    blocks = blocks or blocks_for(n, within)
     if blocks <= within:
         raise ValueError("more blocks than differing bits are needed")
     masks = [np.uint64(m) for m in block_masks(blocks)]
@@ -229,7 +230,7 @@ def near_counts(points: DataFrame, shelf: Shelf, within: int = RADIUS, blocks: i
                     held, part = held[limit:], part + 1
         yield from close()
 
-    met = shelf.keep(_keyed(points, blocks, within).repartition("table", "cell").sortWithinPartitions("table", "cell", "fp").mapInArrow(run, "table int, cell long, part int, fp long, near long"))
+    met = shelf.keep(_keyed(points, blocks, within).repartition("table", "cell").sortWithinPartitions("table", "cell", "fp").mapInArrow(run, "table int, cell long, part int, fp long, near long"), n * len(before))
     found, crowded = met.where("part < 0").select("fp", "near"), met.where("part >= 0").drop("near")
     if crowded.head(1):
         slices = crowded.groupBy("table", "cell").agg((F.max("part") + 1).alias("parts"))
@@ -272,8 +273,8 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     length are read whole.
     """
     shelf = Shelf(docs.sparkSession)
-    made = shelf.keep(edited_fingerprints(docs, shelf, id_col, text_col, shingle))
-    points = shelf.keep(made.groupBy("fp").agg((F.count("*") - 1).alias("n_same")))
+    made = edited_fingerprints(docs, shelf, id_col, text_col, shingle)
+    points = shelf.keep(made.groupBy("fp").agg((F.count("*") - 1).alias("n_same")), made.count())
     near = points.join(near_counts(points.select("fp"), shelf, within, blocks, limit), "fp", "left").select(F.col("fp").alias("own"), "n_same", F.coalesce("near", F.lit(0).cast("long")).alias("n_near"))
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return made.join(near, F.col("fp") == F.col("own")).select("id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "n_same", "n_near")
