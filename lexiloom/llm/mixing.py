@@ -7,8 +7,9 @@ that meet the source's token target. The dual is convex and has one unknown a
 source; each Newton step is one distributed aggregate over the histogram of
 sizes, in fixed-point sums, so reruns agree to the bit. The rates are then
 rounded into copies by error diffusion from long to short documents, in chunks
-that a hash of the id, and of how often it came before, deals; so neither a
-source nor the rows of a repeated or missing id land in one task.
+dealt by a hash of the id and of a number among the rows that are alike in id,
+source and size; so neither a source nor the rows of a repeated or missing id
+land in one task, and the deal doesn't depend on how rows are split.
 """
 
 from __future__ import annotations
@@ -28,18 +29,19 @@ STEPS = 40
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, key_col: str | None = None) -> DataFrame:
-    """(id, source, size, key, nth): the number of words, runs without ASCII white space; key: zero without ``key_col``; nth: how many rows of its batch have the id before it."""
+    """(id, source, size, key): the number of words, runs without ASCII white space; key: zero without ``key_col``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.fromiter((len(t.as_buffer().to_pybytes().split()) if t.is_valid else 0 for t in batch.column(2)), dtype=np.int64, count=batch.num_rows)
-            ids = batch.column(0).fill_null(0).to_numpy()
-            order = np.argsort(ids, kind="stable")
-            nth = np.empty(len(ids), dtype=np.int64)
-            nth[order] = np.arange(len(ids)) - np.searchsorted(ids[order], ids[order])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), batch.column(3), pa.array(nth)], names=["id", "source", "size", "key", "nth"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), batch.column(3)], names=["id", "source", "size", "key"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), (F.col(key_col) if key_col else F.lit(0)).cast("long").alias("key")).mapInArrow(run, "id long, source string, size long, key long, nth long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), (F.col(key_col) if key_col else F.lit(0)).cast("long").alias("key")).mapInArrow(run, "id long, source string, size long, key long")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with nth: a number from zero among those alike in every column, which makes them interchangeable; they are counted and dealt out again, never gathered."""
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
 
 
 def targets(sizes: DataFrame, shelf: Shelf, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -136,10 +138,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lams = shelf.keep(_newton(hist, goals, shelf, float(most), few), few)
     docs_of = totals.select(F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("k0"), "source_size", "docs")
     info = shelf.keep(lams.join(docs_of, ["k", "k0"]), few)
-    keyed = rows.select("id", "source", "size", "key", "nth", F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("k0"))
+    keyed = numbered(rows).select("id", "source", "size", "key", "nth", F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("k0"))
     x = F.when(F.col("scale") > 0, F.col("lam") * F.col("size") / F.col("scale")).otherwise(F.lit(0.0))
     rate = F.when(F.col("lam").isNull(), F.lit(float(most))).otherwise(most / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x)))))
-    rated = keyed.join(info, ["k", "k0"]).select("id", "source", "size", "key", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("id", "nth"), F.ceil(F.col("docs") / chunk)).alias("chunk"), "k", "k0")
+    rated = keyed.join(info, ["k", "k0"]).select("id", "source", "size", "key", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("id", "size", "key", "nth"), F.ceil(F.col("docs") / chunk)).alias("chunk"), "k", "k0")
     names = ["id", "source", "size", "source_size", "target", "rate", "key"]
 
     def per_chunk(table: pa.Table) -> pa.Table:

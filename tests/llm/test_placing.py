@@ -74,6 +74,21 @@ def test_mixing_meets_targets(spark):
     assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_mixing_does_not_depend_on_how_rows_are_split(spark):
+    """Repeated and missing ids, alike and unlike, in other orders and splits: the same rows come back."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 7, 7, *range(300)]), " ".join("w" for _ in range(rng.randint(0, 40))), rng.choice(["a", "b", None])) for _ in range(2500)]
+    rows += [(7, "w w w", "a")] * 700
+
+    def taken(rows, parts):
+        frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        return Counter(map(tuple, mixing.mix_sources(frame, chunk=200).collect()))
+
+    first = taken(rows, 3)
+    rng.shuffle(rows)
+    assert first == taken(rows, 17) and sum(first.values()) == len(rows)
+
+
 def test_mixing_edges_of_input(spark):
     rows = [(1, "a b c", None), (2, None, None), (3, "", "z"), (4, "a b", "é"), (4, "a b", "é"), (None, "a b c d", "é"), (6, "x " * 300_000, "b")]
     got = mixing.mix_sources(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, source string, size int")).collect()
