@@ -10,7 +10,8 @@ import sys
 from .functions.fixed import LIMITS
 from .plans import context, evidence, glossaries, report
 from .session import session
-from .sources import cache, documents, repository
+from .sources import cache, documents, git, repository
+from .sources.shared import sweep
 
 OUT = "lexiloom-out"
 
@@ -82,22 +83,26 @@ def main(argv: list[str] | None = None) -> int:
     spark = session()
     shared = a.cache or spark.sparkContext.master.startswith("local")
     reuse = cache.ExtractionCache(spark, entries) if entries and shared and not a.no_cache else None
-    e = evidence.scan(spark, os.path.abspath(a.root), repository.Config.parse(config) if state == "ok" else None, reuse, a.graph)
-    if a.verb in ("drift", "validate"):
-        out = evidence.findings(spark, e, glossary, "drift" if a.verb == "drift" else "validation")
-        documents.write_json(os.path.join(at, f"{a.verb}.json"), out)
-        print("\n".join(report.finding_lines(out["findings"], out["sections"])))
-        return int(bool(out["findings"]))
-    doc = evidence.document(e, a.root)
-    documents.write_json(os.path.join(at, "evidence.json"), doc)
-    if a.verb == "inspect":
-        try:
-            print(json.dumps(report.project(doc, a.limit), sort_keys=True, ensure_ascii=False))
-        except report.TooMuchOmitted as problem:
-            print(problem, file=sys.stderr)
-            return 2
-    if a.verb == "analyze":
-        print("\n".join(report.evidence_lines(doc)))
+    try:
+        e = evidence.scan(spark, os.path.abspath(a.root), repository.Config.parse(config) if state == "ok" else None, reuse, a.graph)
+        if a.verb in ("drift", "validate"):
+            out = evidence.findings(spark, e, glossary, "drift" if a.verb == "drift" else "validation")
+            out["glossary_git"] = git.path_state(os.path.abspath(a.root), f"{OUT}/glossary.json")
+            documents.write_json(os.path.join(at, f"{a.verb}.json"), out)
+            print("\n".join(report.finding_lines(out["findings"], out["sections"])))
+            return int(bool(out["findings"]))
+        doc = evidence.document(e, a.root)
+        documents.write_json(os.path.join(at, "evidence.json"), doc)
+        if a.verb == "inspect":
+            try:
+                print(json.dumps(report.project(doc, a.limit), sort_keys=True, ensure_ascii=False))
+            except report.TooMuchOmitted as problem:
+                print(problem, file=sys.stderr)
+                return 2
+        if a.verb == "analyze":
+            print("\n".join(report.evidence_lines(doc)))
+    finally:
+        sweep(spark)
     return 0
 
 

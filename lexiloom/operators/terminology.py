@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexical
 from ..functions.fixed import LIMITS
 from . import vocabulary
+from ..sources.shared import cut
 from .topk import per_key, top_k
 
 # Gates of the mining operators.
@@ -87,10 +88,11 @@ def synonym_candidates(tok_occ: DataFrame, token_counts: DataFrame, top: int = L
     """
     best = eligible(token_counts, top)
     names = best.select("token")
-    pats = vocabulary.token_patterns(tok_occ).join(names, "token", "left_semi")
+    # Each of these is read several times below, so it is written once.
+    pats = cut(vocabulary.token_patterns(tok_occ).join(names, "token", "left_semi"))
     p1, p2 = (pats.join(best.select("token", "rank"), "token").select(F.col("token").alias(t), F.col("rank").alias(f"r{t}"), "pattern", F.col("uses").alias(f"u{t}")) for t in "ab")
     pairs = p1.join(p2, "pattern").where("ra < rb").groupBy("a", "b").agg(F.count("*").alias("shared_patterns"), F.array_sort(F.collect_list(F.struct((-F.least("ua", "ub")).alias("u"), "pattern"))).alias("p")).where(F.col("shared_patterns") >= SHARED)
-    paths = vocabulary.by_token(tok_occ).join(names, "token", "left_semi").select("token", "path").distinct()
+    paths = cut(vocabulary.by_token(tok_occ).join(names, "token", "left_semi").select("token", "path").distinct())
     files = paths.groupBy("token").agg(F.count("*").alias("files"))
     both = pairs.select("a", "b").join(paths.select(F.col("token").alias("a"), "path"), "a").join(paths.select(F.col("token").alias("b"), "path"), ["b", "path"]).groupBy("a", "b").agg(F.count("*").alias("common"))
     pairs = (
@@ -98,10 +100,11 @@ def synonym_candidates(tok_occ: DataFrame, token_counts: DataFrame, top: int = L
         .join(files.select(F.col("token").alias("a"), F.col("files").alias("fa")), "a").join(files.select(F.col("token").alias("b"), F.col("files").alias("fb")), "b")
         .withColumn("overlap", F.coalesce("common", F.lit(0)) / F.greatest(F.lit(1), F.least("fa", "fb"))).where(F.col("overlap") <= FILE_OVERLAP)
     )
-    near = vocabulary.neighbor_pairs(tok_occ, [], names)
+    near = cut(vocabulary.neighbor_pairs(tok_occ, [], names))
     uses = token_counts.select("token", "uses")
     direct = pairs.join(near, ["a", "b"], "left").join(uses.select(F.col("token").alias("a"), F.col("uses").alias("na")), "a").join(uses.select(F.col("token").alias("b"), F.col("uses").alias("nb")), "b")
     pairs = direct.where(F.coalesce("uses", F.lit(0)) / F.greatest(F.lit(1), F.least("na", "nb")) <= CO_RATE).select("a", "b", "overlap", "shared_patterns", "p")
+    pairs = cut(pairs)
     weight = 1 / (1 + F.log1p(F.col("uses").cast("double")))
     ctx = near.select(F.col("a").alias("t"), F.col("b").alias("k"), F.col("uses").alias("c")).join(uses.select(F.col("token").alias("k"), weight.alias("w")), "k", "left").withColumn("w", F.coalesce("w", F.lit(1 / (1 + 0.6931471805599453))))
     ca, cb = (ctx.select(F.col("t").alias(t), "k", F.col("c").alias(f"c{t}"), "w") for t in "ab")

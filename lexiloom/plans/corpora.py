@@ -61,6 +61,17 @@ def bigram_occ(spark: SparkSession, sf_dir: str, letters: int = 9) -> DataFrame:
     return rows.groupBy("name", "path", "module", "language").agg(F.count("*").alias("n"))
 
 
+def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tok_occ of all neighbouring words of a document, folded, each pair one identifier; modules by source."""
+    files = lexical.normalize_text(doc_files(spark, sf_dir), "text", form="FOLD")
+    words = F.regexp_extract_all(lexical.fold(F.col("text")), F.lit(r"\p{L}+"), F.lit(0))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit("_"), b))
+    rows = files.select("path", "module", "language", words.alias("w")).select("path", "module", "language", F.explode(pairs).alias("name"))
+    occ = rows.groupBy("name", "path", "module", "language").agg(F.count("*").alias("n"))
+    dropped = sorted({*KEYWORDS, *STOPWORDS})
+    return occ.withColumn("tokens", F.filter(F.split("name", "_"), lambda w: (F.length(w) >= lexical.LEAST_TOKEN) & ~w.isin(dropped))).withColumn("token_count", F.size("tokens").cast("long"))
+
+
 def tok(occ: DataFrame) -> DataFrame:
     """Token occurrences of these ASCII corpora, all native."""
     return vocabulary.token_occurrences(occ, wide=False)
@@ -112,3 +123,7 @@ pairs AS (SELECT a, b, module, sum(n)::BIGINT AS uses FROM (SELECT module, n, d,
 nb AS (SELECT a, b, sum(uses)::BIGINT AS uses FROM pairs GROUP BY ALL),
 best AS (SELECT token, uses, row_number() OVER (ORDER BY uses DESC, token) AS rank FROM tc WHERE origin = 'domain' AND uses >= 2 QUALIFY rank <= 150)"""
 IDENT, PART, BIGRAM = (f"{x}, {_TOK}" for x in (_IDENT, _PART, _BIGRAM))
+_PAIRS = r"""pw AS (SELECT source || '/doc_' || doc_id || '.md' AS path, source AS module, lang AS language, regexp_extract_all(replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'ς', 'σ'), '\p{L}+') AS w FROM documents),
+occ AS (SELECT name, path, module, language, count(*) AS n FROM (SELECT path, module, language, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || '_' || w[i + 1])) AS name FROM pw) GROUP BY ALL)"""
+#: All neighbouring words; they are folded and hold no case to split at.
+PAIRS = f"{_PAIRS}, {_TOK}".replace(f"{sql_tokens('name')} AS tokens", f"list_filter(string_split(name, '_'), lambda w: length(w) >= 2 AND w NOT IN ({_list([*KEYWORDS, *STOPWORDS])})) AS tokens")

@@ -19,6 +19,8 @@ from ..sources.cache import KEYS, ExtractionCache
 from ..sources.shared import cut, together
 from . import checks, completeness, glossaries
 
+#: Names of each kind that are put forward.
+NAMES = {"terms": 15, "modules": 10, "structures": 10}
 #: Files that may hold a managed block, and the texts its marker lines start with.
 HOSTS, BEGIN, END = ("AGENTS.md", "CLAUDE.md"), "<!-- lexiloom:begin", "<!-- lexiloom:end -->"
 
@@ -152,8 +154,11 @@ def _rows(df: DataFrame) -> list[dict]:
 def document(e: Evidence, root: str) -> dict:
     """The tops of every table with their coverage; the whole tables stay DataFrames."""
     spark = e.files.sparkSession
-    counts = together(spark, tokens=lambda: cut(e.token_counts()), docs=lambda: cut(e.doc_counts()), edges=lambda: cut(imports.internal_edges(e.resolved)))
-    tc, dc, edges = counts["tokens"], counts["docs"], counts["edges"]
+    read = lexical.normalize_text(e.files.where("problem is null").select("module", "role", "kind", "language", "size", F.when(F.col("kind") == "doc", F.col("text")).alias("text")), "text", form="FOLD")
+    words = F.when(F.col("kind") == "doc", F.size(lexical.doc_words(F.col("text"))))
+    counts = together(spark, tokens=lambda: cut(e.token_counts()), docs=lambda: cut(e.doc_counts()), edges=lambda: cut(imports.internal_edges(e.resolved)), made=lambda: cut(inventory.inventory(read.withColumn("words", words))))
+    tc, dc, edges, made = counts["tokens"], counts["docs"], counts["edges"], counts["made"]
+    mods = inventory.module_inventory(made)
 
     def section(df: DataFrame, k: int, *order, key: str | None = None, uses: DataFrame | None = None) -> dict:
         """The top with its ledger; ``uses(key, path, module, n)`` adds the places and the uses a module of what is kept."""
@@ -185,7 +190,14 @@ def document(e: Evidence, root: str) -> dict:
         files = cut(git.file_freshness(s.nodes, root, s.commit))
         by_state = {r["state"]: r["files"] for r in files.groupBy("state").agg(F.count("*").alias("files")).collect()}
         stale = _rows(topk.top_k(files.where("state != 'current'"), LIMITS["findings"], F.desc("nodes"), F.asc("source_file")))
-        return {"state": "ok", "freshness": fresh, "files": by_state, "stale_files": stale, "groups": section(groups, LIMITS["groups"], F.desc("size"), F.asc("group")), "god_nodes": _rows(graph.god_nodes(graph.node_degrees(s.links))), "naming": _rows(graph.structure_scores(groups, s.cohesion))}
+        groups = cut(groups)
+        kept = topk.top_k(groups, LIMITS["groups"], F.desc("size"), F.asc("group"))
+        # Two things keep a group from being named: the cap of groups, and that of names.
+        every, held = groups.where("size >= 2").count(), kept.where("size >= 2").count()
+        named = min(held, NAMES["structures"])
+        why = ([f"the cap is {NAMES['structures']} names of groups"] if held > named else []) + ([f"{every - held} group(s) of two or more members beyond the cap of groups"] if every > held else [])
+        names = _rows(graph.structure_scores(kept, s.cohesion, NAMES["structures"]))
+        return {"state": "ok", "freshness": fresh, "files": by_state, "stale_files": stale, "groups": section(groups, LIMITS["groups"], F.desc("size"), F.asc("group")), "god_nodes": _rows(graph.god_nodes(graph.node_degrees(s.links))), "naming": names, "naming_coverage": topk.ledger(every, named, True, why)}
 
     def layout() -> dict:
         declared, found = repository.declared_workspaces(e.classified, root), _rows(repository.monorepo(e.classified))[0]
@@ -205,9 +217,16 @@ def document(e: Evidence, root: str) -> dict:
         terms = located(naming.term_scores(e.tok_occ, tc, dc, disp), "term", by_token.withColumnRenamed("token", "term")).orderBy(F.desc("score"), "term")
         return together(spark, dispersion=lambda: _rows(disp.orderBy("term")), overloads=lambda: _rows(terminology.overload_candidates(disp)), terms=lambda: _rows(terms))
 
-    read = lexical.normalize_text(e.files.where("problem is null").select("module", "role", "kind", "language", "size", F.when(F.col("kind") == "doc", F.col("text")).alias("text")), "text", form="FOLD")
-    made = cut(inventory.inventory(read.withColumn("words", F.when(F.col("kind") == "doc", F.size(lexical.doc_words(F.col("text")))))))
-    mods = inventory.module_inventory(made)
+    def pools() -> dict:
+        """How many terms and modules could have been named, and what left others out."""
+        t = tc.agg(F.count_if((F.col("origin") == "domain") & (F.col("modules") >= 2)).alias("terms"), F.count_if(F.col("origin") == "language").alias("language")).head()
+        targets, pairs, whole = edges.where("dst != '.'").select("dst").distinct().count(), edges.count(), imports.internal_edges(e.resolved, cap=None).count()
+        capped = lambda n, what: [f"the cap is {NAMES[what]} names of {what}"] if n > NAMES[what] else []
+        return {
+            "terms": topk.ledger(t["terms"], min(t["terms"], NAMES["terms"]), True, capped(t["terms"], "terms") + ([f"{t['language']} token(s) of a language left out"] if t["language"] else [])),
+            "modules": topk.ledger(targets, min(targets, NAMES["modules"]), whole == pairs, capped(targets, "modules") + ([f"{whole - pairs} import edge(s) beyond the cap of edges"] if whole > pairs else [])),
+        }
+
     # The longest go first.
     got = together(
         spark,
@@ -231,6 +250,7 @@ def document(e: Evidence, root: str) -> dict:
         edges=lambda: _rows(edges),
         external=lambda: _rows(imports.external_tally(e.resolved)),
         git=lambda: git.git_stamp(root),
+        pools=pools,
     )
     return {
         "schema_version": 1,
@@ -242,7 +262,8 @@ def document(e: Evidence, root: str) -> dict:
         "dispersion": got["contexts"]["dispersion"],
         "overloads": got["contexts"]["overloads"],
         "imports": {"edges": got["edges"], "external": got["external"]},
-        "naming": {"modules": got["modules_named"], "terms": got["contexts"]["terms"]},
+        "naming": {"modules": got["modules_named"], "terms": got["contexts"]["terms"], "coverage": got["pools"]},
+        "tokenization": lexical.tokenization_contract(),
     }
 
 

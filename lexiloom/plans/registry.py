@@ -13,7 +13,7 @@ from ..operators import evaluation, graph, imports, inventory, matching, naming,
 from ..sources import repository
 from ..sources.shared import cut
 from . import checks, corpora, glossaries
-from .corpora import BIGRAM, DOC, IDENT, PART, table
+from .corpora import BIGRAM, DOC, IDENT, PAIRS, PART, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -176,18 +176,19 @@ def register_exemplars(spark, sf):
     return terminology.exemplars(_register(spark, sf))
 
 
-# Prose has invented words, so its identifiers are the long bigrams; the layers compare these with the prose.
+# Prose has no identifiers of its own: its neighbouring words stand for them, and the layers compare these with the prose.
+# Dispersion leaves out terms of over thirty contexts in a module, which frequent words have, so it goes by the long words.
 
 
 def _layer(which: str):
     def run(spark, sf):
-        return terminology.layers(vocabulary.token_counts(corpora.tok(corpora.bigram_occ(spark, sf))), _docs(spark, sf), which)
+        return terminology.layers(vocabulary.token_counts(corpora.word_pairs(spark, sf)), _docs(spark, sf), which)
 
     run.__name__ = f"layers_{which}"
     return run
 
 
-_CODE = f"{BIGRAM}, {DOC}, code AS (SELECT token AS term, uses AS code_uses FROM tc WHERE origin = 'domain'), docs AS (SELECT term, uses AS doc_uses FROM doc_counts)"
+_CODE = f"{PAIRS}, {DOC}, code AS (SELECT token AS term, uses AS code_uses FROM tc WHERE origin = 'domain'), docs AS (SELECT term, uses AS doc_uses FROM doc_counts)"
 query(f"WITH {_CODE} SELECT term, code_uses, doc_uses FROM code JOIN docs USING (term) ORDER BY least(code_uses, doc_uses) DESC, term LIMIT 10")(_layer("shared"))
 query(f"WITH {_CODE} SELECT term, code_uses FROM code ANTI JOIN docs USING (term) ORDER BY code_uses DESC, term LIMIT 10")(_layer("code_only"))
 query(f"WITH {_CODE} SELECT term, doc_uses FROM docs ANTI JOIN code USING (term) ORDER BY doc_uses DESC, term LIMIT 10")(_layer("doc_only"))
@@ -259,13 +260,13 @@ def overload_modules(spark, sf):
     return terminology.overload_modules(occ, terminology.overload_candidates(disp))
 
 
-@query(f"""WITH {BIGRAM}, {DOC}, {_DISP}, pc AS (SELECT token, count(*) AS compounds, sum(uses)::BIGINT AS compound_uses FROM pat GROUP BY token)
+@query(f"""WITH {PAIRS}, {DOC}, {_DISP}, pc AS (SELECT token, count(*) AS compounds, sum(uses)::BIGINT AS compound_uses FROM pat GROUP BY token)
 SELECT tc.token AS term, round(2 * modules + ln(1 + least(tc.uses, 100)) + 2 * ln(1 + coalesce(d.uses, 0)) + 8 * compounds / sqrt(tc.uses) + 6 * compounds / tc.files + 4 * compound_uses / tc.uses, 2) AS score,
  CASE WHEN v.dispersion >= 0.8 THEN '{naming.DISAMBIGUATE}' ELSE '{naming.CANONICAL}' END AS nomination, tc.uses, tc.files, tc.modules, coalesce(d.uses, 0)::BIGINT AS doc_mentions, compounds, compound_uses, false AS names_file
 FROM tc JOIN pc USING (token) LEFT JOIN doc_counts d ON d.term = tc.token LEFT JOIN (SELECT term, dispersion FROM disp) v ON v.term = tc.token WHERE tc.modules >= 2 AND tc.origin = 'domain' ORDER BY score DESC, term LIMIT 15""")
 def term_naming_score(spark, sf):
     # Four tables are made of the occurrences, so they are written once.
-    occ = cut(corpora.tok(corpora.bigram_occ(spark, sf)))
+    occ = cut(corpora.word_pairs(spark, sf))
     counts = cut(vocabulary.token_counts(occ))
     return naming.term_scores(occ, counts, _docs(spark, sf), terminology.context_dispersion(occ, counts))
 

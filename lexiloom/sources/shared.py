@@ -26,13 +26,26 @@ def folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes every table that ``cut`` has made in this process and returns their number; for when all results are written."""
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, written as a table to the shared folder and read from there.
 
     The table has no lineage, survives lost executors, is read by column and
-    gives the planner its true size.
+    gives the planner its true size. ``sweep`` deletes it.
     """
     path = f"{folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,9 @@ import sys
 import unicodedata
 
 import pytest
-from lexiloom.operators import inventory, matching, ownership
+from lexiloom.operators import inventory, matching, ownership, vocabulary
+from lexiloom.streaming import incremental
+from pyspark.sql import functions as F
 
 sys.path.insert(0, __file__.rpartition("/")[0])
 import cases  # noqa: E402
@@ -81,3 +83,15 @@ def test_inventory_of_modules(spark):
     assert inventory.totals(made).head().asDict() == {"files": 6, "bytes": 25, "code_files": 4, "code_bytes": 16, "doc_files": 2, "doc_words": 7, "code_files_by_role": {"production": 2, "test": 2}, "doc_files_by_role": {"production": 2}}
     empty = inventory.inventory(spark.createDataFrame([], "module string, role string, kind string, language string, size long, words long"))
     assert inventory.totals(empty).head()["files"] == 0 and inventory.module_inventory(empty).count() == 0
+
+
+def test_stream_and_batch_fold_alike(spark, tmp_path):
+    texts = [("a.md", "The ﬁle λόγος Straße"), ("b.md", unicodedata.normalize("NFD", "Café crème")), ("c.md", "plain words ＷＩＤＥ"), ("d.md", None)]
+    files = spark.createDataFrame(texts, "path string, text string")
+    batch = vocabulary.doc_occurrences(files).groupBy("term").agg(F.sum("n").alias("uses"))
+    files.write.parquet(str(tmp_path / "in"))
+    stream = incremental.term_counts(spark.readStream.schema(files.schema).parquet(str(tmp_path / "in")))
+    run = stream.writeStream.format("memory").queryName("folded").outputMode("complete").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = {r["term"]: r["uses"] for r in spark.table("folded").collect()}
+    assert got == {r["term"]: r["uses"] for r in batch.collect()} and {"file", "λόγοσ", "strasse", "café", "wide"} <= set(got)

@@ -127,3 +127,12 @@ def test_unread_files_leave_the_corpus_and_absence_is_withheld(spark, tmp_path):
     fading = next(f for f in out["findings"] if f["kind"] == "canonical-fading")
     assert out["withheld"] == {} and fading["evidence"]["count"] == 0 and fading["summary"] == "the canonical 'Gone' isn't used in code"
     assert {f["kind"] for f in out["findings"]} == {"canonical-fading", "orphaned-concept"}
+
+
+def test_sweep_deletes_what_was_cut(spark):
+    from lexiloom.sources import shared
+
+    shared.sweep(spark)
+    kept = shared.cut(spark.range(5))
+    path = kept.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(path) and shared.sweep(spark) == 1 and not os.path.exists(path) and shared.sweep(spark) == 0
