@@ -29,12 +29,25 @@ class Shelf:
     """Writes tables to the shared folder and deletes the superseded ones.
 
     A table read back has no lineage, survives lost executors and has exact
-    statistics for the planner.
+    statistics for the planner. A result reads the last ones, so they stay until
+    ``sweep``.
     """
 
+    roots: list[str] = []
+
+    @staticmethod
+    def sweep(spark: SparkSession) -> int:
+        """Deletes the tables of every shelf of this process and returns how many shelves had some; for when all results are written."""
+        n = 0
+        while Shelf.roots:
+            path = spark._jvm.org.apache.hadoop.fs.Path(Shelf.roots.pop())
+            n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        return n
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        Shelf.roots.append(self.root)
         self.made = 0
 
     def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -1,10 +1,10 @@
-"""op6's audit and proven cells, op9's likelihood and odd grades, op10's quoted tags."""
+"""op3's whole texts, op6's audit and proven cells, op9's likelihood and odd grades, op10's quoted tags."""
 
 from html.parser import HTMLParser
 
 import numpy as np
 import pytest
-from lexiloom.llm import embeddings, toxicity, urlfilter
+from lexiloom.llm import embeddings, licenses, toxicity, urlfilter
 from lexiloom.llm.shelf import Shelf
 from pyspark.sql import functions as F
 
@@ -133,3 +133,21 @@ def test_links_without_entities_stay_as_they_are(spark):
     rows = [("a&amp;b",), (" a;b#38; ",), ("&#x2f;x",), ("plain",)]
     got = [r[0] for r in spark.createDataFrame(rows, "x string").select(urlfilter.unescaped(F.col("x"))).collect()]
     assert got == ["a&b", "a;b#38;", "/x", "plain"]
+
+
+def test_whole_license_texts_are_found_by_how_they_begin():
+    """Titles and preambles, hard-wrapped and with an address in between, name their license and no sibling."""
+    lib = licenses.Library(licenses.TEMPLATES)
+    for spdx, text in licenses.OPENINGS.items():
+        words = text.split()
+        at = words.index("Inc.") + 1 if "Inc." in words else 3
+        wrapped = " ".join([*words[:at], "51 Franklin Street, Fifth Floor, Boston, MA", *words[at:]])
+        wrapped = "Some file\n\n" + wrapped.replace(". ", ".\n   ")
+        found = {m[0].rpartition("#")[0] for m in lib.scan(wrapped + "\n\nmore text follows here, of no license at all") if m[4] is None}
+        assert found == {spdx}, (spdx, found)
+
+
+def test_sweep_deletes_the_shelves(spark):
+    Shelf.sweep(spark)
+    kept = Shelf(spark).keep(spark.range(3))
+    assert kept.count() == 3 and Shelf.sweep(spark) == 1 and Shelf.sweep(spark) == 0
