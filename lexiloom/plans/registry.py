@@ -549,7 +549,7 @@ def _strengths(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 _STR = f"""{_values()}, ct AS (SELECT DISTINCT concept, unnest(toks) AS token FROM terms t WHERE status = 'canonical' AND concept NOT IN (SELECT concept FROM scopes)),
-mt AS (SELECT DISTINCT community AS "group", unnest({corpora.sql_tokens("label")}) AS token FROM nodes),
+mt AS (SELECT DISTINCT community AS "group", unnest({corpora.sql_tokens("label")}) AS token FROM nodes WHERE p != 'glossary'),
 lt AS (SELECT DISTINCT community AS "group", unnest({corpora.sql_tokens("community_name")}) AS token FROM nodes),
 gt AS (SELECT "group", list(token) AS tokens FROM (SELECT * FROM mt UNION SELECT * FROM lt) GROUP BY 1),
 gl AS (SELECT "group", list(token) AS tokens FROM lt GROUP BY 1),
