@@ -499,7 +499,7 @@ def finding_evidence(spark, sf):
     return rows.select("kind", "subject", e("count"), e("files"), e("modules"), places, e("locations_truncated"), e("doc_mentions"), F.array_join("scope", " ").alias("scope"), "summary")
 
 
-_HALF = ["src0", "src1", "src2", "src3"]
+_HALF = sorted(f"src{i}" for i in (0, 3, 5, 6, 9, 10, 11, 13, 15, 16, 18, 19))
 _IN_HALF = ", ".join(f"'{m}'" for m in _HALF)
 
 
