@@ -26,11 +26,20 @@ def module_scores(edges: DataFrame, modules: DataFrame, doc_counts: DataFrame, c
     return out if cap is None else top_k(out, cap, F.desc("score"), F.asc("module"))
 
 
-def term_scores(tok_occ: DataFrame, token_counts: DataFrame, doc_counts: DataFrame, dispersion: DataFrame, cap: int | None = 15) -> DataFrame:
-    """(term, score, nomination, uses, files, modules, doc_mentions, compounds, compound_uses, names_file) of domain tokens in two modules or more."""
-    pats = vocabulary.token_patterns(tok_occ).groupBy("token").agg(F.count("*").alias("compounds"), F.sum("uses").alias("compound_uses"))
+def _named(tok_occ: DataFrame) -> DataFrame:
     stems = vocabulary.by_token(tok_occ).select("token", "path").distinct().withColumn("stem", lexical.tokens(F.regexp_replace(name_of(F.col("path")), r"(?<=.)\.[^.]*$", "")))
-    named = stems.where((F.size("stem") == 1) & (F.element_at("stem", 1) == F.col("token"))).select("token").distinct().withColumn("named", F.lit(1))
+    return stems.where((F.size("stem") == 1) & (F.element_at("stem", 1) == F.col("token"))).select("token").distinct()
+
+
+def term_scores(tok_occ: DataFrame, token_counts: DataFrame, doc_counts: DataFrame, dispersion: DataFrame, cap: int | None = 15, named: DataFrame | None = None) -> DataFrame:
+    """(term, score, nomination, uses, files, modules, doc_mentions, compounds, compound_uses, names_file) of domain tokens in two modules or more.
+
+    ``named(token)``: tokens that name a file they are in, if known; else ``tok_occ`` has names and paths to tell them by.
+    """
+    pats = vocabulary.token_patterns(tok_occ).groupBy("token").agg(F.count("*").alias("compounds"), F.sum("uses").alias("compound_uses"))
+    if named is None:
+        named = _named(tok_occ)
+    named = named.withColumn("named", F.lit(1))
     t = (
         token_counts.where("origin = 'domain' and modules >= 2").join(pats, "token", "left").join(named, "token", "left")
         .join(doc_counts.select(F.col("term").alias("token"), F.col("uses").alias("said")), "token", "left")
