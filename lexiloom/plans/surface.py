@@ -85,9 +85,10 @@ SELECT doc_id, array_to_string(list_filter([w[1], w[2] || '2'], lambda x: x NOT
 def unicode_tokens(spark, sf):
     """A document's first two words, capitalised and joined, are split again."""
     texts = lexical.normalize_text(table(spark, sf, "documents").select("doc_id", "text"), "text", form="FOLD")
-    words = texts.select("doc_id", F.slice(F.filter(lexical.doc_words(F.col("text")), lambda w: w.rlike(r"^\p{L}+$")), 1, 2).alias("w")).where("size(w) = 2")
+    # Null where there are fewer words: a filter by size would be pushed below and read every text twice.
+    words = texts.select("doc_id", F.slice(F.filter(lexical.doc_words(F.col("text")), lambda w: w.rlike(r"^\p{L}+$")), 1, 2).alias("w"))
     title = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
-    named = words.select("doc_id", F.concat(title(F.get("w", 0)), title(F.get("w", 1)), F.lit("2")).alias("name"))
+    named = cut(words.select("doc_id", F.concat(title(F.get("w", 0)), title(F.get("w", 1)), F.lit("2")).alias("name"))).where("name is not null")
     return lexical.tokenize_distinct(named).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
