@@ -14,7 +14,7 @@ from ..sources import graphs, repository
 from ..sources.shared import cut
 from . import checks, completeness, evidence, glossaries
 from .corpora import _L, DOC, IDENT, _list, table
-from .registry import _BIND, _GRAPH, _LINKED, _PATHS, _STR, _USES, PLAIN, _bindings, _docs, _has, _listing, _strengths, _values, query
+from .registry import _BIND, _GRAPH, _LINKED, _PATHS, _STR, _USES, PLAIN, _docs, _glossary, _has, _listing, _states, _strengths, _values, query
 
 
 def _pick(names: list[str], n: F.Column) -> F.Column:
@@ -194,8 +194,8 @@ _ALL = f"""{IDENT}, {DOC}, {_USES}, {_OWN_BIND}, {_GRAPH.replace("links AS", "gl
 
 
 def _found(spark, sf) -> DataFrame:
-    g, states = _bindings(spark, sf)
-    strengths, summary = map(cut, _strengths(spark, sf))
+    g = _glossary(spark, sf).keep()
+    states, strengths, summary = map(cut, (_states(g), *_strengths(spark, sf)))
     parts = [checks.watched_in_use(g), checks.fragmentation(g), checks.orphaned_concepts(g, states), checks.binding_findings(states, g), *checks.structural(strengths, summary).values()]
     return cut(reduce(DataFrame.unionByName, parts).select(*PLAIN, "scope"))
 
