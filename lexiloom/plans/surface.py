@@ -109,9 +109,17 @@ SELECT 'c' || n AS concept, term, 'canonical-absent' AS kind FROM c WHERE NOT he
 def markdown_presence(spark, sf):
     """The longest document as a Markdown glossary, against common words as terms and less common ones as their old names."""
     terms = [r["term"] for r in topk.top_k(_docs(spark, sf), 340, F.desc("uses"), F.asc("term")).collect()]
-    page = table(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").select("text").head()[0]
-    rows = [(f"c{i + 1}", terms[i], "x", "canonical", None, [(terms[i + 120], "deprecated", None)], [], None) for i in range(100, min(220, len(terms) - 120))]
-    return matching.markdown_divergence(spark.createDataFrame(rows, glossaries.SCHEMA), page)[0].select("concept", "term", "kind")
+    page = _page(spark, sf)
+    rows = [] if page is None else [(f"c{i + 1}", terms[i], "x", "canonical", None, [(terms[i + 120], "deprecated", None)], [], None) for i in range(100, min(220, len(terms) - 120))]
+    return matching.markdown_divergence(spark.createDataFrame(rows, glossaries.SCHEMA), page or "")[0].select("concept", "term", "kind")
+
+
+def _page(spark, sf) -> str | None:
+    """The longest document's text, of those alike the first by id: its row is found without the texts, of which only that one is then read."""
+    d, by = table(spark, sf, "documents"), ["n_chars", "doc_id"]
+    longest = d.select(*by).orderBy(F.desc("n_chars"), F.asc_nulls_last("doc_id")).head()
+    text = longest and d.where(reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(longest[c]) for c in by])).select("text").first()
+    return text and text[0]
 
 
 # Graph documents.
