@@ -111,7 +111,7 @@ def markdown_presence(spark, sf):
     terms = [r["term"] for r in topk.top_k(_docs(spark, sf), 340, F.desc("uses"), F.asc("term")).collect()]
     page = _page(spark, sf)
     rows = [] if page is None else [(f"c{i + 1}", terms[i], "x", "canonical", None, [(terms[i + 120], "deprecated", None)], [], None) for i in range(100, min(220, len(terms) - 120))]
-    return matching.markdown_divergence(spark.createDataFrame(rows, glossaries.SCHEMA), page or "")[0].select("concept", "term", "kind")
+    return matching.markdown_divergence(spark.createDataFrame(rows, glossaries.SCHEMA), page or "", whole=True)[0].select("concept", "term", "kind")
 
 
 def _page(spark, sf) -> str | None:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from lexiloom.functions import lexical
+from lexiloom.operators import matching
 from lexiloom.plans import registry, surface
 from lexiloom.plans.corpora import table
 from pyspark.sql import functions as F
@@ -25,6 +26,13 @@ def test_only_the_longest_text_is_read(spark, sf_dir, monkeypatch):
     assert read.value < 2  # a task that stops at its limit may not hand its count in
 
 
+def test_the_page_may_have_any_length_and_the_glossary_any_terms(spark, sf_dir, monkeypatch):
+    want = sorted(map(tuple, registry.queries()["markdown_presence"](spark, sf_dir).collect()))
+    monkeypatch.setattr(matching, "MOST_TERMS", 3)
+    monkeypatch.setattr(matching, "MOST_CHARACTERS", 5)
+    assert sorted(map(tuple, registry.queries()["markdown_presence"](spark, sf_dir).collect())) == want and len(want) > 3
+
+
 @pytest.mark.parametrize("lengths", [[], [None]])
 def test_no_page_makes_no_claim(spark, tmp_path, lengths):
     spark.createDataFrame([(1, None, "en", "a", n) for n in lengths], WIDE).write.parquet(str(tmp_path / "documents.parquet"))
