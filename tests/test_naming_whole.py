@@ -24,3 +24,17 @@ def test_every_edge_counts_for_the_names_of_modules(spark, tmp_path):
     assert got["shared"]["importers"] == 260  # over the 200 edges that import_edges shows
     assert differences(spark, tmp_path, "module_naming_score", "part", "documents") is None
     assert registry.queries()["import_edges"](spark, str(tmp_path)).count() == 200
+
+
+#: Terms with more than 30 contexts in a module, more than 50 modules, and more than 150 terms; odd sources, words and ends.
+ODD = [(i, f"kernel w{'abcdefghij'[i % 10]}{'abcdefg'[i // 10 % 7]} {'klmnopq'[i % 7]}{'rstuvwxyz'[i % 9]} kernel {'doc ' * (i % 3)}pair the pair lone", "en", f"s{i % 60}") for i in range(700)]
+ODD += [(1000 + i, f"{'abcdefghij'[i // 3 % 10]}x{'abcdefghij'[i // 30]}y wide kernel", "python", f"s{i % 3}") for i in range(300)]
+ODD += [(1, "len print wide doc", "python", "s1"), (1, "Straße ΣΑΣ O'Brien wide Wide", "de", "s2"), (2000, None, "en", "s1"), (2001, "", "en", "s2"), (2002, "solo", "fr", "s3"), (2003, "wide wide wide", None, "s4"), (2003, "wide kernel doc", None, "s4"), (2004, "wide kernel doc", "en", None)]
+WIDE = "doc_id long, text string, lang string, source string"
+
+
+def test_every_term_is_scored_over_all_contexts(spark, tmp_path):
+    spark.createDataFrame(ODD, WIDE).write.parquet(str(tmp_path / "documents.parquet"))
+    assert differences(spark, tmp_path, "term_naming_score", "documents") is None
+    got = {r["term"]: r for r in registry.queries()["term_naming_score"](spark, str(tmp_path)).collect()}
+    assert len(got) > 150 and len({r["nomination"] for r in got.values()}) == 2 and got["kernel"]["modules"] == 60
