@@ -31,12 +31,14 @@ def _named(tok_occ: DataFrame) -> DataFrame:
     return stems.where((F.size("stem") == 1) & (F.element_at("stem", 1) == F.col("token"))).select("token").distinct()
 
 
-def term_scores(tok_occ: DataFrame, token_counts: DataFrame, doc_counts: DataFrame, dispersion: DataFrame, cap: int | None = 15, named: DataFrame | None = None) -> DataFrame:
+def term_scores(tok_occ: DataFrame | None, token_counts: DataFrame, doc_counts: DataFrame, dispersion: DataFrame, cap: int | None = 15, named: DataFrame | None = None, pats: DataFrame | None = None) -> DataFrame:
     """(term, score, nomination, uses, files, modules, doc_mentions, compounds, compound_uses, names_file) of domain tokens in two modules or more.
 
     ``named(token)``: tokens that name a file they are in, if known; else ``tok_occ`` has names and paths to tell them by.
+    ``pats(token, compounds, compound_uses)``: the number and uses of a token's patterns, if known; else they are made of ``tok_occ``.
     """
-    pats = vocabulary.token_patterns(tok_occ).groupBy("token").agg(F.count("*").alias("compounds"), F.sum("uses").alias("compound_uses"))
+    if pats is None:
+        pats = vocabulary.token_patterns(tok_occ).groupBy("token").agg(F.count("*").alias("compounds"), F.sum("uses").alias("compound_uses"))
     if named is None:
         named = _named(tok_occ)
     named = named.withColumn("named", F.lit(1))
